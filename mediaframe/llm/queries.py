@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import credential_scan as cs
 from . import decontaminate as dc
 from . import exact_dedup as ed
 from .common import table
@@ -16,12 +17,17 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dc.judge(dc.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
+def op3_credential_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cs.digest(cs.scan_credentials(table(spark, sf_dir, "documents")))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ed.exact_dedup(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_decontaminate": op2_decontaminate,
+    "op3_credential_scan": op3_credential_scan,
     "op8_exact_dedup": op8_exact_dedup,
 }
 
