@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from . import credential_scan as cs
 from . import decontaminate as dc
 from . import exact_dedup as ed
+from . import langid
 from .common import table
 
 
@@ -21,6 +22,17 @@ def op3_credential_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cs.digest(cs.scan_credentials(table(spark, sf_dir, "documents")))
 
 
+def remainder(n: int) -> F.Column:
+    """The part of the fixed folds that a document is in."""
+    return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(n))
+
+
+def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.fit(docs.filter(remainder(4) != 2))
+    return langid.identify(docs, model).withColumn("held_out", F.coalesce(remainder(4) == 2, F.lit(False)))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ed.exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -28,6 +40,7 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_decontaminate": op2_decontaminate,
     "op3_credential_scan": op3_credential_scan,
+    "op4_langid": op4_langid,
     "op8_exact_dedup": op8_exact_dedup,
 }
 
