@@ -11,6 +11,7 @@ from . import credential_scan as cs
 from . import decontaminate as dc
 from . import exact_dedup as ed
 from . import langid
+from . import piece_transducer as pt
 from .common import table
 
 
@@ -33,6 +34,10 @@ def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, model).withColumn("held_out", F.coalesce(remainder(4) == 2, F.lit(False)))
 
 
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pt.tokenize(table(spark, sf_dir, "documents"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ed.exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -41,6 +46,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_decontaminate": op2_decontaminate,
     "op3_credential_scan": op3_credential_scan,
     "op4_langid": op4_langid,
+    "op7_sentencepiece": op7_sentencepiece,
     "op8_exact_dedup": op8_exact_dedup,
 }
 
