@@ -11,10 +11,15 @@ from . import credential_scan as cs
 from . import decontaminate as dc
 from . import exact_dedup as ed
 from . import langid
+from . import lattice_lm as lm
 from . import piece_transducer as pt
 from .common import table
 
 
+def op1_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_texts(table(spark, sf_dir, "documents"), remainder(7) != 2, remainder(7) == 2, class_col="lang")
+
+
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dc.judge(dc.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
@@ -43,6 +48,7 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_lattice_lm": op1_lattice_lm,
     "op2_decontaminate": op2_decontaminate,
     "op3_credential_scan": op3_credential_scan,
     "op4_langid": op4_langid,
