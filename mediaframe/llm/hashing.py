@@ -49,4 +49,4 @@ def gram_hashes(data: np.ndarray, starts: np.ndarray, n: int) -> tuple[np.ndarra
     for k in range(n):
         h = h * BASE + data[k: len(data) - n + 1 + k].astype(np.uint64) + np.uint64(1)
     inside = owner[: len(data) - n + 1] == owner[n - 1:]
-    return mix(h[inside] + np.uint64(n) * MIX), owner[: len(data) - n + 1][inside]
+    return mix(h[inside] + np.uint64(n * int(MIX) % (1 << 64))), owner[: len(data) - n + 1][inside]
