@@ -13,6 +13,7 @@ from . import exact_dedup as ed
 from . import langid
 from . import lattice_lm as lm
 from . import piece_transducer as pt
+from . import quality, toxicity
 from .common import table
 
 
@@ -39,6 +40,12 @@ def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, model).withColumn("held_out", F.coalesce(remainder(4) == 2, F.lit(False)))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs.filter(remainder(3) != 1), table(spark, sf_dir, "labels"))
+    return quality.score(docs, model).withColumn("held_out", F.coalesce(remainder(3) == 1, F.lit(False)))
+
+
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pt.tokenize(table(spark, sf_dir, "documents"))
 
@@ -47,13 +54,21 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ed.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality.fit(docs.filter(remainder(4) != 2), table(spark, sf_dir, "labels"))
+    return quality.score(docs, model).withColumn("held_out", F.coalesce(remainder(4) == 2, F.lit(False)))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lattice_lm": op1_lattice_lm,
     "op2_decontaminate": op2_decontaminate,
     "op3_credential_scan": op3_credential_scan,
     "op4_langid": op4_langid,
+    "op5_toxicity": op5_toxicity,
     "op7_sentencepiece": op7_sentencepiece,
     "op8_exact_dedup": op8_exact_dedup,
+    "op9_quality": op9_quality,
 }
 
 WORD2 = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
