@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from . import credential_scan as cs
 from . import decontaminate as dc
 from . import exact_dedup as ed
-from . import langid
+from . import html_main, langid
 from . import lattice_lm as lm
 from . import piece_transducer as pt
 from . import quality, toxicity
@@ -46,6 +46,10 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, model).withColumn("held_out", F.coalesce(remainder(3) == 1, F.lit(False)))
 
 
+def op6_html_main(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_main.extract(table(spark, sf_dir, "pages"))
+
+
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pt.tokenize(table(spark, sf_dir, "documents"))
 
@@ -66,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_credential_scan": op3_credential_scan,
     "op4_langid": op4_langid,
     "op5_toxicity": op5_toxicity,
+    "op6_html_main": op6_html_main,
     "op7_sentencepiece": op7_sentencepiece,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_quality": op9_quality,
