@@ -28,6 +28,22 @@ def read_pieces(path: str = MODEL) -> tuple[list[str], list[float], list[int]]:
             [model.piece_to_id(f"<0x{b:02X}>") for b in range(256)])
 
 
+class _Paths(dict):
+    """Outputs of words, found when first asked for; emptied when it holds `limit` of them."""
+
+    def __init__(self, path, mark: str, limit: int):
+        super().__init__()
+        self.path, self.mark, self.limit = path, mark, limit
+
+    def __missing__(self, word: str) -> Arc:
+        if len(self) >= self.limit:
+            self.clear()
+        ids = self.path(self.mark + word)
+        if len(word) < 64:
+            self[word] = ids
+        return ids
+
+
 class PieceTransducer:
     """normaliser . pieces . byte fallback, to be composed with a text.
 
@@ -42,7 +58,7 @@ class PieceTransducer:
     encoding by merges. No piece spans the start of a word, so words are composed one by one.
     """
 
-    def __init__(self, pieces: list[str], scores: list[float], byte_ids: list[int], kind: str = "bpe", cache: int = 300_000):
+    def __init__(self, pieces: list[str], scores: list[float], byte_ids: list[int], kind: str = "bpe", cache: int = 600_000):
         self.kind, self.scores, self.byte_ids, self.limit = kind, scores, byte_ids, cache
         self.id_of = {p: i for i, p in enumerate(pieces) if p}
         self.longest = max(map(len, self.id_of), default=1)
@@ -51,13 +67,36 @@ class PieceTransducer:
             self.out[i] = bytes([b])
         self.byte_set = frozenset(byte_ids)
         self.runs: dict[int, Arc] = {}
-        self.words: dict[str, Arc] = {}
-        self.inner: dict[str, Arc] = {}
         if kind == "bpe":
             self._compile_merges(pieces)
+        self._compile_prefixes()
+        self._forget()
+
+    def _forget(self) -> None:
+        path = self._finite_path if self.kind == "bpe" else self._path
+        self.words, self.inner = _Paths(path, MARK, self.limit), _Paths(path, "", self.limit // 8)
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"runs": {}, "words": {}, "inner": {}}
+        return {k: v for k, v in self.__dict__.items() if k not in ("words", "inner")} | {"runs": {}}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self._forget()
+
+    def _compile_prefixes(self) -> None:
+        """For each beginning of a piece, the longest piece that begins it (-1: none); for each
+        piece the next shorter one that begins it."""
+        self.begun: dict[str, int] = {}
+        self.shorter: dict[int, int] = {}
+        self.size_of = {i: len(p) for p, i in self.id_of.items()}
+        for p, i in sorted(self.id_of.items(), key=lambda x: len(x[0])):
+            below = -1
+            for k in range(1, len(p) + 1):
+                if k == len(p):
+                    self.shorter[i] = below
+                    self.begun[p] = i
+                else:
+                    below = self.begun.setdefault(p[:k], below)
 
     # Merging, for the neighbours that may stand.
 
@@ -116,6 +155,42 @@ class PieceTransducer:
 
     # Composition and shortest path.
 
+    def _finite_path(self, word: str) -> Arc:
+        """Output of the only path of finite weight, depth first: the longest piece at each place
+        that may stand beside the last one, then shorter ones, then back. A place that was left
+        by going back is on no finite path."""
+        n, begun, shorter, size_of, apart = len(word), self.begun, self.shorter, self.size_of, self.apart
+        dead: set[int] = set()
+        path: list[tuple[int, int]] = []  # start and piece; -1 is one character in bytes
+        pos, piece, last = 0, -2, -1
+        while pos < n:
+            if piece == -2:  # the longest piece that starts here
+                piece, k = -1, pos + 1
+                while k <= n and (p := begun.get(word[pos:k])) is not None:
+                    piece, k = p, k + 1
+                fallback = piece == -1
+            while piece >= 0:
+                if pos + size_of[piece] not in dead:
+                    ok = True if last < 0 else apart.get((last, piece))
+                    if ok or ok is None and self._stay_apart(last, piece):
+                        break
+                piece = shorter[piece]
+            if piece >= 0 or fallback:
+                path.append((pos, piece))
+                pos, last, piece, fallback = pos + (size_of[piece] if piece >= 0 else 1), piece, -2, False
+            else:
+                dead.add(pos)
+                pos, piece = path.pop()
+                last = path[-1][1] if path else -1
+                piece, fallback = (shorter[piece] if piece >= 0 else -1), False
+        ids: list[int] = []
+        for start, piece in path:
+            if piece >= 0:
+                ids.append(piece)
+            else:
+                ids += [self.byte_ids[b] for b in word[start].encode("utf-8", "replace")]
+        return tuple(ids)
+
     def _path(self, word: str) -> Arc:
         """Output of the shortest path through the word."""
         n, id_of = len(word), self.id_of
@@ -158,16 +233,6 @@ class PieceTransducer:
         size = len(self.out[most])
         return (most,) * (n // size - 4) + self._run(n % size + 4 * size)
 
-    def _cached(self, of: dict[str, Arc], word: str, mark: str) -> Arc:
-        ids = of.get(word)
-        if ids is None:
-            if len(of) >= self.limit:
-                of.clear()
-            ids = self._path(mark + word)
-            if len(word) < 64:
-                of[word] = ids
-        return ids
-
     def encode(self, text: str | None) -> list[int]:
         if not text:
             return []
@@ -179,17 +244,23 @@ class PieceTransducer:
                     out.append(self._run(spaces))
                 out.append((self.byte_ids[10],) if "\n" not in self.id_of else (self.id_of["\n"],))
                 spaces = 0
+            parts = line.split(" ")
+            if "" not in parts:
+                out.append(self.words[parts[0]] if spaces else self.inner[parts[0]])
+                out += map(self.words.__getitem__, parts[1:])
+                spaces = 0
+                continue
             first = True
-            for word in line.split(" "):
+            for word in parts:
                 if not first:
                     spaces += 1
                 first = False
                 if not word:
                     continue
                 if not spaces:
-                    out.append(self._cached(self.inner, word, ""))
+                    out.append(self.inner[word])
                     continue
-                ids = self._cached(self.words, word, MARK)
+                ids = self.words[word]
                 if spaces > 1:  # merges of marks come last: a word takes its mark first
                     if len(self.out[ids[0]]) == 1 and self.out[ids[0]] == b" " and ids[0] not in self.byte_set:
                         out += [self._run(spaces), ids[1:]]
