@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from . import credential_scan as cs
 from . import decontaminate as dc
 from . import exact_dedup as ed
-from . import html_main, langid
+from . import html_main, jaccard_join, langid
 from . import lattice_lm as lm
 from . import piece_transducer as pt
 from . import quality, toxicity
@@ -64,6 +64,10 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, model).withColumn("held_out", F.coalesce(remainder(4) == 2, F.lit(False)))
 
 
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lattice_lm": op1_lattice_lm,
     "op2_decontaminate": op2_decontaminate,
@@ -74,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_sentencepiece": op7_sentencepiece,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_quality": op9_quality,
+    "op10_jaccard_join": op10_jaccard_join,
 }
 
 WORD2 = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
