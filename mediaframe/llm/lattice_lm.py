@@ -313,7 +313,7 @@ def log_gamma(x: np.ndarray) -> np.ndarray:
     shift = np.log(x)
     for k in range(1, 8):
         shift = shift + np.log(x + k)
-    return (y - 0.5) * np.log(y) - y + 0.5 * math.log(2 * math.pi) + 1 / (12 * y) - 1 / (360 * y**3) - shift
+    return (y - 0.5) * np.log(y) - y + 0.5 * math.log(2 * math.pi) + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - shift
 
 
 def log_rising(a: np.ndarray, n: np.ndarray) -> np.ndarray:
