@@ -1 +1,3 @@
-"""See the modules of this package."""
+"""Registered queries over the logical tables."""
+
+from . import catalog, detections, evaluation, retrieval, text  # noqa: F401
