@@ -8,6 +8,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -226,17 +227,24 @@ def _block(block: int, docs: list[tuple], classes: int, id_type: pa.DataType) ->
     posts = (doc * 4096 + count).astype(np.int32)
     offsets = np.searchsorted(word, np.arange(len(numbers) + 1))
     names = list(numbers)
-    schema = pa.schema([("block", pa.int64()), ("word", pa.binary()), *((f"n{k}", pa.int32()) for k in range(classes)), ("posts", pa.list_(pa.int32())),
-                        ("ids", pa.list_(id_type)), ("class", pa.list_(pa.int32())), ("held", pa.list_(pa.bool_())), ("sizes", pa.list_(pa.int64()))])
+    schema = pa.schema([("block", pa.int64()), ("word", pa.binary()), *((f"n{k}", pa.int32()) for k in range(classes)), ("posts", pa.binary()), ("docs", pa.binary())])
     for a in range(0, len(names), 20_000):
         b = min(len(names), a + 20_000)
-        lists = pa.ListArray.from_arrays(pa.array(offsets[a: b + 1] - offsets[a], pa.int32()), pa.array(posts[offsets[a]: offsets[b]]))
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(b - a, block)), pa.array(names[a:b], pa.binary()), *(pa.array(c[a:b]) for c in n), lists,
-                                          *(pa.nulls(b - a, f.type) for f in list(schema)[-4:])], schema=schema)
-    last = {"block": block, "ids": list(ids), "class": list(klass), "held": list(held), "sizes": sizes.tolist()}
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(b - a, block)), pa.array(names[a:b], pa.binary()), *(pa.array(c[a:b]) for c in n),
+                                          _packed(posts[offsets[a]: offsets[b]], offsets[a: b + 1] - offsets[a]), pa.nulls(b - a, pa.binary())], schema=schema)
+    batch = pa.RecordBatch.from_arrays([pa.array(ids, id_type), pa.array(klass, pa.int32()), pa.array(held, pa.bool_()), pa.array(sizes)], names=["ids", "class", "held", "sizes"])
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema) as writer:
+        writer.write_batch(batch)
+    last = {"block": block, "docs": sink.getvalue().to_pybytes(), **{f"n{k}": int(np.sum(np.array(klass) == k)) for k in range(classes)}}
     yield pa.RecordBatch.from_arrays([pa.array([last.get(f.name)], f.type) for f in schema], schema=schema)
 
 
+def _packed(values: np.ndarray, offsets: np.ndarray) -> pa.BinaryArray:
+    """Runs of 32-bit numbers as bytes. (Spark writes lists to grouped functions much more slowly.)"""
+    return pa.BinaryArray.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer((offsets * 4).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values))])
+
+
 def _expect(shared: Broadcast):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = shared.value
@@ -324,15 +332,15 @@ def log_rising(a: np.ndarray, n: np.ndarray) -> np.ndarray:
 def _sum_block(group: pa.Table, corpus: Corpus, spread: float) -> pa.Table:
     """Scores of the documents of a block. Words come from an urn of the class, of size `spread`,
     whose balls return doubled: a word that a text has used is likelier there from then on."""
-    docs = group.filter(pa.compute.is_valid(group["ids"])).slice(0, 1).combine_chunks()
+    packed = group["docs"].drop_null()[0].as_py()
+    docs = pa.ipc.open_stream(packed).read_all().combine_chunks()
     facts = group.filter(pa.compute.is_valid(group["posts"])).combine_chunks()
-    ids, sizes = docs["ids"].chunk(0).flatten(), docs["sizes"].chunk(0).flatten().to_numpy()
+    ids, sizes = docs["ids"], docs["sizes"].to_numpy()
     n, classes = len(ids), len(corpus.docs)
     known, base, score = np.zeros(n), np.zeros(n), np.zeros((n, classes))
     if facts.num_rows:
-        posts = facts["posts"].chunk(0)
-        rows = np.repeat(np.arange(facts.num_rows), np.diff(posts.offsets.to_numpy()))
-        flat = posts.flatten().to_numpy()
+        rows = np.repeat(np.arange(facts.num_rows), pa.compute.binary_length(facts["posts"]).to_numpy() // 4)
+        flat = np.frombuffer(b"".join(facts["posts"].to_pylist()), np.int32)
         doc, count = flat // 4096, flat % 4096
         counts = np.stack([facts[f"n{k}"].to_numpy().astype(float) for k in range(classes)], 1)
         total = counts.sum(1)
@@ -346,7 +354,7 @@ def _sum_block(group: pa.Table, corpus: Corpus, spread: float) -> pa.Table:
     top = score.max(1)
     mixed = top + np.log(np.exp(score - top[:, None]).sum(1)) + math.log(corpus.end())
     d = float(corpus.docs.sum())
-    return pa.table({"_id": ids, "held_out": docs["held"].chunk(0).flatten(), "n_tokens": pa.array(sizes + 1), "n_known": pa.array(np.rint(known).astype(np.int64) + (d > 0)),
+    return pa.table({"_id": ids, "held_out": docs["held"], "n_tokens": pa.array(sizes + 1), "n_known": pa.array(np.rint(known).astype(np.int64) + (d > 0)),
                      "train_tokens": pa.array(np.full(n, corpus.tokens)), "base_score": pa.array(base + math.log10((d + 1) / corpus.base)), "score": pa.array(mixed / LN10)})
 
 
@@ -377,22 +385,18 @@ def score_texts(docs: DataFrame, train: F.Column, held: F.Column, id_col: str =
         klass = F.when(F.col(class_col) == F.lit(name), k).otherwise(klass)
     slim = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("binary").alias("_text"), F.when(learn, klass).otherwise(-1).cast("int").alias("class"), F.coalesce(held, F.lit(False)).alias("held"))
     kind, counted = dict(slim.dtypes)["_id"], [f"n{k}" for k in range(classes)]
-    blocks = stage(slim.mapInArrow(_blocks(block_tokens, classes), f"block long, word binary, {', '.join(f'{c} int' for c in counted)}, posts array<int>, ids array<{kind}>, class array<int>, held array<boolean>, sizes array<long>"), "blocks")
+    blocks = stage(slim.mapInArrow(_blocks(block_tokens, classes), f"block long, word binary, {', '.join(f'{c} int' for c in counted)}, posts binary, docs binary"), "blocks")
     words = blocks.filter("word is not null")
     vocab = stage(words.groupBy("word").agg(*[F.sum(c).alias(c) for c in counted]), "vocabulary")
     row = vocab.agg(*[f(F.col(c)).alias(f"{name}{k}") for k, c in enumerate(counted)
                       for name, f in (("words", F.sum), ("kinds", lambda x: F.count_if(x > 0)), ("once", lambda x: F.count_if(x == 1)), ("twice", lambda x: F.count_if(x == 2)))],
                     F.count_if(sum((F.col(c) for c in counted), F.lit(0)) > 0).alias("all")).first()
-    in_class = blocks.filter("word is null").agg(*[F.sum(F.size(F.filter("class", _equals(k)))) for k in range(classes)]).first()
+    in_class = blocks.filter("word is null").agg(*[F.sum(c) for c in counted]).first()
     corpus = Corpus(np.array([x or 0 for x in in_class], float), *(np.array([row[f"{name}{k}"] or 0 for k in range(classes)], float) for name in ("words", "kinds", "once", "twice")), int(row["all"]))
     lattice = train_lattice(vocab.filter(" + ".join(counted) + " > 0").select("word"), Lattice.load(model), rounds)
     shared = docs.sparkSession.sparkContext.broadcast(lattice)
     scored = vocab.mapInArrow(_inside(shared), f"word binary, {', '.join(f'{c} long' for c in counted)}, inside float")
     facts = words.select("word", "block", "posts").join(scored.hint("merge"), "word").drop("word")
-    both = facts.unionByName(blocks.filter("word is null").select("block", "ids", "held", "sizes"), allowMissingColumns=True)
+    both = facts.unionByName(blocks.filter("word is null").select("block", "docs"), allowMissingColumns=True)
     return (both.groupBy("block").applyInArrow(lambda t: _sum_block(t, corpus, spread), f"_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
             .withColumnRenamed("_id", id_col))
-
-
-def _equals(k: int):
-    return lambda x: x == k
