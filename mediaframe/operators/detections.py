@@ -81,7 +81,7 @@ def match_boxes(truth: DataFrame, predicted: DataFrame, least_iou: float = 0.5,
     """For each photo the largest true box that a sure prediction of its label covers."""
     p = prefixed(predicted.filter(F.col("score") >= sure), "p_", ("content_hash", "label"))
     hit = truth.join(p, ["content_hash", "label"]).withColumn("iou", iou("", "p_")).filter(F.col("iou") >= least_iou)
-    return hit.groupBy("content_hash").agg(F.max_by(F.struct("label", "box_no"), F.struct(exact_area().alias("area"), (-F.col("box_no")).alias("b"))).alias("m")).select("content_hash", "m.label", "m.box_no")
+    return hit.groupBy("content_hash").agg(F.max_by(F.struct("label", "box_no"), F.struct(exact_area().alias("area"), (-F.col("box_no")).alias("b"), "label")).alias("m")).select("content_hash", "m.label", "m.box_no")
 
 
 def survive(before: DataFrame, after: DataFrame, kept: float = 0.5, removed: float = 0.3) -> DataFrame:
@@ -93,7 +93,7 @@ def survive(before: DataFrame, after: DataFrame, kept: float = 0.5, removed: flo
 
 def main_object(boxes: DataFrame, sure: float = SURE) -> DataFrame:
     b = boxes.filter(F.col("score") >= sure)
-    return b.groupBy("content_hash").agg(F.max_by("label", F.struct(exact_area().alias("area"), (-F.col("box_no")).alias("b"))).alias("label"))
+    return b.groupBy("content_hash").agg(F.max_by("label", F.struct(exact_area().alias("area"), (-F.col("box_no")).alias("b"), "label")).alias("label"))
 
 
 def top_refine(ranked: DataFrame, sure: int = 3) -> DataFrame:

@@ -68,7 +68,7 @@ def truth(spark, d):
 
 
 @query("c15_match_boxes", f"""WITH {TRUTH}, m AS (SELECT t.content_hash, t.label, t.box_no, greatest(0, CAST(round(t.x1 * 10000) AS BIGINT) - CAST(round(t.x0 * 10000) AS BIGINT)) * greatest(0, CAST(round(t.y1 * 10000) AS BIGINT) - CAST(round(t.y0 * 10000) AS BIGINT)) AS area FROM boxes t JOIN pred p ON p.content_hash = t.content_hash AND p.label = t.label AND p.score >= 0.75 AND {iou_sql('t', 'p')} >= 0.5),
-    r AS (SELECT *, row_number() OVER (PARTITION BY content_hash ORDER BY area DESC, box_no) AS rn FROM m) SELECT content_hash, label, box_no FROM r WHERE rn = 1""")
+    r AS (SELECT *, row_number() OVER (PARTITION BY content_hash ORDER BY area DESC, box_no, label DESC) AS rn FROM m) SELECT content_hash, label, box_no FROM r WHERE rn = 1""")
 def c15(spark, d):
     return det.match_boxes(*truth(spark, d))
 
@@ -145,7 +145,7 @@ def e5(spark, d):
     return s.object_first(ranked(spark, d), found, checked, 50).select("asset_id", "object_check", "rank")
 
 
-@query("e11_main_object", f"WITH {B}, r AS (SELECT content_hash, label, row_number() OVER (PARTITION BY content_hash ORDER BY greatest(0, CAST(round(x1 * 10000) AS BIGINT) - CAST(round(x0 * 10000) AS BIGINT)) * greatest(0, CAST(round(y1 * 10000) AS BIGINT) - CAST(round(y0 * 10000) AS BIGINT)) DESC, box_no) AS rn FROM boxes WHERE score >= 0.75) SELECT content_hash, label FROM r WHERE rn = 1")
+@query("e11_main_object", f"WITH {B}, r AS (SELECT content_hash, label, row_number() OVER (PARTITION BY content_hash ORDER BY greatest(0, CAST(round(x1 * 10000) AS BIGINT) - CAST(round(x0 * 10000) AS BIGINT)) * greatest(0, CAST(round(y1 * 10000) AS BIGINT) - CAST(round(y0 * 10000) AS BIGINT)) DESC, box_no, label DESC) AS rn FROM boxes WHERE score >= 0.75) SELECT content_hash, label FROM r WHERE rn = 1")
 def e11(spark, d):
     return det.main_object(b.boxes(spark, d))
 
