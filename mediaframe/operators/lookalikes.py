@@ -2,24 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-
-def _staged(df: DataFrame) -> DataFrame:
-    """A written copy in the folder of spark.checkpoint.dir, so that rounds do not nest in one plan."""
-    sc = df.sparkSession.sparkContext
-    folder = sc.getConf().get("spark.checkpoint.dir")
-    if not folder:
-        if sc.master.startswith("local-cluster") or not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    path = f"{folder.rstrip('/')}/rounds-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+from ..sources.staging import staged
 
 
 def stars(pairs: DataFrame, spark: SparkSession) -> DataFrame:
@@ -30,13 +16,13 @@ def stars(pairs: DataFrame, spark: SparkSession) -> DataFrame:
     edges = pairs.select(F.col("a").alias("u"), F.col("b").alias("v"), "similarity").unionByName(pairs.select(F.col("b").alias("u"), F.col("a").alias("v"), "similarity"))
     degree = edges.groupBy("u").agg(F.count(F.lit(1)).alias("n"))
     order = F.struct((-F.col("n")).alias("neg"), F.col("u").alias("id"))
-    nodes = _staged(degree.select("u", order.alias("o"), F.lit("open").alias("state")))
-    neighbours = _staged(edges.join(nodes.select("u", F.col("o").alias("ou")), "u").join(nodes.select(F.col("u").alias("v"), F.col("o").alias("ov")), "v").filter("ov < ou").select("u", "v"))
+    nodes = staged(degree.select("u", order.alias("o"), F.lit("open").alias("state")))
+    neighbours = staged(edges.join(nodes.select("u", F.col("o").alias("ou")), "u").join(nodes.select(F.col("u").alias("v"), F.col("o").alias("ov")), "v").filter("ov < ou").select("u", "v"))
     while nodes.filter("state = 'open'").limit(1).count():
         seen = (neighbours.join(nodes.select(F.col("u").alias("v"), F.col("state").alias("sv")), "v").groupBy("u")
                 .agg(F.bool_or(F.col("sv") == "lead").alias("led"), F.bool_and(F.col("sv") == "out").alias("clear")))
         state = F.when(F.col("state") != "open", F.col("state")).when(F.col("led"), "out").when(F.coalesce("clear", F.lit(True)), "lead").otherwise("open")
-        nodes = _staged(nodes.join(seen, "u", "left").select("u", "o", state.alias("state")))
+        nodes = staged(nodes.join(seen, "u", "left").select("u", "o", state.alias("state")))
     lead = nodes.filter("state = 'lead'").select(F.col("u").alias("v"), F.col("o").alias("ov"))
     out = nodes.filter("state = 'out'").select("u")
     joined = edges.join(lead, "v").join(out, "u", "left_semi")

@@ -7,9 +7,10 @@ import unicodedata
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
-@F.arrow_udf("string")
+@F.arrow_udf(T.StringType())
 def _unaccented(texts: pa.Array) -> pa.Array:
     return pa.array([None if t is None else "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c)) for t in texts.to_pylist()], pa.string())
 
