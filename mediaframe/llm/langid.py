@@ -211,14 +211,15 @@ def calibrate(model: LanguageModel, held: pd.DataFrame, tail_bits: float = 1.5)
 def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = 600,
         max_langs: int = 200, order: int = 4) -> LanguageModel:
     """A model from a bounded sample: at most per_lang documents, whole, of each of the max_langs
-    most frequent languages, chosen by a hash of the text; a fifth of them calibrates the score."""
+    most frequent languages, chosen by a hash of id and text; a fifth of them calibrates the score."""
     rows = labelled.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     sizes = {r[0]: r[1] for r in rows.groupBy(F.col(lang_col).alias("l")).count().orderBy(F.desc("count"), "l").limit(max_langs).collect()}
     if not sizes:
         return train(pd.DataFrame({"text": [" "], "lang": ["und"]}), order)
     share = F.create_map(*[x for l, n in sizes.items() for x in (F.lit(l), F.lit(1.3 * per_lang / n))])
-    u = F.pmod(F.xxhash64(F.lit("langid"), text_col), F.lit(1 << 20)) / (1 << 20)
-    picked = rows.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), u.alias("u")).filter(F.col("lang").isin(list(sizes)) & (F.col("u") < share[F.col("lang")])).toPandas()
+    # By id and text: copies of one text must not all be picked.
+    u = F.pmod(F.xxhash64(F.lit("langid"), id_col, text_col), F.lit(1 << 30)) / (1 << 30)
+    picked = rows.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), u.alias("u")).filter(F.col("lang").isin(list(sizes)) & (F.col("u") < share[F.col("lang")])).limit(3 * per_lang * len(sizes)).toPandas()
     picked = picked.sort_values(["lang", "u", "text"]).groupby("lang").head(per_lang).reset_index(drop=True)
     part = np.arange(len(picked)) % 5 == 0
     if len(picked) < 5 * len(sizes):

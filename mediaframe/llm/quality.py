@@ -122,7 +122,7 @@ def sample_labelled(docs: DataFrame, labels: DataFrame, label: str, most: int, i
     picked = known.withColumn("u", u).filter(F.col("u") < min(2.0, 1.2 * most / max(1, n)))
     rows = docs.filter(F.col(text_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(text_col).alias("text"))
     few = rows.join(F.broadcast(picked.orderBy("u").limit(2 * most)), F.col("_id") == F.col("_k"))  # 2 * most keys at most
-    return few.select("_id", "text", "label", "u").toPandas().drop_duplicates("_id").sort_values(["u", "_id"]).head(most).reset_index(drop=True)
+    return few.select("_id", "text", "label", "u").limit(4 * most).toPandas().drop_duplicates("_id").sort_values(["u", "_id"]).head(most).reset_index(drop=True)
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int = 4000, id_col: str = "doc_id", text_col: str = "text") -> TextClassifier:
