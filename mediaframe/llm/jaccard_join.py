@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -63,16 +64,18 @@ def shingle_sets(texts: list[bytes | None], width: int) -> tuple[np.ndarray, np.
     return h, np.searchsorted(o, np.arange(len(texts) + 1))
 
 
-def _pieces(batches: Iterator[pa.RecordBatch], most: int = 3_000_000) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """Slices of batches (_id, _text) of about `most` bytes with their sets; width rides along."""
+def _pieces(batches: Iterator[pa.RecordBatch], most: int = 1_000_000) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Slices of batches (_text, _width and others) of about `most` bytes with their sets."""
     for batch in batches:
-        texts, start, size = batch.column("_text").to_pylist(), 0, 0
-        for i, t in enumerate(texts):
-            size += len(t or b"")
-            if size >= most or i == len(texts) - 1:
-                h, at = shingle_sets(texts[start: i + 1], int(batch.column("_width")[0].as_py()))
-                yield batch.slice(start, i + 1 - start), h, at
-                start, size = i + 1, 0
+        if batch.num_rows:
+            width = int(batch.column("_width")[0].as_py())
+            ends = np.cumsum(pa.compute.fill_null(pa.compute.binary_length(batch.column("_text")), 0).to_numpy().astype(np.int64) + 1)
+            cuts = np.unique(np.append(np.searchsorted(ends, np.arange(most, ends[-1] + most, most)) + 1, 0))
+            for start, end in zip(cuts[:-1].tolist(), np.minimum(cuts[1:], batch.num_rows).tolist(), strict=True):
+                if end > start:
+                    part = batch.slice(start, end - start)
+                    h, at = shingle_sets(part.column("_text").to_pylist(), width)
+                    yield part, h, at
 
 
 def entity_of(h: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -104,7 +107,7 @@ def _tokens_by_range(batches: Iterator[pa.RecordBatch], range_bits: int) -> Iter
     for _, h, _ in _pieces(batches):
         held.append(h)
         size += len(h)
-        if size >= 4_000_000:
+        if size >= 1_000_000:
             yield from flush()
             held, size = [], 0
     if size:
@@ -279,8 +282,8 @@ def _verify(num: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             linked = []
-            for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
-                a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
+                a, b = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
                 at = np.searchsorted(b, a)
                 at[at == len(b)] = 0
                 both = int((b[at] == a).sum())
@@ -346,6 +349,7 @@ def find_links(slim: DataFrame, num: int, least: int, tile: int = 1024) -> tuple
     shared = slim.sparkSession.sparkContext.broadcast(classes)
     kind = dict(slim.dtypes)["_id"]
     emitted = stage(slim.mapInArrow(_emit_signatures(shared, num), f"_id {kind}, _slot int, sig long, ent long, n int, single boolean"), "signatures")
+    shared.unpersist()
     described = emitted.filter("sig is null").select("_id", "_slot", "n", "ent")
     once = emitted.filter("sig is not null").select("sig", "ent", "n", "single").repartition("sig").dropDuplicates(["sig", "ent"])
     buckets = stage(once.selectExpr("*", "count(1) over (partition by sig) as m", "min(ent) over (partition by sig) as lead").filter("m > 1"), "buckets")
