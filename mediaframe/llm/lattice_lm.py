@@ -187,17 +187,17 @@ def by_length(words: list[bytes], most: int = 8192) -> Iterator[tuple[np.ndarray
 def _blocks(max_tokens: int, classes: int, max_docs: int = 200_000):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, number = TaskContext.get().partitionId(), 0
-        docs, total = [], 0
+        docs, total, numbers = [], 0, _Numbers()
         for batch in batches:
-            for i, k, h, text in zip(*(batch.column(c).to_pylist() for c in ("_id", "class", "held", "_text")), strict=True):
-                words = tokens(text)
-                docs.append((i, k, h, words))
+            for i, k, h, text in zip(*(batch.column(c) for c in ("_id", "class", "held", "_text")), strict=True):
+                words = tokens(text.as_py())
+                docs.append((i.as_py(), k.as_py(), h.as_py(), np.fromiter(map(numbers.__getitem__, words), np.int32, len(words))))
                 total += len(words)
                 if total >= max_tokens or len(docs) >= max_docs:
-                    yield from _block(part << 32 | number, docs, classes, batch.schema.field("_id").type)
-                    docs, total, number = [], 0, number + 1
+                    yield from _block(part << 32 | number, docs, numbers, classes, batch.schema.field("_id").type)
+                    docs, total, numbers, number = [], 0, _Numbers(), number + 1
         if docs:
-            yield from _block(part << 32 | number, docs, classes, batch.schema.field("_id").type)
+            yield from _block(part << 32 | number, docs, numbers, classes, batch.schema.field("_id").type)
 
     return run
 
@@ -208,14 +208,12 @@ class _Numbers(dict):
         return n
 
 
-def _block(block: int, docs: list[tuple], classes: int, id_type: pa.DataType) -> Iterator[pa.RecordBatch]:
+def _block(block: int, docs: list[tuple], numbers: dict[bytes, int], classes: int, id_type: pa.DataType) -> Iterator[pa.RecordBatch]:
     """A row for each distinct word with its training counts by class and its postings (place of
     the document times 4096 plus the count in it), and a row with the documents of the block."""
     ids, klass, held, found = zip(*docs, strict=True)
-    numbers = _Numbers()
     sizes = np.fromiter(map(len, found), np.int64, len(found))
-    coded = np.concatenate([np.fromiter(map(numbers.__getitem__, w), np.int64, len(w)) for w in found])
-    pairs, count = np.unique(coded * len(found) + np.repeat(np.arange(len(found)), sizes), return_counts=True)
+    pairs, count = np.unique(np.concatenate(found).astype(np.int64) * len(found) + np.repeat(np.arange(len(found)), sizes), return_counts=True)
     word, doc = pairs // len(found), pairs % len(found)
     of = np.array(klass)[doc]  # -1: not for training
     n = [np.bincount(word, count * (of == k), len(numbers)).astype(np.int32) for k in range(classes)]
@@ -326,7 +324,10 @@ def log_gamma(x: np.ndarray) -> np.ndarray:
 
 def log_rising(a: np.ndarray, n: np.ndarray) -> np.ndarray:
     """log(a (a + 1) ... (a + n - 1)), n >= 1, given a > 0."""
-    return np.where(n == 1, np.log(a), np.log(a) + log_gamma(a + n) - log_gamma(a + 1))
+    out = np.log(a)
+    more = np.flatnonzero(n > 1)  # most words occur once in a text
+    out[more] += log_gamma(a[more] + n[more]) - log_gamma(a[more] + 1)
+    return out
 
 
 def _sum_block(group: pa.Table, corpus: Corpus, spread: float) -> pa.Table:
