@@ -239,11 +239,11 @@ def caption_ranks(spark, d):
 
 @query("d19_caption_retrieval", f"""WITH {V}, p AS (SELECT c.asset_id AS caption, w.asset_id // 5 AS clip, max(list_dot_product(c.vector, w.vector)) AS x FROM vectors c, vectors w WHERE c.asset_id % 5 = 0 AND w.asset_id % 5 <> 0 GROUP BY 1, 2),
     r AS (SELECT *, rank() OVER (PARTITION BY caption ORDER BY x DESC) AS rank FROM p), t AS (SELECT caption, rank FROM r WHERE clip = caption // 5)
-    SELECT avg(CAST(rank <= 1 AS INTEGER)) AS r1, avg(CAST(rank <= 5 AS INTEGER)) AS r5, avg(CAST(rank <= 10 AS INTEGER)) AS r10, avg(CASE WHEN rank <= 10 THEN 1.0 / rank ELSE 0 END) AS map10, quantile_cont(rank, 0.5) AS median_rank, 10.0 / count(*) AS chance FROM t""")
+    SELECT avg(CAST(rank <= 1 AS INTEGER)) AS r1, avg(CAST(rank <= 5 AS INTEGER)) AS r5, avg(CAST(rank <= 10 AS INTEGER)) AS r10, round(avg(CASE WHEN rank <= 10 THEN 1.0 / rank ELSE 0 END), 6) AS map10, quantile_cont(rank, 0.5) AS median_rank, 10.0 / count(*) AS chance FROM t""")
 def d19(spark, d):
     t = caption_ranks(spark, d)
     within = [F.avg((F.col("rank") <= k).cast("int")).alias(f"r{k}") for k in (1, 5, 10)]
-    return t.agg(*within, F.avg(F.when(F.col("rank") <= 10, 1 / F.col("rank")).otherwise(0.0)).alias("map10"), F.percentile("rank", F.lit(0.5)).alias("median_rank"), (F.lit(10.0) / F.count(F.lit(1))).alias("chance"))
+    return t.agg(*within, F.round(F.avg(F.when(F.col("rank") <= 10, 1 / F.col("rank")).otherwise(0.0)), 6).alias("map10"), F.percentile("rank", F.lit(0.5)).alias("median_rank"), (F.lit(10.0) / F.count(F.lit(1))).alias("chance"))
 
 
 @query("d20_bootstrap_ci")
