@@ -257,14 +257,15 @@ def _emit_sets(shared: Broadcast):
     return run
 
 
-def _across(group: pa.Table, num: int) -> pa.Table:
+def _across(group: pa.Table, num: int, forest: bool) -> pa.Table:
     """Pairs of a tile of a bucket that are in different components and may be alike by their sizes
-    and parities: sets that differ in more slots than a link allows tokens to differ are not."""
+    and parities: sets that differ in more slots than a link allows tokens to differ are not.
+    forest: only as many, nearest first, as would join the components if all of them were links."""
     ent, comp = group["ent"].to_numpy(), group["comp"].to_numpy()
     n, side = group["n"].to_numpy().astype(np.float32), group["side"].to_numpy()
     bits = np.unpackbits(np.frombuffer(b"".join(group["parity"].to_pylist()), np.uint8).reshape(len(ent), -1), axis=1).astype(np.float32)
     left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
-    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    a, b, far = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.float32)]
     weight = bits.sum(1)
     for k in range(0, len(left), 512):
         i = left[k: k + 512]
@@ -272,12 +273,38 @@ def _across(group: pa.Table, num: int) -> pa.Table:
         both = n[i][:, None] + n[right][None]
         allowed = both - 2 * np.ceil(num * both / (100 + num) - 1e-3)
         x, y = np.nonzero((differ <= allowed) & (100 * np.minimum(n[i][:, None], n[right][None]) >= num * np.maximum(n[i][:, None], n[right][None]) - 1e-3) & (comp[i][:, None] != comp[right][None]))
-        a.append(ent[i[x]])
-        b.append(ent[right[y]])
+        a.append(i[x])
+        b.append(right[y])
+        far.append(differ[x, y] / both[x, y])
     x, y = np.concatenate(a), np.concatenate(b)
+    if forest:
+        few = _joining(comp, x, y, np.argsort(np.concatenate(far), kind="stable"))
+        x, y = x[few], y[few]
+    x, y = ent[x], ent[y]
     return pa.table({"a": np.minimum(x, y), "b": np.maximum(x, y)})
 
 
+def _joining(comp: np.ndarray, x: np.ndarray, y: np.ndarray, order: np.ndarray) -> list[int]:
+    """Of pairs in order those whose components no earlier ones have joined."""
+    kinds, local = np.unique(comp, return_inverse=True)
+    parent, left, out = list(range(len(kinds))), len(kinds) - 1, []
+
+    def root(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = i = parent[parent[i]]
+        return i
+
+    for k, i, j in zip(order.tolist(), local[x[order]].tolist(), local[y[order]].tolist(), strict=True):
+        i, j = root(i), root(j)
+        if i != j:
+            parent[i] = j
+            out.append(k)
+            left -= 1
+            if not left:
+                break
+    return out
+
+
 def _verify(num: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -297,27 +324,25 @@ def _verify(num: int):
 
 
 def components(links: DataFrame) -> DataFrame:
-    """node, comp (its smallest reachable node) of links a < b, for nodes with links. Alternating
-    large-star and small-star steps; each round is a staged table, and no node meets more than its
-    own neighbours."""
-    edges = stage(links.select(F.col("a").alias("u"), F.col("b").alias("v")).distinct(), "edges")
+    """node, comp (its smallest reachable node) of links a < b, for nodes with links but the smallest
+    ones. Alternating large-star and small-star steps, two exchanges a round; each round is a
+    staged table, and no node meets more than its own neighbours."""
+    edges = stage(links.select(F.col("b").alias("u"), F.col("a").alias("v")).distinct(), "edges")
+    before = _stamp(edges)
     for _ in range(60):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(low.hint("merge"), "u").filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        down = large.filter("u > v")
-        low = down.groupBy("u").agg(F.min("v").alias("m"))
-        small = down.join(low.hint("merge"), "u").filter("v != m").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).distinct()
-        new = stage(small, "edges")
-        before, after = (e.agg(F.count(F.lit(1)), F.sum(F.hash("u", "v").cast("long"))).first() for e in (_pointing_down(edges), new))
-        edges = new
-        if tuple(before) == tuple(after):
+        large = both.selectExpr("u", "v", "least(u, min(v) over (partition by u)) as m").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = large.repartition("u").dropDuplicates(["u", "v"]).selectExpr("u", "v", "min(v) over (partition by u) as m")
+        edges = stage(small.select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")), "edges")
+        after = _stamp(edges)
+        if before == after:
             break
+        before = after
     return edges.select(F.col("u").alias("node"), F.col("v").alias("comp"))
 
 
-def _pointing_down(edges: DataFrame) -> DataFrame:
-    return edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+def _stamp(edges: DataFrame) -> tuple:
+    return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.hash("u", "v").cast("long"))).first())
 
 
 def _fetch_sets(slim: DataFrame, described: DataFrame, ents: DataFrame) -> DataFrame:
@@ -336,13 +361,32 @@ def _linked(pairs: DataFrame, sets: DataFrame, num: int) -> DataFrame:
     return pairs.join(x.hint("merge"), "a").join(y.hint("merge"), "b").mapInArrow(_verify(num), "a long, b long")
 
 
+def _across_tile(num: int, forest: bool):
+    return lambda t: _across(t, num, forest)
+
+
+def _unresolved(large: DataFrame, comps: DataFrame) -> DataFrame:
+    """Members of buckets that hold more than one component."""
+    own = large.select("sig", "ent", "n", "m").join(comps.hint("merge"), F.col("ent") == F.col("node"), "left").withColumn("comp", F.coalesce("comp", "ent"))
+    ends = own.selectExpr("sig", "ent", "n", "m", "comp", "min(comp) over (partition by sig) as low", "max(comp) over (partition by sig) as high")
+    return ends.filter("low != high").select("sig", "ent", "n", "m", "comp")
+
+
+def _tiles(rest: DataFrame, tile: int) -> DataFrame:
+    """Each member of a bucket in the tiles where it meets the others."""
+    cut = rest.withColumn("tiles", F.ceil(F.col("m") / F.lit(tile)).cast("int")).withColumn("own", F.pmod(F.xxhash64("ent"), F.col("tiles")).cast("int"))
+    each = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    return each.select("sig", "ent", "n", "comp", F.least("own", "other").alias("t1"), F.greatest("own", "other").alias("t2"),
+                       F.when(F.col("own") == F.col("other"), -1).when(F.col("own") < F.col("other"), 0).otherwise(1).alias("side"))
+
+
 def find_links(slim: DataFrame, num: int, least: int, tile: int = 1024) -> tuple[DataFrame, DataFrame, DataFrame]:
     """described (_id, ent, n, by document), links (a < b, verified) and comps (node, comp) of entities.
 
     All links whose signatures meet in buckets of up to `most` entities are verified. In larger
     buckets, which only copies of much the same text reach, each entity is compared with the
-    bucket's leader; what is in different components after that is compared by tiles, so that
-    every component is exact without making all pairs of a group.
+    bucket's leader. What is in different components after that is compared by tiles: first the
+    nearest pairs that would join the components, then all pairs that are left and may be alike. So every component is exact without making all pairs of a group.
     """
     total = int(slim.agg(F.sum(F.length("_text"))).first()[0] or 0) // 6
     classes = count_tokens(slim, total, least)
@@ -368,20 +412,18 @@ def find_links(slim: DataFrame, num: int, least: int, tile: int = 1024) -> tuple
     sets = _fetch_sets(slim, described, ents)
     links = stage(_linked(pairs, sets, num), "links")
     comps = components(links)
-    rest = (large.join(comps.hint("merge"), large["ent"] == comps["node"], "left").withColumn("comp", F.coalesce("comp", "ent"))
-            .selectExpr("sig", "ent", "n", "m", "comp", "min(comp) over (partition by sig) as low", "max(comp) over (partition by sig) as high").filter("low != high"))
-    rest = stage(rest.select("sig", "ent", "n", "m", "comp"), "rest")
-    if not rest.isEmpty():
-        tiles = F.ceil(F.col("m") / F.lit(tile)).cast("int")
-        own = F.pmod(F.xxhash64("ent"), tiles).cast("int")
-        other = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))
-        spread = (rest.withColumn("tiles", tiles).withColumn("own", own).withColumn("other", other)
-                  .select("sig", "ent", "n", "comp", F.least("own", "other").alias("t1"), F.greatest("own", "other").alias("t2"),
-                          F.when(F.col("own") == F.col("other"), -1).when(F.col("own") < F.col("other"), 0).otherwise(1).alias("side")))
-        across = spread.join(sets.select("ent", "parity").hint("merge"), "ent").groupBy("sig", "t1", "t2").applyInArrow(lambda t: _across(t, num), "a long, b long").distinct()
-        more = stage(across.join(pairs.hint("merge"), ["a", "b"], "left_anti"), "pairs")
-        links = stage(links.unionByName(_linked(more, sets, num)), "links")
-        comps = components(links)
+    tested = pairs
+    for forest in (True, False):  # at last all pairs that are left
+        rest = stage(_unresolved(large, comps), "rest")
+        if rest.isEmpty():
+            break
+        found = _tiles(rest, tile).join(sets.select("ent", "parity").hint("merge"), "ent").groupBy("sig", "t1", "t2").applyInArrow(_across_tile(num, forest), "a long, b long").distinct()
+        more = stage(found.join(tested.hint("merge"), ["a", "b"], "left_anti"), "pairs")
+        tested = tested.unionByName(more)
+        fresh = stage(_linked(more, sets, num), "links")
+        if not fresh.isEmpty():
+            links = links.unionByName(fresh)
+            comps = components(links)
     return described, links, comps
 
 
