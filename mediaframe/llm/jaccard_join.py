@@ -380,7 +380,7 @@ def _tiles(rest: DataFrame, tile: int) -> DataFrame:
                        F.when(F.col("own") == F.col("other"), -1).when(F.col("own") < F.col("other"), 0).otherwise(1).alias("side"))
 
 
-def find_links(slim: DataFrame, num: int, least: int, tile: int = 1024) -> tuple[DataFrame, DataFrame, DataFrame]:
+def find_links(slim: DataFrame, num: int, least: int, tile: int = 2048) -> tuple[DataFrame, DataFrame, DataFrame]:
     """described (_id, ent, n, by document), links (a < b, verified) and comps (node, comp) of entities.
 
     All links whose signatures meet in buckets of up to `most` entities are verified. In larger
