@@ -108,9 +108,7 @@ class ToxicityModel:
             return self.bias
         found = self.weights.keys() & set(words_of(text.encode("utf-8", "replace")))
         z = self.bias + sum(self.weights[w] for w in found)
-        if found:  # patterns hold words of the lexicon, or weigh little
-            z += sum(w for w, p in zip(self.patterns, PATTERNS.values(), strict=True) if w and p.search(text))
-        return z
+        return z + sum(w for w, p in zip(self.patterns, PATTERNS.values(), strict=True) if w and p.search(text))
 
     def score(self, texts: list[str | None]) -> np.ndarray:
         z = np.array([self.logit(t) for t in texts])
@@ -139,16 +137,18 @@ def train(texts: list[str], labels: np.ndarray, epochs: int = 30, rate: float =
             g = 1 / (1 + np.exp(-np.clip(w[f].sum() + b, -30, 30))) - posterior[i]
             w[f] -= lr * (g + decay * w[f])
             b -= 0.05 * lr * g
-    # An insult that the sample lacks counts as much as the median of those it has.
+    # An insult or pattern that the sample lacks counts as much as the median of the insults it has.
     seen = (v[:, : len(lexicon)] != 0).any(0)
-    usual = 0.8 * float(np.median(w[: len(lexicon)][seen & (w[: len(lexicon)] > 0)])) if seen.any() else 4.0
+    strong = w[: len(lexicon)][seen & (w[: len(lexicon)] > 0)]
+    usual = 0.8 * float(np.median(strong)) if len(strong) else 4.0
     weights = {x: float(w[k]) if seen[k] else usual for k, x in enumerate(lexicon)}
-    return ToxicityModel(weights, w[len(lexicon):].tolist(), float(b))
+    matched = (v[:, len(lexicon) + len(stems): -1] != 0).any(0)
+    return ToxicityModel(weights, [float(x) if m else usual for x, m in zip(w[len(lexicon):], matched, strict=True)], float(b))
 
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = 6000, id_col: str = "doc_id", text_col: str = "text") -> ToxicityModel:
-    """Fits on at most `most` labelled rows of docs. Without any, the fixed lexicon decides."""
+    """Fits on at most `most` labelled rows of docs. Without any, the fixed lexicon and patterns decide."""
     sample = sample_labelled(docs, labels, "toxic", most, id_col, text_col)
     if not len(sample):
-        return ToxicityModel({w.encode(): 4.5 for w in INSULTS})
+        return ToxicityModel({w.encode(): 4.5 for w in INSULTS}, [4.5] * len(PATTERNS))
     return train(sample.text.tolist(), sample.label.to_numpy())

@@ -187,3 +187,16 @@ def test_label_model_weighs_correlated_voters_less():
     model = toxicity.fit_label_model(v, 0.3)
     assert model.strength[0] < model.strength[3]
     assert ((model.posterior(v) > 0.5) == truth).mean() > 0.85
+
+
+def test_patterns_alone_are_evidence(spark, docs):
+    only = ["what a l0ser he is", "such a st*pid thing", "1d10t", "drop dead now", "nobody likes you here", "you idiots", "you morons"]
+    clean = ["a walk in the park", "the report is due", "we ate bread", "rain and wind"]
+    texts = [f"{t} {k}" for k in range(40) for t in (*clean, "you are an idiot", "drop dead now", "what a l0ser he is")]
+    fitted = toxicity.train(texts, np.array([int(t.startswith(("you", "drop", "what"))) for t in texts]))
+    texts = [f"{t} {k}" for k in range(40) for t in (*clean, "an idiot wrote it")]
+    unlike = toxicity.train(texts, np.array([int(t.startswith("an")) for t in texts]))
+    bare = toxicity.fit(docs, spark.createDataFrame([], "doc_id long, toxic int"))
+    for model in (fitted, bare):
+        assert (model.score(only) > 0.5).all() and (model.score(clean) < 0.5).all()
+    assert unlike.score(only).min() > unlike.score(clean).max()
