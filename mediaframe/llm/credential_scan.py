@@ -70,14 +70,16 @@ def link_weak(parts: DataFrame, reach: int = 256) -> DataFrame:
     same scope: an identifier needs a secret, a secret an identifier or an endpoint, an endpoint
     needs a secret. parts: _row, kind, a, b.
 
-    The interval join goes by cells of `reach` code points: a span meets those of its own and the
-    next cell only, so that a key holds the few spans that fit into so much text.
+    The interval join goes by cells of `reach` code points: both sides have a key for every cell
+    that they cover, the weak span with its reach, so that spans of any length meet and a key holds
+    the few spans that fit into so much text.
     """
     roles = F.create_map(*[x for k, r in ROLE.items() for x in (F.lit(k), F.lit(r))])
     p = parts.withColumn("role", roles[F.col("kind")])
     left = (p.filter(~F.col("kind").isin(*CERTAIN))
             .withColumn("cell", F.explode(F.sequence(F.expr(f"div(a - {reach}, {reach}) - 1"), F.expr(f"div(b + {reach}, {reach})")))))
-    right = p.select(F.col("_row").alias("r2"), F.col("role").alias("role2"), F.col("a").alias("a2"), F.col("b").alias("b2"), F.expr(f"div(a, {reach})").alias("cell2"))
+    right = p.select(F.col("_row").alias("r2"), F.col("role").alias("role2"), F.col("a").alias("a2"), F.col("b").alias("b2"),
+                     F.explode(F.sequence(F.expr(f"div(a, {reach})"), F.expr(f"div(b, {reach})"))).alias("cell2"))
     near = ((F.col("_row") == F.col("r2")) & (F.col("cell") == F.col("cell2")) & (F.col("a2") <= F.col("b") + reach) & (F.col("b2") + reach >= F.col("a"))
             & (((F.col("role") == "secret") & F.col("role2").isin("identifier", "endpoint")) | (F.col("role").isin("identifier", "endpoint") & (F.col("role2") == "secret")))
             & ~((F.col("a2") < F.col("b")) & (F.col("b2") > F.col("a"))))

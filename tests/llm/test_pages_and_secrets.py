@@ -1,3 +1,5 @@
+import random
+
 from mediaframe.llm import credential_scan, html_main
 
 
@@ -37,3 +39,21 @@ def test_weak_parts_need_a_complement(spark, docs, no_docs):
     assert five.n_assign == 1 and five.spans == "user:2:11,endpoint:12:32,assign:33:50"
     assert len(credential_scan.digest(credential_scan.scan_credentials(docs)).collect()) == docs.count()
     assert credential_scan.scan_credentials(no_docs).count() == 0
+
+
+def test_long_complements_meet_weak_parts(spark):
+    rng = random.Random(3)
+    roles = credential_scan.ROLE
+    spans = [(row, kind, at, at + size) for row in range(60) for at, size, kind in
+             [(rng.randrange(5000), rng.choice((5, 40, 300, 900, 1500, 4000)), rng.choice(("user", "email", "opaque", "endpoint", "assign", "access", "hex"))) for _ in range(4)]]
+
+    def meet(a, b):
+        pair = {roles[a[1]], roles[b[1]]}
+        return "secret" in pair and len(pair) == 2 and a[2] <= b[3] + 256 and b[2] <= a[3] + 256 and not (a[2] < b[3] and b[2] < a[3])
+
+    want = {s for s in spans if s[1] not in credential_scan.CERTAIN and any(s[0] == o[0] and meet(s, o) for o in spans)}
+    got = credential_scan.link_weak(spark.createDataFrame(spans, "_row long, kind string, a int, b int")).collect()
+    assert {tuple(r) for r in got} == want and len(got) == len(want)
+    text = f"token={'aB3.' * 225} user: bob"
+    found = credential_scan.scan_credentials(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert [s.kind for s in found.linked] == ["user"]
