@@ -109,11 +109,12 @@ def _open(stack: list[tuple[str, bool]], tags: set[str], stop: set[str]) -> int
     return None
 
 
-def content_paths(blocks: list[Block], strict: float = 0.35) -> set[str]:
+def content_paths(blocks: list[Block], strict: float = 0.35, prior: float = 0.25) -> set[str]:
     """Paths that hold content. For each root-to-leaf path: characters and punctuation marks a
     block (the ratios), with the text of links taken off. Both are smoothed over neighbours in
     page order with a Gaussian, fused as a geometric mean, and compared with a share of the
-    spread above their weighted mean. Paths below the best one's parent are held to less."""
+    spread above their weighted mean. That decides for every path; those in the article or main
+    element of the best one, or else below its parent, and titles (h1) are held to `prior` of it."""
     chars, marks, count = defaultdict(float), defaultdict(float), defaultdict(int)
     first: dict[str, int] = {}
     for i, b in enumerate(blocks):
@@ -132,8 +133,7 @@ def content_paths(blocks: list[Block], strict: float = 0.35) -> set[str]:
     kernel = np.exp(-0.5 * gap**2 / 0.5**2)
     kernel /= kernel.sum(1, keepdims=True)
     fused = np.sqrt((kernel @ text) * (kernel @ punctuation))
-    own = np.sqrt(text * punctuation)
-    best = paths[int(np.argmax(own * np.sqrt([count[p] for p in paths])))]
+    best = paths[int(np.argmax(fused * np.sqrt([count[p] for p in paths])))]
     root = best.rsplit("/", 1)[0] if "/" in best else best
     for name in ("article", "main"):
         parts = best.split("/")
@@ -143,8 +143,8 @@ def content_paths(blocks: list[Block], strict: float = 0.35) -> set[str]:
     weight = np.array([chars[p] for p in paths]) + 1
     mean = np.average(fused, weights=weight)
     limit = strict * (mean + np.sqrt(np.average((fused - mean) ** 2, weights=weight))) / 2
-    inside = [p == root or p.startswith(root + "/") for p in paths]
-    return {p for p, f, o, i in zip(paths, fused, own, inside, strict=True) if i or p == best or min(f, o) >= limit and root.count("/") < 2 and f >= limit}
+    inside = [p == root or p.startswith(root + "/") or p.endswith("/h1") for p in paths]
+    return {p for p, f, i in zip(paths, fused, inside, strict=True) if f >= (prior * limit if i else limit)}
 
 
 def main_text(page: str | None) -> str:

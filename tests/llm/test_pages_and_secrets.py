@@ -57,3 +57,17 @@ def test_long_complements_meet_weak_parts(spark):
     text = f"token={'aB3.' * 225} user: bob"
     found = credential_scan.scan_credentials(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
     assert [s.kind for s in found.linked] == ["user"]
+
+
+PROSE = "A paragraph with some words in it, and more of them. It goes on, as texts do; that is how it is, after all. " * 3
+
+
+def test_content_in_sibling_containers():
+    page = f"""<body><div><h1>The title</h1><p>Lead {PROSE}</p><div><p>{PROSE}<p>{PROSE}</div><section><p>Second {PROSE}</section><blockquote>Quoted {PROSE}</blockquote>
+    <div><div>x</div></div></div><div><span>tiny</span></div></body>"""
+    text = html_main.main_text(page)
+    assert all(w in text for w in ("The title", "Lead", "Second", "Quoted")) and "tiny" not in text
+    page = f"<html><body><div><section><p>Aside {PROSE}</section></div><article><p>{PROSE}<p>{PROSE}</article></body>"
+    assert "Aside" in html_main.main_text(page)  # article is no wall
+    page = f"<body><article><section>y</section><dl><dt>z</dt></dl><p>{PROSE}<p>{PROSE}</article></body>"
+    assert "y" not in html_main.main_text(page).split()  # nor does it keep all
