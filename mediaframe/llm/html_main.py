@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 
 #: Fixed tables of HTML: elements whose content is no text, that have none, and inline ones.
 RAW = {"script", "style", "noscript", "template", "textarea", "svg", "iframe", "title", "object", "canvas", "math", "select", "option"}
+#: Of these, what holds text up to its end tag or the end of the page; the others are elements like any.
+RAW_TEXT = {"script", "style", "textarea", "iframe", "title"}
+OPTION_END = re.compile(r"</\s*option\b[^>]*>?|(?=</?[a-zA-Z])", re.IGNORECASE)
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "rp", "rt", "ruby",
           "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
@@ -24,6 +27,8 @@ CLOSES_SAME = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"t
 AROUND = {"nav", "header", "footer", "aside", "form", "button", "menu", "dialog", "head", "select"}
 AROUND_WORDS = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|banner|breadcrumbs?|comments?|consent|cookies?|disclaimer|disqus|footer|gdpr|header|masthead|menu|modal|nav\w*|newsletter|notices?|"
                           r"popup|promo\w*|related|replies|respond|share|sharing|sidebar|social|sponsor\w*|subscribe|toolbar|widget)(?=$|[\s_\d-])", re.IGNORECASE)
+#: Elements that hold the text whatever their class says.
+WHOLE = {"html", "body", "main", "article"}
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>?|</\s*([a-zA-Z][^\s/>]*)[^>]*>?|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<([a-zA-Z][^\s/>]*)[^>]*>", re.DOTALL)
 ATTRIBUTE = re.compile(r"(class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.IGNORECASE)
 SPACES = re.compile(r"[\s ]+")
@@ -31,21 +36,24 @@ PUNCTUATION = re.compile(r"[.,;:!?…。，、！？;«»¿¡]")
 
 
 class Block:
-    __slots__ = ("path", "around", "text", "linked")
+    __slots__ = ("path", "around", "marked", "text", "linked")
 
-    def __init__(self, path: str, around: bool):
-        self.path, self.around, self.text, self.linked = path, around, [], 0
+    def __init__(self, path: str, around: bool, marked: list[int]):
+        self.path, self.around, self.marked, self.text, self.linked = path, around, marked, [], 0
 
 
 def blocks_of(page: str) -> list[Block]:
     """Text blocks in page order, each with its path of tags from the root. Inline elements are
-    part of the block around them. Open paragraphs and items end where HTML ends them."""
-    stack: list[tuple[str, bool]] = []
+    part of the block around them. Open paragraphs and items end where HTML ends them. An element
+    that only its class, id or role marks as around the text, but that holds most of it, is not,
+    unless there is an article or main element beside it."""
+    stack: list[tuple[str, bool, int]] = []  # tag, around by tag, number of the element if marked by words
+    beside = [False]  # for each marked element: not below an article or main element
     out: list[Block] = []
     current: Block | None = None
 
     def path() -> str:
-        return "/".join(t for t, _ in stack if t not in INLINE)
+        return "/".join(t for t, *_ in stack if t not in INLINE)
 
     def text(raw: str) -> None:
         nonlocal current
@@ -53,10 +61,10 @@ def blocks_of(page: str) -> list[Block]:
         if current is None:
             if not value.strip():
                 return
-            current = Block(path(), any(a for _, a in stack))
+            current = Block(path(), any(a for _, a, _ in stack), [k for *_, k in stack if k])
             out.append(current)
         current.text.append(value)
-        if any(t == "a" for t, _ in stack):
+        if any(t == "a" for t, *_ in stack):
             current.linked += len(value)
 
     at, n = 0, len(page)
@@ -71,8 +79,14 @@ def blocks_of(page: str) -> list[Block]:
         if m[2] or m[4]:
             tag, attributes = (m[2] or m[4]).lower(), m[3] or ""
             if tag in RAW:
-                end = re.compile(rf"</\s*{re.escape(tag)}\b[^>]*>?", re.IGNORECASE).search(page, at)
-                at = end.end() if end else n
+                if tag in ("svg", "math") and attributes.endswith("/"):
+                    continue
+                end = (OPTION_END if tag == "option" else re.compile(rf"</\s*{re.escape(tag)}\b[^>]*>?", re.IGNORECASE)).search(page, at)
+                if end or tag in RAW_TEXT or tag == "option":
+                    at = end.end() if end else n
+                else:  # never closed: it ends with the element around it
+                    stack.append((tag, True, 0))
+                    current = None
                 continue
             if tag == "br":
                 if current is not None:
@@ -86,8 +100,13 @@ def blocks_of(page: str) -> list[Block]:
                 del stack[k:]
             if tag in CLOSES_SAME and (k := _open(stack, {"dt", "dd"} if tag in ("dt", "dd") else {"td", "th"} if tag in ("td", "th") else {tag}, CLOSES_SAME[tag])) is not None:
                 del stack[k:]
+            if tag in CLOSES_P and (k := _open(stack, {"svg", "math"}, {"foreignobject"})) is not None:
+                del stack[k:]
             named = " ".join(v.strip("\"'") for _, v in ATTRIBUTE.findall(attributes)) if attributes else ""
-            stack.append((tag, tag in AROUND or bool(named and AROUND_WORDS.search(named))))
+            words = bool(named and tag not in WHOLE and AROUND_WORDS.search(named))
+            if words:
+                beside.append(not any(t in ("article", "main") for t, *_ in stack))
+            stack.append((tag, tag in AROUND, len(beside) - 1 if words else 0))
         elif m[1]:
             tag = m[1].lower()
             if tag not in INLINE:
@@ -96,10 +115,20 @@ def blocks_of(page: str) -> list[Block]:
                 del stack[k:]
         elif m[0].startswith("<![CDATA["):
             text(m[0][9:].removesuffix("]]>"))
+    held, total, firm = defaultdict(int), 0, False
+    for b in out:
+        if not b.around:
+            size = sum(map(len, b.text)) - b.linked
+            total += size
+            firm = firm or not b.marked and not {"article", "main"}.isdisjoint(b.path.split("/"))
+            for k in b.marked:
+                held[k] += size
+    for b in out:
+        b.around = b.around or any(2 * held[k] <= total or firm and beside[k] for k in b.marked)
     return out
 
 
-def _open(stack: list[tuple[str, bool]], tags: set[str], stop: set[str]) -> int | None:
+def _open(stack: list[tuple[str, bool, int]], tags: set[str], stop: set[str]) -> int | None:
     """The innermost open element of some tags, if no stopping one lies inside it."""
     for k in range(len(stack) - 1, -1, -1):
         if stack[k][0] in tags:

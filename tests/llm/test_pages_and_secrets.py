@@ -71,3 +71,16 @@ def test_content_in_sibling_containers():
     assert "Aside" in html_main.main_text(page)  # article is no wall
     page = f"<body><article><section>y</section><dl><dt>z</dt></dl><p>{PROSE}<p>{PROSE}</article></body>"
     assert "y" not in html_main.main_text(page).split()  # nor does it keep all
+
+
+def test_raw_elements_end_where_html_ends_them():
+    for start in ("<svg width=1 />", "<svg/>", "<math/>", "<datalist id=x><option value=a>one<option>two</datalist>", "<datalist><option value=a><option value=b></datalist>", "<div><svg><path></div>", "<div><object></div>"):
+        page = f"<body><article><p>First {PROSE}</p>{start}<p>Then {PROSE}</p></article><svg><text>no</text></svg>"
+        assert html_main.main_text(page.replace("<svg><text>no</text></svg>", "")) == " ".join(f"First {PROSE}Then {PROSE}".split()), start
+        if "<path>" not in start:
+            assert "Then" in html_main.main_text(page) and "no" not in html_main.main_text(page).split()
+
+
+def test_class_words_do_not_discard_the_text():
+    for page in ("<body class='no-sidebar'><p>{}</p></body>", "<html class='has-widget'><body><p>{}</p>", "<body><main id=with-header><p>{}</p></main>", "<body><div class='layout with-sidebar'><p>{}</p></div><div class='sidebar'>Links, more.</div>"):
+        assert html_main.main_text(page.format(PROSE)) == PROSE.strip()
