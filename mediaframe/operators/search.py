@@ -39,8 +39,9 @@ def cosine_topk(vectors: DataFrame, query: list[float], k: int, id_col: str = "a
     return score(vectors, query).orderBy(F.desc("similarity"), id_col).limit(k)
 
 
-def batch_topk(queries: DataFrame, vectors: DataFrame, k: int, query_id: str = "query_id", id_col: str = "asset_id", block: int = 256) -> DataFrame:
-    """Top k of every query against all vectors. Both sides are dealt into blocks; each pair of
+def batch_topk(queries: DataFrame, vectors: DataFrame, k: int, query_id: str = "query_id", id_col: str = "asset_id", block: int = 256, others_to: float | None = None) -> DataFrame:
+    """Top k of every query against all vectors; with others_to, only against those of another id
+    and a similarity of others_to or less, which is looked at before the k are kept. Both sides are dealt into blocks; each pair of
     blocks is one task's matrix product that keeps k rows of a query, and the final k are merged.
     The queries are repeated once for each block of vectors, so neither side is broadcast."""
     n_blocks = max(1, vectors.sparkSession.sparkContext.defaultParallelism)
@@ -60,9 +61,12 @@ def batch_topk(queries: DataFrame, vectors: DataFrame, k: int, query_id: str = "
         for at in range(0, len(a), block):
             part = a.iloc[at: at + block]
             s = np.stack(part["v"].to_numpy()).astype(np.float64) @ right.T
+            if others_to is not None:
+                s[(s > others_to) | (part["q"].to_numpy()[:, None] == ids)] = -np.inf
             best = np.argsort(-s, axis=1, kind="stable")[:, :k]
             out.append(pd.DataFrame({"q": np.repeat(part["q"].to_numpy(), best.shape[1]), "i": ids[best].ravel(), "similarity": np.take_along_axis(s, best, 1).ravel()}))
-        return pd.concat(out)
+        found = pd.concat(out)
+        return found if others_to is None else found[found["similarity"] > -np.inf]
 
     partial = q.groupBy("qb", "vb").cogroup(v.groupBy("qb", "vb")).applyInPandas(product, f"q {kinds[0]}, i {kinds[1]}, similarity double")
     w = Window.partitionBy("q").orderBy(F.desc("similarity"), "i")

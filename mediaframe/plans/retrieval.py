@@ -185,9 +185,8 @@ def g1(spark, d):
     SELECT i AS asset_id, j AS nearest, round(s, 5) AS similarity FROM r WHERE rn = 1""")
 def e7(spark, d):
     v = b.vectors(spark, d)
-    top = s.batch_topk(v.select(F.col("asset_id").alias("query_id"), "vector"), v, 4).filter("query_id <> asset_id and similarity <= 0.9999")
-    w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "asset_id")
-    return top.withColumn("rn", F.row_number().over(w)).filter("rn = 1").select(F.col("query_id").alias("asset_id"), F.col("asset_id").alias("nearest"), F.round("similarity", 5).alias("similarity"))
+    top = s.batch_topk(v.select(F.col("asset_id").alias("query_id"), "vector"), v, 1, others_to=0.9999)
+    return top.select(F.col("query_id").alias("asset_id"), F.col("asset_id").alias("nearest"), F.round("similarity", 5).alias("similarity"))
 
 
 @query("f3_rank_within", f"WITH {V}, {Q0}, ids AS (SELECT unnest(range(495, 510)) AS asset_id) SELECT asset_id, round(coalesce(list_dot_product(vector, qv), -2), 5) AS similarity FROM ids LEFT JOIN vectors USING (asset_id), q")

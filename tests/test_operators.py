@@ -215,3 +215,18 @@ def test_metadata(spark):
     assert [(r.g.lat, r.g.lon) if r.g else None for r in g] == [(12.5, -56.25), None, None]
     r = spark.createDataFrame([("30000/1001",), ("25/0",), ("25",), (None,)], "t string").select(F.round(media.parse_rate(F.col("t")), 3).alias("r")).collect()
     assert [x.r for x in r] == [29.97, 0.0, 25.0, 0.0]
+
+
+def test_nearest_other_of_many_copies(spark, tmp_path):
+    import pandas as pd
+
+    from mediaframe.registry import QUERIES
+
+    x = np.random.default_rng(4).standard_normal((40, 8))
+    x[:12] = x[0]
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    pd.DataFrame({"vec_id": np.arange(40), "label": 0, "embedding": x.tolist()}).to_parquet(tmp_path / "embeddings.parquet")
+    s = x @ x.T
+    s[s > 0.9999] = -2
+    got = {r.asset_id: r.nearest for r in QUERIES["e7_nearest_other"](spark, str(tmp_path)).collect()}
+    assert got == {i: int(s[i].argmax()) for i in range(40)}
