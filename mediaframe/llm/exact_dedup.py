@@ -49,11 +49,12 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                       F.lower(F.hex("_sha")).alias("text_sha256"))
 
 
-def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "max") -> DataFrame:
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "max", repeats: bool = True) -> DataFrame:
     """docs without the rows that `exact_dedup` drops; columns as in docs.
 
-    The decision is joined back by id; rows that repeat an id and its text collapse to one."""
+    The decision is joined back by id and text. Rows that repeat both all stay if `repeats`, else
+    one of them does, so that one row of each text is left."""
     verdict = exact_dedup(docs, id_col, text_col, keep).filter("kept").select(F.col(id_col).alias("_kid"), F.col("text_sha256").alias("_ksha")).distinct()
     keyed = docs.withColumn("_dsha", F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256))
-    kept = keyed.join(verdict.hint("merge"), F.col(id_col).eqNullSafe(F.col("_kid")) & (F.col("_dsha") == F.col("_ksha")), "left_semi").drop("_dsha")
-    return kept
+    kept = keyed.join(verdict.hint("merge"), F.col(id_col).eqNullSafe(F.col("_kid")) & (F.col("_dsha") == F.col("_ksha")), "left_semi")
+    return (kept if repeats else kept.dropDuplicates([id_col, "_dsha"])).drop("_dsha")

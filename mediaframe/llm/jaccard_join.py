@@ -449,8 +449,13 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, num: int = 80) -> DataFrame:
-    """docs with one document of each component, that of the smallest id; columns as in docs. Of
-    rows that repeat that id only one stays."""
-    found = jaccard_components(docs.select(id_col, text_col), id_col, text_col, width, num)
-    kept = found.filter(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_k")).distinct()
-    return docs.dropDuplicates([id_col]).join(kept.hint("merge"), F.col(id_col).eqNullSafe(F.col("_k")), "left_semi")
+    """docs with one document of each component, that of the smallest id; columns as in docs.
+
+    A document is an id and a text: unlike texts under a repeated or null id are apart, each in the
+    component of its text, and of rows that repeat both one stays. A null id loses to any other."""
+    keyed = docs.withColumn("_hash", F.xxhash64(F.coalesce(F.col(text_col), F.lit("")), F.lit(11)))
+    key = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col("_hash").alias("hash"))
+    found = jaccard_components(keyed.select(key.alias("_key"), F.col(text_col)), "_key", text_col, width, num)
+    kept = found.filter(F.col("_key") == F.col("component_id")).select(F.col("_key.id").alias("_k"), F.col("_key.hash").alias("_khash")).distinct()
+    left = keyed.join(kept.hint("merge"), F.col(id_col).eqNullSafe(F.col("_k")) & (F.col("_hash") == F.col("_khash")), "left_semi")
+    return left.dropDuplicates([id_col, "_hash"]).drop("_hash")

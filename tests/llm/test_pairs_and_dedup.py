@@ -116,3 +116,17 @@ def test_jaccard_edge_cases(docs, no_docs):
     assert jaccard_join.jaccard_components(no_docs).count() == 0
     kept = jaccard_join.keep_one(docs)
     assert kept.columns == docs.columns and sorted(r.doc_id or 0 for r in kept.collect()) == [0, 1, 3, 4, 5, 6, 7, 8, 9]
+
+
+def test_pipeline_keeps_unlike_texts_under_one_id(spark):
+    import corpus_pipeline
+
+    a, b, c, d = (" ".join(f"{w}{k}" for k in range(30)) for w in "abcd")
+    rows = [(None, a), (None, b), (None, b), (None, None), (3, a), (5, c), (5, d), (5, d), (6, c + " more"), (7, ""), (7, "")]
+    df = spark.createDataFrame([(i, t, "s") for i, t in rows], "doc_id long, text string, source string")
+    order = lambda found: sorted(((r.doc_id, r.text) for r in found.collect()), key=str)
+    exact = corpus_pipeline.exact_duplicates(spark, df, "")
+    assert order(exact) == sorted([(None, b), (3, a), (5, c), (5, d), (6, c + " more"), (7, "")], key=str)
+    near = corpus_pipeline.near_duplicates(spark, df, "")
+    assert order(near) == sorted([(None, b), (None, None), (3, a), (5, c), (5, d), (7, "")], key=str)
+    assert near.columns == exact.columns == df.columns
