@@ -221,11 +221,10 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     u = F.pmod(F.xxhash64(F.lit("langid"), id_col, text_col), F.lit(1 << 30)) / (1 << 30)
     picked = rows.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), u.alias("u")).filter(F.col("lang").isin(list(sizes)) & (F.col("u") < share[F.col("lang")])).limit(3 * per_lang * len(sizes)).toPandas()
     picked = picked.sort_values(["lang", "u", "text"]).groupby("lang").head(per_lang).reset_index(drop=True)
-    part = np.arange(len(picked)) % 5 == 0
-    if len(picked) < 5 * len(sizes):
-        return calibrate(train(picked, order), picked)
-    model = train(picked[~part], order)
-    return calibrate(model, picked[part]) if set(model.langs) == set(sizes) else calibrate(train(picked, order), picked)
+    # Each language keeps rows to train on; one of few rows holds none back if others do.
+    place = picked.groupby("lang").cumcount() % 5
+    part = place == 4 if (place == 4).any() else place == 1
+    return calibrate(train(picked[~part], order), picked[part])
 
 
 def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -200,3 +200,15 @@ def test_patterns_alone_are_evidence(spark, docs):
     for model in (fitted, bare):
         assert (model.score(only) > 0.5).all() and (model.score(clean) < 0.5).all()
     assert unlike.score(only).min() > unlike.score(clean).max()
+
+
+def test_calibration_does_not_switch_for_a_rare_language(spark, monkeypatch):
+    common = [(i, f"{text} {i} {'abcdefghij'[i % 10] * 3}", lang) for i, (text, lang) in enumerate([(EN, "en"), (DE, "de")] * 30)]
+    seen = []
+    monkeypatch.setattr(langid, "calibrate", lambda model, held: seen.append((model, held)) or model)
+    for rare in ([], [(100, "um gato e um cão na casa", "pt")], [(100 + i, f"um gato e um cão na casa {i}", "pt") for i in range(3)]):
+        langid.fit(spark.createDataFrame(common + rare, "doc_id long, text string, lang string"))
+        assert set(seen[-1][0].langs) == {r[2] for r in common + rare}
+    assert all(set(held.lang) == {"en", "de"} and len(held) == 12 for _, held in seen)
+    langid.fit(spark.createDataFrame(common[:4], "doc_id long, text string, lang string"))
+    assert set(seen[-1][0].langs) == {"en", "de"} == set(seen[-1][1].lang) and len(seen[-1][1]) == 2
