@@ -53,3 +53,12 @@ def attach(rows: DataFrame, facts: DataFrame, keys: list[str], salt: Column, n_s
     spread = salted.select(*keys, "_salt").distinct()
     per_salt = spread.join(facts.hint("merge"), keys, "left")
     return salted.join(per_salt.hint("merge"), [*keys, "_salt"], "left").drop("_salt")
+
+
+def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """row (all columns of docs, so that none can clash with others), id, text (null as empty) and
+    k1, k2: 128 bits of hashes of the id and the text. Rows with the same keys repeat both."""
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    rows = whole.select("row", F.col("row")[id_col].alias("id"), F.coalesce(F.col("row")[text_col], F.lit("")).alias("text"))
+    both = F.struct(F.col("id").isNull().alias("none"), "id", "text")
+    return rows.select("*", F.xxhash64(both, F.lit(11)).alias("k1"), F.xxhash64(F.lit(29), both).alias("k2"))

@@ -205,11 +205,13 @@ def judge(found: DataFrame, id_col: str = "doc_id", num: int = 20) -> DataFrame:
 
 def remove_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text", window: int = 13, num: int = 20,
                         max_words: int = 2_000_000) -> DataFrame:
-    """docs without the documents of which 1/num or more is test items; columns as in docs. Works
-    on each row by itself, so repeated and null ids are no matter."""
-    with_hits = _with_hits(docs, text_col, items, "item_id", "text", window, max_words)
+    """docs without the documents of which 1/num or more is test items; columns as in docs, whatever
+    their names. Works on each row by itself, so repeated and null ids are no matter; documents
+    without words and an empty table stay as they are."""
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    with_hits = _with_hits(rows.select("row", F.col("row")[text_col].alias("_text")), "_text", items, "item_id", "text", window, max_words)
     n_hit = _n_hit(F.col("_hits.spans"))
-    return with_hits.filter(~((n_hit > 0) & (num * n_hit >= F.col("_hits.n_words")))).drop("_hits")
+    return with_hits.filter(~((n_hit > 0) & (num * n_hit >= F.col("_hits.n_words")))).select("row.*")
 
 
 def cut_spans(text: str, spans: list[tuple[int, int]]) -> str:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import attach, runs_for, stage
+from .common import attach, keyed, runs_for, stage
 
 KEYS = ["_sha", "_len", "_xx"]
 
@@ -49,12 +49,14 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                       F.lower(F.hex("_sha")).alias("text_sha256"))
 
 
-def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "max", repeats: bool = True) -> DataFrame:
-    """docs without the rows that `exact_dedup` drops; columns as in docs.
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "max") -> DataFrame:
+    """docs without the rows that `exact_dedup` drops: one row of each text stays; columns as in docs,
+    whatever their names.
 
-    The decision is joined back by id and text. Rows that repeat both all stay if `repeats`, else
-    one of them does, so that one row of each text is left."""
-    verdict = exact_dedup(docs, id_col, text_col, keep).filter("kept").select(F.col(id_col).alias("_kid"), F.col("text_sha256").alias("_ksha")).distinct()
-    keyed = docs.withColumn("_dsha", F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256))
-    kept = keyed.join(verdict.hint("merge"), F.col(id_col).eqNullSafe(F.col("_kid")) & (F.col("_dsha") == F.col("_ksha")), "left_semi")
-    return (kept if repeats else kept.dropDuplicates([id_col, "_dsha"])).drop("_dsha")
+    The row that stays has the largest (or smallest) id; a null id loses to any other, and of rows
+    that repeat id and text one stays. Null text counts as empty. An empty table gives an empty one."""
+    rows = keyed(docs, id_col, text_col)
+    flag = F.col("id").isNotNull() if keep == "max" else F.col("id").isNull()
+    verdict = exact_dedup(rows.select(F.struct(flag.alias("f"), "id", "k1", "k2").alias("key"), "text"), "key", "text", keep)
+    kept = verdict.filter("kept").select("key.k1", "key.k2")
+    return rows.join(kept.hint("merge"), ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"]).select("row.*")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +13,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import attach, runs_for, stage
+from .common import attach, keyed, runs_for, stage
 from .hashing import MIX, mix, span_hashes
 
 LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
@@ -78,9 +79,10 @@ def _pieces(batches: Iterator[pa.RecordBatch], most: int = 1_000_000) -> Iterato
                     yield part, h, at
 
 
-def entity_of(h: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """A 64-bit name of each set: documents with equal sets are one entity."""
-    sums = np.concatenate([[np.uint64(0)], np.cumsum(mix(h * MIX + np.uint64(11)), dtype=np.uint64)])
+def entity_of(h: np.ndarray, at: np.ndarray, seed: int = 11) -> np.ndarray:
+    """A 64-bit name of each set: documents with equal sets are one entity. Another seed gives an
+    unrelated name."""
+    sums = np.concatenate([[np.uint64(0)], np.cumsum(mix(h * MIX + np.uint64(seed)), dtype=np.uint64)])
     return mix(sums[at[1:]] - sums[at[:-1]] + np.diff(at).astype(np.uint64) * MIX).view(np.int64)
 
 
@@ -92,17 +94,22 @@ def _emit_tokens(range_bits: int):
 
 
 def _tokens_by_range(batches: Iterator[pa.RecordBatch], range_bits: int) -> Iterator[pa.RecordBatch]:
-    """The 32 bits after the range of each token, sorted, in pieces by range."""
+    """The 32 bits after the range of each token, sorted, and of repeated ones the place and how many
+    more there are, in pieces by range: a token of every document has one entry in a piece."""
     held, size = [], 0
 
     def flush() -> Iterator[pa.RecordBatch]:
-        h = np.sort(np.concatenate(held))
-        cut = np.searchsorted(h >> np.uint64(64 - range_bits), np.arange((1 << range_bits) + 1))
-        low = ((h >> np.uint64(32 - range_bits)) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+        h, n = np.unique(np.concatenate(held) >> np.uint64(32 - range_bits), return_counts=True)
+        cut = np.searchsorted(h >> np.uint64(32), np.arange((1 << range_bits) + 1))
+        low = (h & np.uint64(0xFFFFFFFF)).astype(np.uint32)
         used = np.flatnonzero(np.diff(cut))
         # Byte planes of the differences: the upper ones are mostly zeros and compress.
-        blobs = [np.diff(low[cut[r]: cut[r + 1]], prepend=np.uint32(0)).view(np.uint8).reshape(-1, 4).T.tobytes() for r in used]
-        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(blobs, pa.binary())], names=["range", "tokens"])
+        blobs, more = [], []
+        for r in used:
+            blobs.append(np.diff(low[cut[r]: cut[r + 1]], prepend=np.uint32(0)).view(np.uint8).reshape(-1, 4).T.tobytes())
+            again = np.flatnonzero(n[cut[r]: cut[r + 1]] > 1)
+            more.append(np.stack([again, n[cut[r]: cut[r + 1]][again] - 1]).astype(np.int32).tobytes())
+        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(blobs, pa.binary()), pa.array(more, pa.binary())], names=["range", "tokens", "more"])
 
     for _, h, _ in _pieces(batches):
         held.append(h)
@@ -118,14 +125,21 @@ def _count_range(group: pa.Table, least: int, range_bits: int) -> pa.Table:
     """Of a range: which hash slots tokens of two or more documents fall in (a bitmap), and the
     tokens (range and 32 bits more) of more than `least` documents."""
     r = group["range"][0].as_py()
-    parts = [np.cumsum(np.frombuffer(b, np.uint8).reshape(4, -1).T.copy().view(np.uint32).ravel(), dtype=np.uint32) for b in group["tokens"].to_pylist()]
-    low = np.sort(np.concatenate(parts))
-    edge = np.flatnonzero(np.concatenate([[True], low[1:] != low[:-1], [True]]))
-    n, kinds = np.diff(edge), low[edge[:-1]]
+    low, count = [], []
+    for blob, more in zip(group["tokens"].to_pylist(), group["more"].to_pylist(), strict=True):
+        low.append(np.cumsum(np.frombuffer(blob, np.uint8).reshape(4, -1).T.copy().view(np.uint32).ravel(), dtype=np.uint32))
+        at, n = np.frombuffer(more, np.int32).reshape(2, -1)
+        count.append(np.ones(len(low[-1]), np.int64))
+        count[-1][at] += n
+    low, count = np.concatenate(low), np.concatenate(count)
+    order = np.argsort(low, kind="stable")
+    low, count = low[order], count[order]
+    first = np.flatnonzero(np.concatenate([[True], low[1:] != low[:-1]]))
+    n, kinds = np.add.reduceat(count, first), low[first]
     bits = np.zeros(1 << (SEEN_BITS - range_bits), np.uint8)
     bits[kinds[n > 1] >> np.uint32(32 - (SEEN_BITS - range_bits))] = 1
     often = (np.uint64(r) << np.uint64(32)) | kinds[n > least].astype(np.uint64)
-    return pa.table({"range": pa.array([r], pa.int32()), "bits": pa.array([np.packbits(bits).tobytes()], pa.binary()), "often": pa.array([often.view(np.int64).tolist()], pa.list_(pa.int64()))})
+    return pa.table({"range": pa.array([r], pa.int32()), "bits": pa.array([np.packbits(bits).tobytes()], pa.binary()), "often": pa.array([often.tobytes()], pa.binary())})
 
 
 @dataclass
@@ -156,33 +170,72 @@ def count_tokens(slim: DataFrame, total_tokens: int, least: int) -> TokenClasses
     bitmap and 32 MB of tokens, whatever the corpus."""
     least = max(least, total_tokens >> 22)
     range_bits = min(22, max(10, total_tokens.bit_length() - 17))
-    counted = (slim.mapInArrow(_emit_tokens(range_bits), "range int, tokens binary").groupBy("range")
-               .applyInArrow(lambda t: _count_range(t, least, range_bits), "range int, bits binary, often array<long>"))
+    counted = (slim.mapInArrow(_emit_tokens(range_bits), "range int, tokens binary, more binary").groupBy("range")
+               .applyInArrow(lambda t: _count_range(t, least, range_bits), "range int, bits binary, often binary"))
     size = 1 << (SEEN_BITS - range_bits - 3)
     seen = np.zeros(1 << (SEEN_BITS - 3), np.uint8)
     often = []
     for row in counted.collect():
         seen[row["range"] * size: (row["range"] + 1) * size] = np.frombuffer(row["bits"], np.uint8)
-        often.append(np.array(row["often"], np.int64))
-    return TokenClasses(seen, np.sort(np.concatenate([*often, np.zeros(0, np.int64)]).view(np.uint64)), range_bits, least)
+        often.append(np.frombuffer(row["often"], np.uint64))
+    return TokenClasses(seen, np.sort(np.concatenate([*often, np.zeros(0, np.uint64)])), range_bits, least)
 
 
 # Signatures.
 
 
-def groups_for(n: int) -> int:
-    """Hash groups of frequent tokens for sets of n tokens: a power of two, about n / 4 to n / 8."""
-    return 1 if n < 8 else 1 << ((n // 4).bit_length() - 1)
+def groups_for(n: int, k: int = 2) -> int:
+    """Hash groups of frequent tokens for combinations of k out of sets of n tokens: a power of two,
+    about n / (k + 2) to half of that. At least half of the tokens are then units (see below)."""
+    return 1 if n < 8 else 1 << (max(1, n // (k + 2)).bit_length() - 1)
+
+
+def combinations_of(t: np.ndarray, g: np.ndarray, k: int) -> np.ndarray:
+    """A hash of each k-combination of tokens inside a group; t in a fixed order, g the group of each."""
+    order = np.argsort(g, kind="stable")
+    t, g = t[order], g[order]
+    starts = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]])) if len(g) else np.zeros(0, np.int64)
+    sizes = np.diff(np.append(starts, len(g)))
+    out = [np.zeros(0, np.uint64)]
+    for m in np.unique(sizes[sizes >= k]).tolist():
+        pick = np.array(list(combinations(range(m), k)))
+        rows = t[starts[sizes == m][:, None] + np.arange(m)]
+        h = np.full((len(rows), len(pick)), np.uint64(k))
+        for j in range(k):
+            h = mix(h * MIX + rows[:, pick[:, j]])
+        out.append(h.ravel())
+    return np.concatenate(out)
+
+
+def deep_signatures(often: np.ndarray, n: int, need: int, num: int, k: int) -> list[np.ndarray]:
+    """The k-combinations of the prefix of `often` (in the common order) that holds `need` units.
+
+    Tokens are dealt into hash groups. Of m tokens of a group in the prefix, at most m - k + 1 can
+    be missing before no combination is left, so each token after the first k - 1 of its group is
+    one unit. The larger of two partners sets the number of groups, so a set prepares for its own
+    size and for all larger ones that it may meet.
+    """
+    out = []
+    for groups in sorted({groups_for(m, k) for m in range(n, n * 100 // num + 1, max(1, n // 8))} | {groups_for(n * 100 // num, k)}):
+        g = (often >> np.uint64(20)) % np.uint64(groups)
+        order = np.argsort(g, kind="stable")
+        gs = g[order]
+        first = np.concatenate([[True], gs[1:] != gs[:-1]]) if len(gs) else np.zeros(0, bool)
+        place = np.arange(len(gs)) - np.maximum.accumulate(np.where(first, np.arange(len(gs)), 0)) if len(gs) else np.zeros(0, np.int64)
+        unit = np.empty(len(often), np.int64)
+        unit[order] = place >= k - 1
+        size = int(np.searchsorted(np.cumsum(unit), need)) + 1
+        out.append(mix(combinations_of(often[:size], g[:size], k) + np.uint64(groups)))
+    return out
 
 
 def signatures(h: np.ndarray, classes: TokenClasses, num: int, frequent: np.ndarray | None = None) -> tuple[list[np.ndarray], bool]:
     """Signatures of one set; and whether all of them are single tokens.
 
     Tokens are ordered by class (rare, frequent), then hash. A partner may lack at most
-    d = n - ceil(num n / 100) of the tokens. Rare tokens are single signatures, one unit each.
-    Frequent tokens are indexed as pairs inside a hash group: of m tokens of a group in the
-    prefix, at most m - 1 can be missing before no pair is left, so each token after the first of
-    its group is one unit. The prefix grows to d + 1 units; then a partner shares a signature.
+    d = n - ceil(num n / 100) of the tokens. Rare tokens are single signatures, one unit each;
+    frequent ones are indexed as pairs inside a hash group. The prefix grows to d + 1 units; then
+    a partner shares a signature.
     """
     n = len(h)
     need = n - -(-num * n // 100) + 1
@@ -192,23 +245,7 @@ def signatures(h: np.ndarray, classes: TokenClasses, num: int, frequent: np.ndar
     out = [rare[classes.shared(rare)]]
     if len(rare) == need:
         return out, True
-    often = h[frequent]
-    # The larger of two partners sets the number of groups, so a set prepares for all it may meet.
-    for groups in sorted({groups_for(m) for m in (-(-num * n // 100), n, n * 100 // num)}):
-        g = (often >> np.uint64(20)) % np.uint64(groups)
-        order = np.argsort(g, kind="stable")
-        new = np.ones(len(often), np.int64)
-        new[order[np.concatenate([[True], g[order][1:] != g[order][:-1]])]] = 0  # the first of a group
-        size = int(np.searchsorted(np.cumsum(new), need - len(rare))) + 1
-        g, t = g[:size], often[:size]
-        order = np.argsort(g, kind="stable")
-        g, t = g[order], t[order]
-        for step in range(1, len(t)):
-            same = g[step:] == g[:-step]
-            if not same.any():
-                break
-            out.append(mix(t[:-step][same] * MIX + mix(t[step:][same]) + np.uint64(groups)))
-    return out, False
+    return out + deep_signatures(h[frequent], n, need - len(rare), num, 2), False
 
 
 def _emit_signatures(shared: Broadcast, num: int):
@@ -217,6 +254,7 @@ def _emit_signatures(shared: Broadcast, num: int):
         classes = shared.value
         for batch, h, at in _pieces(batches):
             ents, sizes = entity_of(h, at), np.diff(at)
+            checks = entity_of(h, at, 13)
             frequent = classes.frequent(h)
             seen: set[int] = set()
             sigs, owner, single = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], np.ones(len(sizes), bool)
@@ -229,80 +267,56 @@ def _emit_signatures(shared: Broadcast, num: int):
                 owner += [np.full(len(x), k) for x in found]
             o, n_rows = np.concatenate(owner), batch.num_rows
             every = np.concatenate([np.arange(n_rows), o])
-            ids = pa.concat_arrays([batch.column("_id"), pa.nulls(len(o), batch.schema.field("_id").type)])
+            none = lambda name, kind: pa.concat_arrays([batch.column(name) if name else pa.array(checks), pa.nulls(len(o), kind)])  # noqa: E731, B023
             sig = pa.concat_arrays([pa.nulls(n_rows, pa.int64()), pa.array(np.concatenate(sigs).view(np.int64))])
-            slot = pa.concat_arrays([batch.column("_slot"), pa.nulls(len(o), pa.int32())])
-            yield pa.RecordBatch.from_arrays([ids, slot, sig, pa.array(ents[every]), pa.array(sizes[every].astype(np.int32)), pa.array(single[every])], names=["_id", "_slot", "sig", "ent", "n", "single"])
+            yield pa.RecordBatch.from_arrays([none("_id", batch.schema.field("_id").type), none("_slot", pa.int32()), none("", pa.int64()), sig, pa.array(ents[every]), pa.array(sizes[every].astype(np.int32)),
+                                              pa.array(single[every])], names=["_id", "_slot", "check", "sig", "ent", "n", "single"])
+
+    return run
+
+
+def _emit_deep(num: int, k: int, most: int = 200_000):
+    """sig, ent, n, single of the k-combinations of whole sets (ent, tokens), all tokens in the order of their hashes."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held, owner, sizes, count = [], [], [], 0
+            for e, blob in zip(batch.column("ent").to_pylist(), batch.column("tokens"), strict=True):
+                h = np.frombuffer(blob.as_buffer(), np.uint64)
+                n = len(h)
+                for x in deep_signatures(h, n, n - -(-num * n // 100) + 1, num, k):
+                    held.append(x)
+                    owner.append(np.full(len(x), e, np.int64))
+                    sizes.append(np.full(len(x), n, np.int32))
+                    count += len(x)
+                if count >= most:
+                    yield _deep_rows(held, owner, sizes)
+                    held, owner, sizes, count = [], [], [], 0
+            if count:
+                yield _deep_rows(held, owner, sizes)
 
     return run
 
 
-def parity(h: np.ndarray, bits: int = 512) -> bytes:
-    """For each of so many slots, whether an odd number of tokens falls in it. The slots in which
-    two sets differ are no more than the tokens in which they differ."""
-    return np.packbits(np.bincount((h >> np.uint64(8)).astype(np.int64) % bits, minlength=bits).astype(np.uint8) & 1).tobytes()
+def _deep_rows(held: list[np.ndarray], owner: list[np.ndarray], sizes: list[np.ndarray]) -> pa.RecordBatch:
+    sig = np.concatenate(held).view(np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(sig), pa.array(np.concatenate(owner)), pa.array(np.concatenate(sizes)), pa.array(np.zeros(len(sig), bool))], names=["sig", "ent", "n", "single"])
 
 
 def _emit_sets(shared: Broadcast):
-    """Sets (and their parities) of the documents whose slot is wanted."""
+    """Sets of the documents whose slot is wanted."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted = shared.value
         for batch in batches:
             few = batch.filter(pa.array(wanted[batch.column("_slot").to_numpy()]))
             if few.num_rows:
                 for _, h, at in _pieces(iter([few])):
-                    each = [h[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
-                    yield pa.RecordBatch.from_arrays([pa.array(entity_of(h, at)), pa.array([x.tobytes() for x in each], pa.binary()), pa.array([parity(x) for x in each], pa.binary())], names=["ent", "tokens", "parity"])
+                    each = [h[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)]
+                    yield pa.RecordBatch.from_arrays([pa.array(entity_of(h, at)), pa.array(each, pa.binary())], names=["ent", "tokens"])
 
     return run
 
 
-def _across(group: pa.Table, num: int, forest: bool) -> pa.Table:
-    """Pairs of a tile of a bucket that are in different components and may be alike by their sizes
-    and parities: sets that differ in more slots than a link allows tokens to differ are not.
-    forest: only as many, nearest first, as would join the components if all of them were links."""
-    ent, comp = group["ent"].to_numpy(), group["comp"].to_numpy()
-    n, side = group["n"].to_numpy().astype(np.float32), group["side"].to_numpy()
-    bits = np.unpackbits(np.frombuffer(b"".join(group["parity"].to_pylist()), np.uint8).reshape(len(ent), -1), axis=1).astype(np.float32)
-    left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
-    a, b, far = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.float32)]
-    weight = bits.sum(1)
-    for k in range(0, len(left), 512):
-        i = left[k: k + 512]
-        differ = weight[i][:, None] + weight[right][None] - 2 * bits[i] @ bits[right].T
-        both = n[i][:, None] + n[right][None]
-        allowed = both - 2 * np.ceil(num * both / (100 + num) - 1e-3)
-        x, y = np.nonzero((differ <= allowed) & (100 * np.minimum(n[i][:, None], n[right][None]) >= num * np.maximum(n[i][:, None], n[right][None]) - 1e-3) & (comp[i][:, None] != comp[right][None]))
-        a.append(i[x])
-        b.append(right[y])
-        far.append(differ[x, y] / both[x, y])
-    x, y = np.concatenate(a), np.concatenate(b)
-    if forest:
-        few = _joining(comp, x, y, np.argsort(np.concatenate(far), kind="stable"))
-        x, y = x[few], y[few]
-    x, y = ent[x], ent[y]
-    return pa.table({"a": np.minimum(x, y), "b": np.maximum(x, y)})
-
-
-def _joining(comp: np.ndarray, x: np.ndarray, y: np.ndarray, order: np.ndarray) -> list[int]:
-    """Of pairs in order those whose components no earlier ones have joined."""
-    kinds, local = np.unique(comp, return_inverse=True)
-    parent, left, out = list(range(len(kinds))), len(kinds) - 1, []
-
-    def root(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = i = parent[parent[i]]
-        return i
-
-    for k, i, j in zip(order.tolist(), local[x[order]].tolist(), local[y[order]].tolist(), strict=True):
-        i, j = root(i), root(j)
-        if i != j:
-            parent[i] = j
-            out.append(k)
-            left -= 1
-            if not left:
-                break
-    return out
+# Verification.
 
 
 def _verify(num: int):
@@ -320,117 +334,239 @@ def _verify(num: int):
     return run
 
 
+def common_tokens(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, often: int = 32, width: int = 2048) -> np.ndarray:
+    """Sizes of the intersections of sets[left] with sets[right]. Tokens of more than `often` sets go
+    as matrix products, a `width` of them at a time; the others by the pairs of sets that hold them."""
+    sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    _, token, df = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    out = np.zeros((len(left), len(right)), np.float32)
+    at_left, at_right = np.full(len(sets), -1), np.full(len(sets), -1)
+    at_left[left], at_right[right] = np.arange(len(left)), np.arange(len(right))
+    dense = np.cumsum(df > often) - 1
+    use = df[token] > often
+    col, row = dense[token[use]], owner[use]
+    for start in range(0, int((df > often).sum()), width):
+        now = (col >= start) & (col < start + width)
+        x = np.zeros((len(sets), width), np.float32)
+        x[row[now], col[now] - start] = 1
+        out += x[left] @ x[right].T
+    use = (df[token] > 1) & (df[token] <= often)
+    order = np.argsort(token[use], kind="stable")
+    t, o = token[use][order], owner[use][order]
+    own = at_left >= 0
+    for step in range(1, often):
+        same = t[step:] == t[:-step] if step < len(t) else np.zeros(0, bool)
+        if not same.any():
+            break
+        a, b = o[:-step][same], o[step:][same]
+        for x, y in ((a, b), (b, a)):
+            ok = own[x] & (at_right[y] >= 0)
+            np.add.at(out, (at_left[x[ok]], at_right[y[ok]]), 1)
+    itself = np.flatnonzero(own & (at_right >= 0))
+    out[at_left[itself], at_right[itself]] = sizes[itself]
+    return out
+
+
+def _tile(num: int):
+    """Of a tile of a family: links that join the components which links of the tile can join, at
+    most twice as many as it has members. Every pair of different components is tested."""
+    def run(group: pa.Table) -> pa.Table:
+        ent, comp, side = (group[c].to_numpy() for c in ("ent", "comp", "side"))
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for chunk in group["tokens"].chunks for x in chunk]
+        n = np.fromiter(map(len, sets), np.float32, len(sets))
+        left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
+        both = common_tokens(sets, left, right)
+        linked = (100 * both >= num * (n[left][:, None] + n[right][None] - both) - 1e-3) & (comp[left][:, None] != comp[right][None])
+        x, y = np.nonzero(linked)
+        x, y = left[x], right[y]
+        few = joining(comp[x], comp[y])
+        a, b = ent[x[few]], ent[y[few]]
+        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+    return run
+
+
+def joining(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Places of edges x - y that join all nodes which all edges join: in each round every component
+    takes one edge that leaves it, so that their number halves at least."""
+    nodes, ends = np.unique(np.concatenate([x, y]), return_inverse=True)
+    x, y = ends[: len(x)], ends[len(x):]
+    root, out, left = np.arange(len(nodes)), [np.zeros(0, np.int64)], np.arange(len(x))
+    while len(left):
+        a, b = root[x[left]], root[y[left]]
+        left, a, b = left[a != b], a[a != b], b[a != b]
+        _, first = np.unique(np.concatenate([a, b]), return_index=True)
+        pick = np.unique(first % max(1, len(left)))
+        out.append(left[pick])
+        while True:  # the smaller root of each edge, until nothing changes
+            p, q = root[a[pick]], root[b[pick]]
+            if (p == q).all():
+                break
+            np.minimum.at(root, np.maximum(p, q), np.minimum(p, q))
+            root = root[root]
+            while (root != root[root]).any():
+                root = root[root]
+    return np.concatenate(out)
+
+
 # Links and components.
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, most: int = 60) -> DataFrame:
     """node, comp (its smallest reachable node) of links a < b, for nodes with links but the smallest
-    ones. Alternating large-star and small-star steps, two exchanges a round; each round is a
-    staged table, and no node meets more than its own neighbours."""
+    ones. Alternating large-star and small-star steps; each round is a staged table. The smallest
+    neighbour of a node is a partial aggregate, and goes back to the edges by a join that can split
+    the edges of a hub; no node's edges have to meet in one task."""
     edges = stage(links.select(F.col("b").alias("u"), F.col("a").alias("v")).distinct(), "edges")
     before = _stamp(edges)
-    for _ in range(60):
+    for _ in range(most):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = both.selectExpr("u", "v", "least(u, min(v) over (partition by u)) as m").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        small = large.repartition("u").dropDuplicates(["u", "v"]).selectExpr("u", "v", "min(v) over (partition by u) as m")
-        edges = stage(small.select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")), "edges")
+        low = both.groupBy(F.col("u").alias("v")).agg(F.min("v").alias("m")).select("v", F.least("v", "m").alias("m"))
+        large = stage(edges.join(low.hint("merge"), "v").select("u", F.col("m").alias("v")).distinct(), "edges")
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(least.hint("merge"), "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
+        edges = stage(small, "edges")
         after = _stamp(edges)
         if before == after:
-            break
+            return edges.select(F.col("u").alias("node"), F.col("v").alias("comp"))
         before = after
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("comp"))
+    raise RuntimeError(f"components have not settled in {most} rounds")
 
 
 def _stamp(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.hash("u", "v").cast("long"))).first())
+    return tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("v", "u").cast("decimal(20,0)"))).first())
 
 
-def _fetch_sets(slim: DataFrame, described: DataFrame, ents: DataFrame) -> DataFrame:
-    """ent, tokens, parity of the entities asked for. Texts are read again, but only documents whose
-    slot holds a wanted one are made into sets; nothing but those sets is shuffled."""
-    one = described.join(ents.hint("merge"), "ent", "left_semi").groupBy("ent").agg(F.min("_slot").alias("_slot"))
+def _fetch_sets(slim: DataFrame, entities: DataFrame, ents: DataFrame) -> DataFrame:
+    """ent, tokens of the entities asked for. Texts are read again, but only documents whose slot
+    holds a wanted one are made into sets; nothing but those sets is shuffled. The driver sees a
+    bitmap of SLOTS bits."""
+    one = entities.join(ents.hint("merge"), "ent", "left_semi").select(F.col("slot").cast("long").alias("slot"))
+    maps = one.groupBy(F.expr("bitmap_bucket_number(slot)").alias("part")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(slot))").alias("bits")).collect()
     wanted = np.zeros(SLOTS, bool)
-    wanted[[r[0] for r in one.select("_slot").distinct().collect()]] = True  # at most SLOTS numbers
-    sets = slim.mapInArrow(_emit_sets(slim.sparkSession.sparkContext.broadcast(wanted)), "ent long, tokens binary, parity binary")
+    for part, bits in maps:  # parts count from 1; 0 holds slot 0 and below
+        on = np.flatnonzero(np.unpackbits(np.frombuffer(bits, np.uint8), bitorder="little")) + 1 + (part - 1) * len(bits) * 8
+        wanted[on if part > 0 else [0]] = True
+    sets = slim.mapInArrow(_emit_sets(slim.sparkSession.sparkContext.broadcast(wanted)), "ent long, tokens binary")
     return stage(sets.join(ents.hint("merge"), "ent", "left_semi").dropDuplicates(["ent"]), "sets")
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, num: int) -> DataFrame:
+    """The pairs that are links. AQE splits the pairs of a leader that has many; its set is one row."""
     x = sets.select(F.col("ent").alias("a"), F.col("tokens").alias("x"))
     y = sets.select(F.col("ent").alias("b"), F.col("tokens").alias("y"))
     return pairs.join(x.hint("merge"), "a").join(y.hint("merge"), "b").mapInArrow(_verify(num), "a long, b long")
 
 
-def _across_tile(num: int, forest: bool):
-    return lambda t: _across(t, num, forest)
-
-
-def _unresolved(large: DataFrame, comps: DataFrame) -> DataFrame:
-    """Members of buckets that hold more than one component."""
-    own = large.select("sig", "ent", "n", "m").join(comps.hint("merge"), F.col("ent") == F.col("node"), "left").withColumn("comp", F.coalesce("comp", "ent"))
-    ends = own.selectExpr("sig", "ent", "n", "m", "comp", "min(comp) over (partition by sig) as low", "max(comp) over (partition by sig) as high")
-    return ends.filter("low != high").select("sig", "ent", "n", "m", "comp")
-
-
-def _tiles(rest: DataFrame, tile: int) -> DataFrame:
-    """Each member of a bucket in the tiles where it meets the others."""
-    cut = rest.withColumn("tiles", F.ceil(F.col("m") / F.lit(tile)).cast("int")).withColumn("own", F.pmod(F.xxhash64("ent"), F.col("tiles")).cast("int"))
-    each = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    return each.select("sig", "ent", "n", "comp", F.least("own", "other").alias("t1"), F.greatest("own", "other").alias("t2"),
-                       F.when(F.col("own") == F.col("other"), -1).when(F.col("own") < F.col("other"), 0).otherwise(1).alias("side"))
-
-
-def find_links(slim: DataFrame, num: int, least: int, tile: int = 2048) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """described (_id, ent, n, by document), links (a < b, verified) and comps (node, comp) of entities.
-
-    All links whose signatures meet in buckets of up to `most` entities are verified. In larger
-    buckets, which only copies of much the same text reach, each entity is compared with the
-    bucket's leader. What is in different components after that is compared by tiles: first the
-    nearest pairs that would join the components, then all pairs that are left and may be alike. So every component is exact without making all pairs of a group.
-    """
-    total = int(slim.agg(F.sum(F.length("_text"))).first()[0] or 0) // 6
-    classes = count_tokens(slim, total, least)
-    shared = slim.sparkSession.sparkContext.broadcast(classes)
-    kind = dict(slim.dtypes)["_id"]
-    emitted = stage(slim.mapInArrow(_emit_signatures(shared, num), f"_id {kind}, _slot int, sig long, ent long, n int, single boolean"), "signatures")
-    shared.unpersist()
-    described = emitted.filter("sig is null").select("_id", "_slot", "n", "ent")
-    once = emitted.filter("sig is not null").select("sig", "ent", "n", "single").repartition("sig").dropDuplicates(["sig", "ent"])
-    buckets = stage(once.selectExpr("*", "count(1) over (partition by sig) as m", "min(ent) over (partition by sig) as lead").filter("m > 1"), "buckets")
-    most = max(64, classes.least)
-    small, large = buckets.filter(F.col("m") <= most), buckets.filter(F.col("m") > most)
+def _buckets(rows: DataFrame, hot_rows: int) -> DataFrame:
+    """sig, ent, n, single, m (entities of the signature), lead (the smallest), for m > 1, staged.
+
+    Entities of a signature meet by a window. A signature of many rows does not: those that a
+    thirty-second of the entities shows to have more than about `hot_rows` are counted by partial
+    aggregates, and members meet only the count and the lead. They are at most 2 ** 20, a table of
+    8 MB; which way a signature takes changes no result."""
+    spark = rows.sparkSession
+    seen = rows.filter("pmod(ent, 32) = 5").groupBy("sig").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") * 32 > hot_rows)
+    hot = stage(seen.orderBy(F.desc("c"), "sig").limit(1 << 20).select("sig"), "hot")
+    some = not hot.isEmpty()
+    cold = rows.join(F.broadcast(hot), "sig", "left_anti") if some else rows
+    once = cold.repartition("sig").dropDuplicates(["sig", "ent"])
+    found = once.selectExpr("*", "count(1) over (partition by sig) as m", "min(ent) over (partition by sig) as lead").filter("m > 1")
+    if some:
+        own = stage(rows.join(F.broadcast(hot), "sig", "left_semi").groupBy("sig", "ent").agg(F.first("n").alias("n"), F.first("single").alias("single")), "hot-members")
+        facts = stage(own.groupBy("sig").agg(F.count(F.lit(1)).alias("m"), F.min("ent").alias("lead")), "hot-facts")  # a row for each of at most 2 ** 20
+        found = found.unionByName(own.join(F.broadcast(facts), "sig").filter("m > 1").select(*found.columns))
+    return stage(found, "buckets")
+
+
+def _met(small: DataFrame, num: int) -> DataFrame:
+    """Pairs a < b of small buckets that may be links by their sizes and by what they share."""
     right = small.select("sig", F.col("ent").alias("b"), F.col("n").alias("nb"), F.col("single").alias("sb"))
     near = (F.col("ent") < F.col("b")) & (100 * F.least("n", "nb") >= num * F.greatest("n", "nb"))
     met = (small.join(right.hint("merge"), "sig").filter(near).groupBy(F.col("ent").alias("a"), "b")
            .agg(F.count(F.lit(1)).alias("s"), F.first("n").alias("na"), F.first("nb").alias("nb"), F.first(F.col("single") & F.col("sb")).alias("single")))
     # Tokens of the shorter prefix in common, and all that lies behind it, must reach the overlap.
     needed = F.ceil(num * (F.col("na") + F.col("nb")) / F.lit(100 + num)) - F.ceil(num * F.greatest("na", "nb") / F.lit(100)) + 1
-    pairs = met.filter(~F.col("single") | (F.col("s") >= needed)).select("a", "b")
-    stars = large.filter("ent != lead").select(F.col("lead").alias("a"), F.col("ent").alias("b"))
-    pairs = stage(pairs.unionByName(stars).distinct(), "pairs")
-    ents = pairs.select(F.col("a").alias("ent")).unionByName(pairs.select(F.col("b").alias("ent"))).unionByName(large.select("ent")).distinct()
-    sets = _fetch_sets(slim, described, ents)
+    return met.filter(~F.col("single") | (F.col("s") >= needed)).select("a", "b")
+
+
+def _family_tiles(stars: DataFrame, sizes: DataFrame, comps: DataFrame, most_tokens: int = 1 << 21) -> DataFrame:
+    """Families are the entities that the largest buckets connect. Of each family that has several
+    components: its members in the tiles where they meet those of other components. Members of the
+    largest component meet the others, not each other. A tile has a sixth of a family, 128 to
+    2,048 members and about most_tokens tokens at most."""
+    family = components(stars)
+    members = family.select(F.col("node").alias("ent"), F.col("comp").alias("fam")).unionByName(family.select(F.col("comp").alias("ent"), F.col("comp").alias("fam")).distinct())
+    own = stage(members.join(sizes.hint("merge"), "ent").join(comps.hint("merge"), F.col("ent") == F.col("node"), "left").select("ent", "fam", "n", F.coalesce("comp", "ent").alias("comp")), "members")
+    each = own.groupBy("fam", "comp").agg(F.count(F.lit(1)).alias("c"), F.max("n").alias("n"))
+    facts = each.groupBy("fam").agg(F.count(F.lit(1)).alias("kinds"), F.sum("c").alias("all"), F.max("n").alias("long"), F.max(F.struct("c", "comp")).alias("main"))
+    tile = F.least(F.greatest(F.col("all") / 6, F.lit(128)), F.lit(2048), F.greatest(F.lit(most_tokens) / F.col("long"), F.lit(16)))
+    facts = facts.filter("kinds > 1").select("fam", F.col("main.comp").alias("main"), F.ceil(F.col("main.c") / tile).cast("int").alias("ta"), F.ceil((F.col("all") - F.col("main.c")) / tile).cast("int").alias("tb"))
+    # AQE splits a family's members; the facts are one row.
+    placed = own.join(facts.hint("merge"), "fam").withColumn("inner", F.col("comp") == F.col("main"))
+    placed = placed.withColumn("own", F.pmod(F.xxhash64("ent"), F.when(F.col("inner"), F.col("ta")).otherwise(F.col("tb"))).cast("int"))
+    # Tiles of the main component have negative numbers.
+    placed = placed.withColumn("own", F.when(F.col("inner"), -1 - F.col("own")).otherwise(F.col("own")))
+    rest, main = F.sequence(F.lit(0), F.col("tb") - 1), F.sequence(-F.col("ta"), F.lit(-1))
+    out = placed.select("fam", "ent", "comp", "own", F.explode(F.when(F.col("inner"), rest).otherwise(F.concat(rest, main))).alias("other"))
+    return out.select("fam", "ent", "comp", F.least("own", "other").alias("t1"), F.greatest("own", "other").alias("t2"),
+                      F.when(F.col("own") == F.col("other"), -1).when(F.col("own") < F.col("other"), 0).otherwise(1).alias("side"))
+
+
+def find_links(slim: DataFrame, num: int, least: int, bucket: int = 64, depth: int = 4, hot_rows: int = 100_000) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """entities (ent, low, slot, n), described (_id, ent, n, by document) and comps (node, comp) of entities.
+
+    All links whose signatures meet in buckets of up to `bucket` entities are verified; that limit
+    does not depend on the corpus. Entities of larger buckets are indexed again, by combinations of
+    `depth` tokens of their whole sets: documents that only share a passage then part, and links
+    meet in the smaller buckets. What is in larger ones still are families of much the same text.
+    Members are compared with the leader of each bucket, and what is in different components after
+    that by tiles, in which all sets are compared and as many links returned as join components.
+    So components are exact, and no step makes all pairs of a group.
+    """
+    total = int(slim.agg(F.sum(F.length("_text"))).first()[0] or 0) // 6
+    classes = count_tokens(slim, total, least)
+    shared = slim.sparkSession.sparkContext.broadcast(classes)
+    kind = dict(slim.dtypes)["_id"]
+    emitted = stage(slim.mapInArrow(_emit_signatures(shared, num), f"_id {kind}, _slot int, check long, sig long, ent long, n int, single boolean"), "signatures")
+    shared.unpersist()
+    described = emitted.filter("sig is null").select("_id", "_slot", "n", "ent", "check")
+    entities = stage(described.groupBy("ent").agg(F.min("_id").alias("low"), F.min("_slot").alias("slot"), F.first("n").alias("n"), F.min("check").alias("c1"), F.max("check").alias("c2")), "entities")
+    if not entities.filter("c1 != c2").isEmpty():
+        raise RuntimeError("two sets of shingles have one name of 64 bits: use another width")
+
+    buckets = _buckets(emitted.filter("sig is not null").select("sig", "ent", "n", "single"), hot_rows)
+    small, large = buckets.filter(F.col("m") <= bucket), buckets.filter(F.col("m") > bucket)
+    pairs = stage(_met(small, num), "pairs")
+    crowd = stage(large.select("ent").distinct(), "crowd")
+    ents = pairs.select(F.col("a").alias("ent")).unionByName(pairs.select(F.col("b").alias("ent"))).unionByName(crowd).distinct()
+    sets = _fetch_sets(slim, entities, ents)
     links = stage(_linked(pairs, sets, num), "links")
+    if crowd.isEmpty():
+        return entities, described, components(links)
+
+    deep = stage(sets.join(crowd.hint("merge"), "ent", "left_semi").mapInArrow(_emit_deep(num, depth), "sig long, ent long, n int, single boolean"), "signatures")
+    buckets = _buckets(deep, hot_rows)
+    small, large = buckets.filter(F.col("m") <= bucket), buckets.filter(F.col("m") > bucket)
+    stars = stage(large.filter("ent != lead").select(F.col("lead").alias("a"), F.col("ent").alias("b")).distinct(), "stars")
+    more = _met(small, num).unionByName(stars).distinct().join(pairs.hint("merge"), ["a", "b"], "left_anti")
+    links = links.unionByName(stage(_linked(stage(more, "pairs"), sets, num), "links"))
     comps = components(links)
-    tested = pairs
-    for forest in (True, False):  # at last all pairs that are left
-        rest = stage(_unresolved(large, comps), "rest")
-        if rest.isEmpty():
-            break
-        found = _tiles(rest, tile).join(sets.select("ent", "parity").hint("merge"), "ent").groupBy("sig", "t1", "t2").applyInArrow(_across_tile(num, forest), "a long, b long").distinct()
-        more = stage(found.join(tested.hint("merge"), ["a", "b"], "left_anti"), "pairs")
-        tested = tested.unionByName(more)
-        fresh = stage(_linked(more, sets, num), "links")
-        if not fresh.isEmpty():
-            links = links.unionByName(fresh)
-            comps = components(links)
-    return described, links, comps
+    if stars.isEmpty():
+        return entities, described, comps
+    tiles = stage(_family_tiles(stars, entities.select("ent", "n"), comps), "tiles")
+    if tiles.isEmpty():
+        return entities, described, comps
+    found = tiles.join(sets.hint("merge"), "ent").groupBy("fam", "t1", "t2").applyInArrow(_tile(num), "a long, b long")
+    return entities, described, components(links.unionByName(stage(found, "links")))
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, num: int = 80, least: int = 32) -> DataFrame:
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, num: int = 80, least: int = 32, bucket: int = 64, depth: int = 4, hot_rows: int = 100_000) -> DataFrame:
     """id, n_shingles, component_id (the smallest id reachable by links, its own included), one row
     for each row of docs. Two documents link when num / 100 of the union of their shingle sets is
-    common (num >= 60). The join is exact up to collisions of 64-bit hashes.
+    common (num >= 60). The join is exact up to collisions of 64-bit hashes of single shingles;
+    sets are named by 64 bits, and a second hash proves that no two sets share a name.
 
     Texts are whole; documents with equal sets are one entity, however many. Null and empty texts
     have no shingles and their own id. Null ids never name a component that has another id;
@@ -439,9 +575,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     frequent tokens and bitmaps that are broadcast have fixed size bounds.
     """
     slim = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("binary").alias("_text"), F.pmod(F.xxhash64(id_col), F.lit(SLOTS)).cast("int").alias("_slot"), F.lit(width).alias("_width"))
-    described, _, comps = find_links(slim, num, least)
-    entities = described.filter("n > 0").groupBy("ent").agg(F.min("_id").alias("low"))
-    named = entities.join(comps.hint("merge"), entities["ent"] == comps["node"], "left").select("ent", "low", F.coalesce("comp", "ent").alias("comp"))
+    entities, described, comps = find_links(slim, num, least, bucket, depth, hot_rows)
+    named = entities.filter("n > 0").join(comps.hint("merge"), entities["ent"] == comps["node"], "left").select("ent", "low", F.coalesce("comp", "ent").alias("comp"))
     lowest = named.groupBy("comp").agg(F.min("low").alias("component_id"))
     found = named.join(lowest.hint("merge"), "comp").select("ent", "component_id")
     out = attach(described, found, ["ent"], F.xxhash64("_id"), runs_for(described.count()))
@@ -449,13 +584,14 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, num: int = 80) -> DataFrame:
-    """docs with one document of each component, that of the smallest id; columns as in docs.
+    """docs with one document of each component, that of the smallest id; columns as in docs, whatever
+    their names.
 
     A document is an id and a text: unlike texts under a repeated or null id are apart, each in the
-    component of its text, and of rows that repeat both one stays. A null id loses to any other."""
-    keyed = docs.withColumn("_hash", F.xxhash64(F.coalesce(F.col(text_col), F.lit("")), F.lit(11)))
-    key = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col("_hash").alias("hash"))
-    found = jaccard_components(keyed.select(key.alias("_key"), F.col(text_col)), "_key", text_col, width, num)
-    kept = found.filter(F.col("_key") == F.col("component_id")).select(F.col("_key.id").alias("_k"), F.col("_key.hash").alias("_khash")).distinct()
-    left = keyed.join(kept.hint("merge"), F.col(id_col).eqNullSafe(F.col("_k")) & (F.col("_hash") == F.col("_khash")), "left_semi")
-    return left.dropDuplicates([id_col, "_hash"]).drop("_hash")
+    component of its text, and of rows that repeat both one stays. A null id loses to any other.
+    Documents without words stay. An empty table gives an empty one."""
+    rows = keyed(docs, id_col, text_col)
+    key = F.struct(F.col("id").isNull().alias("none"), "id", "k1", "k2")
+    found = jaccard_components(rows.select(key.alias("key"), "text"), "key", "text", width, num)
+    kept = found.filter(F.col("key") == F.col("component_id")).select("key.k1", "key.k2").distinct()
+    return rows.join(kept.hint("merge"), ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"]).select("row.*")

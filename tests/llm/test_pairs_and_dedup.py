@@ -1,5 +1,9 @@
 import random
 
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
 from mediaframe.llm import decontaminate, exact_dedup, jaccard_join
 
 
@@ -12,7 +16,7 @@ def test_exact_dedup_edge_cases(docs, no_docs):
     assert [r.kept for r in rows if r.doc_id is None] == [True]
     assert exact_dedup.exact_dedup(no_docs).count() == 0
     kept = exact_dedup.keep_first(docs)
-    assert kept.columns == docs.columns and sorted(r.doc_id or 0 for r in kept.collect()) == [0, 2, 2, 4, 5, 6, 7, 8, 9]
+    assert kept.columns == docs.columns and sorted(r.doc_id or 0 for r in kept.collect()) == [0, 2, 4, 5, 6, 7, 8, 9]  # one of the repeated rows
 
 
 def test_exact_dedup_many_runs(spark):
@@ -95,11 +99,53 @@ def test_jaccard_join_against_brute_force(spark):
     rows = list(enumerate(texts))
     df = spark.createDataFrame(rows, "doc_id long, text string")
     want = brute_components(rows)
-    for least in (2, 32):  # with and without combinations of frequent tokens
-        got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.jaccard_components(df, least=least).collect()}
+    # With and without combinations of frequent tokens, deeper ones, tiles, and hot signatures.
+    for more in ({"least": 2}, {"least": 32}, {"least": 2, "bucket": 2, "hot_rows": 4}):
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.jaccard_components(df, **more).collect()}
         assert got == want
 
 
+def test_sets_that_link_share_a_signature():
+    rng = np.random.default_rng(8)
+    for k in (2, 4):
+        for _ in range(300):
+            n = int(rng.integers(4, 90))
+            x = np.unique(rng.integers(0, 1 << 62, n).astype(np.uint64))
+            y = np.unique(np.append(x[rng.permutation(len(x))[: len(x) - rng.integers(0, 1 + len(x) // 8)]], rng.integers(0, 1 << 62, rng.integers(0, 1 + n // 8)).astype(np.uint64)))
+            both = len(np.intersect1d(x, y))
+            if len(x) and len(y) and 100 * both >= 80 * (len(x) + len(y) - both) and min(len(x), len(y)) >= 4:
+                a, b = (np.concatenate(jaccard_join.deep_signatures(s, len(s), len(s) - -(-80 * len(s) // 100) + 1, 80, k)) for s in (x, y))
+                assert len(np.intersect1d(a, b)) or max(len(x), len(y)) < 5
+
+
+def test_common_tokens_and_joining_edges():
+    rng = np.random.default_rng(9)
+    sets = [np.unique(rng.integers(0, 60, rng.integers(1, 40)).astype(np.uint64)) for _ in range(70)]
+    left, right = np.arange(0, 50), np.arange(30, 70)
+    want = [[len(np.intersect1d(sets[i], sets[j])) for j in right] for i in left]
+    for often in (2, 8, 100):
+        assert (jaccard_join.common_tokens(sets, left, right, often, 16) == want).all()
+    x, y = rng.integers(0, 40, 60), rng.integers(0, 40, 60)
+    few = jaccard_join.joining(x, y)
+    groups = lambda a, b: {frozenset(k for k in range(40) if roots[k] == r) for r in set(roots)} if (roots := _roots(a, b)) else set()
+    assert groups(x[few], y[few]) == groups(x, y) and len(few) <= 80
+
+
+def _roots(a, b):
+    root = list(range(40))
+    for _ in range(40):
+        for i, j in zip(a.tolist(), b.tolist(), strict=True):
+            root[i] = root[j] = min(root[i], root[j])
+    return root
+
+
+def test_components_of_paths_hubs_and_nothing(spark):
+    edges = [(i, i + 1) for i in range(60)] + [(100, i) for i in range(101, 180)] + [(200, 201), (201, 203), (200, 203), (202, 203)]
+    got = dict(jaccard_join.components(spark.createDataFrame(edges, "a long, b long")).collect())
+    assert got == {**{i: 0 for i in range(1, 61)}, **{i: 100 for i in range(101, 180)}, 201: 200, 202: 200, 203: 200}
+    assert jaccard_join.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
 def test_large_bucket_is_finished_by_tiles(spark):
     """A chain of sets through one bucket: neighbours link, the ends do not."""
     words = [f"v{i}" for i in range(400)]
@@ -130,3 +176,26 @@ def test_pipeline_keeps_unlike_texts_under_one_id(spark):
     near = corpus_pipeline.near_duplicates(spark, df, "")
     assert order(near) == sorted([(None, b), (None, None), (3, a), (5, c), (5, d), (7, "")], key=str)
     assert near.columns == exact.columns == df.columns
+
+
+def test_pipeline_stages_on_edge_cases(spark, docs, no_docs):
+    """Clashing columns, nulls, repeats, empty and long texts, and an empty table go through each stage."""
+    import corpus_pipeline
+
+    many = docs
+    for name in ("_k", "_kid", "_dsha", "_hits", "_hits0", "row", "key", "k1", "id", "_hash"):
+        many = many.withColumn(name, F.lit(name))
+    items = spark.createDataFrame([("a", "alpha beta gamma")], "item_id string, text string")
+    for df in (many, many.limit(0)):
+        exact, near = exact_dedup.keep_first(df), jaccard_join.keep_one(df)
+        clean = decontaminate.remove_contaminated(df, items)
+        for out in (exact, near, clean):
+            assert out.columns == df.columns
+            assert all(r["_k"] == "_k" and r["_hits"] == "_hits" and r["row"] == "row" for r in out.collect())
+    assert clean.count() == 0 and decontaminate.remove_contaminated(many, items).count() == many.count()
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(corpus_pipeline, "table", lambda spark, sf_dir, name: items)
+        for df in (docs, no_docs):
+            for name, step in corpus_pipeline.STAGES[1:]:
+                out = step(spark, df, "")
+                assert out.count() <= df.count() and (name == "sentencepiece" or out.columns == df.columns)
