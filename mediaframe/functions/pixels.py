@@ -4,11 +4,18 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Fixed tests on hue (0 to 255), saturation and value of named colours: hue ranges, least saturation, least value.
-COLOURS = {"red": ([(0, 10), (241, 256)], 111, 61), "orange": ([(10, 26)], 121, 91), "yellow": ([(26, 46)], 111, 101), "green": ([(46, 120)], 71, 51), "blue": ([(130, 190)], 81, 51), "purple": ([(190, 241)], 71, 51)}
+#: Fixed values of named colours in hue, saturation and value from 0 to 255. Hues: from the first to below the
+#: second number, purple to its second number itself, red below 10 or above 240.
+HUES = {"red": (240, 10), "orange": (10, 26), "yellow": (26, 46), "green": (46, 120), "blue": (130, 190), "purple": (190, 240)}
+#: Saturation and value have to be above these.
+ABOVE = {"red": (110, 60), "orange": (120, 90), "yellow": (110, 100), "green": (70, 50), "blue": (80, 50), "purple": (70, 50)}
+#: Colours without a hue: saturation below 40; white has a value above 190, grey one from 70 to 190; black has a value below 50.
+PALE, WHITE, GREY, BLACK = 40, 190, 70, 50
+SAME_COLOUR = {"gray": "grey", "silver": "grey"}
 SURE, MAYBE = 0.10, 0.04
 
 
@@ -33,20 +40,30 @@ def hsv(img: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.where(top == low, 0, hue), np.where(top > 0, (top - low) / np.maximum(top, 1) * 255, 0), top
 
 
-def share_of_colour(img: np.ndarray, colour: str) -> float:
-    h, s, v = hsv(img)
-    if colour == "white":
-        hit = (s < 40) & (v > 190)
-    elif colour == "black":
-        hit = v < 50
-    elif colour == "grey":
-        hit = (s < 40) & (v >= 70) & (v <= 190)
+def of_colour(h: np.ndarray, s: np.ndarray, v: np.ndarray, colour: str) -> np.ndarray:
+    """Where hue, saturation and value are of a named colour."""
+    if colour == "black":
+        return v < BLACK
+    if colour in ("white", "grey"):
+        return (s < PALE) & ((v > WHITE) if colour == "white" else (v >= GREY) & (v <= WHITE))
+    a, b = HUES[colour]
+    if a > b:
+        hue = (h > a) | (h < b)
     else:
-        ranges, least_s, least_v = COLOURS[colour]
-        hit = np.logical_or.reduce([(h >= a) & (h < b) for a, b in ranges]) & (s >= least_s) & (v >= least_v)
+        hue = (h >= a) & ((h <= b) if colour == "purple" else (h < b))
+    return hue & (s > ABOVE[colour][0]) & (v > ABOVE[colour][1])
+
+
+def share_of_colour(img: np.ndarray, colour: str) -> float:
+    hit = of_colour(*hsv(img), SAME_COLOUR.get(colour, colour))
     return float(hit.mean()) if hit.size else 0.0
 
 
+def band(share: Column) -> Column:
+    """What the share of a colour in the best box of a photo says: sure, maybe or null."""
+    return F.when(share >= SURE, "sure").when(share >= MAYBE, "maybe")
+
+
 @F.pandas_udf(T.DoubleType())
 def sharpness(data: pd.Series, width: pd.Series, height: pd.Series, channels: pd.Series) -> pd.Series:
     return pd.Series([laplacian_variance(to_array(*x)) for x in zip(data, width, height, channels, strict=True)])
@@ -64,3 +81,17 @@ def colour_share(colour: str):
         return pd.Series(out)
 
     return share
+
+
+def best_box_share(colour: str):
+    """The largest share of the colour in any of a photo's boxes; null without boxes."""
+    @F.pandas_udf(T.DoubleType())
+    def share(data: pd.Series, width: pd.Series, height: pd.Series, channels: pd.Series, boxes: pd.Series) -> pd.Series:
+        out = []
+        for d, w, h, c, found in zip(data, width, height, channels, boxes, strict=True):
+            img = to_array(d, w, h, c)
+            parts = [img[int(y0 * h): max(int(y0 * h) + 1, round(y1 * h)), int(x0 * w): max(int(x0 * w) + 1, round(x1 * w))] for x0, y0, x1, y1 in (found if found is not None else [])]
+            out.append(max((share_of_colour(p, colour) if p.shape[2] == 3 else 0.0 for p in parts), default=None))
+        return pd.Series(out, dtype=float)
+
+    return share

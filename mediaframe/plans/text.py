@@ -13,8 +13,14 @@ from ..operators import places as pl
 from ..registry import query
 from ..sources import bindings as b
 
-RE_REQUEST = tm.REQUEST.replace("'", "''")
-CLEAN = rf"regexp_replace(regexp_replace(regexp_replace(trim(t), '{RE_REQUEST}', ''), '{tm.ONLY}', ''), '^[ ?.!]+|[ ?.!]+$', '', 'g')"
+def _steps(t: str, patterns: list[str]) -> str:
+    for p in patterns:
+        t = f"regexp_replace({t}, '{p}', '')"
+    return t
+
+
+OPENED = _steps("trim(t)", tm.OPENING)
+CLEAN = f"regexp_replace({_steps(f"CASE WHEN regexp_matches({OPENED}, '{tm.SHOWN}') THEN regexp_replace({OPENED}, '{tm.SHOWN}', '') ELSE trim(t) END", tm.SHORTER)}, '{tm.EDGES}', '', 'g')"
 #: Every customer asks something, in one of several wordings about its own words.
 LOG = """log AS (SELECT c_custkey AS id, CASE c_custkey % 8 WHEN 0 THEN concat('Show me pictures of ', lower(c_mktsegment), '?') WHEN 1 THEN concat('how many dogs and cats in ', 1995 + c_custkey % 20) WHEN 2 THEN concat('Find trains from ', n_name, ' ', 2000 + c_custkey % 9, ' to 2015')
     WHEN 3 THEN concat('describe those photos ', c_custkey % 400, ' and ', c_custkey % 30) WHEN 4 THEN 'remove the car from photo 2' WHEN 5 THEN concat('replace the dog with a cat in ', c_custkey % 90) WHEN 6 THEN concat('more cars or bikes since 20', 10 + c_custkey % 10, '?') ELSE concat('hello ', c_name) END AS t,
@@ -28,6 +34,17 @@ def log(spark, d):
         when 5 then concat('replace the dog with a cat in ', c_custkey % 90) when 6 then concat('more cars or bikes since 20', 10 + c_custkey % 10, '?') else concat('hello ', c_name) end as t""", "c_custkey % 3 = 0 as prev")
 
 
+#: And every supplier in other wordings.
+MORE = """CASE s_suppkey % 8 WHEN 0 THEN 'Make me a tall picture of a red bike' WHEN 1 THEN concat('save these as my ', lower(n_name), ' album') WHEN 2 THEN 'the teddy bear, a wine glass and the bears' WHEN 3 THEN concat('the first and the last, #', s_suppkey % 50)
+    WHEN 4 THEN 'shot in sept 2020 at the beach' WHEN 5 THEN 'please make a vertical video of those' WHEN 6 THEN 'not a cat, why?' ELSE concat('get rid of the dog in photo ', s_suppkey % 9) END"""
+MORE_LOG = f"more AS (SELECT 1000000 + s_suppkey AS id, {MORE} AS t FROM supplier JOIN nation ON s_nationkey = n_nationkey)"
+
+
+def more_log(spark, d):
+    s, n = b.read(spark, d, "supplier"), b.read(spark, d, "nation")
+    return s.join(n, s.s_nationkey == n.n_nationkey).select((F.col("s_suppkey") + 1000000).alias("id"), F.expr(MORE).alias("t"))
+
+
 @query("h1_clean_query", f"WITH {LOG} SELECT id, coalesce(nullif({CLEAN}, ''), trim(t)) AS cleaned FROM log")
 def h1(spark, d):
     return log(spark, d).select("id", tm.clean_query(F.col("t")).alias("cleaned"))
@@ -38,19 +55,19 @@ def h3(spark, d):
     return b.places(spark, d).select("asset_id", pl.parts(F.col("place")).alias("parts"))
 
 
-@query("h5_tag_labels")
-def h5(spark, d):
-    return log(spark, d).select("id", tm.tag_labels(F.col("t")).alias("labels"))
-
-
-@query("h6_is_plural")
+@query("h6_is_plural", f"WITH {LOG} SELECT id, list_has_any(regexp_extract_all(lower(t), '([a-z]+)', 1), [{', '.join(repr(w) for w in tm.PLURALS)}]) AS plural FROM log")
 def h6(spark, d):
     return log(spark, d).select("id", tm.is_plural(F.col("t")).alias("plural"))
 
 
 @query("h7_extract_time")
 def h7(spark, d):
-    return tm.extract_time(log(spark, d), "t", dt.date(2026, 10, 20)).select("id", "time.*")
+    return tm.extract_time(log(spark, d).select("id", "t").unionByName(more_log(spark, d)), "t", dt.date(2026, 10, 20)).select("id", "time.*")
+
+
+@query("h7_rest_of_month", f"WITH {MORE_LOG} SELECT id, CASE WHEN t LIKE 'shot in sept%' THEN '2020-09-01' END AS start, CASE WHEN t LIKE 'shot in sept%' THEN 'at the beach' END AS rest, CASE WHEN t LIKE 'shot in sept%' THEN 'from September 2020' END AS label FROM more")
+def h7c(spark, d):
+    return tm.extract_time(more_log(spark, d), "t", dt.date(2026, 10, 20)).select("id", "time.start", "time.rest", "time.label")
 
 
 @query("h7_year_span", f"""WITH {LOG}, y AS (SELECT id, regexp_extract(t, '\\b((?:19|20)\\d\\d)\\b\\s*(?:-|to|and|until|till)\\s*\\b((?:19|20)\\d\\d)\\b', 1) AS a, regexp_extract(t, '\\b((?:19|20)\\d\\d)\\b\\s*(?:-|to|and|until|till)\\s*\\b((?:19|20)\\d\\d)\\b', 2) AS z, regexp_extract(t, '\\b((?:19|20)\\d\\d)\\b', 1) AS o FROM log)
@@ -64,15 +81,26 @@ def h8(spark, d):
     return tm.extract_place(log(spark, d), "t", b.places(spark, d), "id")
 
 
-RULES = " ".join("WHEN regexp_matches(t, '(?i){}'){} THEN '{}'".format(r.replace("'", "''"), " AND prev" if n in tm.NEEDS_PREVIOUS else "", n) for n, r in tm.INTENTS)
+MESSAGE = "concat(' ', array_to_string(regexp_extract_all(regexp_replace(lower(t), '[''’]', '', 'g'), '([a-z0-9]+)', 1), ' '), ' ')"
+INDEX = "MAP {" + ", ".join(f"'{w}': '{label}'" for w, label in tm.INDEX.items()) + "}"
+#: Labels of the words w in order: two words go before one.
+TAGS = f"list_filter(list_transform(range(1, len(w) + 1), lambda i: CASE WHEN i > 1 AND {INDEX}[concat(w[i - 1], ' ', w[i])] IS NOT NULL THEN NULL ELSE coalesce({INDEX}[concat(w[i], ' ', w[i + 1])], {INDEX}[w[i]]) END), lambda x: x IS NOT NULL)"
+ALSO = {"explain": f" AND NOT regexp_matches(m, '{tm.COUNTS}')", "compare": f" AND len(list_distinct({TAGS})) >= 2", "describe": f" AND regexp_matches(m, '{tm.ONE_PHOTO}')"}
+RULES = " ".join(f"WHEN regexp_matches(m, '{rule}'){' AND prev' if previous else ''}{ALSO.get(name, '')} THEN '{name}'" for name, rule, previous in tm.INTENTS)
+MESSAGES = f"SELECT *, {MESSAGE} AS m, regexp_extract_all(lower(t), '([a-z]+)', 1) AS w"
 
 
-@query("h9_classify_intent", f"WITH {LOG} SELECT id, CASE {RULES} ELSE 'none' END AS intent FROM log")
+@query("h5_tag_labels", f"WITH {LOG}, {MORE_LOG} SELECT id, list_filter(l, lambda x, i: list_position(l, x) = i) AS labels FROM (SELECT id, {TAGS} AS l FROM (SELECT id, regexp_extract_all(lower(t), '([a-z]+)', 1) AS w FROM log UNION ALL SELECT id, regexp_extract_all(lower(t), '([a-z]+)', 1) AS w FROM more))")
+def h5(spark, d):
+    return log(spark, d).select("id", "t").unionByName(more_log(spark, d)).select("id", tm.tag_labels(F.col("t")).alias("labels"))
+
+
+@query("h9_classify_intent", f"WITH {LOG} SELECT id, CASE {RULES} ELSE 'none' END AS intent FROM ({MESSAGES} FROM log)")
 def h9(spark, d):
     return log(spark, d).select("id", tm.classify_intent(F.col("t"), F.col("prev")).alias("intent"))
 
 
-@query("h9_conversation_intents", f"SELECT intent, count(*) AS n FROM (SELECT CASE {RULES} ELSE 'none' END AS intent FROM (SELECT text AS t, turn > 1 AS prev FROM conversations WHERE role = 'user')) GROUP BY intent")
+@query("h9_conversation_intents", f"SELECT intent, count(*) AS n FROM (SELECT CASE {RULES} ELSE 'none' END AS intent FROM ({MESSAGES} FROM (SELECT text AS t, turn > 1 AS prev FROM conversations WHERE role = 'user'))) GROUP BY intent")
 def h9b(spark, d):
     u = b.turns(spark, d).filter("role = 'user'")
     return u.groupBy(tm.classify_intent(F.col("text"), F.col("turn") > 1).alias("intent")).agg(F.count(F.lit(1)).alias("n"))
@@ -88,6 +116,25 @@ def h10b(spark, d):
     return log(spark, d).select("id", tm.edit_request(F.col("t")).alias("r")).select("id", "r.*")
 
 
+PLACES_SQL = f"list_distinct(list_concat(list_filter([{', '.join(f'CASE WHEN contains(m, ' + chr(39) + ' ' + w + ' ' + chr(39) + f') THEN {n} END' for w, n in tm.ORDINALS.items())}], lambda x: x IS NOT NULL), list_transform(regexp_extract_all(t, '\\b(\\d{{1,3}})\\b', 1), lambda x: CAST(x AS INTEGER))))"
+
+
+@query("h10_photo_places", f"WITH {LOG}, {MORE_LOG} SELECT id, list_sort({PLACES_SQL}) AS places FROM ({MESSAGES} FROM (SELECT id, t FROM log UNION ALL SELECT id, t FROM more))")
+def h10c(spark, d):
+    return log(spark, d).select("id", "t").unionByName(more_log(spark, d)).select("id", F.array_sort(tm.photo_places(F.col("t"))).alias("places"))
+
+
+@query("h10_create_request", f"""WITH {MORE_LOG} SELECT id, CASE WHEN regexp_matches(m, '{tm.MAKE_IMAGE}') THEN 'image' WHEN regexp_matches(m, '{tm.MAKE_VIDEO}') THEN 'video' END AS kind,
+    CASE WHEN regexp_matches(m, '{tm.MAKE_IMAGE}') THEN 'tall' WHEN regexp_matches(m, '{tm.MAKE_VIDEO}') THEN 'vertical' END AS shape FROM ({MESSAGES} FROM more)""")
+def h10d(spark, d):
+    return more_log(spark, d).select("id", tm.create_request(F.col("t")).alias("r")).select("id", "r.kind", "r.shape")
+
+
+@query("h10_selection_name", f"WITH {MORE_LOG} SELECT id, CASE WHEN t LIKE 'save%' THEN regexp_extract(t, 'as my (.*) album', 1) ELSE '' END AS name FROM more")
+def h10e(spark, d):
+    return more_log(spark, d).select("id", tm.selection_name(F.col("t")).alias("name"))
+
+
 FILLERS = ", ".join(f"'{w}'" for w in tm.FILLER)
 
 

@@ -6,7 +6,8 @@ import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
-from mediaframe.functions import geo, media, textmine, vectors
+from mediaframe.functions import geo, media, pixels, textmine, vectors
+from mediaframe.functions.timewords import find_time
 from mediaframe.operators import catalog, detections, evaluation, lookalikes, places, search, selections
 
 
@@ -99,24 +100,30 @@ def test_metrics_with_unknown_judgements(spark):
 
 
 def test_windows(spark):
-    cases = {3.2: [(0.0, 3.2)], 10.0: [(0.0, 10.0)], 23.0: [(0.0, 10.0), (5.0, 15.0), (10.0, 20.0), (13.0, 23.0)], 10.5: [(0.0, 10.5)]}
+    cases = {4.4: [(0.0, 4.4)], 10.0: [(0.0, 10.0)], 17.5: [(0.0, 10.0), (5.0, 15.0), (7.5, 17.5)], 10.7: [(0.0, 10.7)]}
     df = spark.createDataFrame([(d,) for d in cases], "d double").select("d", media.plan_windows(F.col("d"), 10.0, 5.0).alias("w"))
     assert {r.d: [(w.start_s, w.end_s) for w in r.w] for r in df.collect()} == cases
-    long = spark.createDataFrame([(3600.0,), (40.023,)], "d double").select("d", F.size(media.plan_windows(F.col("d"), 10.0, 10.0)).alias("n"))
-    assert {r.d: r.n for r in long.collect()} == {3600.0: 360, 40.023: 4}
+    long = spark.createDataFrame([(1800.0,), (50.3,)], "d double").select("d", F.size(media.plan_windows(F.col("d"), 10.0, 10.0)).alias("n"))
+    assert {r.d: r.n for r in long.collect()} == {1800.0: 180, 50.3: 5}
 
 
-TODAY = dt.date(2026, 10, 20)
+TODAY = dt.date(2031, 5, 14)  # a Wednesday
 
 
-@pytest.mark.parametrize(("text", "want"), [
-    ("photos from 2019 to 2021", ("2019-01-01", "2022-01-01", [])), ("since march 2024", ("2024-03-01", "2026-10-21", [])), ("beach last summer", ("2026-06-01", "2026-09-01", [])),
-    ("from yesterday", ("2026-10-19", "2026-10-20", [])), ("last month", ("2026-09-01", "2026-10-01", [])), ("this week", ("2026-10-19", "2026-10-21", [])), ("in winter", ("", "", [12, 1, 2])),
-    ("in december", ("", "", [12])), ("may 2023", ("2023-05-01", "2023-06-01", [])), ("dogs in 2022", ("2022-01-01", "2023-01-01", [])), ("last december", ("2025-12-01", "2026-01-01", [])),
-    ("you may go", None), ("the march of dogs", None), ("summer dress", None), ("room 20199", None), ("spring 2020", ("2020-03-01", "2020-06-01", [])),
+@pytest.mark.parametrize(("text", "want", "label", "rest"), [
+    ("boats from 2003 until 2001", ("2001-01-01", "2004-01-01", []), "from 2001 to 2003", "boats"), ("kites since june 2017", ("2017-06-01", "2031-05-15", []), "since June 2017", "kites"),
+    ("kites since 2017", ("2017-01-01", "2031-05-15", []), "since 2017", "kites"), ("what was yesterday?", ("2031-05-13", "2031-05-14", []), "from yesterday", "what was?"),
+    ("snow from last winter", ("2030-12-01", "2031-03-01", []), "from winter 2030–2031 (December–February)", "snow"), ("last autumn", ("2030-09-01", "2030-12-01", []), "from autumn 2030 (September–November)", ""),
+    ("last month", ("2031-04-01", "2031-05-01", []), "from last month (April 2031)", ""), ("this week", ("2031-05-12", "2031-05-15", []), "from this week", ""), ("past year", ("2030-05-15", "2031-05-15", []), "from the last 365 days", ""),
+    ("this year", ("2031-01-01", "2032-01-01", []), "from this year (2031)", ""), ("boats in the fall", ("", "", [9, 10, 11]), "from fall (any year)", "boats"), ("during january", ("", "", [1]), "from January (any year)", ""),
+    ("may 2029", ("2029-05-01", "2029-06-01", []), "from May 2029", ""), ("geese shot in sept 2018 here", ("2018-09-01", "2018-10-01", []), "from September 2018", "geese here"), ("in sept", ("", "", [9]), "from September (any year)", ""),
+    ("last may", ("2030-05-01", "2030-06-01", []), "from May 2030", ""), ("cows in 1998", ("1998-01-01", "1999-01-01", []), "from 1998", "cows"), ("spring of 2020", ("2020-03-01", "2020-06-01", []), "from spring 2020 (March–May)", ""),
+    ("you may sit", None, None, None), ("the march of ants", None, None, None), ("spring dress", None, None, None), ("room 20199", None, None, None), ("on may day", None, None, None), ("", None, None, None),
 ])
-def test_time_phrases(text, want):
+def test_time_phrases(text, want, label, rest):
     assert textmine.time_phrase(text, TODAY) == want
+    found = find_time(text, TODAY)
+    assert (found.label, found.rest) == (label, rest) if want else found is None
 
 
 def test_intents_and_tags(spark):
@@ -131,8 +138,26 @@ def test_intents_and_tags(spark):
     assert [r.c for r in c] == ["car", "dogs", "me"]
 
 
+def test_more_requests(spark):
+    rows = [("is this not a dog?", True), ("please save those as the Alps album", True), ("save the day", True), ("draw a wide picture of a cow", False), ("make a reel of those", False), ("take out the bin", False), ("swap the cow for a horse", True),
+            ("swap the cow for a horse", False), ("what do you see in the second one", True), ("tell me about dogs", True), ("more rain or sun", False), ("help", False)]
+    df = spark.createDataFrame(rows, "t string, prev boolean")
+    t = F.col("t")
+    got = df.select(textmine.classify_intent(t, F.col("prev")).alias("i"), textmine.create_request(t).alias("c"), textmine.selection_name(t).alias("s"), textmine.photo_places(t).alias("p")).collect()
+    assert [r.i for r in got] == ["explain", "save", "none", "create", "create", "edit", "edit", "none", "describe", "none", "none", "chat"]
+    assert got[1].s == "Alps" and tuple(got[3].c) == ("image", "wide") and tuple(got[4].c) == ("video", "vertical") and got[8].p == [2] and got[0].c is None
+    flags = spark.createDataFrame([("two puppies",), ("a puppy",), ("the bus",), ("buses",), ("three benches",), ("sheep",), ("boxes",)], "t string").select(textmine.is_plural(t).alias("p")).collect()
+    assert [r.p for r in flags] == [True, False, False, True, True, True, False]
+
+
+def test_colours_at_their_limits():
+    at = lambda c, h, s, v: bool(pixels.of_colour(np.array([h]), np.array([s]), np.array([v]), c)[0])
+    assert at("red", 240.5, 110.5, 60.5) and not at("purple", 240.5, 200, 200) and at("purple", 240, 71, 51) and not at("red", 240, 200, 200)
+    assert at("orange", 10, 121, 91) and not at("orange", 26, 121, 91) and not at("blue", 150, 80, 200) and at("grey", 0, 39, 190) and at("white", 0, 39, 191) and at("black", 9, 255, 49)
+
+
 def test_places(spark):
-    known = spark.createDataFrame([(1, "Calangute, Goa, India"), (2, "Paris, France"), (3, "São Paulo, Brazil"), (4, None)], "asset_id long, place string")
+    known = spark.createDataFrame([(1, "Palolem, Goa, India"), (2, "Paris, France"), (3, "São Paulo, Brazil"), (4, None)], "asset_id long, place string")
     assert {r.asset_id for r in places.within(known, "Goa, India").collect()} == {1}
     rows = spark.createDataFrame([(1, "everything from goa"), (2, "photos in sao paulo"), (3, "Paris sunsets"), (4, "from nowhere")], "id long, t string")
     assert {r.id: r.name for r in textmine.extract_place(rows, "t", known, "id").collect()} == {1: "Goa", 2: "São Paulo", 3: "Paris"}
