@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute
 from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import attach, keyed, runs_for, stage
@@ -275,31 +275,63 @@ def _emit_signatures(shared: Broadcast, num: int):
     return run
 
 
-def _emit_deep(num: int, k: int, most: int = 200_000):
-    """sig, ent, n, single of the k-combinations of whole sets (ent, tokens), all tokens in the order of their hashes."""
+def size_classes(n: int, most: int) -> list[int]:
+    """Upper bounds, by steps of a quarter, of the classes that sizes from n to most are in."""
+    out, bound = [], 4
+    while not out or out[-1] < most:
+        if bound >= n:
+            out.append(bound)
+        bound = max(bound + 1, bound * 5 // 4)
+    return out
+
+
+def group_signatures(h: np.ndarray, bound: int, num: int) -> tuple[np.ndarray, int]:
+    """A hash of all tokens of each hash group, and how many of them a set has to index.
+
+    Links of sets of up to `bound` tokens differ in at most d tokens, so of 2 (d + 1) groups at least
+    d + 2 hold the same tokens in both. If all sets order their groups alike, those in which both
+    are the same cannot all lie behind the first d + 1 of either: these meet."""
+    d = 2 * bound * (100 - num) // (100 + num)
+    groups = 2 * (d + 1)
+    sums = np.zeros(groups, np.uint64)
+    np.add.at(sums, ((h >> np.uint64(20)) % np.uint64(groups)).astype(np.int64), mix(h * MIX + np.uint64(bound)))
+    return mix(sums + np.arange(1, groups + 1, dtype=np.uint64) * MIX + np.uint64(bound)), d + 1
+
+
+def _emit_deep(num: int, most: int = 200_000):
+    """sig, ent, n, single, bound, need: the group signatures of whole sets (ent, tokens), for their
+    own size and for all larger ones that they may meet."""
+    def rows(held: list[tuple]) -> pa.RecordBatch:
+        sigs, of = np.concatenate([x[0] for x in held]), np.repeat(np.arange(len(held)), [len(x[0]) for x in held])
+        ent, n, bound, need = (np.array([x[k] for x in held])[of] for k in range(1, 5))
+        return pa.RecordBatch.from_arrays([pa.array(sigs.view(np.int64)), pa.array(ent), pa.array(n.astype(np.int32)), pa.array(np.zeros(len(of), bool)), pa.array(bound.astype(np.int32)), pa.array(need.astype(np.int32))],
+                                          names=["sig", "ent", "n", "single", "bound", "need"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, count = [], 0
         for batch in batches:
-            held, owner, sizes, count = [], [], [], 0
             for e, blob in zip(batch.column("ent").to_pylist(), batch.column("tokens"), strict=True):
                 h = np.frombuffer(blob.as_buffer(), np.uint64)
-                n = len(h)
-                for x in deep_signatures(h, n, n - -(-num * n // 100) + 1, num, k):
-                    held.append(x)
-                    owner.append(np.full(len(x), e, np.int64))
-                    sizes.append(np.full(len(x), n, np.int32))
-                    count += len(x)
+                for bound in size_classes(len(h), len(h) * 100 // num):
+                    sigs, need = group_signatures(h, bound, num)
+                    held.append((sigs, e, len(h), bound, need))
+                    count += len(sigs)
                 if count >= most:
-                    yield _deep_rows(held, owner, sizes)
-                    held, owner, sizes, count = [], [], [], 0
-            if count:
-                yield _deep_rows(held, owner, sizes)
+                    yield rows(held)
+                    held, count = [], 0
+        if held:
+            yield rows(held)
 
     return run
 
 
-def _deep_rows(held: list[np.ndarray], owner: list[np.ndarray], sizes: list[np.ndarray]) -> pa.RecordBatch:
-    sig = np.concatenate(held).view(np.int64)
-    return pa.RecordBatch.from_arrays([pa.array(sig), pa.array(np.concatenate(owner)), pa.array(np.concatenate(sizes)), pa.array(np.zeros(len(sig), bool))], names=["sig", "ent", "n", "single"])
+def _rarest(deep: DataFrame) -> DataFrame:
+    """Of each set the group signatures that it has to index, the rarest ones: what many share, such
+    as a passage, comes last. A signature of many rows meets its count by salted keys."""
+    counts = deep.groupBy("sig").agg(F.count(F.lit(1)).alias("c"))
+    w = Window.partitionBy("ent", "bound").orderBy("c", "sig")
+    rare = attach(deep, counts, ["sig"], F.xxhash64("ent"), runs_for(deep.count())).withColumn("place", F.row_number().over(w))
+    return stage(rare.filter("place <= need and c > 1").select("sig", "ent", "n", "single"), "rarest")
 
 
 def _emit_sets(shared: Broadcast):
@@ -416,17 +448,18 @@ def joining(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 def components(links: DataFrame, most: int = 60) -> DataFrame:
     """node, comp (its smallest reachable node) of links a < b, for nodes with links but the smallest
     ones. Alternating large-star and small-star steps; each round is a staged table. The smallest
-    neighbour of a node is a partial aggregate, and goes back to the edges by a join that can split
-    the edges of a hub; no node's edges have to meet in one task."""
+    neighbour of a node is a partial aggregate, and goes back to the edges by salted keys; the edges
+    of a hub never meet in one task."""
     edges = stage(links.select(F.col("b").alias("u"), F.col("a").alias("v")).distinct(), "edges")
     before = _stamp(edges)
     for _ in range(most):
+        salts = runs_for(before[0], 1024)
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy(F.col("u").alias("v")).agg(F.min("v").alias("m")).select("v", F.least("v", "m").alias("m"))
-        large = stage(edges.join(low.hint("merge"), "v").select("u", F.col("m").alias("v")).distinct(), "edges")
+        large = stage(attach(edges, low, ["v"], F.xxhash64("u"), salts).select("u", F.col("m").alias("v")).distinct(), "edges")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least.hint("merge"), "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
-        edges = stage(small, "edges")
+        small = attach(large, least, ["u"], F.xxhash64("v"), salts)
+        edges = stage(small.select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")), "edges")
         after = _stamp(edges)
         if before == after:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("comp"))
@@ -491,6 +524,18 @@ def _met(small: DataFrame, num: int) -> DataFrame:
     return met.filter(~F.col("single") | (F.col("s") >= needed)).select("a", "b")
 
 
+def _stars(large: DataFrame) -> DataFrame:
+    """Each member of a bucket with the bucket's leader."""
+    return large.filter("ent != lead").select(F.col("lead").alias("a"), F.col("ent").alias("b")).distinct()
+
+
+def _unresolved(large: DataFrame, comps: DataFrame) -> DataFrame:
+    """Buckets that hold more than one component."""
+    own = large.join(comps.hint("merge"), F.col("ent") == F.col("node"), "left").withColumn("comp", F.coalesce("comp", "ent"))
+    ends = own.groupBy("sig").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low != high").select("sig")
+    return large.join(stage(ends, "open").hint("merge"), "sig", "left_semi")
+
+
 def _family_tiles(stars: DataFrame, sizes: DataFrame, comps: DataFrame, most_tokens: int = 1 << 21) -> DataFrame:
     """Families are the entities that the largest buckets connect. Of each family that has several
     components: its members in the tiles where they meet those of other components. Members of the
@@ -503,8 +548,8 @@ def _family_tiles(stars: DataFrame, sizes: DataFrame, comps: DataFrame, most_tok
     facts = each.groupBy("fam").agg(F.count(F.lit(1)).alias("kinds"), F.sum("c").alias("all"), F.max("n").alias("long"), F.max(F.struct("c", "comp")).alias("main"))
     tile = F.least(F.greatest(F.col("all") / 6, F.lit(128)), F.lit(2048), F.greatest(F.lit(most_tokens) / F.col("long"), F.lit(16)))
     facts = facts.filter("kinds > 1").select("fam", F.col("main.comp").alias("main"), F.ceil(F.col("main.c") / tile).cast("int").alias("ta"), F.ceil((F.col("all") - F.col("main.c")) / tile).cast("int").alias("tb"))
-    # AQE splits a family's members; the facts are one row.
-    placed = own.join(facts.hint("merge"), "fam").withColumn("inner", F.col("comp") == F.col("main"))
+    # The facts are one row of a staged table, so that AQE can split a family's members.
+    placed = own.join(stage(facts, "families").hint("merge"), "fam").withColumn("inner", F.col("comp") == F.col("main"))
     placed = placed.withColumn("own", F.pmod(F.xxhash64("ent"), F.when(F.col("inner"), F.col("ta")).otherwise(F.col("tb"))).cast("int"))
     # Tiles of the main component have negative numbers.
     placed = placed.withColumn("own", F.when(F.col("inner"), -1 - F.col("own")).otherwise(F.col("own")))
@@ -514,16 +559,17 @@ def _family_tiles(stars: DataFrame, sizes: DataFrame, comps: DataFrame, most_tok
                       F.when(F.col("own") == F.col("other"), -1).when(F.col("own") < F.col("other"), 0).otherwise(1).alias("side"))
 
 
-def find_links(slim: DataFrame, num: int, least: int, bucket: int = 64, depth: int = 4, hot_rows: int = 100_000) -> tuple[DataFrame, DataFrame, DataFrame]:
+def find_links(slim: DataFrame, num: int, least: int, bucket: int = 64, hot_rows: int = 100_000) -> tuple[DataFrame, DataFrame, DataFrame]:
     """entities (ent, low, slot, n), described (_id, ent, n, by document) and comps (node, comp) of entities.
 
     All links whose signatures meet in buckets of up to `bucket` entities are verified; that limit
-    does not depend on the corpus. Entities of larger buckets are indexed again, by combinations of
-    `depth` tokens of their whole sets: documents that only share a passage then part, and links
-    meet in the smaller buckets. What is in larger ones still are families of much the same text.
-    Members are compared with the leader of each bucket, and what is in different components after
-    that by tiles, in which all sets are compared and as many links returned as join components.
-    So components are exact, and no step makes all pairs of a group.
+    does not depend on the corpus. In larger buckets each entity is compared with the bucket's leader.
+    Where that leaves several components, the entities are indexed again, by combinations of all
+    tokens of a hash group, the rarest first: documents that only share a passage then part, and
+    links meet in the smaller buckets. What is in larger ones still are families of much the same text:
+    again members are compared with leaders, and what is in different components after that by
+    tiles, in which all sets are compared and as many links returned as join components. So
+    components are exact, and no step makes all pairs of a group.
     """
     total = int(slim.agg(F.sum(F.length("_text"))).first()[0] or 0) // 6
     classes = count_tokens(slim, total, least)
@@ -537,32 +583,32 @@ def find_links(slim: DataFrame, num: int, least: int, bucket: int = 64, depth: i
         raise RuntimeError("two sets of shingles have one name of 64 bits: use another width")
 
     buckets = _buckets(emitted.filter("sig is not null").select("sig", "ent", "n", "single"), hot_rows)
-    small, large = buckets.filter(F.col("m") <= bucket), buckets.filter(F.col("m") > bucket)
-    pairs = stage(_met(small, num), "pairs")
-    crowd = stage(large.select("ent").distinct(), "crowd")
-    ents = pairs.select(F.col("a").alias("ent")).unionByName(pairs.select(F.col("b").alias("ent"))).unionByName(crowd).distinct()
+    large = buckets.filter(F.col("m") > bucket)
+    pairs = stage(_met(buckets.filter(F.col("m") <= bucket), num).unionByName(_stars(large)).distinct(), "pairs")
+    ents = pairs.select(F.col("a").alias("ent")).unionByName(pairs.select(F.col("b").alias("ent"))).distinct()
     sets = _fetch_sets(slim, entities, ents)
     links = stage(_linked(pairs, sets, num), "links")
-    if crowd.isEmpty():
-        return entities, described, components(links)
+    comps = components(links)
 
-    deep = stage(sets.join(crowd.hint("merge"), "ent", "left_semi").mapInArrow(_emit_deep(num, depth), "sig long, ent long, n int, single boolean"), "signatures")
-    buckets = _buckets(deep, hot_rows)
-    small, large = buckets.filter(F.col("m") <= bucket), buckets.filter(F.col("m") > bucket)
-    stars = stage(large.filter("ent != lead").select(F.col("lead").alias("a"), F.col("ent").alias("b")).distinct(), "stars")
-    more = _met(small, num).unionByName(stars).distinct().join(pairs.hint("merge"), ["a", "b"], "left_anti")
+    crowd = stage(_unresolved(large, comps).select("ent").distinct(), "crowd")
+    if crowd.isEmpty():
+        return entities, described, comps
+    deep = stage(sets.join(crowd.hint("merge"), "ent", "left_semi").mapInArrow(_emit_deep(num), "sig long, ent long, n int, single boolean, bound int, need int"), "signatures")
+    buckets = _buckets(_rarest(deep), hot_rows)
+    large = buckets.filter(F.col("m") > bucket)
+    more = _met(buckets.filter(F.col("m") <= bucket), num).unionByName(_stars(large)).distinct().join(pairs.hint("merge"), ["a", "b"], "left_anti")
     links = links.unionByName(stage(_linked(stage(more, "pairs"), sets, num), "links"))
     comps = components(links)
+
+    stars = stage(_stars(_unresolved(large, comps)), "stars")
     if stars.isEmpty():
         return entities, described, comps
     tiles = stage(_family_tiles(stars, entities.select("ent", "n"), comps), "tiles")
-    if tiles.isEmpty():
-        return entities, described, comps
     found = tiles.join(sets.hint("merge"), "ent").groupBy("fam", "t1", "t2").applyInArrow(_tile(num), "a long, b long")
     return entities, described, components(links.unionByName(stage(found, "links")))
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, num: int = 80, least: int = 32, bucket: int = 64, depth: int = 4, hot_rows: int = 100_000) -> DataFrame:
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, num: int = 80, least: int = 32, bucket: int = 64, hot_rows: int = 100_000) -> DataFrame:
     """id, n_shingles, component_id (the smallest id reachable by links, its own included), one row
     for each row of docs. Two documents link when num / 100 of the union of their shingle sets is
     common (num >= 60). The join is exact up to collisions of 64-bit hashes of single shingles;
@@ -575,7 +621,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     frequent tokens and bitmaps that are broadcast have fixed size bounds.
     """
     slim = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("binary").alias("_text"), F.pmod(F.xxhash64(id_col), F.lit(SLOTS)).cast("int").alias("_slot"), F.lit(width).alias("_width"))
-    entities, described, comps = find_links(slim, num, least, bucket, depth, hot_rows)
+    entities, described, comps = find_links(slim, num, least, bucket, hot_rows)
     named = entities.filter("n > 0").join(comps.hint("merge"), entities["ent"] == comps["node"], "left").select("ent", "low", F.coalesce("comp", "ent").alias("comp"))
     lowest = named.groupBy("comp").agg(F.min("low").alias("component_id"))
     found = named.join(lowest.hint("merge"), "comp").select("ent", "component_id")

@@ -116,6 +116,10 @@ def test_sets_that_link_share_a_signature():
             if len(x) and len(y) and 100 * both >= 80 * (len(x) + len(y) - both) and min(len(x), len(y)) >= 4:
                 a, b = (np.concatenate(jaccard_join.deep_signatures(s, len(s), len(s) - -(-80 * len(s) // 100) + 1, 80, k)) for s in (x, y))
                 assert len(np.intersect1d(a, b)) or max(len(x), len(y)) < 5
+                bound = (set(jaccard_join.size_classes(len(x), len(x) * 5 // 4)) & set(jaccard_join.size_classes(len(y), len(y) * 5 // 4)))
+                (a, need), (b, _) = (jaccard_join.group_signatures(s, min(bound), 80) for s in (x, y))
+                order = {s: rng.random() for s in np.union1d(a, b).tolist()}  # any order that all sets share
+                assert set(sorted(a.tolist(), key=order.get)[:need]) & set(sorted(b.tolist(), key=order.get)[:need])
 
 
 def test_common_tokens_and_joining_edges():
