@@ -107,8 +107,9 @@ def multi_label(boxes: DataFrame, labels: list[str], sure: float = SURE, cap_sur
     b = boxes.filter(F.col("label").isin(labels) & (F.col("score") >= KEEP))
     per = b.groupBy("content_hash", "label").agg(F.max("score").alias("best"), F.count_if(F.col("score") >= sure).alias("n"))
     one = per.groupBy("content_hash").agg(F.min(F.struct((F.col("n") == 0).alias("maybe"), order[F.col("label")].alias("o"), (-F.col("n")).alias("neg"), (-F.col("best")).alias("negb"))).alias("k"))
-    w = Window.partitionBy("k.maybe").orderBy("k", "content_hash")
-    return one.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= F.when(F.col("k.maybe"), cap_maybe).otherwise(cap_sure)).select("content_hash", F.col("k.maybe").alias("maybe"), "place")
+    place = F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("k", "content_hash"))  # of the few that are left
+    parts = [one.filter(F.col("k.maybe") == m).orderBy("k", "content_hash").limit(cap).withColumn("place", place) for m, cap in ((False, cap_sure), (True, cap_maybe))]
+    return parts[0].unionByName(parts[1]).select("content_hash", F.col("k.maybe").alias("maybe"), "place")
 
 
 def example_per_label(boxes: DataFrame, labels: int = 6, sure: float = SURE) -> DataFrame:

@@ -58,10 +58,9 @@ def latency_percentiles(rows: DataFrame, by: str, value: str) -> DataFrame:
 def peak_envelope(samples: DataFrame, buckets: int) -> DataFrame:
     """source, bucket, peak: largest |x| of near-equal runs (the first ones a sample longer), over the
     source's peak. samples: source, i (0-based), x."""
-    from pyspark.sql import Window
-
-    n = F.count(F.lit(1)).over(Window.partitionBy("source"))
-    s = samples.withColumn("n", n).withColumn("q", F.expr(f"n div {buckets}")).withColumn("r", F.expr(f"n % {buckets}"))
+    sizes = samples.groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+    s = samples.join(sizes.hint("merge"), "source").withColumn("q", F.expr(f"n div {buckets}")).withColumn("r", F.expr(f"n % {buckets}"))
     bucket = F.when(F.col("i") < F.col("r") * (F.col("q") + 1), F.expr("i div (q + 1)")).otherwise(F.col("r") + F.expr("(i - r * (q + 1)) div greatest(q, 1)"))
     peaks = s.groupBy("source", bucket.alias("bucket")).agg(F.max(F.abs("x")).alias("peak"))
-    return peaks.withColumn("peak", F.col("peak") / F.max("peak").over(Window.partitionBy("source")))
+    top = peaks.groupBy("source").agg(F.max("peak").alias("top"))  # of a few buckets a source
+    return peaks.join(top.hint("merge"), "source").select("source", "bucket", (F.col("peak") / F.col("top")).alias("peak"))

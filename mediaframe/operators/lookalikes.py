@@ -13,6 +13,7 @@ def stars(pairs: DataFrame, spark: SparkSession) -> DataFrame:
     its free neighbours. That is the first maximal independent set in this order: each round, a
     photo with an earlier leader next to it is out, and one whose earlier neighbours are all out
     leads. A member joins its earliest leader."""
+    pairs = staged(pairs)  # the join that finds them runs once
     edges = pairs.select(F.col("a").alias("u"), F.col("b").alias("v"), "similarity").unionByName(pairs.select(F.col("b").alias("u"), F.col("a").alias("v"), "similarity"))
     degree = edges.groupBy("u").agg(F.count(F.lit(1)).alias("n"))
     order = F.struct((-F.col("n")).alias("neg"), F.col("u").alias("id"))

@@ -6,10 +6,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import dot, is_valid
+from .blocks import best_of, block_product, matrix
 
 
 def restrict(rows: DataFrame, only: DataFrame, key: str = "asset_id") -> DataFrame:
@@ -21,11 +23,17 @@ def exclude(rows: DataFrame, ids: DataFrame, key: str = "asset_id") -> DataFrame
 
 
 def searchable(vectors: DataFrame, assets: DataFrame, libraries: list | None = None, key: str = "asset_id") -> DataFrame:
-    """Vectors of indexed assets; vectors of more than one dimension are an error."""
+    """Vectors of indexed assets; vectors of more than one dimension are an error (when the result is
+    computed). The dimension is that of the first vector, so the check needs no pass of its own."""
     kept = assets.filter(F.col("status") == "indexed")
     if libraries is not None:
         kept = kept.filter(F.col("library_id").isin(libraries))
-    return vectors.join(kept.select(key), key, "left_semi")
+    found = vectors.join(kept.select(key), key, "left_semi")
+    some = found.select(F.size("vector")).first()
+    if some is None:
+        return found
+    same = F.assert_true(F.size("vector") == F.lit(some[0]), F.lit("vectors of more than one dimension"))
+    return found.filter(same.isNull())
 
 
 def score(vectors: DataFrame, query: list[float] | Column, name: str = "similarity") -> DataFrame:
@@ -39,65 +47,101 @@ def cosine_topk(vectors: DataFrame, query: list[float], k: int, id_col: str = "a
     return score(vectors, query).orderBy(F.desc("similarity"), id_col).limit(k)
 
 
-def batch_topk(queries: DataFrame, vectors: DataFrame, k: int, query_id: str = "query_id", id_col: str = "asset_id", block: int = 256, others_to: float | None = None) -> DataFrame:
-    """Top k of every query against all vectors; with others_to, only against those of another id
-    and a similarity of others_to or less, which is looked at before the k are kept. Both sides are dealt into blocks; each pair of
-    blocks is one task's matrix product that keeps k rows of a query, and the final k are merged.
-    The queries are repeated once for each block of vectors, so neither side is broadcast."""
-    n_blocks = max(1, vectors.sparkSession.sparkContext.defaultParallelism)
-    q = (queries.select(F.col(query_id).alias("q"), F.col("vector").alias("v")).withColumn("qb", F.pmod(F.xxhash64("q"), F.lit(n_blocks)).cast("int"))
-         .withColumn("vb", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))))
-    v = (vectors.select(F.col(id_col).alias("i"), F.col("vector").alias("v")).withColumn("vb", F.pmod(F.xxhash64("i"), F.lit(n_blocks)).cast("int"))
-         .withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))))
-    kinds = dict(queries.select(F.col(query_id).alias("q")).dtypes)["q"], dict(vectors.select(F.col(id_col).alias("i")).dtypes)["i"]
-
-    def product(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if not len(a) or not len(b):
-            return pd.DataFrame({"q": [], "i": [], "similarity": []})
-        out = []
-        b = b.sort_values("i")
-        right = np.stack(b["v"].to_numpy()).astype(np.float64)
-        ids = b["i"].to_numpy()
-        for at in range(0, len(a), block):
-            part = a.iloc[at: at + block]
-            s = np.stack(part["v"].to_numpy()).astype(np.float64) @ right.T
+def batch_topk(queries: DataFrame, vectors: DataFrame, k: int, query_id: str = "query_id", id_col: str = "asset_id", rows: int = 8192, others_to: float | None = None) -> DataFrame:
+    """Top k of every query against all vectors, ties by id; with others_to, only among those of
+    another id and a similarity of others_to or less. Each pair of blocks keeps k rows of a query,
+    and the final k are merged."""
+    q, v = queries.select(F.col(query_id).alias("q"), "vector"), vectors.select(F.col(id_col).alias("i"), "vector")
+    kinds = dict(q.dtypes)["q"], dict(v.dtypes)["i"]
+
+    def kernel(a: pa.Table, b: pa.Table) -> pa.Table:
+        b = b.sort_by("i")
+        right, ids, names = matrix(b).T, b["i"].to_numpy(), a["q"].to_numpy()
+        left, out = matrix(a), []
+        for at in range(0, len(left), 512):
+            s, own = left[at: at + 512] @ right, names[at: at + 512]
             if others_to is not None:
-                s[(s > others_to) | (part["q"].to_numpy()[:, None] == ids)] = -np.inf
-            best = np.argsort(-s, axis=1, kind="stable")[:, :k]
-            out.append(pd.DataFrame({"q": np.repeat(part["q"].to_numpy(), best.shape[1]), "i": ids[best].ravel(), "similarity": np.take_along_axis(s, best, 1).ravel()}))
-        found = pd.concat(out)
-        return found if others_to is None else found[found["similarity"] > -np.inf]
+                s[(s > others_to) | (own[:, None] == ids)] = -np.inf
+            row, col = best_of(s, k)
+            out.append((own[row], ids[col], s[row, col]))
+        x, y, z = (np.concatenate(c) for c in zip(*out, strict=True))
+        return pa.table({"q": x, "i": y, "similarity": z})
 
-    partial = q.groupBy("qb", "vb").cogroup(v.groupBy("qb", "vb")).applyInPandas(product, f"q {kinds[0]}, i {kinds[1]}, similarity double")
+    partial = block_product(q, v, kernel, f"q {kinds[0]}, i {kinds[1]}, similarity double", "q", "i", rows)
     w = Window.partitionBy("q").orderBy(F.desc("similarity"), "i")
     return partial.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select(F.col("q").alias(query_id), F.col("i").alias(id_col), "similarity", "rank")
 
 
-def similarity_self_join(vectors: DataFrame, least: float, id_col: str = "asset_id", blocks: int | None = None) -> DataFrame:
-    """All pairs a < b with dot >= least, exactly: blocks meet each other once, as matrix products,
-    so that n x n is never held. Work is quadratic by nature; rows out are the pairs found."""
-    n = blocks or max(2, vectors.sparkSession.sparkContext.defaultParallelism // 2)
-    own = vectors.select(F.col(id_col).alias("i"), F.col("vector").alias("v")).withColumn("own", F.pmod(F.xxhash64("i"), F.lit(n)).cast("int"))
+def similarity_self_join(vectors: DataFrame, least: float, id_col: str = "asset_id", rows: int = 4096) -> DataFrame:
+    """All pairs a < b with dot >= least, exactly: blocks of `rows` rows meet each other once, as
+    matrix products. Work is quadratic by nature; rows out are the pairs found."""
+    n = max(1, -(-vectors.count() // rows))
+    own = vectors.select(F.col(id_col).alias("i"), "vector").withColumn("own", F.pmod(F.xxhash64("i"), F.lit(n)).cast("int"))
     spread = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("x", F.least("own", "other")).withColumn("y", F.greatest("own", "other"))
     kind = dict(own.dtypes)["i"]
 
-    def product(g: pd.DataFrame) -> pd.DataFrame:
-        m, ids, side = np.stack(g["v"].to_numpy()).astype(np.float64), g["i"].to_numpy(), g["own"].to_numpy()
-        left, right = np.flatnonzero(side == side.min()), np.flatnonzero(side == side.max())
+    def product(g: pa.Table) -> pa.Table:
+        m, ids, side = matrix(g), g["i"].to_numpy(), g["own"].to_numpy()
+        left, right = np.flatnonzero(side == g["x"][0].as_py()), np.flatnonzero(side == g["y"][0].as_py())
+        out = [(ids[:0], ids[:0], np.zeros(0))]
+        for at in range(0, len(left), 512):
+            part = left[at: at + 512]
+            s = m[part] @ m[right].T
+            i, j = np.nonzero(s >= least)
+            a, b, x = ids[part[i]], ids[right[j]], s[i, j]
+            if g["x"][0] == g["y"][0]:  # each pair once, none with itself
+                a, b, x = a[a < b], b[a < b], x[a < b]
+            out.append((np.minimum(a, b), np.maximum(a, b), x))
+        a, b, x = (np.concatenate(c) for c in zip(*out, strict=True))
+        return pa.table({"a": a, "b": b, "similarity": x})
+
+    return spread.groupBy("x", "y").applyInArrow(product, f"a {kind}, b {kind}, similarity double")
+
+
+def best_by_group(vectors: DataFrame, group: str, id_col: str = "asset_id", rows: int = 4096) -> DataFrame:
+    """id, same, other: the largest similarity to another vector of the same group, and to one of
+    another group (null if there is none). Blocks return a row for each vector, never pairs."""
+    v = vectors.select(F.col(id_col).alias("i"), F.col(group).alias("g"), "vector")
+    kind = dict(v.dtypes)["i"]
+
+    def kernel(a: pa.Table, b: pa.Table) -> pa.Table:
+        left, right, ia, ib, ga, gb = matrix(a), matrix(b).T, a["i"].to_numpy(), b["i"].to_numpy(), a["g"].to_numpy(), b["g"].to_numpy()
         out = []
         for at in range(0, len(left), 512):
-            rows = left[at: at + 512]
-            s = m[rows] @ m[right].T
-            a, b = np.nonzero(s >= least)
-            out.append(pd.DataFrame({"a": ids[rows[a]], "b": ids[right[b]], "similarity": s[a, b]}))
-        found = pd.concat(out) if out else pd.DataFrame({"a": [], "b": [], "similarity": []})
-        if g["x"].iloc[0] != g["y"].iloc[0]:
-            swap = found["a"] > found["b"]
-            found.loc[swap, ["a", "b"]] = found.loc[swap, ["b", "a"]].to_numpy()
-            return found if (side.min() != side.max()) else found.iloc[:0]
-        return found[found["a"] < found["b"]]
-
-    return spread.groupBy("x", "y").applyInPandas(product, f"a {kind}, b {kind}, similarity double")
+            now = slice(at, at + 512)
+            s = left[now] @ right
+            s[ia[now][:, None] == ib] = -np.inf
+            like = ga[now][:, None] == gb
+            out.append((ia[now], np.where(like, s, -np.inf).max(1), np.where(like, -np.inf, s).max(1)))
+        i, same, other = (np.concatenate(c) for c in zip(*out, strict=True))
+        return pa.table({"i": i, "same": same, "other": other})
+
+    found = block_product(v, v, kernel, f"i {kind}, same double, other double", "i", "i", rows)
+    best = lambda c: F.max(F.when(F.col(c) > F.lit(float("-inf")), F.col(c))).alias(c)
+    return found.groupBy(F.col("i").alias(id_col)).agg(best("same"), best("other"))
+
+
+def rank_of_truth(queries: DataFrame, windows: DataFrame, rows: int = 4096, slack: float = 1e-9) -> DataFrame:
+    """query, rank: of each query (query, truth, vector) 1 + the groups that are strictly better than
+    its true one, by the best window (grp, vector) of a group. The score of the truth comes by an
+    equi-join; blocks that hold whole groups then count the better ones. A query whose group has no
+    window has no rank; scores within `slack` are equal."""
+    own = queries.join(windows.select(F.col("grp").alias("truth"), F.col("vector").alias("w")).hint("merge"), "truth").groupBy("query", "truth").agg(F.max(dot("vector", "w")).alias("x"))
+    asked = queries.select("query", "vector").join(own.hint("merge"), "query").select("query", "truth", "x", "vector")
+    kind = dict(asked.dtypes)["query"]
+
+    def kernel(a: pa.Table, b: pa.Table) -> pa.Table:
+        b = b.sort_by("grp")
+        groups, right = b["grp"].to_numpy(), matrix(b).T
+        first = np.flatnonzero(np.concatenate([[True], groups[1:] != groups[:-1]]))
+        left, x, truth, better = matrix(a), a["x"].to_numpy(), a["truth"].to_numpy(), []
+        for at in range(0, len(left), 512):
+            now = slice(at, at + 512)
+            best = np.maximum.reduceat(left[now] @ right, first, axis=1)
+            better.append(((best > x[now][:, None] + slack) & (groups[first] != truth[now][:, None])).sum(1))
+        return pa.table({"query": a["query"], "better": np.concatenate(better)})
+
+    return block_product(asked, windows.select("grp", "vector"), kernel, f"query {kind}, better long", "query", "grp", rows).groupBy("query").agg((1 + F.sum("better")).alias("rank"))
 
 
 def best_window_per_asset(hits: DataFrame, limit: int | None = None) -> DataFrame:

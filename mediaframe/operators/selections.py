@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.staging import staged
+from .blocks import numbered
+
 
 def reorder(items: DataFrame, by: list[str]) -> DataFrame:
     return items.withColumn("position", F.row_number().over(Window.partitionBy("selection_id").orderBy(*by)))
@@ -45,6 +49,31 @@ def manifest(items: DataFrame) -> DataFrame:
 
 
 def free_names(files: DataFrame) -> DataFrame:
-    """id, name: later files of the same name (whatever the case) get " (2)", " (3)" and so on."""
-    n = F.row_number().over(Window.partitionBy(F.lower("stem"), F.lower("ext")).orderBy("id"))
-    return files.withColumn("n", n).select("id", F.when(F.col("n") == 1, F.concat("stem", "ext")).otherwise(F.concat("stem", F.lit(" ("), F.col("n"), F.lit(")"), "ext")).alias("name"))
+    """id, name: names that no two files share, whatever the case. In order of id, a file whose name
+    is taken gets " (2)", " (3)" and so on, the first that is free.
+
+    Names only meet where they have the same root (without numbers in brackets) and extension. Where
+    all files of a root have the same name, that is their number in order, by ranges of rows. Only
+    roots of several names ("a.jpg" and "a (2).jpg") are walked through one by one."""
+    root = F.concat(F.regexp_replace(F.lower("stem"), r"( \(\d+\))+$", ""), F.lower("ext"))
+    rows = files.select("id", "stem", "ext", root.alias("root"), F.lower(F.concat("stem", "ext")).alias("low"))
+    kinds = rows.groupBy("root").agg((F.min("low") != F.max("low")).alias("mixed"))
+    both = staged(rows.join(kinds.hint("merge"), "root"))
+    n = F.col("n")
+    plain = numbered(both.filter("not mixed"), ["low"], ["id"], "n").select("id", F.when(n == 1, F.concat("stem", "ext")).otherwise(F.concat("stem", F.lit(" ("), n, F.lit(")"), "ext")).alias("name"))
+
+    def walk(group: pd.DataFrame) -> pd.DataFrame:
+        taken, last, names = set(), {}, []
+        group = group.sort_values("id")
+        for stem, ext in zip(group["stem"], group["ext"], strict=True):
+            key = (stem + ext).lower()
+            n, name = last.get(key, 0) + 1, stem + ext
+            while (name := stem + ext if n == 1 else f"{stem} ({n}){ext}").lower() in taken:
+                n += 1
+            last[key] = n
+            taken.add(name.lower())
+            names.append(name)
+        return pd.DataFrame({"id": group["id"], "name": names})
+
+    kind = dict(files.dtypes)["id"]
+    return plain.unionByName(both.filter("mixed").groupBy("root").applyInPandas(walk, f"id {kind}, name string"))

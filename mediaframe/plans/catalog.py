@@ -9,6 +9,7 @@ from ..functions import geo
 from ..operators import catalog as c
 from ..operators import places as pl
 from ..operators import selections as sel
+from ..operators.blocks import numbered
 from ..registry import query
 from ..sources import bindings as b
 
@@ -97,11 +98,11 @@ def b14(spark, d):
     return b.selection_items(spark, d).groupBy(kind.alias("branch")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("b16_available_modes", "SELECT p_partkey AS mode, p_size % 2 = 0 AND p_size % 3 = 0 AS usable FROM part WHERE p_partkey <= 200")
+@query("b16_available_modes", "SELECT p_partkey AS mode, p_size % 2 = 0 AND p_size % 3 = 0 AS usable FROM part")
 def b16(spark, d):
     needs = F.array(F.concat(F.lit("two"), (F.col("p_size") % 2)), F.concat(F.lit("three"), (F.col("p_size") % 3)))
     loaded = F.array(F.lit("two0"), F.lit("three0"))
-    return b.read(spark, d, "part").filter("p_partkey <= 200").select(F.col("p_partkey").alias("mode"), F.forall(needs, lambda x: F.array_contains(loaded, x)).alias("usable"))
+    return b.read(spark, d, "part").select(F.col("p_partkey").alias("mode"), F.forall(needs, lambda x: F.array_contains(loaded, x)).alias("usable"))
 
 
 @query("c5_stale_libraries", "SELECT DISTINCT source AS library_id FROM documents WHERE source NOT IN (SELECT source FROM documents WHERE doc_id % 50 = 0)")
@@ -251,10 +252,16 @@ def e12(spark, d):
     return sel.free_names(b.read(spark, d, "orders").selectExpr("o_orderkey as id", "concat('Photo', o_custkey % 50) as stem", "'.jpg' as ext"))
 
 
+@query("e12_taken_names", """WITH f AS (SELECT s_suppkey AS id, s_suppkey // 6 AS g, s_suppkey % 6 AS k FROM supplier) SELECT id, concat('p', g, CASE k WHEN 0 THEN '.jpg' WHEN 1 THEN ' (2).jpg' WHEN 2 THEN ' (3).JPG' WHEN 3 THEN ' (2) (2).jpg' WHEN 4 THEN ' (4).jpg' ELSE '_.jpg' END) AS name FROM f""")
+def e12b(spark, d):
+    """Of each root: a.jpg, "a (2).jpg", A.JPG, "a (2).jpg", a.jpg and another name; two of them ask for names that are taken."""
+    stem = "case s_suppkey % 6 when 0 then '' when 1 then ' (2)' when 2 then '' when 3 then ' (2)' when 4 then '' else '_' end"
+    return sel.free_names(b.read(spark, d, "supplier").selectExpr("s_suppkey as id", f"concat('p', s_suppkey div 6, {stem}) as stem", "if(s_suppkey % 6 = 2, '.JPG', '.jpg') as ext"))
+
+
 @query("e13_systematic_sample", f"WITH {A}, r AS (SELECT asset_id, row_number() OVER (PARTITION BY library_id ORDER BY asset_id) AS rn FROM assets) SELECT asset_id FROM r WHERE rn % 10 = 1")
 def e13(spark, d):
-    w = Window.partitionBy("library_id").orderBy("asset_id")
-    return b.assets(spark, d).withColumn("rn", F.row_number().over(w)).filter("rn % 10 = 1").select("asset_id")
+    return numbered(b.assets(spark, d).select("library_id", "asset_id"), ["library_id"], ["asset_id"]).filter("rn % 10 = 1").select("asset_id")
 
 
 @query("e14_blind_order", f"WITH {b.JUDGED} SELECT query, candidate, row_number() OVER (PARTITION BY query ORDER BY sha256(concat(query, candidate))) AS place FROM judged WHERE rank <= 10")

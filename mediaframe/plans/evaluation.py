@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import evaluation as ev
+from ..operators.blocks import numbered
 from ..registry import query
 from ..sources import bindings as b
 
@@ -101,8 +102,8 @@ def d24(spark, d):
     k AS (SELECT source, CASE WHEN i < (n % 50) * (n // 50 + 1) THEN i // (n // 50 + 1) ELSE n % 50 + (i - (n % 50) * (n // 50 + 1)) // greatest(n // 50, 1) END AS bucket, max(abs(x)) AS peak FROM s GROUP BY 1, 2)
     SELECT source, bucket, round(peak / max(peak) OVER (PARTITION BY source), 6) AS peak FROM k""")
 def d27(spark, d):
-    w = Window.partitionBy("event_type").orderBy("event_id")
-    s = b.read(spark, d, "events").select(F.col("event_type").alias("source"), (F.row_number().over(w) - 1).cast("long").alias("i"), F.col("value").alias("x"))
+    e = numbered(b.read(spark, d, "events").select("event_type", "event_id", "value"), ["event_type"], ["event_id"])
+    s = e.select(F.col("event_type").alias("source"), (F.col("rn") - 1).cast("long").alias("i"), F.col("value").alias("x"))
     return ev.peak_envelope(s, 50).withColumn("peak", F.round("peak", 6))
 
 

@@ -97,11 +97,19 @@ def c20(spark, d):
     best AS (SELECT i, max(s) FILTER (copy) AS copy_s, max(s) FILTER (NOT copy) AS false_s FROM pair2 GROUP BY i), t AS (SELECT unnest([0.2, 0.3, 0.4]) AS threshold)
     SELECT CAST(threshold AS DOUBLE) AS threshold, avg(CAST(copy_s >= threshold AS INTEGER)) AS found, avg(CAST(false_s >= threshold AS INTEGER)) AS wrong FROM best, t GROUP BY threshold""")
 def d22(spark, d):
-    pairs = s.similarity_self_join(b.vectors(spark, d), -1.0).withColumn("copy", F.expr("a % 5 = b % 5"))
-    both = pairs.select(F.col("a").alias("i"), "similarity", "copy").unionByName(pairs.select(F.col("b").alias("i"), "similarity", "copy"))
-    best = both.groupBy("i").agg(F.max(F.when(F.col("copy"), F.col("similarity"))).alias("copy_s"), F.max(F.when(~F.col("copy"), F.col("similarity"))).alias("false_s"))
+    best = s.best_by_group(b.vectors(spark, d).withColumn("copies", F.expr("asset_id % 5")), "copies")
     t = best.withColumn("threshold", F.explode(F.array(F.lit(0.2), F.lit(0.3), F.lit(0.4))))
-    return t.groupBy("threshold").agg(F.avg((F.col("copy_s") >= F.col("threshold")).cast("int")).alias("found"), F.avg((F.col("false_s") >= F.col("threshold")).cast("int")).alias("wrong"))
+    return t.groupBy("threshold").agg(F.avg((F.col("same") >= F.col("threshold")).cast("int")).alias("found"), F.avg((F.col("other") >= F.col("threshold")).cast("int")).alias("wrong"))
+
+
+@query("d22_similarity_quantiles", f"""WITH {V}, {PAIRS}, pair2 AS (SELECT a AS i, s, a % 5 = b % 5 AS copy FROM pairs UNION ALL SELECT b, s, a % 5 = b % 5 FROM pairs), best AS (SELECT i, max(s) FILTER (NOT copy) AS s FROM pair2 GROUP BY i), q AS (SELECT unnest([0.5, 0.9, 0.99, 1.0]) AS quantile)
+    SELECT CAST(quantile AS DOUBLE) AS quantile, round(CASE quantile WHEN 0.5 THEN (SELECT quantile_cont(s, 0.5) FROM best) WHEN 0.9 THEN (SELECT quantile_cont(s, 0.9) FROM best) WHEN 0.99 THEN (SELECT quantile_cont(s, 0.99) FROM best) ELSE (SELECT max(s) FROM best) END, 5) AS similarity FROM q""")
+def d22b(spark, d):
+    """Linear quantiles of the nearest vector of another group."""
+    best = s.best_by_group(b.vectors(spark, d).withColumn("copies", F.expr("asset_id % 5")), "copies")
+    at = [0.5, 0.9, 0.99, 1.0]
+    found = best.agg(F.percentile("other", F.array(*map(F.lit, at))).alias("x"))
+    return found.select(F.posexplode("x").alias("k", "x")).select(F.get(F.array(*map(F.lit, at)), F.col("k")).alias("quantile"), F.round("x", 5).alias("similarity"))
 
 
 @query("d23_variant_agreement", f"""WITH {V}, t AS (SELECT asset_id, list_dot_product(vector, vector[1:32] || list_transform(vector[33:64], lambda x: 0.0)) / sqrt(list_dot_product(vector[1:32], vector[1:32])) AS c FROM vectors)
@@ -189,10 +197,10 @@ def e7(spark, d):
     return top.select(F.col("query_id").alias("asset_id"), F.col("asset_id").alias("nearest"), F.round("similarity", 5).alias("similarity"))
 
 
-@query("f3_rank_within", f"WITH {V}, {Q0}, ids AS (SELECT unnest(range(495, 510)) AS asset_id) SELECT asset_id, round(coalesce(list_dot_product(vector, qv), -2), 5) AS similarity FROM ids LEFT JOIN vectors USING (asset_id), q")
+@query("f3_rank_within", f"WITH {V}, {Q0}, ids AS (SELECT event_id AS asset_id FROM events) SELECT asset_id, round(coalesce(list_dot_product(vector, qv), -2), 5) AS similarity FROM ids LEFT JOIN vectors USING (asset_id), q")
 def f3(spark, d):
     v = b.vectors(spark, d)
-    ids = b.read(spark, d, "events").filter("event_id between 495 and 509").select(F.col("event_id").alias("asset_id"))
+    ids = b.read(spark, d, "events").select(F.col("event_id").alias("asset_id"))
     return s.rank_within(ids, v, query_vector(v)).select("asset_id", F.round("similarity", 5).alias("similarity"))
 
 
@@ -212,13 +220,13 @@ def h21(spark, d):
 
 
 @query("g7_topk_overlap", f"""WITH {V}, p AS (SELECT a.asset_id AS q, v.asset_id, list_dot_product(a.vector, v.vector) AS x, list_dot_product(a.vector[1:32], v.vector[1:32]) / sqrt(list_dot_product(v.vector[1:32], v.vector[1:32])) AS y
-    FROM vectors a, vectors v WHERE a.asset_id < 20), r AS (SELECT q, row_number() OVER (PARTITION BY q ORDER BY x DESC, asset_id) AS rx, row_number() OVER (PARTITION BY q ORDER BY y DESC, asset_id) AS ry FROM p)
+    FROM vectors a, vectors v WHERE a.asset_id % 100 = 0), r AS (SELECT q, row_number() OVER (PARTITION BY q ORDER BY x DESC, asset_id) AS rx, row_number() OVER (PARTITION BY q ORDER BY y DESC, asset_id) AS ry FROM p)
     SELECT q AS query_id, count(*) FILTER (rx <= 10 AND ry <= 10) AS common FROM r GROUP BY q""")
 def g7(spark, d):
     v = b.vectors(spark, d)
     small = v.withColumn("vector", truncate_dim("vector", 32))
-    tops = [s.batch_topk(x.filter("asset_id < 20").select(F.col("asset_id").alias("query_id"), "vector"), x, 10).groupBy("query_id").agg(F.collect_set("asset_id").alias(n)) for x, n in ((v, "a"), (small, "b"))]
-    return tops[0].join(tops[1], "query_id").select("query_id", F.size(F.array_intersect("a", "b")).cast("long").alias("common"))
+    tops = [s.batch_topk(x.filter("asset_id % 100 = 0").select(F.col("asset_id").alias("query_id"), "vector"), x, 10).groupBy("query_id").agg(F.collect_set("asset_id").alias(n)) for x, n in ((v, "a"), (small, "b"))]
+    return tops[0].join(tops[1].hint("merge"), "query_id").select("query_id", F.size(F.array_intersect("a", "b")).cast("long").alias("common"))
 
 
 @query("e6_rank_of_truth", f"""WITH {V}, p AS (SELECT c.asset_id AS caption, w.asset_id // 5 AS clip, max(list_dot_product(c.vector, w.vector)) AS x FROM vectors c, vectors w WHERE c.asset_id % 5 = 0 AND w.asset_id % 5 <> 0 GROUP BY 1, 2),
@@ -230,10 +238,8 @@ def e6(spark, d):
 def caption_ranks(spark, d):
     """Rank of the right clip for each caption: 1 + clips that are strictly better, by the best window of a clip."""
     v = b.vectors(spark, d)
-    captions = v.filter("asset_id % 5 = 0").select(F.col("asset_id").alias("caption"), F.col("vector").alias("cv"))
-    windows = v.filter("asset_id % 5 <> 0").selectExpr("asset_id div 5 as clip", "vector")
-    best = captions.join(windows).groupBy("caption", "clip").agg(F.max(dot("cv", "vector")).alias("x"))
-    return best.withColumn("rank", F.rank().over(Window.partitionBy("caption").orderBy(F.desc("x")))).filter("clip = caption div 5").select("caption", "rank")
+    captions = v.filter("asset_id % 5 = 0").selectExpr("asset_id as query", "asset_id div 5 as truth", "vector")
+    return s.rank_of_truth(captions, v.filter("asset_id % 5 <> 0").selectExpr("asset_id div 5 as grp", "vector")).withColumnRenamed("query", "caption")
 
 
 @query("d19_caption_retrieval", f"""WITH {V}, p AS (SELECT c.asset_id AS caption, w.asset_id // 5 AS clip, max(list_dot_product(c.vector, w.vector)) AS x FROM vectors c, vectors w WHERE c.asset_id % 5 = 0 AND w.asset_id % 5 <> 0 GROUP BY 1, 2),

@@ -49,7 +49,8 @@ def first_per_hash(stream: DataFrame, key: str = "content_hash") -> DataFrame:
 def incremental_import(spark: SparkSession, root: str, catalog: str, checkpoint: str, schema: str, file_format: str = "json"):
     """Starts a stream of listings (rel_path, content_hash, size, new_id) that are merged into the
     catalog's snapshots. A replayed batch changes nothing; a snapshot is seen when its folder is
-    complete, by the version in its name."""
+    complete, by the version in its name. Each batch starts from the latest complete version; only
+    the first may start from nothing."""
     from ..operators.catalog import upsert_assets
 
     def merge(batch: DataFrame, epoch: int) -> None:
@@ -59,9 +60,13 @@ def incremental_import(spark: SparkSession, root: str, catalog: str, checkpoint:
         path = f"{catalog}/v{epoch:012d}"
         if fs.exists(jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")):
             return
-        before = f"{catalog}/v{epoch - 1:012d}"
-        empty = session.createDataFrame([], "rel_path string, asset_id long, content_hash string, size long, status string")
-        old = session.read.parquet(before) if epoch and fs.exists(jvm.org.apache.hadoop.fs.Path(before)) else empty
+        folder = jvm.org.apache.hadoop.fs.Path(catalog)
+        there = [x.getPath().getName() for x in fs.listStatus(folder)] if fs.exists(folder) else []
+        versions = sorted(v for v in there if v.startswith("v") and v < f"v{epoch:012d}")
+        whole = [v for v in versions if fs.exists(jvm.org.apache.hadoop.fs.Path(f"{catalog}/{v}/_SUCCESS"))]
+        if not whole and (versions or epoch):
+            raise ValueError(f"{catalog} has no complete version before {epoch}: its rows would be lost")
+        old = session.read.parquet(f"{catalog}/{whole[-1]}") if whole else session.createDataFrame([], "rel_path string, asset_id long, content_hash string, size long, status string")
         latest = batch.groupBy("rel_path").agg(F.max_by(F.struct("content_hash", "size", "new_id"), "seq").alias("r")).select("rel_path", "r.*")
         upsert_assets(old, latest).write.mode("overwrite").parquet(path)
 

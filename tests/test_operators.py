@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from mediaframe.functions import geo, media, pixels, textmine, vectors
 from mediaframe.functions.timewords import find_time
-from mediaframe.operators import catalog, detections, evaluation, lookalikes, places, search, selections
+from mediaframe.operators import blocks, catalog, detections, evaluation, lookalikes, places, search, selections
 
 
 @pytest.fixture(scope="module")
@@ -25,6 +25,44 @@ def test_topk_order_exclusion_and_dimension(few):
         search.cosine_topk(few, [1.0, 0.0], 1).collect()
 
 
+def test_best_of_with_ties():
+    x = np.array([[1.0, 3, 3, 3, 0], [2, 2, 2, 2, 2], [-np.inf, 5, -np.inf, -np.inf, 4]])
+    row, col = blocks.best_of(x, 3)
+    assert list(zip(row.tolist(), col.tolist(), strict=True)) == [(0, 1), (0, 2), (0, 3), (1, 0), (1, 1), (1, 2), (2, 1), (2, 4)]
+
+
+def test_numbered_across_ranges(spark):
+    df = spark.range(500).selectExpr("if(id % 3 = 0, null, id % 5) as g", "id").repartition(4)
+    got = blocks.numbered(df, ["g"], ["id"]).collect()
+    for g in {r.g for r in got}:
+        ids = sorted(r.id for r in got if r.g == g)
+        assert [r.rn for r in sorted((r for r in got if r.g == g), key=lambda r: r.id)] == list(range(1, len(ids) + 1))
+    assert len(got) == 500
+
+
+def test_free_names_ask_for_free_ones(spark):
+    names = ["a.jpg", "A.jpg", "a (2).jpg", "b.jpg", "b (2).jpg", "B.jpg", "b.jpg", "b (2).jpg", "c.png", "c.png", "a.jpg", "a (2).jpg", "b (2) (2).jpg"]
+    want, taken = [], set()
+    for name in names:
+        stem, ext = name.rsplit(".", 1)
+        n, got = 1, name
+        while got.lower() in taken:
+            n += 1
+            got = f"{stem} ({n}).{ext}"
+        taken.add(got.lower())
+        want.append(got)
+    df = spark.createDataFrame([(i, n.rsplit(".", 1)[0], "." + n.rsplit(".", 1)[1]) for i, n in enumerate(names)], "id long, stem string, ext string")
+    assert [r.name for r in selections.free_names(df).orderBy("id").collect()] == want
+
+
+def test_searchable_rejects_mixed_dimensions(spark):
+    v = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0])], "asset_id long, vector array<double>")
+    a = spark.createDataFrame([(1, "indexed", 0), (2, "indexed", 0), (3, "failed", 0)], "asset_id long, status string, library_id int")
+    with pytest.raises(Exception, match="more than one dimension"):
+        search.searchable(v, a).collect()
+    assert search.searchable(v.filter("asset_id = 1"), a).count() == 1 and search.searchable(v.filter("asset_id > 2"), a).count() == 0
+
+
 def test_batch_topk_and_self_join_against_numpy(spark):
     rng = np.random.default_rng(0)
     x = rng.standard_normal((120, 8))
@@ -34,8 +72,22 @@ def test_batch_topk_and_self_join_against_numpy(spark):
     s = x @ x.T
     for q in {r.query_id for r in got}:
         assert [r.asset_id for r in sorted((r for r in got if r.query_id == q), key=lambda r: r.rank)] == np.argsort(-s[q], kind="stable")[:5].tolist()
-    for blocks in (2, 3, 5):
-        pairs = {(r.a, r.b) for r in search.similarity_self_join(v, 0.5, blocks=blocks).collect()}
+    some = search.batch_topk(v.withColumnRenamed("asset_id", "query_id"), v, 3, rows=50, others_to=0.6).collect()
+    for q in range(120):
+        order = [j for j in np.argsort(-s[q], kind="stable") if j != q and s[q, j] <= 0.6][:3]
+        assert [r.asset_id for r in sorted((r for r in some if r.query_id == q), key=lambda r: r.rank)] == order
+    best = {r.asset_id: (r.same, r.other) for r in search.best_by_group(v.withColumn("g", F.col("asset_id") % 7), "g", rows=50).collect()}
+    for q in range(120):
+        like = np.array([j % 7 == q % 7 for j in range(120)])
+        assert np.allclose(best[q], (max(s[q, j] for j in np.flatnonzero(like) if j != q), s[q, ~like].max()))
+    asked = v.filter("asset_id < 40").selectExpr("asset_id as query", "asset_id % 9 as truth", "vector")
+    ranks = {r["query"]: r["rank"] for r in search.rank_of_truth(asked, v.filter("asset_id >= 40").selectExpr("asset_id % 9 as grp", "vector"), rows=20).collect()}
+    for q in range(40):
+        scores = [max(s[q, j] for j in range(40, 120) if j % 9 == g) for g in range(9)]
+        assert ranks[q] == 1 + sum(x > scores[q % 9] + 1e-9 for x in scores)
+    assert search.batch_topk(v.limit(0).withColumnRenamed("asset_id", "query_id"), v, 3).count() == search.similarity_self_join(v.limit(0), 0.1).count() == 0
+    for rows in (200, 60, 25):
+        pairs = {(r.a, r.b) for r in search.similarity_self_join(v, 0.5, rows=rows).collect()}
         assert pairs == {(i, j) for i in range(120) for j in range(i + 1, 120) if s[i, j] >= 0.5}
 
 
