@@ -15,13 +15,16 @@ ASSIGN = re.compile(r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 CERTAIN = ("assign", "access", "hex")
+#: (Runs are only looked at from their start, so that time is linear in the text.)
 #: Weak kinds, in the order in which ties of a span's start are listed, and their roles.
 WEAK = {
     "user": ("identifier", re.compile(r"(?:user(?:name)?|login|client_?id|account)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9._@+-]{3,})", re.IGNORECASE | re.ASCII)),
-    "email": ("identifier", re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", re.ASCII)),
+    "email": ("identifier", re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]+)+", re.ASCII)),
     "opaque": ("secret", re.compile(r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])(?=[0-9a-z+/_-]*[A-Z])[A-Za-z0-9+/_-]{20,}={0,2}", re.ASCII)),
-    "endpoint": ("endpoint", re.compile(r"[a-z][a-z0-9+.-]{1,15}://[^\s\"'<>]+|\b[a-z0-9-]+(?:\.[a-z0-9-]+)+:\d{2,5}\b", re.ASCII)),
+    "endpoint": ("endpoint", re.compile(r"[a-z][a-z0-9+.-]{1,15}://[^\s\"'<>]+|(?<![\w.-])[a-z0-9.-]++:\d{2,5}\b", re.ASCII)),
 }
+#: The host at the end of such a run: labels between single dots, two at least.
+HOST = re.compile(r"[a-z0-9][a-z0-9-]*(?:\.[a-z0-9-]+)+\Z", re.ASCII)
 KINDS = (*CERTAIN, *WEAK)
 #: A certain span also plays a role that a weak one may complete.
 ROLE = {"assign": "secret", "access": "identifier", "hex": "secret"} | {k: role for k, (role, _) in WEAK.items()}
@@ -34,12 +37,26 @@ def certain_spans(text: str) -> list[tuple[str, int, int]]:
     return found + [("hex", m.start(), m.end()) for m in HEX.finditer(text)]
 
 
+def endpoint_start(found: str) -> int | None:
+    """Where the address begins in what the pattern has found: a URL at once, a host with a port
+    after the last label that is empty."""
+    if "://" in found:
+        return 0
+    host = found[: found.rindex(":")]
+    start = host.rfind("..") + 2 if ".." in host else 0
+    start += len(host[start:]) - len(host[start:].lstrip(".-"))
+    return start if HOST.match(host, start) else None
+
+
 def weak_spans(text: str) -> list[tuple[str, int, int]]:
     found = []
     if "@" in text:
         found += [("email", m.start(), m.end()) for m in WEAK["email"][1].finditer(text)]
     if ":" in text or "=" in text:
-        found += [(k, m.start(), m.end()) for k in ("user", "endpoint") for m in WEAK[k][1].finditer(text)]
+        found += [("user", m.start(), m.end()) for m in WEAK["user"][1].finditer(text)]
+        for m in WEAK["endpoint"][1].finditer(text):
+            if (start := endpoint_start(m[0])) is not None:
+                found.append(("endpoint", m.start() + start, m.end()))
     return found + [("opaque", m.start(), m.end()) for m in WEAK["opaque"][1].finditer(text)]
 
 

@@ -22,7 +22,6 @@ INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "dat
           "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
 CLOSES_P = {"address", "article", "aside", "blockquote", "details", "div", "dl", "fieldset", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "main", "menu",
             "nav", "ol", "p", "pre", "section", "table", "ul"}
-CLOSES_SAME = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table", "tbody", "thead", "tfoot"}, "td": {"tr", "table"}, "th": {"tr", "table"}}
 #: Elements and words in class, id or role that mark what is around the text.
 AROUND = {"nav", "header", "footer", "aside", "form", "button", "menu", "dialog", "head", "select"}
 AROUND_WORDS = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|banner|breadcrumbs?|comments?|consent|cookies?|disclaimer|disqus|footer|gdpr|header|masthead|menu|modal|nav\w*|newsletter|notices?|"
@@ -35,36 +34,94 @@ SPACES = re.compile(r"[\s ]+")
 PUNCTUATION = re.compile(r"[.,;:!?…。，、！？;«»¿¡]")
 
 
+#: Elements whose end can be left out: what a tag closes, and the elements that keep it from closing what lies outside.
+IMPLIED = ({"p"}, {"li"}, {"dt", "dd"}, {"tr"}, {"td", "th"}, {"svg", "math"})
+WITHIN = ({"table", "button", "td", "th", "caption"}, {"ul", "ol", "menu"}, {"dl"}, {"table", "tbody", "thead", "tfoot"}, {"tr", "table"}, {"foreignobject"})
+ENDS = {t: k for k, tags in enumerate(IMPLIED[1:5], 1) for t in tags}
+
+
 class Block:
-    __slots__ = ("path", "around", "marked", "text", "linked")
+    __slots__ = ("path", "around", "mark", "text", "linked")
+
+    def __init__(self, path: int, around: bool, mark: int):
+        self.path, self.around, self.mark, self.text, self.linked = path, around, mark, [], 0
+
+
+class Paths:
+    """Paths of tags from the root, as numbers; a path comes after the one it extends."""
+
+    def __init__(self):
+        self.number, self.parent, self.tag = {}, [0], [""]
+
+    def below(self, path: int, tag: str) -> int:
+        n = self.number.get((path, tag))
+        if n is None:
+            n = self.number[path, tag] = len(self.tag)
+            self.parent.append(path)
+            self.tag.append(tag)
+        return n
+
+    def nearest(self, tags: set[str]) -> list[int]:
+        """For each path the innermost part of it that ends in one of the tags, or 0."""
+        out = [0] * len(self.tag)
+        for k in range(1, len(out)):
+            out[k] = k if self.tag[k] in tags else out[self.parent[k]]
+        return out
 
-    def __init__(self, path: str, around: bool, marked: list[int]):
-        self.path, self.around, self.marked, self.text, self.linked = path, around, marked, [], 0
 
+class Open:
+    """Open elements, innermost last. Each entry knows what lies around it, so that no step has to
+    walk through the others: work is linear in the page, however deep it is nested."""
 
-def blocks_of(page: str) -> list[Block]:
+    def __init__(self):
+        # tag, path, around, mark, links, article, innermost block, innermost elements that a tag may end
+        self.entries = [("", 0, False, 0, 0, False, 0, (0,) * len(IMPLIED))]
+        self.places: dict[str, list[int]] = defaultdict(list)
+
+    def push(self, tag: str, path: int, around: bool, mark: int) -> None:
+        _, _, a, m, links, article, block, open_ = self.entries[-1]
+        at = len(self.entries)
+        ends = tuple(at if tag in IMPLIED[k] else 0 if tag in WITHIN[k] else was for k, was in enumerate(open_))
+        self.entries.append((tag, path, a or around, mark or m, links + (tag == "a"), article or tag in ("article", "main"), at if tag in CLOSES_P else block, ends))
+        self.places[tag].append(at)
+
+    def cut(self, at: int) -> None:
+        for tag, *_ in self.entries[at:]:
+            self.places[tag].pop()
+        del self.entries[at:]
+
+    def end(self, tag: str) -> None:
+        """An end tag closes the innermost such element; inline ones only inside the innermost block."""
+        at = self.places[tag][-1] if self.places[tag] else 0
+        if at and (tag not in INLINE or at > self.entries[-1][6]):
+            self.cut(at)
+
+    def end_implied(self, kind: int) -> None:
+        if at := self.entries[-1][7][kind]:
+            self.cut(at)
+
+
+def blocks_of(page: str) -> tuple[list[Block], Paths]:
     """Text blocks in page order, each with its path of tags from the root. Inline elements are
     part of the block around them. Open paragraphs and items end where HTML ends them. An element
     that only its class, id or role marks as around the text, but that holds most of it, is not,
     unless there is an article or main element beside it."""
-    stack: list[tuple[str, bool, int]] = []  # tag, around by tag, number of the element if marked by words
-    beside = [False]  # for each marked element: not below an article or main element
+    opened, paths = Open(), Paths()
+    beside, outer = [False], [0]  # of each marked element: not below an article or main element; the marked one around it
     out: list[Block] = []
     current: Block | None = None
 
-    def path() -> str:
-        return "/".join(t for t, *_ in stack if t not in INLINE)
-
     def text(raw: str) -> None:
         nonlocal current
         value = html.unescape(raw)
+        _, path, around, mark, links, *_ = opened.entries[-1]
         if current is None:
             if not value.strip():
                 return
-            current = Block(path(), any(a for _, a, _ in stack), [k for *_, k in stack if k])
+            current = Block(path, around, mark)
             out.append(current)
         current.text.append(value)
-        if any(t == "a" for t, *_ in stack):
+        if links:
             current.linked += len(value)
 
     at, n = 0, len(page)
@@ -85,7 +142,7 @@ def blocks_of(page: str) -> list[Block]:
                 if end or tag in RAW_TEXT or tag == "option":
                     at = end.end() if end else n
                 else:  # never closed: it ends with the element around it
-                    stack.append((tag, True, 0))
+                    opened.push(tag, paths.below(opened.entries[-1][1], tag), True, 0)
                     current = None
                 continue
             if tag == "br":
@@ -96,89 +153,84 @@ def blocks_of(page: str) -> list[Block]:
                 current = None
             if tag in VOID or attributes.endswith("/"):
                 continue
-            if tag in CLOSES_P and (k := _open(stack, {"p"}, {"table", "button", "td", "th", "caption"})) is not None:
-                del stack[k:]
-            if tag in CLOSES_SAME and (k := _open(stack, {"dt", "dd"} if tag in ("dt", "dd") else {"td", "th"} if tag in ("td", "th") else {tag}, CLOSES_SAME[tag])) is not None:
-                del stack[k:]
-            if tag in CLOSES_P and (k := _open(stack, {"svg", "math"}, {"foreignobject"})) is not None:
-                del stack[k:]
+            if tag in CLOSES_P:
+                opened.end_implied(0)
+            if tag in ENDS:
+                opened.end_implied(ENDS[tag])
+            if tag in CLOSES_P:
+                opened.end_implied(5)
             named = " ".join(v.strip("\"'") for _, v in ATTRIBUTE.findall(attributes)) if attributes else ""
             words = bool(named and tag not in WHOLE and AROUND_WORDS.search(named))
+            _, path, _, mark, _, article, *_ = opened.entries[-1]
             if words:
-                beside.append(not any(t in ("article", "main") for t, *_ in stack))
-            stack.append((tag, tag in AROUND, len(beside) - 1 if words else 0))
+                beside.append(not article)
+                outer.append(mark)
+            opened.push(tag, path if tag in INLINE else paths.below(path, tag), tag in AROUND, len(beside) - 1 if words else 0)
         elif m[1]:
             tag = m[1].lower()
             if tag not in INLINE:
                 current = None
-            if (k := _open(stack, {tag}, set() if tag not in INLINE else CLOSES_P)) is not None:
-                del stack[k:]
+            opened.end(tag)
         elif m[0].startswith("<![CDATA["):
             text(m[0][9:].removesuffix("]]>"))
-    held, total, firm = defaultdict(int), 0, False
+    held, total, firm = [0] * len(beside), 0, False
+    whole = paths.nearest({"article", "main"})
     for b in out:
         if not b.around:
             size = sum(map(len, b.text)) - b.linked
             total += size
-            firm = firm or not b.marked and not {"article", "main"}.isdisjoint(b.path.split("/"))
-            for k in b.marked:
-                held[k] += size
+            firm = firm or not b.mark and whole[b.path] > 0
+            held[b.mark] += size
+    for k in range(len(held) - 1, 0, -1):
+        held[outer[k]] += held[k]
+    drop = [False] * len(held)
+    for k in range(1, len(held)):
+        drop[k] = drop[outer[k]] or 2 * held[k] <= total or firm and beside[k]
     for b in out:
-        b.around = b.around or any(2 * held[k] <= total or firm and beside[k] for k in b.marked)
-    return out
+        b.around = b.around or drop[b.mark]
+    return out, paths
 
 
-def _open(stack: list[tuple[str, bool, int]], tags: set[str], stop: set[str]) -> int | None:
-    """The innermost open element of some tags, if no stopping one lies inside it."""
-    for k in range(len(stack) - 1, -1, -1):
-        if stack[k][0] in tags:
-            return k
-        if stack[k][0] in stop:
-            return None
-    return None
+def smoothed(x: np.ndarray, width: float = 0.5) -> np.ndarray:
+    """Means of neighbours in page order, weighted by a Gaussian."""
+    reach = max(1, int(np.ceil(6 * width)))
+    kernel = np.exp(-0.5 * np.arange(-reach, reach + 1) ** 2 / width**2)
+    return np.convolve(x, kernel)[reach: reach + len(x)] / np.convolve(np.ones(len(x)), kernel)[reach: reach + len(x)]
 
 
-def content_paths(blocks: list[Block], strict: float = 0.35, prior: float = 0.25) -> set[str]:
+def content_paths(blocks: list[Block], paths: Paths, strict: float = 0.35, prior: float = 0.25) -> set[int]:
     """Paths that hold content. For each root-to-leaf path: characters and punctuation marks a
     block (the ratios), with the text of links taken off. Both are smoothed over neighbours in
     page order with a Gaussian, fused as a geometric mean, and compared with a share of the
     spread above their weighted mean. That decides for every path; those in the article or main
     element of the best one, or else below its parent, and titles (h1) are held to `prior` of it."""
     chars, marks, count = defaultdict(float), defaultdict(float), defaultdict(int)
-    first: dict[str, int] = {}
-    for i, b in enumerate(blocks):
+    for b in blocks:  # paths in the order in which they come first
         if not b.around:
             size = sum(map(len, b.text))
             chars[b.path] += max(0, size - b.linked)
             marks[b.path] += sum(len(PUNCTUATION.findall(t)) for t in b.text)
             count[b.path] += 1
-            first.setdefault(b.path, i)
-    if not first:
+    if not count:
         return set()
-    paths = sorted(first, key=first.__getitem__)
-    text = np.array([chars[p] / count[p] for p in paths])
-    punctuation = np.array([1 + marks[p] / count[p] for p in paths])
-    gap = np.subtract.outer(np.arange(len(paths)), np.arange(len(paths)))
-    kernel = np.exp(-0.5 * gap**2 / 0.5**2)
-    kernel /= kernel.sum(1, keepdims=True)
-    fused = np.sqrt((kernel @ text) * (kernel @ punctuation))
-    best = paths[int(np.argmax(fused * np.sqrt([count[p] for p in paths])))]
-    root = best.rsplit("/", 1)[0] if "/" in best else best
-    for name in ("article", "main"):
-        parts = best.split("/")
-        if name in parts:
-            root = "/".join(parts[: parts.index(name) + 1])
-            break
-    weight = np.array([chars[p] for p in paths]) + 1
+    found = list(count)
+    text = np.array([chars[p] / count[p] for p in found])
+    punctuation = np.array([1 + marks[p] / count[p] for p in found])
+    fused = np.sqrt(smoothed(text) * smoothed(punctuation))
+    best = found[int(np.argmax(fused * np.sqrt([count[p] for p in found])))]
+    root = paths.nearest({"article"})[best] or paths.nearest({"main"})[best] or paths.parent[best] or best
+    weight = np.array([chars[p] for p in found]) + 1
     mean = np.average(fused, weights=weight)
     limit = strict * (mean + np.sqrt(np.average((fused - mean) ** 2, weights=weight))) / 2
-    inside = [p == root or p.startswith(root + "/") or p.endswith("/h1") for p in paths]
-    return {p for p, f, i in zip(paths, fused, inside, strict=True) if f >= (prior * limit if i else limit)}
+    inside = [k == root for k in range(len(paths.tag))]
+    for k in range(root + 1, len(inside)):
+        inside[k] = inside[paths.parent[k]]
+    return {p for p, f in zip(found, fused, strict=True) if f >= (prior * limit if inside[p] or paths.tag[p] == "h1" else limit)}
 
 
 def main_text(page: str | None) -> str:
-    blocks = blocks_of(page) if page else []
-    keep = content_paths(blocks)
+    blocks, paths = blocks_of(page or "")
+    keep = content_paths(blocks, paths)
     texts = (SPACES.sub(" ", "".join(b.text)).strip() for b in blocks if not b.around and b.path in keep)
     return " ".join(t for t in texts if t)
 

@@ -594,7 +594,7 @@ def find_links(slim: DataFrame, num: int, least: int, bucket: int = 64, hot_rows
     if crowd.isEmpty():
         return entities, described, comps
     deep = stage(sets.join(crowd.hint("merge"), "ent", "left_semi").mapInArrow(_emit_deep(num), "sig long, ent long, n int, single boolean, bound int, need int"), "signatures")
-    buckets = _buckets(_rarest(deep), hot_rows)
+    buckets = _buckets(_rarest(deep), hot_rows // 100)  # few rows, and families among them
     large = buckets.filter(F.col("m") > bucket)
     more = _met(buckets.filter(F.col("m") <= bucket), num).unionByName(_stars(large)).distinct().join(pairs.hint("merge"), ["a", "b"], "left_anti")
     links = links.unionByName(stage(_linked(stage(more, "pairs"), sets, num), "links"))

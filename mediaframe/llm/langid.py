@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SPACE, OTHER = 1, 2  # codes of the alphabet; letters seen in training come after them
-BITS = 10
+BITS = 16  # of a letter's code; four letters are one key
 MIX = np.uint64(0x9E3779B97F4A7C15)
 _fold: list[np.ndarray] = []
 
@@ -49,7 +49,7 @@ def _keys(codes: np.ndarray, order: int) -> np.ndarray:
     for back in range(order - 1, -1, -1):
         part = codes if not back else np.concatenate([np.full(min(back, len(codes)), SPACE, codes.dtype), codes[:-back]])
         key = (key << np.uint64(BITS)) | part[: len(codes)].astype(np.uint64)
-    return key | (np.uint64(order) << np.uint64(BITS * 6))
+    return key
 
 
 class SortedHashes:
@@ -112,8 +112,7 @@ class LanguageModel:
             if not len(todo):
                 break
             if k > 1:  # the context is the n-gram of the order below that ends one place earlier
-                context = ((keys[miss] & ((np.uint64(1) << np.uint64(BITS * k)) - np.uint64(1))) >> np.uint64(BITS)) | (np.uint64(k - 1) << np.uint64(BITS * 6))
-                c = self.tables[k - 2].find(context)
+                c = self.tables[k - 2].find(keys[miss] >> np.uint64(BITS))
                 carry[c >= 0] += self.backoff[k - 2][c[c >= 0]]
         if len(todo):
             logp[todo] = carry + self.unseen
@@ -136,9 +135,11 @@ class LanguageModel:
 
 
 def train(samples: pd.DataFrame, order: int = 4, discount: float = 0.75) -> LanguageModel:
-    """samples: text, lang. One interpolated Kneser-Ney model for each language: highest order by
+    """samples: text, lang; order is 4 at most. One interpolated Kneser-Ney model for each language: highest order by
     counts, lower orders by the number of distinct letters in front; absolute discounting. All
-    n-grams share one table for each order, and a row holds what each language makes of them."""
+    n-grams share one table for each order, and a row holds what each language makes of them. Every
+    letter of the samples has its own code (65,533 at most; the rarest beyond that, and letters that
+    come later, count as one unknown letter)."""
     langs = sorted(samples.lang.unique())
     texts = {l: samples.text[samples.lang == l].tolist() for l in langs}
     runs = {l: letters_of(t)[0] for l, t in texts.items()}
@@ -154,11 +155,11 @@ def train(samples: pd.DataFrame, order: int = 4, discount: float = 0.75) -> Lang
     union = [np.unique(np.concatenate([g[l][0] for l in langs])) for g in grams]
     tables = [SortedHashes(u) for u in union]
     union = [u[t.order] for u, t in zip(union, tables, strict=True)]
-    logp, backoff = [], []
+    logp, backoff, unseen = [], [], np.empty(len(langs))
     low = np.uint64(BITS)
     for k in range(1, order + 1):
         mask = (np.uint64(1) << np.uint64(BITS * (k - 1))) - np.uint64(1)
-        body = union[k - 1] & ((np.uint64(1) << np.uint64(BITS * k)) - np.uint64(1))
+        body = union[k - 1]
         p = np.empty((len(body), len(langs)))
         gamma = np.ones((len(union[k - 2]) if k > 1 else 0, len(langs)))
         for j, l in enumerate(langs):
@@ -167,17 +168,14 @@ def train(samples: pd.DataFrame, order: int = 4, discount: float = 0.75) -> Lang
                 keys, c = grams[k - 1][l]
                 n[tables[k - 1].find(keys)] = c
             else:  # distinct letters in front of the n-gram
-                above = grams[k][l][0] & ((np.uint64(1) << np.uint64(BITS * k)) - np.uint64(1))
-                inner, c = np.unique(above, return_counts=True)
-                n[tables[k - 1].find(inner | (np.uint64(k) << np.uint64(BITS * 6)))] = c
+                inner, c = np.unique(grams[k][l][0] & ((np.uint64(1) << np.uint64(BITS * k)) - np.uint64(1)), return_counts=True)
+                n[tables[k - 1].find(inner)] = c
             if k == 1:
                 total = max(n.sum(), 1)
-                p[:, j] = np.maximum(n - discount, 0) / total + discount * (n > 0).sum() / total / size
-                if not n.sum():
-                    p[:, j] = 1 / size
+                unseen[j] = discount * (n > 0).sum() / total / size if n.sum() else 1 / size  # what the discounts leave, over all codes alike
+                p[:, j] = np.maximum(n - discount, 0) / total + unseen[j]
                 continue
-            context = tables[k - 2].find((body >> low) | (np.uint64(k - 1) << np.uint64(BITS * 6)))
-            lower = tables[k - 2].find((body & mask) | (np.uint64(k - 1) << np.uint64(BITS * 6)))
+            context, lower = tables[k - 2].find(body >> low), tables[k - 2].find(body & mask)
             total = np.bincount(context, n, len(gamma))
             kinds = np.bincount(context, n > 0, len(gamma))
             gamma[:, j] = np.where(total > 0, discount * kinds / np.maximum(total, 1), 1.0)
@@ -186,8 +184,7 @@ def train(samples: pd.DataFrame, order: int = 4, discount: float = 0.75) -> Lang
         logp.append(np.log10(p).astype(np.float32))
         if k > 1:
             backoff.append(np.log10(gamma).astype(np.float32))
-    floor = np.array([10.0 ** logp[0][:, j].min() for j in range(len(langs))])
-    return LanguageModel(langs, alphabet, tables, logp, backoff, np.log10(np.minimum(floor, 1 / size)).astype(np.float32))
+    return LanguageModel(langs, alphabet, tables, logp, backoff, np.log10(unseen).astype(np.float32))
 
 
 def calibrate(model: LanguageModel, held: pd.DataFrame, tail_bits: float = 1.5) -> LanguageModel:
@@ -211,7 +208,8 @@ def calibrate(model: LanguageModel, held: pd.DataFrame, tail_bits: float = 1.5)
 def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = 600,
         max_langs: int = 200, order: int = 4) -> LanguageModel:
     """A model from a bounded sample: at most per_lang documents, whole, of each of the max_langs
-    most frequent languages, chosen by a hash of id and text; a fifth of them calibrates the score."""
+    most frequent languages, chosen by a hash of id and text; a fifth of them calibrates the score.
+    Rarer languages than these are not learned: a bound of the model, which is broadcast."""
     rows = labelled.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     sizes = {r[0]: r[1] for r in rows.groupBy(F.col(lang_col).alias("l")).count().orderBy(F.desc("count"), "l").limit(max_langs).collect()}
     if not sizes:

@@ -294,14 +294,14 @@ class Corpus:
         return (float(self.docs.sum()) + 0.5) / (self.tokens + 1)
 
     def log_word(self, counts: np.ndarray, inside: np.ndarray) -> np.ndarray:
-        """Natural log of a word's probability in each class. The whole word is one more arc of
+        """Natural log of a word's probability in each class; all words sum to one. The whole word is one more arc of
         the lattice where the class knows the word: its count less a discount, as a share of the
         class. What the discounts leave goes to the segmentations into pieces."""
         d = np.clip(self.once / np.maximum(1, self.once + 2 * self.twice), 0.3, 0.95)
         n = np.maximum(1, self.words)
         left = np.where(self.words > 0, d * self.kinds / n, 1.0)
         whole = np.log(np.maximum(counts - d, 1e-300) / n)
-        return np.logaddexp(whole, inside[:, None] + np.log(left)) + math.log(1 - self.end())
+        return np.logaddexp(whole, inside[:, None] + np.log(left))
 
 
 def _inside(shared: Broadcast):
@@ -331,8 +331,9 @@ def log_rising(a: np.ndarray, n: np.ndarray) -> np.ndarray:
 
 
 def _sum_block(group: pa.Table, corpus: Corpus, spread: float) -> pa.Table:
-    """Scores of the documents of a block. Words come from an urn of the class, of size `spread`,
-    whose balls return doubled: a word that a text has used is likelier there from then on."""
+    """Scores of the documents of a block. After each word a text ends or goes on; words come from an
+    urn of the class, of size `spread`, whose balls return doubled: a word that a text has used is
+    likelier there from then on. All texts together have a probability of one at most."""
     packed = group["docs"].drop_null()[0].as_py()
     docs = pa.ipc.open_stream(packed).read_all().combine_chunks()
     facts = group.filter(pa.compute.is_valid(group["posts"])).combine_chunks()
@@ -351,6 +352,7 @@ def _sum_block(group: pa.Table, corpus: Corpus, spread: float) -> pa.Table:
         for k in range(classes):
             score[:, k] = np.bincount(doc, log_rising(spread * np.exp(log_q[:, k])[rows], count), n)
     score -= (log_gamma(spread + sizes.astype(float)) - log_gamma(np.full(n, spread)))[:, None]
+    score += (sizes * math.log(1 - corpus.end()))[:, None]  # after each word the text goes on
     score += np.log((corpus.docs + 0.5) / (corpus.docs.sum() + 0.5 * classes))
     top = score.max(1)
     mixed = top + np.log(np.exp(score - top[:, None]).sum(1)) + math.log(corpus.end())
@@ -373,7 +375,7 @@ def score_texts(docs: DataFrame, train: F.Column, held: F.Column, id_col: str =
     only. Ids may repeat or be null; other columns are ignored.
 
     Corpus counts are exact and distributed. One pass turns the texts into blocks of about
-    block_tokens tokens, of which only distinct words with postings are kept; these meet the
+    block_tokens tokens (a longer text is a block of its own), of which only distinct words with postings are kept; these meet the
     counts by word, and the scores return to the block, where they are added up by document. No
     word's group is larger than the number of blocks, and texts are read once. The vocabulary of
     pieces is broadcast; its size is fixed.

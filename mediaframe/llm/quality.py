@@ -15,6 +15,7 @@ from .hashing import flat, gram_hashes, mix, span_hashes
 from .langid import chunks
 
 SIZES = (3, 4, 5)
+AGAIN = mix(np.full(1, 0x3D, np.uint64))[0]  # a repeated word
 
 
 class _Numbers(dict):
@@ -33,15 +34,15 @@ def word_features(words: list[bytes], buckets: int) -> tuple[np.ndarray, np.ndar
 
 
 def pair_features(words: list[bytes], at: np.ndarray, sizes: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of neighbouring words, and the text of each. A word that follows itself is the same
-    feature whatever the word: bucket 0."""
+    """Buckets of neighbouring words, and the text of each. A word that follows itself is written as
+    one mark, so that all repeated words share a learned vector."""
     data, starts = flat(words)
     h = span_hashes(data, starts[:-1], starts[1:])
     owner = np.repeat(np.arange(len(sizes)), sizes)
     inside = owner[1:] == owner[:-1]
     a, b = at[:-1][inside], at[1:][inside]
-    pair = (mix(h[a] * np.uint64(31) + h[b]) % np.uint64(buckets)).astype(np.int64)
-    return np.where(a == b, 0, pair), owner[1:][inside]
+    pair = np.where(a == b, AGAIN, mix(h[a] * np.uint64(31) + h[b]))
+    return (pair % np.uint64(buckets)).astype(np.int64), owner[1:][inside]
 
 
 def numbered(texts: list[str | None]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
@@ -77,9 +78,9 @@ class TextClassifier:
         return 1 / (1 + np.exp(-np.clip(self.logits(texts), -40, 40)))
 
 
-def train(texts: list[str | None], labels: np.ndarray, buckets: int = 1 << 17, dim: int = 16, epochs: int = 6, rate: float = 0.5, seed: int = 7) -> TextClassifier:
-    """Stochastic gradient descent, a document at a time. The step of a vector is scaled by how
-    often its feature occurs, relative to the most frequent one of the document."""
+def train(texts: list[str | None], labels: np.ndarray, buckets: int = 1 << 17, dim: int = 16, steps: int = 12_000, rate: float = 2.0, seed: int = 7) -> TextClassifier:
+    """Stochastic gradient descent, a document at a time, with a falling rate; about `steps` steps
+    in whole epochs, so that a small sample is seen more often."""
     rng = np.random.default_rng(seed)
     vectors = rng.uniform(-1 / dim, 1 / dim, (buckets, dim))
     out, bias = np.zeros((dim, 2)), np.zeros(2)
@@ -94,6 +95,7 @@ def train(texts: list[str | None], labels: np.ndarray, buckets: int = 1 << 17, d
             cases.append((ids, w / w.sum()))
         else:
             cases.append((np.zeros(0, np.int64), np.zeros(0)))
+    epochs = max(1, round(steps / max(1, len(cases))))
     steps, done = epochs * len(cases), 0
     for _ in range(epochs):
         for k in rng.permutation(len(cases)):
@@ -109,7 +111,7 @@ def train(texts: list[str | None], labels: np.ndarray, buckets: int = 1 << 17, d
             out -= lr * np.outer(hidden, p)
             bias -= 0.1 * lr * p
             if len(ids):
-                vectors[ids] -= lr * np.outer(w / w.max(), back)
+                vectors[ids] -= lr * np.outer(w, back)
     return TextClassifier(vectors @ (out[:, 1] - out[:, 0]), float(bias[1] - bias[0]))
 
 

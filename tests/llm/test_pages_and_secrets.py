@@ -14,6 +14,49 @@ def test_main_text_drops_what_is_around():
     assert html_main.main_text("plain words, no markup at all.") == "plain words, no markup at all."
 
 
+SPREAD = ("<body><ul><li>Home</li><li>News</li><li>Shop</li></ul><h1>Storms at sea</h1><div class=lead>A storm came up at night, and the boats, all nine of them, ran for the harbour.</div>"
+          "<div><section><p>The wind fell at noon, so they said; by then, two masts were gone.</p><p>Nobody was hurt, as far as we know, but the nets are lost.</p></section>"
+          "<section><blockquote>We saw it coming, said one, and yet, what can you do?</blockquote></section></div><dl><dt>Home</dt><dt>Top</dt></dl></body>")
+
+
+def test_the_threshold_decides_for_every_path():
+    """A page without an article element, with its text in sibling containers."""
+    def text(strict):
+        blocks, paths = html_main.blocks_of(SPREAD)
+        keep = html_main.content_paths(blocks, paths, strict)
+        return ["".join(b.text)[:9] for b in blocks if b.path in keep]
+
+    assert text(0.35) == ["Storms at", "A storm c", "The wind ", "Nobody wa", "We saw it"]
+    assert len(text(0)) == 10 and text(1e9) == [] and 0 < len(text(2.5)) < 5
+    assert html_main.main_text(SPREAD).startswith("Storms at sea A storm") and html_main.main_text(SPREAD).endswith("what can you do?")
+
+
+def test_deep_and_long_pages_take_linear_time():
+    import time
+
+    def took(n):
+        start = time.perf_counter()
+        for page in ("<div>" * n + "text here, ok." + "</div>" * n, "<p><table><td>" + "<div>x, y." * n, "<i><div>" + "<b>" * n + "</i>" * n + "text, ok.", "".join(f"<x{k}>text {k}, ok.</x{k}>" for k in range(n))):
+            html_main.main_text(page)
+        return time.perf_counter() - start
+
+    took(100)
+    assert took(40_000) < 40 * took(4_000) + 1
+
+
+def test_long_runs_take_linear_time():
+    import time
+
+    for text in ("a." * 500_000 + ":", "a" * 1_000_000 + "@", "user" * 250_000 + "=", "a@" * 300_000, "1A" * 500_000, "http" * 200_000 + ":", "x-" * 400_000 + ":8080 "):
+        start = time.perf_counter()
+        credential_scan.weak_spans(text)
+        credential_scan.certain_spans(text)
+        assert time.perf_counter() - start < 10
+    spans = lambda t: [(k, t[a:b]) for k, a, b in credential_scan.weak_spans(t)]
+    assert spans("see db.example.org:5432, x..h.local:80 and a.b:x, mail me.too@ex-am.ple.org. ") == [("email", "me.too@ex-am.ple.org"), ("endpoint", "db.example.org:5432"), ("endpoint", "h.local:80")]
+    assert spans("ftp://h/x?y=1 host:22 a@b@c.de") == [("email", "b@c.de"), ("endpoint", "ftp://h/x?y=1")]
+
+
 def test_pages_edge_cases(spark):
     pages = spark.createDataFrame([(1, "u", None, "c"), (1, "u", "", "c"), (None, None, "<p>A text, here. It goes on.</p>" * 2000, "c")], "page_id long, url string, html string, text string")
     rows = html_main.extract(pages).collect()

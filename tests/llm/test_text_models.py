@@ -1,5 +1,6 @@
 import itertools
 import math
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -20,9 +21,7 @@ def test_kneser_ney_sums_to_one(languages):
     for lang, history in itertools.product(range(2), ("", "the c", "und d", "q")):
         total = 0.0
         for code in np.unique(languages.alphabet):
-            if code == langid.OTHER:
-                continue
-            letter = np.array([0 if code == langid.SPACE else np.flatnonzero(languages.alphabet == code)[0]])
+            letter = np.array([0 if code == langid.SPACE else np.flatnonzero(languages.alphabet == code)[-1]])
             cps = np.concatenate([np.array([ord(c) if c != " " else 0 for c in history], np.int64), letter])
             codes = languages.alphabet[cps]
             carry, p = 0.0, None
@@ -37,7 +36,49 @@ def test_kneser_ney_sums_to_one(languages):
                     c = languages.tables[k - 2].find(context)[0]
                     carry += languages.backoff[k - 2][c, lang] if c >= 0 else 0.0
             total += 10 ** (p if p is not None else carry + languages.unseen[lang])
-        assert 0.9 < total < 1.05
+        assert math.isclose(total, 1, abs_tol=1e-4)
+
+
+def plain_kneser_ney(languages, texts, discount=0.75, order=4):
+    """Probability of a code after a context, by counts in dictionaries."""
+    codes = languages.alphabet[langid.letters_of(texts)[0]].tolist()
+    padded = [langid.SPACE] * order + codes
+    grams = [Counter(tuple(padded[order + i - k + 1: order + i + 1]) for i in range(len(codes))) for k in range(1, order + 1)]
+    for k in range(order - 1):  # lower orders count the distinct letters in front
+        grams[k] = Counter(g[1:] for g in grams[k + 1])
+    size = len(np.unique(languages.alphabet))
+
+    def p(context, code, k):
+        if not k:
+            return 1 / size
+        after = {g[-1]: n for g, n in grams[k - 1].items() if g[:-1] == context}
+        below = p(context[1:], code, k - 1)
+        if not after:
+            return below
+        total = sum(after.values())
+        return max(after.get(code, 0) - discount, 0) / total + discount * len(after) / total * below
+
+    return lambda context, code: p(tuple(context), code, order)
+
+
+def test_entropies_equal_plain_kneser_ney(languages):
+    asked = ["the dog", "der hund und the", "zzz q", "Éa", "日本"]
+    got, _ = languages.entropy(asked)
+    for j, lang in enumerate(languages.langs):
+        p = plain_kneser_ney(languages, [{"en": EN, "de": DE}[lang]] * 3)
+        letters, owner, _ = langid.letters_of(asked)
+        codes = languages.alphabet[letters].tolist()
+        padded = [langid.SPACE] * 3 + codes
+        bits = np.array([-math.log2(p(padded[i: i + 3], codes[i])) for i in range(len(codes))])
+        for k in range(len(asked)):
+            mine = [b for i, b in enumerate(bits) if i and owner[i] == k]
+            assert math.isclose(got[k, j], np.mean(mine), rel_tol=1e-4)
+
+
+def test_every_letter_has_a_code():
+    many = "".join(chr(0x4E00 + k) for k in range(3000))
+    model = langid.train(pd.DataFrame({"text": [many, "abc"], "lang": ["zh", "en"]}))
+    assert len(np.unique(model.alphabet)) == 3000 + 3 + 2 and model.classify([many[2000:2040]]).lang_pred[0] == "zh"
 
 
 def test_language_edge_cases(docs, no_docs, languages):
@@ -122,6 +163,40 @@ def test_scores_of_texts(docs, no_docs):
     assert lattice_lm.score_texts(no_docs, train, ~train, rounds=1).count() == 0
 
 
+def plain_score(words, q, end, spread=3000.0):
+    """Words from an urn whose balls return doubled; after each the text ends or goes on."""
+    p, seen = 1.0, Counter()
+    for i, w in enumerate(words):
+        p *= (1 - end) * (spread * q(w) + seen[w]) / (spread + i)
+        seen[w] += 1
+    return p * end
+
+
+def test_scores_equal_a_plain_version(spark):
+    lattice = lattice_lm.Lattice.load()
+    train = ["the cat the dog", "the cat sat", "", "a dog a dog a dog"]
+    asked = ["the the zebra", "cat", "", "a dog sat sat sat"]
+    df = spark.createDataFrame(list(enumerate(train + asked)), "doc_id long, text string")
+    got = {r.doc_id: r.score for r in lattice_lm.score_texts(df, F.col("doc_id") < 4, F.col("doc_id") >= 4, rounds=0).collect()}
+    counts = Counter(w for t in train for w in t.split())
+    n, once, twice = sum(counts.values()), sum(c == 1 for c in counts.values()), sum(c == 2 for c in counts.values())
+    d = min(0.95, max(0.3, once / (once + 2 * twice)))
+    end = (len(train) + 0.5) / (n + len(train) + 1)
+    q = lambda w: max(counts[w] - d, 0) / n + d * len(counts) / n * math.exp(lattice.log_likelihood([w.encode()])[0]) if w in counts else d * len(counts) / n * math.exp(lattice.log_likelihood([w.encode()])[0])
+    for k, text in enumerate(train + asked):
+        assert math.isclose(got[k], math.log10(plain_score(text.split(), q, end)), rel_tol=1e-5)
+
+
+@pytest.mark.parametrize("spread", [2.0, 3000.0])
+def test_all_texts_have_a_probability_of_one_at_most(spread):
+    q = {"a": 0.6, "b": 0.3, "c": 0.1}.__getitem__
+    total = [sum(plain_score(t, q, 0.2, spread) for t in itertools.product("abc", repeat=n)) for n in range(8)]
+    assert np.allclose(total, [0.2 * 0.8**n for n in range(8)])
+    lattice = lattice_lm.Lattice.load()
+    short = [bytes(w) for n in (1, 2) for w in itertools.product(range(33, 127), repeat=n)]
+    assert np.exp(lattice.log_likelihood(short)).sum() < 1
+
+
 @pytest.fixture(scope="module")
 def pieces():
     return piece_transducer.PieceTransducer(*piece_transducer.read_pieces())
@@ -178,6 +253,54 @@ def test_classifier_edge_cases(spark, docs, no_docs):
         assert quality.score(no_docs, module.fit(no_docs, labels)).count() == 0
 
 
+def test_training_follows_the_gradient():
+    """Two steps by plain loops: averages of feature vectors, softmax, gradients by differences."""
+    texts, labels, buckets, dim, rate = ["aa bb aa", "cc cc"], np.array([1, 0]), 97, 3, 0.5
+    rng = np.random.default_rng(7)
+    vectors = rng.uniform(-1 / dim, 1 / dim, (buckets, dim))
+    out, bias = np.zeros((dim, 2)), np.zeros(2)
+    feats = []
+    for t in texts:
+        words, at, sizes = quality.numbered([t])
+        b, of = quality.word_features(words, buckets)
+        feats.append([x for place in at for x, w in zip(b, of, strict=True) if w == place] + quality.pair_features(words, at, sizes, buckets)[0].tolist())
+
+    def loss(v, o, c, k):
+        z = np.mean([v[f] for f in feats[k]], axis=0) @ o + c
+        return -(z[labels[k]] - np.log(np.exp(z).sum()))
+
+    def slope(k, x, f):
+        g = np.zeros_like(x)
+        for i in np.ndindex(x.shape):
+            up, down = x.copy(), x.copy()
+            up[i] += 1e-6
+            down[i] -= 1e-6
+            g[i] = (f(up) - f(down)) / 2e-6
+        return g
+
+    for step, k in enumerate(rng.permutation(2)):
+        lr = rate * (1 - step / 2)
+        gv, go, gc = slope(k, vectors, lambda v: loss(v, out, bias, k)), slope(k, out, lambda o: loss(vectors, o, bias, k)), slope(k, bias, lambda c: loss(vectors, out, c, k))  # noqa: B023
+        vectors, out, bias = vectors - lr * gv, out - lr * go, bias - 0.1 * lr * gc
+    got = quality.train(texts, labels, buckets, dim, 2, rate)
+    assert np.allclose(got.weight, vectors @ (out[:, 1] - out[:, 0]), atol=1e-6) and math.isclose(got.bias, bias[1] - bias[0], abs_tol=1e-6)
+
+
+def test_posterior_of_independent_voters_is_bayes_rule():
+    rng = np.random.default_rng(3)
+    truth = rng.random(4000) < 0.3
+    v = np.stack([(truth & (rng.random(4000) < a)) | (~truth & (rng.random(4000) < b)) for a, b in ((0.7, 0.05), (0.5, 0.02), (0.3, 0.1))] + [np.zeros(4000)], 1).astype(np.int8)
+    v[:, -1] = np.where(v[:, :3].any(1), 0, -1)
+    model = toxicity.fit_label_model(v, 0.3)
+    for row, p in zip(v[:50], model.posterior(v[:50]), strict=True):
+        odds = model.prior / (1 - model.prior)
+        for k, vote in enumerate(row):
+            if vote:
+                odds *= (model.p_toxic[k] / model.p_clean[k]) ** model.strength[k]
+        assert math.isclose(p, odds / (1 + odds), rel_tol=1e-9)
+    assert abs(model.p_toxic[0] - 0.7) < 0.12 and model.p_clean[0] < 0.1
+
+
 def test_label_model_weighs_correlated_voters_less():
     rng = np.random.default_rng(0)
     truth = rng.random(3000) < 0.3
