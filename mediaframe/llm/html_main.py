@@ -203,7 +203,8 @@ def content_paths(blocks: list[Block], paths: Paths, strict: float = 0.35, prior
     block (the ratios), with the text of links taken off. Both are smoothed over neighbours in
     page order with a Gaussian, fused as a geometric mean, and compared with a share of the
     spread above their weighted mean. That decides for every path; those in the article or main
-    element of the best one, or else below its parent, and titles (h1) are held to `prior` of it."""
+    element of the best one, or else below its parent (unless that is the body), and titles (h1)
+    are held to `prior` of it."""
     chars, marks, count = defaultdict(float), defaultdict(float), defaultdict(int)
     for b in blocks:  # paths in the order in which they come first
         if not b.around:
@@ -218,7 +219,9 @@ def content_paths(blocks: list[Block], paths: Paths, strict: float = 0.35, prior
     punctuation = np.array([1 + marks[p] / count[p] for p in found])
     fused = np.sqrt(smoothed(text) * smoothed(punctuation))
     best = found[int(np.argmax(fused * np.sqrt([count[p] for p in found])))]
-    root = paths.nearest({"article"})[best] or paths.nearest({"main"})[best] or paths.parent[best] or best
+    root = paths.nearest({"article"})[best] or paths.nearest({"main"})[best] or paths.parent[best]
+    if paths.tag[root] in ("", "html", "body"):  # the whole page is no reason to expect content
+        root = best
     weight = np.array([chars[p] for p in found]) + 1
     mean = np.average(fused, weights=weight)
     limit = strict * (mean + np.sqrt(np.average((fused - mean) ** 2, weights=weight))) / 2
