@@ -198,7 +198,7 @@ def smoothed(x: np.ndarray, width: float = 0.5) -> np.ndarray:
     return np.convolve(x, kernel)[reach: reach + len(x)] / np.convolve(np.ones(len(x)), kernel)[reach: reach + len(x)]
 
 
-def content_paths(blocks: list[Block], paths: Paths, strict: float = 0.35, prior: float = 0.25) -> set[int]:
+def content_paths(blocks: list[Block], paths: Paths, strict: float = 0.5, prior: float = 0.25) -> set[int]:
     """Paths that hold content. For each root-to-leaf path: characters and punctuation marks a
     block (the ratios), with the text of links taken off. Both are smoothed over neighbours in
     page order with a Gaussian, fused as a geometric mean, and compared with a share of the

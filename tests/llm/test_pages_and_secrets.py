@@ -26,7 +26,7 @@ def test_the_threshold_decides_for_every_path():
         keep = html_main.content_paths(blocks, paths, strict)
         return ["".join(b.text)[:9] for b in blocks if b.path in keep]
 
-    assert text(0.35) == ["Storms at", "A storm c", "The wind ", "Nobody wa", "We saw it"]
+    assert text(0.5) == ["Storms at", "A storm c", "The wind ", "Nobody wa", "We saw it"]
     assert len(text(0)) == 10 and text(1e9) == [] and 0 < len(text(2.5)) < 5
     assert html_main.main_text(SPREAD).startswith("Storms at sea A storm") and html_main.main_text(SPREAD).endswith("what can you do?")
 
