@@ -96,3 +96,45 @@ def pair_live(videos: DataFrame, images: DataFrame, most_s: float = 5.0, order:
     v = videos.filter(F.col("duration") <= most_s).select("library_id", stem.alias("stem"), F.col("asset_id").alias("video"))
     i = images.select("library_id", stem.alias("stem"), F.col("asset_id").alias("image"), F.col(order).alias("o"))
     return v.join(i, ["library_id", "stem"]).groupBy("video").agg(F.max_by("image", "o").alias("image"))
+
+
+def filter_gaps(assets: DataFrame, dated: bool, placed: bool) -> DataFrame:
+    """undated, unplaced: rows that a filter of that kind cannot see; null where no such filter is used."""
+    count = lambda used, c: (F.count_if(F.col(c).isNull()) if used else F.lit(None).cast("long"))
+    return assets.agg(count(dated, "taken_at").alias("undated"), count(placed, "place").alias("unplaced"))
+
+
+def reuse_segments(pending: DataFrame, vectors: DataFrame, donors: DataFrame, keys: tuple[str, ...] = ("profile_key", "modality")) -> DataFrame:
+    """All segments, in order, of the donor (smallest id) with the same content, for each pending asset."""
+    pairs = reuse_vectors(pending, donors.join(vectors.select("asset_id").distinct(), "asset_id", "left_semi"))
+    own = vectors.withColumnRenamed("asset_id", "donor")
+    return pairs.join(own, "donor").select("asset_id", "donor", *keys, "segment_index", *[c for c in vectors.columns if c not in ("asset_id", "segment_index", *keys)])
+
+
+def index_state(assets: DataFrame, vectors: DataFrame, profile: str, by: str = "library_id") -> DataFrame:
+    """by, total, searchable, other_profile_vectors, state: empty (no row), incompatible (vectors of other
+    profiles only), not_indexed, partial or ready; failed and missing files are not waited for."""
+    v = vectors.groupBy("asset_id").agg(F.bool_or(F.col("profile_key") == profile).alias("own"), F.bool_or(F.col("profile_key") != profile).alias("other"))
+    s = assets.join(v, "asset_id", "left").groupBy(by).agg(
+        F.count(F.lit(1)).alias("total"), F.count_if(F.col("own") & (F.col("status") == "indexed")).alias("searchable"), F.count_if(F.col("other")).alias("other_profile_vectors"),
+        F.count_if(~F.col("status").isin("failed", "missing")).alias("wanted"))
+    state = F.when((F.col("searchable") == 0) & (F.col("other_profile_vectors") > 0), "incompatible").when(F.col("searchable") == 0, "not_indexed").when(F.col("searchable") < F.col("wanted"), "partial").otherwise("ready")
+    return s.select(by, "total", "searchable", "other_profile_vectors", state.alias("state"))
+
+
+def drop_changed_vectors(vectors: DataFrame, existing: DataFrame, scanned: DataFrame) -> DataFrame:
+    """Vectors of assets whose content is still the same after an import."""
+    changed = import_diff(existing, scanned).filter("outcome = 'changed'").join(existing.select("rel_path", "asset_id"), "rel_path")
+    return vectors.join(changed.select("asset_id"), "asset_id", "left_anti")
+
+
+def mark_status(assets: DataFrame, marks: DataFrame) -> DataFrame:
+    """Statuses and reasons of marks (asset_id, new_status, reason); a row that is fine again has no reason."""
+    out = assets.join(marks, "asset_id", "left")
+    return out.withColumn("status", F.coalesce("new_status", "status")).withColumn("reason", F.when(F.col("status").isin("failed", "missing"), F.col("reason"))).drop("new_status")
+
+
+def live_status(videos: DataFrame, pairs: DataFrame) -> DataFrame:
+    """asset_id, live_photo, changed: the photo of each video now, and whether that is another one than before."""
+    now = videos.join(pairs.select(F.col("video").alias("asset_id"), F.col("image").alias("now")), "asset_id", "left")
+    return now.select("asset_id", F.col("now").alias("live_photo"), (~F.col("now").eqNullSafe(F.col("live_photo"))).alias("changed"))

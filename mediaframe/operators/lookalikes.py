@@ -44,3 +44,15 @@ def group_budget(groups: DataFrame, limit: int) -> DataFrame:
     some = groups.orderBy(F.desc("n"), "first").limit(limit + 1)
     w = Window.partitionBy(F.lit(1)).orderBy(F.desc("n"), "first").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return some.withColumn("total", F.sum("n").over(w)).filter(F.col("total") <= limit)
+
+
+def groups(stars: DataFrame, facts: DataFrame, limit: int) -> DataFrame:
+    """leader, member, best, identical, size: whole groups, the largest first, up to `limit` photos;
+    facts: asset_id, content_hash, sharpness, pixels. Photos without facts have no hash and no best shot."""
+    every = stars.select("leader", "member").unionByName(stars.select("leader", F.col("leader").alias("member")).distinct())
+    fit = group_budget(every.groupBy("leader").agg(F.count(F.lit(1)).alias("n")).withColumn("first", F.col("leader")), limit).select("leader", F.col("n").alias("size"))
+    rows = staged(every.join(fit.hint("merge"), "leader").join(facts.withColumnRenamed("asset_id", "member").hint("merge"), "member", "left"))
+    best = best_shot(rows.filter("sharpness is not null").select(F.col("leader").alias("grp"), F.col("member").alias("id"), "sharpness", "pixels")).select(F.col("grp").alias("leader"), F.col("id").alias("keeper"))
+    same = rows.groupBy("leader").agg(((F.count_distinct("content_hash") == 1) & (F.count("content_hash") == F.count(F.lit(1)))).alias("identical"))
+    out = rows.join(best.hint("merge"), "leader", "left").join(same.hint("merge"), "leader")
+    return out.select("leader", "member", F.coalesce(F.col("member") == F.col("keeper"), F.lit(False)).alias("best"), "identical", "size")

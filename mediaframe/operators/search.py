@@ -202,6 +202,17 @@ def object_first(ranked: DataFrame, found: DataFrame, checked: DataFrame, limit:
     return marked.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= limit).drop("_f", "_c")
 
 
+def search_grouped(assets: DataFrame, segments: DataFrame, query: list[float], when, limit: int, found: DataFrame | None = None, checked: DataFrame | None = None) -> DataFrame:
+    """asset_id, similarity, rank (and object_check): photos in scope by their best window; twice as many
+    as asked for are ranked, and those where the detector has found the object come first."""
+    from .catalog import scope
+
+    hits = score(searchable(segments, scope(assets, when=when)), query)
+    top = best_window_per_asset(hits, 2 * limit if found is not None else limit)
+    ranked = rank_results(top.select("asset_id", "similarity"))
+    return object_first(ranked, found, checked, limit) if found is not None else ranked
+
+
 def rank_within(ids: DataFrame, vectors: DataFrame, query: list[float]) -> DataFrame:
     """Scores of a set of ids; an id without a vector scores -2."""
     return ids.join(score(vectors, query).select("asset_id", "similarity"), "asset_id", "left").withColumn("similarity", F.coalesce("similarity", F.lit(-2.0)))

@@ -42,12 +42,21 @@ def validate_ranges(ranges: DataFrame, least_s: float = 0.5, most_s: float = 600
 
 
 def manifest(items: DataFrame) -> DataFrame:
-    """One nested record of items in order for each selection, ready for write.json."""
+    """One nested record of items in order for each selection, ready for write.json; with a pair of
+    dimensions and a pair of seconds (or null) where items have those columns."""
     status = F.when(F.col("state") == "F", "ok").when(F.col("state") == "O", "changed").otherwise("missing")
-    item = F.struct("position", "asset_id", status.alias("status"), F.format_string("p/%d.jpg", "asset_id").alias("source"))
+    pair = lambda x, y, name: [F.when(F.col(x).isNotNull() & F.col(y).isNotNull(), F.array(x, y)).alias(name)] if {x, y} <= set(items.columns) else []
+    item = F.struct("position", "asset_id", status.alias("status"), F.format_string("p/%d.jpg", "asset_id").alias("source"), *pair("width", "height", "dims"), *pair("start_s", "end_s", "segment"))
     return items.groupBy("selection_id").agg(F.array_sort(F.collect_list(item)).alias("items"))
 
 
+def export_rows(items: DataFrame) -> DataFrame:
+    """items with row: file, clip (a part of a video), or why it is skipped. A part has start_s."""
+    part = F.col("start_s").isNotNull()
+    kind = F.when(F.col("status") != "ok", "skipped: not there").when(part & (F.col("media_type") == "video"), "clip").when(part & (F.col("media_type") == "audio"), "skipped: part of a sound").when(part, "skipped: part of a picture")
+    return items.withColumn("row", kind.otherwise("file"))
+
+
 def free_names(files: DataFrame) -> DataFrame:
     """id, name: names that no two files share, whatever the case. In order of id, a file whose name
     is taken gets " (2)", " (3)" and so on, the first that is free.

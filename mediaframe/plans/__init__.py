@@ -1,3 +1,3 @@
 """Registered queries over the logical tables."""
 
-from . import catalog, detections, evaluation, retrieval, streams, text  # noqa: F401
+from . import catalog, composed, detections, evaluation, retrieval, streams, text  # noqa: F401

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import detections as det
 from ..operators import search as s
 from ..registry import query
 from ..sources import bindings as b
+from ..sources.staging import small
 
 B, R, P = b.BOXES, b.RUNS, b.PHOTOS
 AREA = "greatest(0, x1 - x0) * greatest(0, y1 - y0)"
@@ -28,8 +30,8 @@ def a9(spark, d):
 @query("a10_ground_truth_counts", f"WITH {B}, c AS (SELECT label, row_number() OVER (ORDER BY label) - 1 AS category FROM (SELECT DISTINCT label FROM boxes)) SELECT content_hash, category, count(*) AS n FROM boxes JOIN c USING (label) GROUP BY 1, 2")
 def a10(spark, d):
     boxes = b.boxes(spark, d)
-    cats = boxes.groupBy().agg(F.array_sort(F.collect_set("label")).alias("l")).select(F.posexplode("l").alias("category", "label"))
-    return boxes.join(F.broadcast(cats), "label").groupBy("content_hash", F.col("category").cast("long").alias("category")).agg(F.count(F.lit(1)).alias("n"))
+    kinds = boxes.select("label").distinct().withColumn("category", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("label")) - 1)  # a row for each label
+    return boxes.join(small(kinds), "label").groupBy("content_hash", F.col("category").cast("long").alias("category")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("b9_confidence_band", f"WITH {B} SELECT CASE WHEN score >= 0.75 THEN 'sure' WHEN score >= 0.5 THEN 'maybe' ELSE 'dropped' END AS band, count(*) AS n FROM boxes GROUP BY 1")

@@ -111,9 +111,9 @@ def h10(spark, d):
     return log(spark, d).select("id", F.array_sort(tm.photo_numbers(F.col("t"))).alias("numbers"))
 
 
-@query("h10_edit_request")
+@query("h10_edit_request", f"WITH {LOG}, {MORE_LOG} SELECT id, coalesce(nullif(regexp_extract(t, '{tm.REPLACED}', 1), ''), nullif(regexp_extract(t, '{tm.REMOVED}', 1), '')) AS object, regexp_extract(t, '{tm.REPLACEMENT}', 1) AS replacement FROM (SELECT id, t FROM log UNION ALL SELECT id, t FROM more)")
 def h10b(spark, d):
-    return log(spark, d).select("id", tm.edit_request(F.col("t")).alias("r")).select("id", "r.*")
+    return log(spark, d).select("id", "t").unionByName(more_log(spark, d)).select("id", tm.edit_request(F.col("t")).alias("r")).select("id", "r.*")
 
 
 PLACES_SQL = f"list_distinct(list_concat(list_filter([{', '.join(f'CASE WHEN contains(m, ' + chr(39) + ' ' + w + ' ' + chr(39) + f') THEN {n} END' for w, n in tm.ORDINALS.items())}], lambda x: x IS NOT NULL), list_transform(regexp_extract_all(t, '\\b(\\d{{1,3}})\\b', 1), lambda x: CAST(x AS INTEGER))))"

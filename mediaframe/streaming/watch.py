@@ -74,6 +74,15 @@ def incremental_import(spark: SparkSession, root: str, catalog: str, checkpoint:
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def latest_snapshot(spark: SparkSession, catalog: str) -> DataFrame:
+    """The last complete version of a catalog."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = path(catalog).getFileSystem(spark._jsc.hadoopConfiguration())
+    names = sorted(x.getPath().getName() for x in fs.listStatus(path(catalog)))
+    whole = [n for n in names if fs.exists(path(f"{catalog}/{n}/_SUCCESS"))]
+    return spark.read.parquet(f"{catalog}/{whole[-1]}")
+
+
 def two_phase(assets: DataFrame, vectors: DataFrame) -> DataFrame:
     """What can be seen while vectors still come: every asset, and whether it can be searched."""
     v = vectors.select("asset_id").distinct().withColumn("searchable", F.lit(True))
