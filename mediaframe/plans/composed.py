@@ -245,7 +245,8 @@ def d17(spark, d):
     return t.join(best, "query", "left").select("query", "unlabelled", F.when(F.col("whole") & (F.col("idcg") > 0), F.round(F.col("dcg") / F.col("idcg"), 6)).alias("ndcg"))
 
 
-TOP = """top AS (SELECT content_hash, label, max(score) AS score, arg_max(greatest(0, CAST(round(x1 * 10000) AS BIGINT) - CAST(round(x0 * 10000) AS BIGINT)) * greatest(0, CAST(round(y1 * 10000) AS BIGINT) - CAST(round(y0 * 10000) AS BIGINT)) / 1e8, score * 1000 - box_no) AS area FROM boxes GROUP BY 1, 2), opinion AS (SELECT *, CASE WHEN content_hash % 5 < 3 THEN content_hash % 5 < 2 END AS second, content_hash % 3 <> 0 AS truth FROM top)"""
+TOP = """sized AS (SELECT *, greatest(0, CAST(round(x1 * 10000) AS BIGINT) - CAST(round(x0 * 10000) AS BIGINT)) * greatest(0, CAST(round(y1 * 10000) AS BIGINT) - CAST(round(y0 * 10000) AS BIGINT)) / 1e8 AS area FROM boxes),
+    ordered AS (SELECT *, row_number() OVER (PARTITION BY content_hash, label ORDER BY score DESC, box_no, area DESC) AS rn FROM sized), top AS (SELECT content_hash, label, score, area FROM ordered WHERE rn = 1), opinion AS (SELECT *, CASE WHEN content_hash % 5 < 3 THEN content_hash % 5 < 2 END AS second, content_hash % 3 <> 0 AS truth FROM top)"""
 RULES = [("score >= 0.5", "score >= 0.5"), ("score >= 0.75", "score >= 0.75"), ("second opinion says yes", "score >= 0.5 AND second IS TRUE"), ("sure, or second opinion says yes", "score >= 0.75 OR (score >= 0.5 AND second IS TRUE)"),
          ("second opinion removes boxes of 2 %", "score >= 0.5 AND NOT (second IS FALSE AND area >= 0.02)"), ("second opinion removes boxes of 5 %", "score >= 0.5 AND NOT (second IS FALSE AND area >= 0.05)")]
 
