@@ -4,8 +4,14 @@ Rankings are rows (query, candidate, rank, grade); grade is null where nobody ha
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def gain(grade: Column, rank: Column) -> Column:
@@ -64,3 +70,39 @@ def peak_envelope(samples: DataFrame, buckets: int) -> DataFrame:
     peaks = s.groupBy("source", bucket.alias("bucket")).agg(F.max(F.abs("x")).alias("peak"))
     top = peaks.groupBy("source").agg(F.max("peak").alias("top"))  # of a few buckets a source
     return peaks.join(top.hint("merge"), "source").select("source", "bucket", (F.col("peak") / F.col("top")).alias("peak"))
+
+
+#: Cumulative shares of a Poisson variable of mean one: 0, 1, 2, ... times.
+POISSON = np.cumsum([np.exp(-1.0) / f for f in (1, 1, 2, 6, 24, 120, 720, 5040)])
+
+
+def bootstrap_ci(values: DataFrame, replicates: int = 1000, low: float = 0.025, high: float = 0.975) -> DataFrame:
+    """low, high: quantiles of the mean of values (id, value) over replicates of rows drawn again with
+    replacement. Each replicate gives a row a Poisson weight of mean one that a hash of id and
+    replicate decides, so that a partition returns two sums for each replicate, whatever its rows."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        top, bottom = np.zeros(replicates), np.zeros(replicates)
+        salt = np.arange(1, replicates + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        for batch in batches:
+            h, x = batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy(zero_copy_only=False).astype(float)
+            for at in range(0, len(h), 256):
+                u = h[at: at + 256, None] ^ salt
+                u = (u ^ (u >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+                u = ((u ^ (u >> np.uint64(33))) >> np.uint64(11)) / float(1 << 53)
+                w = np.searchsorted(POISSON, u)
+                top += x[at: at + 256] @ w
+                bottom += w.sum(0)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(replicates)), pa.array(top), pa.array(bottom)], names=["replicate", "top", "bottom"])
+
+    sums = values.filter("value is not null").select(F.xxhash64("id"), F.col("value").cast("double")).mapInArrow(run, "replicate long, top double, bottom double")
+    means = sums.groupBy("replicate").agg((F.sum("top") / F.sum("bottom")).alias("m"))
+    return means.agg(F.percentile("m", F.lit(low)).alias("low"), F.percentile("m", F.lit(high)).alias("high"))
+
+
+@F.pandas_udf(T.DoubleType())
+def trimmed_mean(x: pd.Series) -> float:
+    """A grouped aggregate: the mean without the lowest and highest tenth. A group is one task's rows; for groups
+    of bounded size."""
+    x = x.dropna().sort_values()
+    cut = len(x) // 10
+    return float(x.iloc[cut: len(x) - cut].mean()) if len(x) else float("nan")

@@ -202,6 +202,16 @@ def object_first(ranked: DataFrame, found: DataFrame, checked: DataFrame, limit:
     return marked.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= limit).drop("_f", "_c")
 
 
+def by_media_type(assets: DataFrame, search: dict, rank) -> DataFrame:
+    """One ranking of several: search names a function of (assets of the type) for each media type, and
+    rank orders what they return together."""
+    parts = [fn(assets.filter(F.col("media_type") == name)).withColumn("media_type", F.lit(name)) for name, fn in search.items()]
+    every = parts[0]
+    for part in parts[1:]:
+        every = every.unionByName(part)
+    return rank(every)
+
+
 def search_grouped(assets: DataFrame, segments: DataFrame, query: list[float], when, limit: int, found: DataFrame | None = None, checked: DataFrame | None = None) -> DataFrame:
     """asset_id, similarity, rank (and object_check): photos in scope by their best window; twice as many
     as asked for are ranked, and those where the detector has found the object come first."""

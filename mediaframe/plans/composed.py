@@ -9,6 +9,7 @@ from ..functions import pixels
 from ..functions.vectors import truncate_dim
 from ..operators import catalog as c
 from ..operators import detections as det
+from ..operators import evaluation as ev
 from ..operators import lookalikes
 from ..operators import places as pl
 from ..operators import search as s
@@ -362,6 +363,21 @@ def l2(spark, d):
     return parts[0].unionByName(parts[1])
 
 
+@query("j4_search_by_type", f"WITH {V}, {Q0}, {A}, t AS (SELECT asset_id, media_type, list_dot_product(vector, qv) AS x FROM vectors JOIN assets USING (asset_id), q WHERE status = 'indexed'), r AS (SELECT *, row_number() OVER (PARTITION BY media_type ORDER BY x DESC, asset_id) AS k FROM t) SELECT asset_id, media_type, row_number() OVER (ORDER BY x DESC, asset_id) AS rank FROM r WHERE (media_type = 'image' AND k <= 6) OR (media_type = 'video' AND k <= 3)")
+def j4(spark, d):
+    """Each type by its own function, then one ranking."""
+    v = b.vectors(spark, d)
+    q = query_vector(v)
+    top = lambda k: lambda assets: s.cosine_topk(s.searchable(v, assets), q, k)
+    return s.by_media_type(b.assets(spark, d), {"image": top(6), "video": top(3)}, s.rank_results).select("asset_id", "media_type", "rank")
+
+
+@query("j5_trimmed_mean", "WITH n AS (SELECT l_suppkey AS supplier, l_extendedprice AS x, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_extendedprice) - 1 AS i, count(*) OVER (PARTITION BY l_suppkey) AS n FROM lineitem) SELECT supplier, round(avg(x) FILTER (i >= n // 10 AND i < n - n // 10), 2) AS mean FROM n GROUP BY 1")
+def j5(spark, d):
+    """A grouped aggregate in Arrow batches; a supplier has some 600 lines."""
+    return b.read(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("supplier")).agg(F.round(ev.trimmed_mean("l_extendedprice"), 2).alias("mean"))
+
+
 @query("l5_refine_colour_text", f"""WITH {V}, {Q0}, {PIXELS}, prev AS (SELECT asset_id, row_number() OVER (ORDER BY list_dot_product(vector, qv) DESC, asset_id) AS rank FROM vectors, q ORDER BY rank LIMIT 200), w AS (SELECT photo AS asset_id, {pale_sql(0, 7)} AS share FROM pixels), k AS (SELECT asset_id, share FROM prev JOIN w USING (asset_id) WHERE share >= 0.04),
     r AS (SELECT asset_id, row_number() OVER (ORDER BY share < 0.1, share DESC, asset_id) AS place, list_dot_product(vector, (SELECT vector FROM vectors WHERE asset_id = 1)) AS x FROM k JOIN vectors USING (asset_id)) SELECT asset_id, place, row_number() OVER (ORDER BY x DESC, asset_id) <= 3 AS close FROM r""")
 def l5(spark, d):

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import dot, l2_norm, l2_normalize, truncate_dim
+from ..operators import evaluation as ev
 from ..operators import lookalikes
 from ..operators import search as s
 from ..registry import query
@@ -253,14 +254,8 @@ def d19(spark, d):
 
 @query("d20_bootstrap_ci")
 def d20(spark, d):
-    """95 % interval of R@10 over clips drawn again with replacement: each replicate gives a clip a
-    Poisson weight of mean one, so replicates are sums by key and nothing is gathered."""
-    t = caption_ranks(spark, d).withColumn("hit", (F.col("rank") <= 10).cast("int"))
-    u = (F.pmod(F.xxhash64("caption", "replicate"), F.lit(1 << 30)) + 0.5) / (1 << 30)
-    drawn = t.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(999)))).withColumn("u", u)
-    weight = sum(((F.col("u") > F.lit(c)).cast("int") for c in (0.36788, 0.73576, 0.91970, 0.98101, 0.99634, 0.99941)), F.lit(0))
-    means = drawn.withColumn("w", weight).groupBy("replicate").agg((F.sum(F.col("w") * F.col("hit")) / F.sum("w")).alias("m"))
-    return means.agg(F.percentile("m", F.lit(0.025)).alias("low"), F.percentile("m", F.lit(0.975)).alias("high"))
+    """95 % interval of R@10 over clips drawn again with replacement."""
+    return ev.bootstrap_ci(caption_ranks(spark, d).select(F.col("caption").alias("id"), (F.col("rank") <= 10).cast("int").alias("value")))
 
 
 @query("l1_search_text", f"""WITH {V}, {b.ASSETS}, {Q0}, ok AS (SELECT asset_id, library_id AS lib FROM assets WHERE status = 'indexed' AND media_type = 'image' AND live_photo IS NULL AND taken_at >= TIMESTAMP '2024-01-01' AND taken_at < TIMESTAMP '2024-01-09'),

@@ -62,12 +62,12 @@ def h6(spark, d):
 
 @query("h7_extract_time")
 def h7(spark, d):
-    return tm.extract_time(log(spark, d).select("id", "t").unionByName(more_log(spark, d)), "t", dt.date(2026, 10, 20)).select("id", "time.*")
+    return tm.extract_time(log(spark, d).select("id", "t").unionByName(more_log(spark, d)), "t", dt.date(2031, 5, 14)).select("id", "time.*")
 
 
 @query("h7_rest_of_month", f"WITH {MORE_LOG} SELECT id, CASE WHEN t LIKE 'shot in sept%' THEN '2020-09-01' END AS start, CASE WHEN t LIKE 'shot in sept%' THEN 'at the beach' END AS rest, CASE WHEN t LIKE 'shot in sept%' THEN 'from September 2020' END AS label FROM more")
 def h7c(spark, d):
-    return tm.extract_time(more_log(spark, d), "t", dt.date(2026, 10, 20)).select("id", "time.start", "time.rest", "time.label")
+    return tm.extract_time(more_log(spark, d), "t", dt.date(2031, 5, 14)).select("id", "time.start", "time.rest", "time.label")
 
 
 @query("h7_year_span", f"""WITH {LOG}, y AS (SELECT id, regexp_extract(t, '\\b((?:19|20)\\d\\d)\\b\\s*(?:-|to|and|until|till)\\s*\\b((?:19|20)\\d\\d)\\b', 1) AS a, regexp_extract(t, '\\b((?:19|20)\\d\\d)\\b\\s*(?:-|to|and|until|till)\\s*\\b((?:19|20)\\d\\d)\\b', 2) AS z, regexp_extract(t, '\\b((?:19|20)\\d\\d)\\b', 1) AS o FROM log)
@@ -209,7 +209,7 @@ def h26(spark, d):
     return b.read(spark, d, "part").select(F.col("p_partkey").alias("id"), media.sample_times(F.lit(0.0), F.col("p_size") / 8.0, 2.0).alias("times"))
 
 
-@query("h27_profile_key")
+@query("h27_profile_key", """SELECT substr(sha256(concat('{"dim":"', event_type, '","precision":', user_id % 4, ',"window":10}')), 1, 16) AS profile_key, count(*) AS n FROM events GROUP BY 1""")
 def h27(spark, d):
     p = F.struct(F.col("event_type").alias("dim"), F.expr("user_id % 4").alias("precision"), F.lit(10).alias("window"))
     return b.read(spark, d, "events").select(media.profile_key(p).alias("profile_key")).groupBy("profile_key").agg(F.count(F.lit(1)).alias("n"))
@@ -235,7 +235,7 @@ def e17(spark, d):
     return b.turns(spark, d).select("conv_id", "turn", F.last(asked, ignorenulls=True).over(w).alias("seen"))
 
 
-@query("e17_last_named_object")
+@query("e17_last_named_object", f"WITH n AS (SELECT conv_id, turn, role = 'user' AND len({TAGS}) > 0 AS named FROM (SELECT *, regexp_extract_all(lower(text), '([a-z]+)', 1) AS w FROM conversations)) SELECT conv_id, turn, last_value(CASE WHEN named THEN turn END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS named_at FROM n")
 def e17b(spark, d):
     return tm.conversation_context(b.turns(spark, d)).select("conv_id", "turn", F.col("before.turn").alias("named_at"))
 

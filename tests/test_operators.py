@@ -307,3 +307,20 @@ def test_nearest_other_of_many_copies(spark, tmp_path):
     s[s > 0.9999] = -2
     got = {r.asset_id: r.nearest for r in QUERIES["e7_nearest_other"](spark, str(tmp_path)).collect()}
     assert got == {i: int(s[i].argmax()) for i in range(40)}
+
+
+def test_bootstrap_interval_holds_the_normal_one(spark):
+    rng = np.random.default_rng(1)
+    x = rng.random(2000) < 0.3
+    df = spark.createDataFrame([(i, float(v)) for i, v in enumerate(x)], "id long, value double")
+    got = evaluation.bootstrap_ci(df).first()
+    sd = (x.mean() * (1 - x.mean()) / len(x)) ** 0.5
+    assert abs(got.low - (x.mean() - 1.96 * sd)) < 0.004 and abs(got.high - (x.mean() + 1.96 * sd)) < 0.004
+    assert evaluation.bootstrap_ci(df.repartition(5)).first() == pytest.approx(got)
+    assert evaluation.bootstrap_ci(df.limit(0)).first().low is None
+
+
+def test_follow_ups(spark):
+    said = {"ok do it": "confirm", "it's fine": "confirm", "now put a bus there": "redo", "swap it for a tree": "redo", "there is still a smudge": "retry", "make it neater": "retry", "nice": None}
+    got = spark.createDataFrame([(k,) for k in said], "t string").select("t", textmine.follow_up(F.col("t")).alias("f")).collect()
+    assert {r.t: r.f for r in got} == said
