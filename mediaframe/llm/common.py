@@ -29,14 +29,32 @@ def shared_dir(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get().rstrip("/")
 
 
+_written: list[str] = []  # paths of this process
+
+
 def stage(df: DataFrame, label: str) -> DataFrame:
     """Writes df as a table of the shared folder and reads it back: the lineage is cut, a lost
     executor costs only its own tasks, and a result used twice is computed once."""
     path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def written() -> int:
+    """A mark for `release`: how many tables this process has staged."""
+    return len(_written)
+
+
+def release(spark: SparkSession, since: int, keep: int = 1) -> None:
+    """Deletes the tables staged since a mark but for the last `keep`, once nothing will read them."""
+    done = _written[since: len(_written) - keep]
+    for path in done:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    del _written[since: since + len(done)]
+
+
 def runs_for(rows: int, rows_per_run: int = 8192, most: int = 4096) -> int:
     """A power of two that grows with the rows; a key that holds all rows is spread over so many."""
     n = 4

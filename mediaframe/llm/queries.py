@@ -17,8 +17,8 @@ from . import quality, toxicity
 from .common import table
 
 
-def op1_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm.score_texts(table(spark, sf_dir, "documents"), remainder(7) != 2, remainder(7) == 2, class_col="lang")
+def op1_lattice_lm(spark: SparkSession, sf_dir: str, model: str = pt.MODEL) -> DataFrame:
+    return lm.score_texts(table(spark, sf_dir, "documents"), remainder(7) != 2, remainder(7) == 2, class_col="lang", model=model)
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,8 +50,8 @@ def op6_html_main(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_main.extract(table(spark, sf_dir, "pages"))
 
 
-def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pt.tokenize(table(spark, sf_dir, "documents"))
+def op7_sentencepiece(spark: SparkSession, sf_dir: str, model: str = pt.MODEL) -> DataFrame:
+    return pt.tokenize(table(spark, sf_dir, "documents"), model=model)
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
