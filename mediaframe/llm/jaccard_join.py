@@ -447,28 +447,36 @@ def joining(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 def components(links: DataFrame, most: int = 60) -> DataFrame:
     """node, comp (its smallest reachable node) of links a < b, for nodes with links but the smallest
-    ones. Alternating large-star and small-star steps; each round is a staged table. The smallest
-    neighbour of a node is a partial aggregate, and goes back to the edges by salted keys; the edges
-    of a hub never meet in one task."""
-    edges = stage(links.select(F.col("b").alias("u"), F.col("a").alias("v")).distinct(), "edges")
-    before = _stamp(edges)
+    ones. Alternating large-star and small-star steps: larger neighbours of a node, then smaller ones
+    are hung on its smallest neighbour, until all are stars. That neighbour is a partial aggregate,
+    and only nodes where something changes are told; the edges of a hub never meet in one task."""
+    edges = links.select(F.col("b").alias("u"), F.col("a").alias("v"))
+    edges = stage(edges.distinct(), "edges")
     for _ in range(most):
-        salts = runs_for(before[0], 1024)
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy(F.col("u").alias("v")).agg(F.min("v").alias("m")).select("v", F.least("v", "m").alias("m"))
-        large = stage(attach(edges, low, ["v"], F.xxhash64("u"), salts).select("u", F.col("m").alias("v")).distinct(), "edges")
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = attach(large, least, ["u"], F.xxhash64("v"), salts)
-        edges = stage(small.select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")), "edges")
-        after = _stamp(edges)
-        if before == after:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("comp"))
-        before = after
+        between = both.groupBy(F.col("u").alias("v")).agg(F.min("v").alias("m"), F.max("v").alias("top")).filter("m < v and top > v").select("v", "m")
+        large, moved = _told(edges, between, "v")
+        if moved:
+            large = stage(large.select("u", F.coalesce("m", "v").alias("v")), "edges")
+        several = large.groupBy("u").agg(F.min("v").alias("m"), F.max("v").alias("top")).filter("m < top").select("u", "m")
+        small, hung = _told(large, several, "u")
+        if not hung and not moved:
+            return edges.select(F.col("u").alias("node"), F.col("v").alias("comp")).distinct()
+        stays = F.col("m").isNull() | (F.col("v") == F.col("m"))
+        edges = stage(small.select(F.when(stays, F.col("u")).otherwise(F.col("v")).alias("u"), F.coalesce("m", "v").alias("v")), "edges") if hung else large
     raise RuntimeError(f"components have not settled in {most} rounds")
 
 
-def _stamp(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("v", "u").cast("decimal(20,0)"))).first())
+def _told(edges: DataFrame, facts: DataFrame, key: str, most: int = 1_000_000) -> tuple[DataFrame, bool]:
+    """edges with m of facts (null if there is none), and whether there are any facts. So many (16 MB)
+    are broadcast; more meet the edges by salted keys."""
+    facts = stage(facts, "facts")
+    n = facts.count()
+    if not n:
+        return edges, False
+    if n <= most:
+        return edges.join(F.broadcast(facts), key, "left"), True
+    return attach(edges, facts, [key], F.xxhash64(*[c for c in edges.columns if c != key]), runs_for(edges.count())), True
 
 
 def _fetch_sets(slim: DataFrame, entities: DataFrame, ents: DataFrame) -> DataFrame:

@@ -143,7 +143,10 @@ def _roots(a, b):
     return root
 
 
-def test_components_of_paths_hubs_and_nothing(spark):
+@pytest.mark.parametrize("most", [0, 1_000_000])
+def test_components_of_paths_hubs_and_nothing(spark, monkeypatch, most):
+    told = jaccard_join._told
+    monkeypatch.setattr(jaccard_join, "_told", lambda edges, facts, key: told(edges, facts, key, most))  # salted, and broadcast
     edges = [(i, i + 1) for i in range(60)] + [(100, i) for i in range(101, 180)] + [(200, 201), (201, 203), (200, 203), (202, 203)]
     got = dict(jaccard_join.components(spark.createDataFrame(edges, "a long, b long")).collect())
     assert got == {**{i: 0 for i in range(1, 61)}, **{i: 100 for i in range(101, 180)}, 201: 200, 202: 200, 203: 200}
