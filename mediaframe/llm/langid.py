@@ -248,7 +248,7 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
     return slim.mapInArrow(run, f"_id {kind}, lang_pred string, score double, bits double, rejected boolean").withColumnRenamed("_id", id_col)
 
 
-def chunks(texts: list[str | None], most: int = 1_000_000) -> Iterator[tuple[int, list[str | None]]]:
+def chunks(texts: list[str | None], most: int = 400_000) -> Iterator[tuple[int, list[str | None]]]:
     """Runs of texts of about `most` characters, so that a batch of long texts stays small in memory."""
     start = size = 0
     for i, t in enumerate(texts):
