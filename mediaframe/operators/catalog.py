@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -138,3 +138,27 @@ def live_status(videos: DataFrame, pairs: DataFrame) -> DataFrame:
     """asset_id, live_photo, changed: the photo of each video now, and whether that is another one than before."""
     now = videos.join(pairs.select(F.col("video").alias("asset_id"), F.col("image").alias("now")), "asset_id", "left")
     return now.select("asset_id", F.col("now").alias("live_photo"), (~F.col("now").eqNullSafe(F.col("live_photo"))).alias("changed"))
+
+
+def rekey(vectors: DataFrame, profiles: DataFrame) -> DataFrame:
+    """vectors under the first profile (by key) of the same space: profiles is (profile_key, space). Where
+    two rows of an asset and segment meet, the one that was there under that key stays, then the smallest row id."""
+    target = profiles.withColumn("target", F.min("profile_key").over(Window.partitionBy("space"))).select("profile_key", "target")
+    moved = vectors.join(target, "profile_key")
+    keys, others = ["asset_id", "modality", "segment_index", "target"], [c for c in vectors.columns if c not in ("asset_id", "modality", "segment_index", "profile_key")]
+    order = F.struct((F.col("profile_key") != F.col("target")).alias("moved"), *others[:1])
+    return moved.groupBy(*keys).agg(F.min_by(F.struct(*others), order).alias("_r")).select("asset_id", F.col("target").alias("profile_key"), "modality", "segment_index", "_r.*")
+
+
+def cascade_delete(library, assets: DataFrame, vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """assets and vectors without those of a library; items of selections keep their snapshots and are not touched."""
+    gone = assets.filter(F.col("library_id") == library).select("asset_id")
+    return assets.filter(~F.col("library_id").eqNullSafe(library)), vectors.join(gone, "asset_id", "left_anti")
+
+
+def settled_changes(polls: DataFrame) -> DataFrame:
+    """Polls (library_id, poll, signature) at which a change is settled: not as at the first poll, and
+    as at the one before."""
+    w = Window.partitionBy("library_id").orderBy("poll")
+    seen = polls.withColumn("before", F.lag("signature").over(w)).withColumn("base", F.first("signature").over(w))
+    return seen.filter("signature <> base and signature = before").select("library_id", "poll")

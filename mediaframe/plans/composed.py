@@ -115,6 +115,39 @@ def f6(spark, d):
     return c.scope(b.assets(spark, d), when=c.MediaFilter(places=["Town3, Region3, Country1"])).orderBy(F.asc_nulls_last("taken_at"), "rel_path").limit(max(1, min(5000, 2000))).select("asset_id")
 
 
+@query("k5_cascade_rows", f"WITH {A} SELECT library_id, count(*) AS assets, count(vec_id) AS vectors FROM assets LEFT JOIN embeddings ON vec_id = asset_id WHERE library_id <> 2 GROUP BY 1")
+def k5(spark, d):
+    left, v = c.cascade_delete(2, b.assets(spark, d), b.vectors(spark, d).select("asset_id"))
+    return left.join(v.withColumn("v", F.lit(1)), "asset_id", "left").groupBy("library_id").agg(F.count(F.lit(1)).alias("assets"), F.count("v").alias("vectors"))
+
+
+@query("k6_rekey_by_space", """WITH v AS (SELECT vec_id // 4 AS asset_id, vec_id % 4 AS k, vec_id % 3 AS segment_index, vec_id FROM embeddings), t AS (SELECT *, concat('p', k % 2) AS target, concat('p', k) AS profile_key FROM v),
+    r AS (SELECT *, row_number() OVER (PARTITION BY asset_id, segment_index, target ORDER BY profile_key <> target, vec_id) AS rn FROM t) SELECT asset_id, target AS profile_key, segment_index, vec_id FROM r WHERE rn = 1""")
+def k6(spark, d):
+    """Four profiles, of which two and two name the same space."""
+    v = b.read(spark, d, "embeddings").selectExpr("vec_id div 4 as asset_id", "'image' as modality", "vec_id % 3 as segment_index", "concat('p', vec_id % 4) as profile_key", "vec_id")
+    profiles = v.select("profile_key").distinct().withColumn("space", F.expr("cast(substring(profile_key, 2) as int) % 2"))
+    return c.rekey(v, profiles).select("asset_id", "profile_key", "segment_index", "vec_id")
+
+
+POLLS = "polls AS (SELECT library_id, 2 * day + k AS poll, signature FROM (SELECT library_id, dayofmonth(taken_at) AS day, concat(count(*), ':', sum(size), ':', CAST(round(epoch(max(taken_at))) AS BIGINT)) AS signature FROM assets WHERE taken_at IS NOT NULL GROUP BY 1, 2), (SELECT unnest([0, 1]) AS k))"
+
+
+@query("e15_settled_signatures", f"WITH {A}, {POLLS}, r AS (SELECT *, lag(signature) OVER w AS before, first_value(signature) OVER w AS base FROM polls WINDOW w AS (PARTITION BY library_id ORDER BY poll)) SELECT library_id, poll FROM r WHERE signature <> base AND signature = before")
+def e15(spark, d):
+    """Each day's files are polled twice; a signature has their number, bytes and last change."""
+    last = F.floor(F.unix_micros(F.max("taken_at").cast("timestamp")) / 1e6 + 0.5).cast("long")
+    day = b.assets(spark, d).filter("taken_at is not null").groupBy("library_id", F.dayofmonth("taken_at").cast("long").alias("day")).agg(F.concat_ws(":", F.count(F.lit(1)), F.sum("size"), last).alias("signature"))
+    return c.settled_changes(day.select("library_id", F.explode(F.array(F.col("day") * 2, F.col("day") * 2 + 1)).alias("poll"), "signature"))
+
+
+@query("l9_place_tree", f"WITH {A}, l AS (SELECT unnest([place, regexp_replace(place, '^[^,]*, ', ''), regexp_replace(place, '^[^,]*, [^,]*, ', '')]) AS level, gps_lat, gps_lon FROM assets WHERE place IS NOT NULL) SELECT level, count(*) AS n, round(avg(gps_lat), 4) AS lat, round(avg(gps_lon), 4) AS lon FROM l GROUP BY 1")
+def l9(spark, d):
+    """Every level of every place, with its number of files and its middle."""
+    each = b.assets(spark, d).filter("place is not null").select(F.explode(pl.suffixes(F.col("place"))).alias("level"), "gps_lat", "gps_lon")
+    return each.groupBy("level").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("gps_lat"), 4).alias("lat"), F.round(F.avg("gps_lon"), 4).alias("lon"))
+
+
 # Sources and sinks, over files that are written from the tables.
 
 
@@ -274,6 +307,16 @@ def d21b(spark, d):
     return opinions(spark, d).filter("score >= 0.5 and second is false").groupBy(F.expr(BUCKETS).cast("double").alias("least_area")).agg(F.count(F.lit(1)).alias("noes"), F.avg((~F.col("truth")).cast("int")).alias("correct"))
 
 
+@query("d25_edit_rates", f"""WITH {B}, g AS (SELECT *, box_no % 3 <> 0 AS edited, score >= 0.5 AS good, greatest(0, CAST(round(x1 * 10000) AS BIGINT) - CAST(round(x0 * 10000) AS BIGINT)) AS width FROM boxes)
+    SELECT label, round(avg(CAST(edited AS INTEGER)), 6) AS rate, round(sum(width) FILTER (edited) / sum(width), 6) AS share, round(avg(CAST(good AS INTEGER)) FILTER (edited), 6) AS good_if_edited FROM g GROUP BY label""")
+def d25(spark, d):
+    """The share of edits that were made, their share of all that was to be edited (a ratio of sums), and how many of those made are good."""
+    width = F.greatest(F.lit(0), F.round(F.col("x1") * 10000).cast("long") - F.round(F.col("x0") * 10000).cast("long"))
+    g = b.boxes(spark, d).withColumn("edited", F.expr("box_no % 3 <> 0")).withColumn("width", width)
+    made = F.col("edited")
+    return g.groupBy("label").agg(F.round(F.avg(made.cast("int")), 6).alias("rate"), F.round(F.sum(F.when(made, F.col("width"))) / F.sum("width"), 6).alias("share"), F.round(F.avg(F.when(made, (F.col("score") >= det.KEEP).cast("int"))), 6).alias("good_if_edited"))
+
+
 @query("d23_topk_overlap", f"""WITH {V}, p AS (SELECT a.asset_id AS q, v.asset_id, list_dot_product(a.vector, v.vector) AS x, list_dot_product(a.vector[1:32], v.vector[1:32]) / sqrt(list_dot_product(v.vector[1:32], v.vector[1:32])) AS y FROM vectors a, vectors v WHERE a.asset_id % 100 = 0),
     r AS (SELECT q, row_number() OVER (PARTITION BY q ORDER BY x DESC, asset_id) AS rx, row_number() OVER (PARTITION BY q ORDER BY y DESC, asset_id) AS ry FROM p) SELECT round(avg(n) / 10, 6) AS mean_overlap FROM (SELECT q, count(*) FILTER (rx <= 10 AND ry <= 10) AS n FROM r GROUP BY q)""")
 def d23(spark, d):

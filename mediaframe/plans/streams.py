@@ -41,3 +41,12 @@ def i3(spark, d):
 @query("i4_two_phase", f"WITH {b.ASSETS} SELECT vec_id IS NOT NULL AS searchable, count(*) AS n FROM assets LEFT JOIN embeddings ON vec_id = asset_id GROUP BY 1")
 def i4(spark, d):
     return watch.two_phase(b.assets(spark, d), b.vectors(spark, d)).groupBy("searchable").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("i4_two_sinks", "SELECT count(*) AS assets, count(vec_id) AS searchable FROM events LEFT JOIN embeddings ON vec_id = event_id")
+def i4b(spark, d):
+    """Catalog rows and vectors as two streams with a sink each."""
+    catalog = event_stream(spark, d).selectExpr("event_id as asset_id", "event_type", "user_id")
+    v = spark.readStream.schema(b.read(spark, d, "embeddings").schema).option("pathGlobFilter", "embeddings*.parquet").parquet(d).selectExpr("vec_id as asset_id", "embedding as vector")
+    assets, vectors = watch.two_sinks(spark, catalog, v, f"{shared_dir(spark)}/phases-{uuid.uuid4().hex}")
+    return watch.two_phase(assets, vectors).agg(F.count(F.lit(1)).alias("assets"), F.count_if("searchable").alias("searchable"))

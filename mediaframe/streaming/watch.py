@@ -87,3 +87,12 @@ def two_phase(assets: DataFrame, vectors: DataFrame) -> DataFrame:
     """What can be seen while vectors still come: every asset, and whether it can be searched."""
     v = vectors.select("asset_id").distinct().withColumn("searchable", F.lit(True))
     return assets.join(v, "asset_id", "left").withColumn("searchable", F.coalesce("searchable", F.lit(False)))
+
+
+def two_sinks(spark: SparkSession, listing: DataFrame, vectors: DataFrame, root: str) -> tuple[DataFrame, DataFrame]:
+    """Runs a stream of catalog rows and then one of their vectors, each into its own table: what is
+    imported can be browsed before any vector is there. Returns both tables, which are read afresh."""
+    for name, stream in (("catalog", listing), ("embeddings", vectors)):
+        run = stream.writeStream.format("parquet").option("path", f"{root}/{name}").option("checkpointLocation", f"{root}/{name}-state").trigger(availableNow=True).start()
+        run.awaitTermination()
+    return spark.read.schema(listing.schema).parquet(f"{root}/catalog"), spark.read.schema(vectors.schema).parquet(f"{root}/embeddings")
