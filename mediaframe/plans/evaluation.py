@@ -9,6 +9,7 @@ from ..operators import evaluation as ev
 from ..operators.blocks import numbered
 from ..registry import query
 from ..sources import bindings as b
+from ..sources.staging import staged
 
 J = b.JUDGED
 HIT = "SELECT query, CASE WHEN bool_or(rank <= {k} AND grade > 0) THEN 1.0 WHEN bool_and(grade IS NOT NULL) FILTER (rank <= {k}) THEN 0.0 END AS value FROM judged GROUP BY query"
@@ -20,12 +21,11 @@ NDCG = """SELECT query, CASE WHEN o.judged AND i.judged AND idcg > 0 THEN dcg /
 OWN = "own AS (SELECT query, candidate, grade, row_number() OVER (PARTITION BY query ORDER BY rank) AS rank FROM pool)"
 
 
-def pool(spark, d):
-    return b.judged(spark, d).filter("grade is not null or cast(substr(query, 4) as int) % 3 = 0")
+def pool(judged):
+    return judged.filter("grade is not null or cast(substr(query, 4) as int) % 3 = 0")
 
 
-def own(spark, d):
-    p = pool(spark, d)
+def own(p):
     return p.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy("rank")))
 
 
@@ -48,13 +48,13 @@ def d13(spark, d):
 
 @query("d14_recall_at_k", f"WITH {J}, {POOL} {RECALL.format(k=20)}")
 def d14(spark, d):
-    p = pool(spark, d)
+    p = pool(b.judged(spark, d))
     return ev.recall_at_k(p, p, 20)
 
 
 @query("d15_ndcg_at_k", f"WITH {J}, {POOL}, {OWN}, n AS ({NDCG}) SELECT query, round(value, 6) AS value FROM n")
 def d15(spark, d):
-    return ev.ndcg_at_k(own(spark, d), pool(spark, d), 10).withColumn("value", F.round("value", 6))
+    return ev.ndcg_at_k(own(p := pool(b.judged(spark, d))), p, 10).withColumn("value", F.round("value", 6))
 
 
 @query("d16_metric_aggregate", f"WITH {J}, h AS ({HIT.format(k=1)}) SELECT round(avg(value), 4) AS mean, count(value) AS n, count(*) - count(value) AS excluded FROM h")
@@ -67,8 +67,9 @@ REPORT = f"""WITH {J}, {POOL}, {OWN}, r AS (SELECT 'hit@1' AS metric, * FROM ({H
 
 
 def report(spark, d):
-    j, p = b.judged(spark, d), pool(spark, d)
-    parts = {"hit@1": ev.hit_at_k(j, 1), "hit@5": ev.hit_at_k(j, 5), "recall@5": ev.recall_at_k(p, p, 5), "ndcg@10": ev.ndcg_at_k(own(spark, d), p, 10)}
+    j = staged(b.judged(spark, d))  # read four times
+    p = pool(j)
+    parts = {"hit@1": ev.hit_at_k(j, 1), "hit@5": ev.hit_at_k(j, 5), "recall@5": ev.recall_at_k(p, p, 5), "ndcg@10": ev.ndcg_at_k(own(p), p, 10)}
     rows = None
     for name, values in parts.items():
         one = values.select(F.lit(name).alias("metric"), "value")

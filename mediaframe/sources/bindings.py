@@ -87,7 +87,9 @@ HASHED = """hashed AS (SELECT doc_id AS asset_id, source AS library_id, concat(s
 def judged(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rankings of each source by length, to 10 places, with grades 0 to 2; null: not judged."""
     d, l = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
-    ranked = d.selectExpr("source as query", "doc_id as candidate", "row_number() over (partition by source order by n_chars desc, doc_id) as rank")
+    from ..operators.blocks import numbered
+
+    ranked = numbered(d.selectExpr("source as query", "doc_id as candidate", "-n_chars as shorter"), ["query"], ["shorter", "candidate"], "rank")
     return ranked.join(l, ranked.candidate == l.doc_id, "left").selectExpr("query", "candidate", "rank", "quality + toxic as grade")
 
 
