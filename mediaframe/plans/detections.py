@@ -152,7 +152,10 @@ def e11(spark, d):
     return det.main_object(b.boxes(spark, d))
 
 
-@query("e16_example_per_label")
+@query("e16_example_per_label", f"""WITH {B}, n AS (SELECT label, content_hash, count(*) AS n FROM boxes WHERE score >= 0.75 GROUP BY 1, 2), t AS (SELECT label, count(*) AS photos FROM n GROUP BY 1 ORDER BY photos DESC, label LIMIT 6),
+    r AS (SELECT label, photos, content_hash, row_number() OVER (PARTITION BY label ORDER BY n DESC, content_hash) AS rn FROM n JOIN t USING (label)), c AS (SELECT label, photos, list(content_hash ORDER BY rn) AS c FROM r WHERE rn <= 6 GROUP BY 1, 2),
+    l AS (SELECT list(c ORDER BY photos DESC, label) AS l, list(label ORDER BY photos DESC, label) AS labels FROM c)
+    SELECT unnest(labels) AS label, unnest(list_reduce(list_concat([[l[1][1]]], l[2:]), lambda a, h: list_append(a, list_filter(h, lambda x: NOT list_contains(a, x))[1]))) AS content_hash FROM l""")
 def e16(spark, d):
     return det.example_per_label(b.boxes(spark, d))
 

@@ -152,7 +152,9 @@ def e2(spark, d):
     return s.best_window_per_asset(hits(spark, d)).select("asset_id", "embedding_id", F.round("similarity", 5).alias("similarity"))
 
 
-@query("e3_group_hits")
+@query("e3_group_hits", f"""WITH {HITS}, o AS (SELECT asset_id, list([segment_index] ORDER BY x DESC, embedding_id) AS l, max(x) AS top FROM hits GROUP BY 1),
+    k AS (SELECT asset_id, len(l) AS n, top, list_reduce(l, lambda a, h: CASE WHEN len(list_filter(a, lambda s: abs(s - h[1]) < 2)) = 0 THEN list_concat(a, h) ELSE a END) AS kept FROM o)
+    SELECT asset_id, asset_id * 5 + kept[1] AS best, list_transform(kept[2:], lambda s: asset_id * 5 + s) AS others, CAST(n - len(kept) AS INTEGER) AS suppressed FROM k ORDER BY top DESC, best LIMIT 40""")
 def e3(spark, d):
     return s.group_hits(hits(spark, d), 40).select("asset_id", F.col("best.embedding_id").alias("best"), F.transform("others", lambda o: o["embedding_id"]).alias("others"), "suppressed")
 

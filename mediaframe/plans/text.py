@@ -76,7 +76,10 @@ def h7b(spark, d):
     return log(spark, d).select("id", tm.year_span(F.col("t")).alias("y")).select("id", "y.first", "y.last")
 
 
-@query("h8_extract_place")
+@query("h8_extract_place", rf"""WITH {LOG}, {b.PLACES}, w AS (SELECT id, regexp_extract_all(t, '([\p{{L}}][\w''’-]*)', 1) AS w FROM log), b AS (SELECT id, w, unnest(range(1, len(w) + 1)) AS i FROM w),
+    s AS (SELECT * FROM b WHERE coalesce(lower(w[i - 1]) IN ('in', 'from', 'at', 'near', 'around'), false) OR regexp_matches(w[i], '^\p{{Lu}}')), p AS (SELECT id, i, w, unnest(range(1, least(4, len(w) - i + 1) + 1)) AS n FROM s),
+    a AS (SELECT id, i, n, array_to_string(w[i:i + n - 1], ' ') AS phrase FROM p UNION ALL SELECT id, 0, len(w), array_to_string(w, ' ') FROM w), names AS (SELECT strip_accents(lower(name)) AS key, min(name) AS name FROM (SELECT unnest(string_split(place, ', ')) AS name FROM places) GROUP BY 1),
+    r AS (SELECT id, name, row_number() OVER (PARTITION BY id ORDER BY i, n DESC) AS rn FROM a JOIN names ON key = strip_accents(lower(phrase))) SELECT id, name FROM r WHERE rn = 1""")
 def h8(spark, d):
     return tm.extract_place(log(spark, d), "t", b.places(spark, d), "id")
 
