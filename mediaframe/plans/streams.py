@@ -25,10 +25,11 @@ def drained(stream: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{root}/out")
 
 
-@query("i1_watch_stream")
+@query("i1_watch_stream", """SELECT library_id, poll, signature FROM (SELECT user_id % 50 AS library_id, event_id AS poll, CAST(event_id // 200 AS VARCHAR) AS signature, row_number() OVER (PARTITION BY user_id % 50, event_id // 200 ORDER BY event_id) AS rn,
+    event_id // 200 <> min(event_id // 200) OVER (PARTITION BY user_id % 50) AS changed FROM events) WHERE rn = 2 AND changed""")
 def i1(spark, d):
     """A library's folder signature at each day of the log; a change counts when it is seen twice."""
-    polls = event_stream(spark, d).selectExpr("user_id % 50 as library_id", "event_id as poll", "cast((event_id div 2000) as string) as signature")
+    polls = event_stream(spark, d).selectExpr("user_id % 50 as library_id", "event_id as poll", "cast((event_id div 200) as string) as signature")
     return drained(watch.watch_folders(polls), "watch")
 
 
