@@ -13,7 +13,8 @@ from . import exact_dedup as ed
 from . import html_main, jaccard_join, langid
 from . import lattice_lm as lm
 from . import piece_transducer as pt
-from . import quality, toxicity
+from . import license_scan as ls
+from . import quality, spelling, toxicity, whitening
 from .common import table
 
 
@@ -68,6 +69,18 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened_components(table(spark, sf_dir, "embeddings"))
+
+
+def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ls.digest(ls.scan_licenses(table(spark, sf_dir, "documents")))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lattice_lm": op1_lattice_lm,
     "op2_decontaminate": op2_decontaminate,
@@ -79,6 +92,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_quality": op9_quality,
     "op10_jaccard_join": op10_jaccard_join,
+    "op11_whitening": op11_whitening,
+    "op12_license_scan": op12_license_scan,
+    "op13_spelling_variants": op13_spelling_variants,
 }
 
 WORD2 = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
