@@ -36,11 +36,11 @@ def block_product(left: DataFrame, right: DataFrame, kernel: Kernel, schema: str
     def run(x: pa.Table, y: pa.Table) -> pa.Table:
         return kernel(x, y) if x.num_rows and y.num_rows else empty
 
-    empty = _empty(left, schema)
+    empty = empty_table(left, schema)
     return a.groupBy("_lb", "_rb").cogroup(b.groupBy("_lb", "_rb")).applyInArrow(run, schema)
 
 
-def _empty(df: DataFrame, schema: str) -> pa.Table:
+def empty_table(df: DataFrame, schema: str) -> pa.Table:
     from pyspark.sql.pandas.types import to_arrow_schema
 
     return to_arrow_schema(df.sparkSession.createDataFrame([], schema).schema).empty_table()

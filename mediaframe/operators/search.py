@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import dot, is_valid
+from . import cells
 from .blocks import best_of, block_product, matrix
 
 
@@ -36,21 +37,28 @@ def searchable(vectors: DataFrame, assets: DataFrame, libraries: list | None = N
     return found.filter(same.isNull())
 
 
-def score(vectors: DataFrame, query: list[float] | Column, name: str = "similarity") -> DataFrame:
+def score(vectors: DataFrame, query: list[float] | Column | DataFrame, name: str = "similarity") -> DataFrame:
+    """vectors with the dot product with a query: numbers, a column, or the first column of a one-row table,
+    which is broadcast; no row gives no result."""
+    if isinstance(query, DataFrame):
+        one = query.select(F.col(query.columns[0]).alias("_query")).limit(1)
+        return score(vectors.crossJoin(F.broadcast(one)), F.col("_query"), name).drop("_query")
     q = F.array(*[F.lit(float(x)) for x in query]) if isinstance(query, list) else query
     same = F.assert_true(F.size("vector") == F.size(q), F.lit("vector and query differ in dimension"))
     return vectors.filter(same.isNull()).withColumn(name, dot("vector", q))
 
 
-def cosine_topk(vectors: DataFrame, query: list[float], k: int, id_col: str = "asset_id") -> DataFrame:
+def cosine_topk(vectors: DataFrame, query: list[float] | DataFrame, k: int, id_col: str = "asset_id") -> DataFrame:
     """Exact top k by dot product, ties by id; Spark keeps k rows of each partition."""
     return score(vectors, query).orderBy(F.desc("similarity"), id_col).limit(k)
 
 
 def batch_topk(queries: DataFrame, vectors: DataFrame, k: int, query_id: str = "query_id", id_col: str = "asset_id", rows: int = 8192, others_to: float | None = None) -> DataFrame:
     """Top k of every query against all vectors, ties by id; with others_to, only among those of
-    another id and a similarity of others_to or less. Each pair of blocks keeps k rows of a query,
-    and the final k are merged."""
+    another id and a similarity of others_to or less. Vectors of one block are compared with all
+    queries at once; more go into cells, of which a query meets those whose bound reaches its k-th
+    similarity (`cells.topk_by_cells`; the index is written and the first look runs when this is
+    called). Query ids are distinct."""
     q, v = queries.select(F.col(query_id).alias("q"), "vector"), vectors.select(F.col(id_col).alias("i"), "vector")
     kinds = dict(q.dtypes)["q"], dict(v.dtypes)["i"]
 
@@ -67,35 +75,23 @@ def batch_topk(queries: DataFrame, vectors: DataFrame, k: int, query_id: str = "
         x, y, z = (np.concatenate(c) for c in zip(*out, strict=True))
         return pa.table({"q": x, "i": y, "similarity": z})
 
-    partial = block_product(q, v, kernel, f"q {kinds[0]}, i {kinds[1]}, similarity double", "q", "i", rows)
-    w = Window.partitionBy("q").orderBy(F.desc("similarity"), "i")
-    return partial.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select(F.col("q").alias(query_id), F.col("i").alias(id_col), "similarity", "rank")
+    schema = f"q {kinds[0]}, i {kinds[1]}, similarity double"
+    n = v.count()
+    if n <= rows:
+        w = Window.partitionBy("q").orderBy(F.desc("similarity"), "i")
+        ranked = block_product(q, v, kernel, schema, "q", "i", rows).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    else:
+        ranked, _ = cells.topk_by_cells(q, cells.fit_cells(v, "i", n, rows), k, kernel, schema)
+    return ranked.select(F.col("q").alias(query_id), F.col("i").alias(id_col), "similarity", "rank")
 
 
 def similarity_self_join(vectors: DataFrame, least: float, id_col: str = "asset_id", rows: int = 4096) -> DataFrame:
-    """All pairs a < b with dot >= least, exactly: blocks of `rows` rows meet each other once, as
-    matrix products. Work is quadratic by nature; rows out are the pairs found."""
-    n = max(1, -(-vectors.count() // rows))
-    own = vectors.select(F.col(id_col).alias("i"), "vector").withColumn("own", F.pmod(F.xxhash64("i"), F.lit(n)).cast("int"))
-    spread = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("x", F.least("own", "other")).withColumn("y", F.greatest("own", "other"))
-    kind = dict(own.dtypes)["i"]
-
-    def product(g: pa.Table) -> pa.Table:
-        m, ids, side = matrix(g), g["i"].to_numpy(), g["own"].to_numpy()
-        left, right = np.flatnonzero(side == g["x"][0].as_py()), np.flatnonzero(side == g["y"][0].as_py())
-        out = [(ids[:0], ids[:0], np.zeros(0))]
-        for at in range(0, len(left), 512):
-            part = left[at: at + 512]
-            s = m[part] @ m[right].T
-            i, j = np.nonzero(s >= least)
-            a, b, x = ids[part[i]], ids[right[j]], s[i, j]
-            if g["x"][0] == g["y"][0]:  # each pair once, none with itself
-                a, b, x = a[a < b], b[a < b], x[a < b]
-            out.append((np.minimum(a, b), np.maximum(a, b), x))
-        a, b, x = (np.concatenate(c) for c in zip(*out, strict=True))
-        return pa.table({"a": a, "b": b, "similarity": x})
-
-    return spread.groupBy("x", "y").applyInArrow(product, f"a {kind}, b {kind}, similarity double")
+    """All pairs a < b with dot >= least, exactly. Vectors go to cells around pivots, and to other cells
+    only where their ball of that similarity touches them (`cells.plan_pairs`, which runs two passes when
+    this is called); blocks of `rows` rows of a cell meet as matrix products. Rows out are the pairs
+    found. Null and empty vectors are left out, as is a pair of rows of one id."""
+    some = vectors.filter(F.size("vector") > 0)
+    return cells.pairs_by_cells(some, least, cells.plan_pairs(some, least, rows), id_col)
 
 
 def best_by_group(vectors: DataFrame, group: str, id_col: str = "asset_id", rows: int = 4096) -> DataFrame:
@@ -212,7 +208,7 @@ def by_media_type(assets: DataFrame, search: dict, rank) -> DataFrame:
     return rank(every)
 
 
-def search_grouped(assets: DataFrame, segments: DataFrame, query: list[float], when, limit: int, found: DataFrame | None = None, checked: DataFrame | None = None) -> DataFrame:
+def search_grouped(assets: DataFrame, segments: DataFrame, query: list[float] | DataFrame, when, limit: int, found: DataFrame | None = None, checked: DataFrame | None = None) -> DataFrame:
     """asset_id, similarity, rank (and object_check): photos in scope by their best window; twice as many
     as asked for are ranked, and those where the detector has found the object come first."""
     from .catalog import scope
@@ -223,7 +219,7 @@ def search_grouped(assets: DataFrame, segments: DataFrame, query: list[float], w
     return object_first(ranked, found, checked, limit) if found is not None else ranked
 
 
-def rank_within(ids: DataFrame, vectors: DataFrame, query: list[float]) -> DataFrame:
+def rank_within(ids: DataFrame, vectors: DataFrame, query: list[float] | DataFrame) -> DataFrame:
     """Scores of a set of ids; an id without a vector scores -2."""
     return ids.join(score(vectors, query).select("asset_id", "similarity"), "asset_id", "left").withColumn("similarity", F.coalesce("similarity", F.lit(-2.0)))
 

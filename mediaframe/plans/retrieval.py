@@ -13,8 +13,9 @@ from ..registry import query
 from ..sources import bindings as b
 
 
-def query_vector(vectors, asset_id: int = 0) -> list[float]:
-    return [float(x) for x in vectors.filter(F.col("asset_id") == asset_id).first()["vector"]]
+def query_vector(vectors, asset_id: int = 0):
+    """The vector of one asset as a table of one row, or of none."""
+    return vectors.filter(F.col("asset_id") == asset_id).select("vector")
 
 
 Q0 = "q AS (SELECT vector AS qv FROM vectors WHERE asset_id = 0)"
@@ -51,7 +52,7 @@ def b7(spark, d):
 @query("b12_validate_vectors", f"WITH {V} SELECT count(*) AS n, count(*) FILTER (len(vector) = 64 AND sqrt(list_dot_product(vector, vector)) > 0) AS valid FROM vectors")
 def b12(spark, d):
     v = b.vectors(spark, d)
-    return v.agg(F.count(F.lit(1)).alias("n")).crossJoin(s.valid_vectors(v, 64).agg(F.count(F.lit(1)).alias("valid")))
+    return v.agg(F.count(F.lit(1)).alias("n")).crossJoin(F.broadcast(s.valid_vectors(v, 64).agg(F.count(F.lit(1)).alias("valid"))))
 
 
 @query("b15_asset_vectors", f"WITH {S} SELECT embedding_id, segment_index FROM segments WHERE asset_id = 7")
