@@ -78,6 +78,12 @@ def replace_keys(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     return old.join(new.select(*keys).distinct(), keys, "left_anti").unionByName(new)
 
 
+def replace_detections(old: DataFrame, new: DataFrame) -> DataFrame:
+    """old with the boxes of each (content_hash, detector) in new replaced; a row without a label says that
+    a detector has run and found nothing, and leaves none."""
+    return replace_keys(old, new, ["content_hash", "detector"]).filter("label is not null and label <> ''")
+
+
 def latest(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
     """The last row of each key."""
     others = [c for c in rows.columns if c not in keys]

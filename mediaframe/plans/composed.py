@@ -181,11 +181,12 @@ def a6(spark, d):
 def a11(spark, d):
     """A first snapshot, then one that replaces some keys; of every fifth asset a vector is broken, so that it is left out."""
     rows = profiled(spark, d).drop("vec_id").withColumn("vector", F.expr("if(asset_id % 5 = 0 and segment_index = 0, transform(vector, x -> cast('NaN' as float)), vector)"))
-    root, columns = shared_path(spark, "embeddings"), ["asset_id", "profile_key", "modality", "segment_index", "vector"]
-    first = media.write_embeddings(spark, None, rows.filter("asset_id % 2 = 0").select(*columns), root, 64)
-    second = media.write_embeddings(spark, spark.read.parquet(first).select(*columns), rows.filter("asset_id % 4 <> 1 or asset_id % 2 = 1").select(*columns), root, 64)
+    columns = [F.col("asset_id"), F.col("profile_key"), F.col("modality"), F.col("segment_index"), F.col("vector").cast("array<double>").alias("vector")]
+    store = media.embedding_store(spark, shared_path(spark, "embeddings"), 16)
+    media.merge_embeddings(store, rows.filter("asset_id % 2 = 0").select(*columns), 64)
+    media.merge_embeddings(store, rows.filter("asset_id % 4 <> 1 or asset_id % 2 = 1").select(*columns), 64)
     bad = rows.filter("asset_id % 5 = 0").select("asset_id").distinct()  # assets without a second segment have no broken one
-    return spark.read.parquet(second).join(bad, "asset_id", "left_anti").groupBy("asset_id", "profile_key").agg(F.count(F.lit(1)).alias("n"), F.max("segment_index").cast("long").alias("last"))
+    return store.read().join(bad, "asset_id", "left_anti").groupBy("asset_id", "profile_key").agg(F.count(F.lit(1)).alias("n"), F.max("segment_index").cast("long").alias("last"))
 
 
 @query("a13_append_run", f"WITH {b.JUDGED} SELECT query, CASE WHEN rank <= 5 THEN 'first' ELSE 'second' END AS run, list(candidate ORDER BY rank) AS ranked FROM judged WHERE rank <= 9 GROUP BY 1, 2")

@@ -30,7 +30,8 @@ def drained(stream: DataFrame, label: str) -> DataFrame:
 def i1(spark, d):
     """A library's folder signature at each day of the log; a change counts when it is seen twice."""
     polls = event_stream(spark, d).selectExpr("user_id % 50 as library_id", "event_id as poll", "cast((event_id div 200) as string) as signature")
-    return drained(watch.watch_folders(polls), "watch")
+    with watch.configured(spark, watch.DRAINED):
+        return drained(watch.watch_folders(polls), "watch").select("library_id", "poll", "signature")
 
 
 @query("i3_first_per_hash_stream", "SELECT count(DISTINCT event_id % 997) AS hashes FROM events")

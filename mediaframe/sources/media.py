@@ -5,10 +5,11 @@ from __future__ import annotations
 import uuid
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import is_valid, l2_normalize
+from .snapshots import Snapshots
 
 #: Fixed extensions by media type.
 EXTENSIONS = {"image": "jpg jpeg png webp heic gif bmp tif tiff", "audio": "mp3 wav flac m4a ogg opus aac", "video": "mp4 mov mkv webm m4v avi"}
@@ -70,22 +71,43 @@ def synthetic_vectors(spark: SparkSession, n: int, dim: int, seed: int = 0) -> D
     return raw.select(F.col("id").alias("asset_id"), l2_normalize("vector").cast("array<float>").alias("vector"))
 
 
-def write_embeddings(spark: SparkSession, old: DataFrame | None, new: DataFrame, root: str, dim: int) -> str:
-    """The next snapshot: all vectors of the (asset_id, profile_key, modality) in new replace the old
-    ones, segment_index is dense, an asset with an invalid vector is left out as a whole. Written
-    to a new folder, whose path is returned: readers of the old one see no half-written state."""
-    from pyspark.sql import Window
+EMBEDDINGS = "asset_id long, profile_key string, modality string, segment_index int, vector array<double>"
+
 
+def _dense(new: DataFrame, dim: int) -> DataFrame:
+    """Vectors of assets of which all are valid, with segments numbered from 0."""
     bad = new.filter(~is_valid("vector", dim)).select("asset_id").distinct()
+    w = Window.partitionBy("asset_id", "profile_key", "modality").orderBy("segment_index")
+    return new.join(bad, "asset_id", "left_anti").withColumn("segment_index", F.row_number().over(w) - 1)
+
+
+def write_embeddings(spark: SparkSession, old: DataFrame | None, new: DataFrame, root: str, dim: int) -> str:
+    """A whole snapshot in one folder, whose path is returned: all vectors of the (asset_id, profile_key,
+    modality) in new replace the old ones, segment_index is dense, an asset with an invalid vector is left
+    out as a whole. For changes of a large table see `merge_embeddings`."""
     keys = ["asset_id", "profile_key", "modality"]
-    w = Window.partitionBy(*keys).orderBy("segment_index")
-    good = new.join(bad, "asset_id", "left_anti").withColumn("segment_index", F.row_number().over(w) - 1)
+    good = _dense(new, dim)
     every = good if old is None else old.join(good.select(*keys).distinct(), keys, "left_anti").unionByName(good.select(*old.columns))
     path = f"{root.rstrip('/')}/snapshot-{uuid.uuid4().hex}"
     every.write.partitionBy("profile_key", "modality").parquet(path)
     return path
 
 
+def embedding_store(spark: SparkSession, root: str, buckets: int = 64) -> Snapshots:
+    return Snapshots(spark, root, ["asset_id"], buckets)
+
+
+def merge_embeddings(store: Snapshots, new: DataFrame, dim: int, tag: str | None = None) -> dict:
+    """As `write_embeddings`, but only the buckets of the assets in new are rewritten."""
+    keys = ["asset_id", "profile_key", "modality"]
+
+    def apply(old: DataFrame, rows: DataFrame) -> DataFrame:
+        good = _dense(rows, dim)
+        return old.join(good.select(*keys).distinct(), keys, "left_anti").unionByName(good.select(*old.columns))
+
+    return store.merge(new, apply, EMBEDDINGS, tag)
+
+
 def detect(photos: DataFrame, detector, batch: int = 16) -> DataFrame:
     """content_hash, label, score, box rows of a detector made once a task; one run for each hash.
     A photo that fails is a row with its error."""

@@ -1,8 +1,11 @@
 import hashlib
 import json
 import struct
+import time
+from datetime import timedelta
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from mediaframe.functions import pixels
@@ -82,7 +85,13 @@ def test_settling():
     assert out == [False, False, False, True, False, False, False, True] and states
 
 
-def test_watch_stream(spark, tmp_path):
+@pytest.fixture
+def typed_state(spark):
+    with watch.configured(spark, watch.DRAINED):
+        yield
+
+
+def test_watch_stream(spark, tmp_path, typed_state):
     rows = [(1, i, s) for i, s in enumerate("aabbbcdd")] + [(2, 0, "x"), (2, 1, ""), (2, 2, "y"), (2, 3, "y")]
     spark.createDataFrame(rows, "library_id long, poll long, signature string").coalesce(1).write.json(str(tmp_path / "in"))
     polls = spark.readStream.schema("library_id long, poll long, signature string").json(str(tmp_path / "in"))
@@ -91,6 +100,32 @@ def test_watch_stream(spark, tmp_path):
     assert sorted((r.library_id, r.poll) for r in spark.table("watched").collect()) == [(1, 3), (1, 7)]
 
 
+def test_watch_survives_restarts_and_asks_again(spark, tmp_path, typed_state):
+    """Each run is a restart from the checkpoint; a failed import is asked for again after a while, once."""
+    kind = "library_id long, poll long, signature string, failed boolean"
+
+    def run(name, rows, retry=timedelta(milliseconds=1)):
+        (tmp_path / "in").mkdir(exist_ok=True)
+        (tmp_path / "in" / name).write_text("".join(json.dumps(dict(zip(("library_id", "poll", "signature", "failed"), r, strict=True))) + "\n" for r in rows))
+        polls = spark.readStream.schema(kind).json(str(tmp_path / "in"))
+        stream = watch.watch_folders(polls, retry=retry).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state"))
+        stream.trigger(availableNow=True).start().awaitTermination()
+        return sorted((r.library_id, r.poll, r.signature, r.attempt) for r in spark.read.schema(watch.WATCHED).parquet(str(tmp_path / "out")).collect())
+
+    assert run("1", [(1, 0, "a", None), (2, 0, "a", None)]) == []
+    assert run("2", [(1, 1, "b", None), (2, 1, "c", None)]) == []
+    asked = [(1, 2, "b", 1)]
+    assert run("3", [(1, 2, "b", None), (2, 2, "d", None)]) == asked  # library 2 is still changing
+    assert run("4", [(1, 3, "b", True)]) == asked  # it failed: the timer is set
+    time.sleep(0.1)
+    asked = sorted([*asked, (1, 2, "b", 2), (2, 4, "d", 1)])
+    assert run("5", [(2, 4, "d", None)]) == asked
+    assert run("6", [(2, 5, "d", None)]) == asked  # not asked for a third time
+    assert run("7", [(1, 6, "b", True), (2, 6, "old", True)], retry=timedelta(hours=1)) == asked  # not yet due; and not its last import
+    assert run("8", [(1, 7, "", None)]) == asked  # unwatched: nothing is due any more
+    assert run("9", [(1, 8, "z", None), (1, 9, "z", None)]) == asked  # a new first sight
+
+
 def test_incremental_import_replays_do_nothing(spark, tmp_path):
     (tmp_path / "in").mkdir()
     schema = "rel_path string, content_hash string, size long, new_id long, seq long"
@@ -100,8 +135,7 @@ def test_incremental_import_replays_do_nothing(spark, tmp_path):
 
     def run():
         watch.incremental_import(spark, str(tmp_path / "in"), str(tmp_path / "cat"), str(tmp_path / "ck"), schema).awaitTermination()
-        last = sorted(p.name for p in (tmp_path / "cat").iterdir() if p.name.startswith("v"))[-1]
-        return {r.rel_path: (r.asset_id, r.content_hash, r.status) for r in spark.read.parquet(str(tmp_path / "cat" / last)).collect()}
+        return {r.rel_path: (r.asset_id, r.content_hash, r.status) for r in watch.latest_snapshot(spark, str(tmp_path / "cat")).collect()}
 
     put("1.json", [("a", "h1", 1, 1, 1), ("b", "h2", 1, 2, 1)])
     first = run()
