@@ -83,7 +83,7 @@ def test_crowded_lists_and_long_words(spark):
 
 def test_dropped_letters_and_chains(spark):
     """Every modulus that divides; forms of forms up to the last; case only for A-Z."""
-    text = "keyboard " * 400 + "keyboarx " * 60 + "keyboaxx " * 3 + "Ärzteblatt ärzteblatt ÄRZTEBLATT " * 2
+    text = "keyboard " * 1000 + "keyboarx " * 60 + "keyboaxx " * 3 + "Ärzteblatt ärzteblatt ÄRZTEBLATT " * 2
     rows = [(1, text), (None, "keyboaxx keyboard"), (2, text.upper())]
     docs = spark.createDataFrame([(i, t, "x", 1) for i, t in rows], "doc_id long, text string, word string, n int")
     for modulus in (1, 3, 31):
