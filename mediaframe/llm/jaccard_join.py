@@ -544,27 +544,53 @@ def _unresolved(large: DataFrame, comps: DataFrame) -> DataFrame:
     return large.join(stage(ends, "open").hint("merge"), "sig", "left_semi")
 
 
-def _family_tiles(stars: DataFrame, sizes: DataFrame, comps: DataFrame, most_tokens: int = 1 << 21) -> DataFrame:
-    """Families are the entities that the largest buckets connect. Of each family that has several
-    components: its members in the tiles where they meet those of other components. Members of the
-    largest component meet the others, not each other. A tile has a sixth of a family, 128 to
-    2,048 members and about most_tokens tokens at most."""
+ROUNDS = 8  # of tile pairs at a time
+
+
+def _family_tiles(stars: DataFrame, sizes: DataFrame, comps: DataFrame, most_tokens: int = 1 << 21, most: int = 2048) -> DataFrame:
+    """Families are the entities that the largest buckets connect. ent, fam, own (tile), ta, tb of the
+    members of each family that has several components: members of the largest component are dealt into
+    `ta` tiles with negative numbers, the others into `tb`. A tile has a sixth of a family, 128 to `most`
+    members and about most_tokens tokens at most."""
     family = components(stars)
     members = family.select(F.col("node").alias("ent"), F.col("comp").alias("fam")).unionByName(family.select(F.col("comp").alias("ent"), F.col("comp").alias("fam")).distinct())
     own = stage(members.join(sizes.hint("merge"), "ent").join(comps.hint("merge"), F.col("ent") == F.col("node"), "left").select("ent", "fam", "n", F.coalesce("comp", "ent").alias("comp")), "members")
     each = own.groupBy("fam", "comp").agg(F.count(F.lit(1)).alias("c"), F.max("n").alias("n"))
     facts = each.groupBy("fam").agg(F.count(F.lit(1)).alias("kinds"), F.sum("c").alias("all"), F.max("n").alias("long"), F.max(F.struct("c", "comp")).alias("main"))
-    tile = F.least(F.greatest(F.col("all") / 6, F.lit(128)), F.lit(2048), F.greatest(F.lit(most_tokens) / F.col("long"), F.lit(16)))
+    tile = F.least(F.greatest(F.col("all") / 6, F.least(F.lit(128), F.lit(most))), F.lit(most), F.greatest(F.lit(most_tokens) / F.col("long"), F.lit(16)))
     facts = facts.filter("kinds > 1").select("fam", F.col("main.comp").alias("main"), F.ceil(F.col("main.c") / tile).cast("int").alias("ta"), F.ceil((F.col("all") - F.col("main.c")) / tile).cast("int").alias("tb"))
     # The facts are one row of a staged table, so that AQE can split a family's members.
     placed = own.join(stage(facts, "families").hint("merge"), "fam").withColumn("inner", F.col("comp") == F.col("main"))
-    placed = placed.withColumn("own", F.pmod(F.xxhash64("ent"), F.when(F.col("inner"), F.col("ta")).otherwise(F.col("tb"))).cast("int"))
-    # Tiles of the main component have negative numbers.
-    placed = placed.withColumn("own", F.when(F.col("inner"), -1 - F.col("own")).otherwise(F.col("own")))
-    rest, main = F.sequence(F.lit(0), F.col("tb") - 1), F.sequence(-F.col("ta"), F.lit(-1))
-    out = placed.select("fam", "ent", "comp", "own", F.explode(F.when(F.col("inner"), rest).otherwise(F.concat(rest, main))).alias("other"))
-    return out.select("fam", "ent", "comp", F.least("own", "other").alias("t1"), F.greatest("own", "other").alias("t2"),
-                      F.when(F.col("own") == F.col("other"), -1).when(F.col("own") < F.col("other"), 0).otherwise(1).alias("side"))
+    tile_of = F.pmod(F.xxhash64("ent"), F.when(F.col("inner"), F.col("ta")).otherwise(F.col("tb"))).cast("int")
+    return placed.select("ent", "fam", F.when(F.col("inner"), -1 - tile_of).otherwise(tile_of).alias("own"), "ta", "tb")
+
+
+def _tile_pairs(placed: DataFrame, first: int, last: int) -> DataFrame:
+    """fam, ent, t1, t2, side of the pairs of tiles of the rounds first to last - 1. In round r tile t of the
+    others meets tile t + r (modulo tb), and tile m of the largest component, whose members do not meet
+    each other, meets tile m + r. So each pair of tiles meets in one round, and a round has at most
+    two rows of each member for the one and as many as both sides have members for the other."""
+    rounds = placed.withColumn("r", F.explode(F.sequence(F.lit(first), F.lit(last - 1)))).filter("r < tb")
+    pair = lambda a, b: f"struct(least({a}, {b}) as t1, greatest({a}, {b}) as t2, if({a} = {b}, -1, if({a} < {b}, 0, 1)) as side)"
+    after, before = "pmod(own + r, tb)", "pmod(own - r, tb)"
+    among = f"case when 2 * r > tb then array() when r = 0 or 2 * r = tb then array({pair('own', after)}) else array({pair('own', after)}, {pair('own', before)}) end"
+    main = f"if({before} < ta, transform(sequence({before}, ta - 1, tb), m -> struct(-1 - m as t1, own as t2, 1 as side)), array())"
+    met = F.expr(f"if(own < 0, array(struct(own as t1, pmod(r - 1 - own, tb) as t2, 0 as side)), concat({among}, {main}))")
+    return rounds.select("fam", "ent", F.explode(met).alias("p")).select("fam", "ent", "p.t1", "p.t2", "p.side")
+
+
+def _tiled_links(placed: DataFrame, sets: DataFrame, comps: DataFrame, num: int) -> Iterator[DataFrame]:
+    """Links of families, some rounds of tile pairs at a time: what is staged at once is a fixed multiple of the
+    members. The caller sends the components that the links make; families of one component drop out."""
+    longest = placed.agg(F.max("tb")).first()[0] or 0
+    for first in range(0, longest, ROUNDS):
+        own = placed.filter(F.col("tb") > first).join(comps.hint("merge"), F.col("ent") == F.col("node"), "left").select(*placed.columns, F.coalesce("comp", "ent").alias("comp"))
+        own = stage(own, "members")
+        open_ = own.groupBy("fam").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low != high").select("fam")
+        tiles = _tile_pairs(own.join(stage(open_, "families").hint("merge"), "fam", "left_semi"), first, first + ROUNDS)
+        tiles = stage(tiles.join(own.select("ent", "comp").hint("merge"), "ent"), "tiles")
+        found = tiles.join(sets.hint("merge"), "ent").groupBy("fam", "t1", "t2").applyInArrow(_tile(num), "a long, b long")
+        comps = yield stage(found, "links")
 
 
 def find_links(slim: DataFrame, num: int, least: int, bucket: int = 64, hot_rows: int = 100_000) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -577,7 +603,8 @@ def find_links(slim: DataFrame, num: int, least: int, bucket: int = 64, hot_rows
     links meet in the smaller buckets. What is in larger ones still are families of much the same text:
     again members are compared with leaders, and what is in different components after that by
     tiles, in which all sets are compared and as many links returned as join components. So
-    components are exact, and no step makes all pairs of a group.
+    components are exact, and no step makes all pairs of a group. Comparisons inside a family are
+    quadratic in its unlinked members; rows of any one step are not, because tiles meet in rounds.
     """
     total = int(slim.agg(F.sum(F.length("_text"))).first()[0] or 0) // 6
     classes = count_tokens(slim, total, least)
@@ -611,9 +638,17 @@ def find_links(slim: DataFrame, num: int, least: int, bucket: int = 64, hot_rows
     stars = stage(_stars(_unresolved(large, comps)), "stars")
     if stars.isEmpty():
         return entities, described, comps
-    tiles = stage(_family_tiles(stars, entities.select("ent", "n"), comps), "tiles")
-    found = tiles.join(sets.hint("merge"), "ent").groupBy("fam", "t1", "t2").applyInArrow(_tile(num), "a long, b long")
-    return entities, described, components(links.unionByName(stage(found, "links")))
+    placed = stage(_family_tiles(stars, entities.select("ent", "n"), comps), "placed")
+    found = _tiled_links(placed, sets, comps, num)
+    more = next(found, None)
+    while more is not None:
+        links = links.unionByName(more)
+        comps = components(links)
+        try:
+            more = found.send(comps)
+        except StopIteration:
+            more = None
+    return entities, described, comps
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, num: int = 80, least: int = 32, bucket: int = 64, hot_rows: int = 100_000) -> DataFrame:

@@ -162,6 +162,59 @@ def test_large_bucket_is_finished_by_tiles(spark):
     assert set(got.values()) == {0}
 
 
+def met_pairs(rows):
+    """Pairs of entities that meet, by the tiles of both sides."""
+    at = {}
+    for r in rows:
+        at.setdefault((r.fam, r.t1, r.t2), {}).setdefault(r.side, []).append(r.ent)
+    out = []
+    for sides in at.values():
+        both = sides.get(-1, [])
+        out += [(min(a, b), max(a, b)) for k, a in enumerate(both) for b in both[k + 1:]]
+        out += [(min(a, b), max(a, b)) for a in sides.get(0, []) for b in sides.get(1, [])]
+    return out
+
+
+@pytest.mark.parametrize("ta, tb", [(1, 1), (2, 1), (1, 4), (3, 5), (7, 3), (5, 6), (20, 2)])
+def test_tiles_meet_once(spark, ta, tb):
+    rows = [(i, 1, -1 - i % ta, ta, tb) for i in range(2 * ta)] + [(1000 + i, 1, i % tb, ta, tb) for i in range(3 * tb)]
+    placed = spark.createDataFrame(rows, "ent long, fam long, own int, ta int, tb int")
+    found = [p for first in range(0, tb, 2) for p in met_pairs(jaccard_join._tile_pairs(placed, first, first + 2).collect())]
+    main, others = [r[0] for r in rows if r[2] < 0], [r[0] for r in rows if r[2] >= 0]
+    want = {(a, b) for a in main for b in others} | {(a, b) for a in others for b in others if a < b}
+    assert len(found) == len(set(found)) and set(found) == want
+
+
+def test_rows_of_a_step_grow_with_the_family(spark):
+    """30,000 and 60,000 unlinked members: a step's rows double."""
+    made = []
+    for n in (30_000, 60_000):
+        ids = spark.range(n).select(F.col("id").alias("b"), F.lit(-1).cast("long").alias("a")).select("a", "b")
+        sizes = spark.range(-1, n).select(F.col("id").alias("ent"), F.lit(100).alias("n"))
+        none = spark.createDataFrame([], "node long, comp long")
+        placed = jaccard_join._family_tiles(ids, sizes, none)
+        assert placed.count() == n + 1
+        made.append(jaccard_join._tile_pairs(placed, 0, jaccard_join.ROUNDS).count())
+    assert made[0] <= 17 * 30_000 and made[1] <= 2.2 * made[0]
+    long = jaccard_join._family_tiles(ids, sizes.withColumn("n", F.lit(20_000)), none)
+    assert jaccard_join._tile_pairs(long, 0, jaccard_join.ROUNDS).count() <= 17 * 60_000
+
+
+def test_families_over_many_tiles(spark, monkeypatch):
+    """Texts of one passage with ends of their own, some of which link: more tiles than rounds at a time."""
+    whole = jaccard_join._family_tiles
+    steps, pairs = [], jaccard_join._tile_pairs
+    monkeypatch.setattr(jaccard_join, "_family_tiles", lambda *a: whole(*a, most=4))
+    monkeypatch.setattr(jaccard_join, "_tile_pairs", lambda *a: steps.append(a[1:]) or pairs(*a))
+    monkeypatch.setattr(jaccard_join, "ROUNDS", 2)
+    passage = " ".join(f"p{k}" for k in range(60))
+    own = [[f"o{i // 2}x{k}" for k in range(24)] for i in range(60)]
+    rows = [(i, f"{passage} {' '.join(w[:23] + [f'e{i}'])}") for i, w in enumerate(own)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in jaccard_join.jaccard_components(df, least=1, bucket=2).collect()}
+    assert got == {i: i // 2 * 2 for i in range(60)} and len(steps) > 2
+
+
 def test_jaccard_edge_cases(docs, no_docs):
     rows = jaccard_join.jaccard_components(docs).collect()
     assert len(rows) == docs.count()
