@@ -61,14 +61,72 @@ def best_of(s: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     return row[place < k], col[place < k]
 
 
-def numbered(rows: DataFrame, by: list[str], order: list[str], name: str = "rn") -> DataFrame:
-    """Row numbers from 1 in each group of `by`, in order. A group need not fit into a task: rows are
-    dealt by ranges, numbered in each range, and moved on by the sizes of the group's earlier ranges."""
-    ranged = staged(rows.repartitionByRange(*by, *order).withColumn("_part", F.spark_partition_id()))
-    inside = ranged.withColumn("_in", F.row_number().over(Window.partitionBy("_part", *by).orderBy(*order)))
-    sizes = ranged.groupBy("_part", *by).agg(F.count(F.lit(1)).alias("_n"))  # a row for each range and group in it
-    before = F.coalesce(F.sum("_n").over(Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    facts = sizes.withColumn("_before", before).drop("_n")
-    keys = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in ("_part", *by)]
-    joined = inside.alias("a").join(facts.hint("merge").alias("b"), keys)
-    return joined.select("a.*", (F.col("b._before") + F.col("a._in")).alias(name)).drop("_part", "_in")
+def _in_ranges(rows: DataFrame, by: list[str], order: list[str | Column]) -> DataFrame:
+    """rows, written, with the range of rows (_part) that each is in."""
+    return staged(rows.repartitionByRange(*by, *order).withColumn("_part", F.spark_partition_id()))
+
+
+def _same(by: list[str]) -> list[Column]:
+    return [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in ("_part", *by)]
+
+
+def running_total(rows: DataFrame, by: list[str], order: list[str | Column], value: str, name: str = "upto") -> DataFrame:
+    """rows with the sum of `value` over the rows of its group (of `by`; none: all rows) up to its own, in order.
+    A group need not fit into a task: rows are dealt by ranges, summed in each range, and moved on by the
+    sums of the group's earlier ranges. The rows are written, and dealt by a sample of them, when this is
+    called; a range and group in it is one row of what a window then sums."""
+    ranged = _in_ranges(rows, by, order)
+    upto = (Window.unboundedPreceding, Window.currentRow)
+    inside = ranged.withColumn("_in", F.sum(value).over(Window.partitionBy("_part", *by).orderBy(*order).rowsBetween(*upto)))
+    sums = ranged.groupBy("_part", *by).agg(F.sum(value).alias("_n"))
+    earlier = Window.partitionBy(*(by or [F.lit(1)])).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    facts = sums.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).drop("_n")
+    joined = inside.alias("a").join(facts.hint("merge").alias("b"), _same(by))
+    return joined.select("a.*", (F.col("b._before") + F.coalesce("a._in", F.lit(0))).alias(name)).drop("_part", "_in")
+
+
+def numbered(rows: DataFrame, by: list[str], order: list[str | Column], name: str = "rn") -> DataFrame:
+    """Row numbers from 1 in each group of `by`, in order; groups need not fit into a task (`running_total`)."""
+    return running_total(rows.withColumn("_one", F.lit(1)), by, order, "_one", name).drop("_one")
+
+
+def quantiles(rows: DataFrame, by: list[str], value: str, at: list[float], interpolate: bool = True) -> DataFrame:
+    """by, q (the quantiles `at`, in order): exact, and no group is gathered. Equal values are counted first;
+    running totals of the counts then tell which values have the wanted ranks. Linear between the two
+    nearest ranks of n - 1, or the upper of those nearest to it (ties to even). Nulls do not count."""
+    counts = rows.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n"))
+    upto = running_total(counts, by, [value], "_n", "_upto")
+    sizes = staged(counts.groupBy(*by).agg(F.sum("_n").alias("_all")))
+    told = upto.alias("a").join(F.broadcast(sizes).alias("b")) if not by else upto.alias("a").join(sizes.hint("merge").alias("b"), [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in by])
+    ranked = told.select("a.*", "b._all")
+    place = lambda q: F.lit(q) * (F.col("_all") - 1)
+    least = lambda rank: F.min(F.when(F.col("_upto") > rank, F.col(value)))
+    if interpolate:
+        ends = [c for k, q in enumerate(at) for c in (least(F.floor(place(q))).alias(f"_l{k}"), least(F.ceil(place(q))).alias(f"_h{k}"), F.max(place(q) - F.floor(place(q))).alias(f"_f{k}"))]
+        found = ranked.groupBy(*by).agg(*ends)
+        return found.select(*by, F.array(*[F.col(f"_l{k}") + (F.col(f"_h{k}") - F.col(f"_l{k}")) * F.col(f"_f{k}") for k in range(len(at))]).alias("q"))
+    return ranked.groupBy(*by).agg(F.array(*[least(F.bround(place(q))) for q in at]).alias("q"))
+
+
+def carried(rows: DataFrame, by: list[str], order: list[str], forward: dict[str, Column], back: dict[str, Column]) -> DataFrame:
+    """rows with the last non-null value of each column of `forward` among the rows of its group up to its own,
+    and the first one of each of `back` from its own on, in rising order. Groups go by ranges; what a
+    range's rows lack comes from the nearest range that has it."""
+    back_order = [F.desc(c) for c in order]
+    ranged = _in_ranges(rows, by, order)
+    for columns, sequence in ((forward, order), (back, back_order)):
+        w = Window.partitionBy("_part", *by).orderBy(*sequence).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        ranged = ranged.select("*", *[F.last(c, ignorenulls=True).over(w).alias(n) for n, c in columns.items()])
+    ranged = staged(ranged)
+    ends = []
+    for columns, sequence in ((forward, order), (back, back_order)):
+        last = Window.partitionBy("_part", *by).orderBy(*sequence)
+        ends.append(ranged.withColumn("_k", F.lead(F.lit(1)).over(last)).filter("_k is null").select("_part", *by, *columns))
+    earlier = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    later = Window.partitionBy(*by).orderBy(F.desc("_part")).rowsBetween(Window.unboundedPreceding, -1)
+    out = ranged
+    for facts, columns, w in ((ends[0], forward, earlier), (ends[1], back, later)):
+        own = facts.select("_part", *by, *[F.last(n, ignorenulls=True).over(w).alias(f"_{n}") for n in columns])
+        names = [c for c in out.columns if c not in columns]
+        out = out.alias("a").join(own.hint("merge").alias("b"), _same(by)).select(*[F.col(f"a.{c}") for c in names], *[F.coalesce(f"a.{n}", f"b._{n}").alias(n) for n in columns])
+    return out.drop("_part")

@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .blocks import running_total
+
 
 def gain(grade: Column, rank: Column) -> Column:
     return (F.pow(F.lit(2.0), grade) - 1) / F.log2(rank + 1)
@@ -39,8 +41,12 @@ def ndcg_at_k(ranked: DataFrame, pool: DataFrame, k: int) -> DataFrame:
     from pyspark.sql import Window
 
     own = ranked.filter(F.col("rank") <= k).groupBy("query").agg(F.sum(gain(F.col("grade"), F.col("rank"))).alias("dcg"), F.bool_and(F.col("grade").isNotNull()).alias("judged"))
-    ideal = pool.withColumn("i", F.row_number().over(Window.partitionBy("query").orderBy(F.desc_nulls_last("grade"), "candidate")))
-    best = ideal.groupBy("query").agg(F.sum(F.when(F.col("i") <= k, gain(F.col("grade"), F.col("i")))).alias("idcg"), F.bool_and(F.col("grade").isNotNull()).alias("all"))
+    # Only how many there are of a grade matters for the ideal: grades are few, however large the pool.
+    grades = pool.groupBy("query", "grade").agg(F.count(F.lit(1)).alias("n"))
+    w = Window.partitionBy("query").orderBy(F.desc_nulls_last("grade")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    upto = grades.withColumn("last", F.least(F.sum("n").over(w), F.lit(k))).withColumn("first", F.sum("n").over(w) - F.col("n") + 1)
+    shares = F.when(F.col("grade").isNotNull() & (F.col("first") <= F.col("last")), F.aggregate(F.sequence("first", "last"), F.lit(0.0), lambda s, i: s + gain(F.col("grade"), i)))
+    best = upto.groupBy("query").agg(F.sum(shares).alias("idcg"), F.bool_and(F.col("grade").isNotNull()).alias("all"))
     return own.join(best, "query").select("query", F.when(F.col("judged") & F.col("all") & (F.col("idcg") > 0), F.col("dcg") / F.col("idcg")).alias("value"))
 
 
@@ -51,12 +57,10 @@ def aggregate(values: DataFrame) -> DataFrame:
 
 def latency_percentiles(rows: DataFrame, by: str, value: str) -> DataFrame:
     """Upper median and nearest-rank 95th percentile, neither interpolated. Values are counted before
-    they are ranked, so that a group is not gathered."""
-    from pyspark.sql import Window
-
-    counts = rows.groupBy(by, value).agg(F.count(F.lit(1)).alias("n"))
-    w = Window.partitionBy(by)
-    upto = counts.withColumn("upto", F.sum("n").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow))).withColumn("all", F.sum("n").over(w))
+    they are ranked, and ranked by ranges, so that a group is not gathered."""
+    counts = rows.filter(F.col(value).isNotNull()).groupBy(by, value).agg(F.count(F.lit(1)).alias("n"))
+    sizes = counts.groupBy(by).agg(F.sum("n").alias("all"))
+    upto = running_total(counts, [by], [value], "n").alias("a").join(sizes.hint("merge").alias("b"), F.col(f"a.{by}").eqNullSafe(F.col(f"b.{by}"))).select("a.*", "b.all")
     mid, p95 = F.floor(F.col("all") / 2), F.bround(0.95 * (F.col("all") - 1))
     return upto.groupBy(by).agg(F.min(F.when(F.col("upto") > mid, F.col(value))).alias("median"), F.min(F.when(F.col("upto") > p95, F.col(value))).alias("p95"))
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..sources.staging import staged
+from .blocks import running_total
 
 
 def stars(pairs: DataFrame, spark: SparkSession) -> DataFrame:
@@ -39,11 +40,9 @@ def best_shot(shots: DataFrame) -> DataFrame:
 
 
 def group_budget(groups: DataFrame, limit: int) -> DataFrame:
-    """Whole groups, largest first, up to `limit` members; stops at the first that does not fit. At
-    most `limit` groups can fit, so only so many are ranked."""
-    some = groups.orderBy(F.desc("n"), "first").limit(limit + 1)
-    w = Window.partitionBy(F.lit(1)).orderBy(F.desc("n"), "first").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return some.withColumn("total", F.sum("n").over(w)).filter(F.col("total") <= limit)
+    """Whole groups (n, first), largest first, up to `limit` members in total; stops at the first that does
+    not fit. Totals go by ranges of groups."""
+    return running_total(groups, [], [F.desc("n"), F.asc("first")], "n", "total").filter(F.col("total") <= limit)
 
 
 def groups(stars: DataFrame, facts: DataFrame, limit: int) -> DataFrame:

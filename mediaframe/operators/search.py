@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from ..functions.vectors import dot, is_valid
 from . import cells
-from .blocks import best_of, block_product, matrix
+from ..sources.staging import staged
+from .blocks import best_of, block_product, carried, matrix
 
 
 def restrict(rows: DataFrame, only: DataFrame, key: str = "asset_id") -> DataFrame:
@@ -175,10 +176,31 @@ def group_hits(hits: DataFrame, limit: int, max_extra: int = 5, max_overlap: flo
 
 
 def window_at(segments: DataFrame, moments: DataFrame) -> DataFrame:
-    """For each (asset_id, t) the window that contains t, else the one that starts nearest; ties by index."""
-    inside = (F.col("start_s") <= F.col("t")) & (F.col("t") < F.col("end_s"))
-    best = F.min_by("segment_index", F.struct((~inside).alias("outside"), F.abs(F.col("start_s") - F.col("t")).alias("gap"), "segment_index"))
-    return moments.join(segments.select("asset_id", "segment_index", "start_s", "end_s"), "asset_id", "left").groupBy("asset_id", "t").agg(best.alias("segment_index"))
+    """For each different (asset_id, t) the window that contains t and starts nearest to it, else the one that
+    starts nearest; ties by index; null for an asset without windows. Windows without a start are none.
+
+    Window starts and moments are one sorted stream, dealt by ranges (`blocks.carried`), in which each
+    moment has the last start before it, the first one after it and the latest end so far. The last
+    start decides unless its window is over while an earlier one goes on; only such moments are joined
+    with the windows that go on after their successor has ended."""
+    windows = segments.filter("start_s is not null").select("asset_id", F.col("start_s").cast("double").alias("at"), F.lit(0).alias("kind"), (-F.col("segment_index")).alias("neg"), F.col("end_s").cast("double").alias("end"))
+    asked = moments.select("asset_id", F.col("t").cast("double").alias("at"), F.lit(1).alias("kind"), F.lit(None).cast("int").alias("neg"), F.lit(None).cast("double").alias("end")).distinct()
+    start = F.col("kind") == 0
+    stream = carried(windows.unionByName(asked), ["asset_id"], ["at", "kind", "neg"], {"before": F.when(start, F.struct("at", "neg", "end"))}, {"after": F.when(start, F.col("at"))})
+    firsts = windows.groupBy("asset_id", F.col("at").alias("after")).agg(F.min(-F.col("neg")).alias("first"))
+    told = staged(stream.filter("kind = 1").select("asset_id", F.col("at").alias("t"), "before", "after").join(firsts.hint("merge"), ["asset_id", "after"], "left"))
+    gap = F.struct((F.col("t") - F.col("before.at")).alias("gap"), (-F.col("before.neg")).alias("segment_index"))
+    later = F.struct((F.col("after") - F.col("t")).alias("gap"), F.col("first").alias("segment_index"))
+    nearest = F.when(F.col("before").isNull(), F.col("first")).when(F.col("after").isNull() | (gap <= later), -F.col("before.neg")).otherwise(F.col("first"))
+    over = F.coalesce(F.col("before.end") <= F.col("t"), F.lit(False))
+    by_start = Window.partitionBy("asset_id", "_part").orderBy("at", "neg")
+    ranged = staged(windows.repartitionByRange("asset_id", "at").withColumn("_part", F.spark_partition_id()))
+    following = F.lead("end").over(by_start)
+    going_on = ranged.withColumn("next", following).filter("next is null or end > next").select("asset_id", "at", "neg", "end")
+    hit = (told.filter(over).select("asset_id", "t").join(going_on.hint("merge"), "asset_id").filter("at <= t and t < end")
+           .groupBy("asset_id", "t").agg((-F.max(F.struct("at", "neg"))["neg"]).alias("inside")))
+    out = told.join(hit.hint("merge"), ["asset_id", "t"], "left")
+    return out.select("asset_id", "t", F.coalesce("inside", F.when(~over & F.col("before").isNotNull(), -F.col("before.neg")), nearest).alias("segment_index"))
 
 
 def rank_results(hits: DataFrame, id_col: str = "asset_id", by: str | None = None, keep: int | None = None) -> DataFrame:

@@ -9,8 +9,10 @@ from ..functions.vectors import dot, l2_norm, l2_normalize, truncate_dim
 from ..operators import evaluation as ev
 from ..operators import lookalikes
 from ..operators import search as s
+from ..operators.blocks import quantiles
 from ..registry import query
 from ..sources import bindings as b
+from ..sources.staging import staged
 
 
 def query_vector(vectors, asset_id: int = 0):
@@ -110,8 +112,8 @@ def d22b(spark, d):
     """Linear quantiles of the nearest vector of another group."""
     best = s.best_by_group(b.vectors(spark, d).withColumn("copies", F.expr("asset_id % 5")), "copies")
     at = [0.5, 0.9, 0.99, 1.0]
-    found = best.agg(F.percentile("other", F.array(*map(F.lit, at))).alias("x"))
-    return found.select(F.posexplode("x").alias("k", "x")).select(F.get(F.array(*map(F.lit, at)), F.col("k")).alias("quantile"), F.round("x", 5).alias("similarity"))
+    found = quantiles(best, [], "other", at)
+    return found.select(F.posexplode("q").alias("k", "x")).select(F.get(F.array(*map(F.lit, at)), F.col("k")).alias("quantile"), F.round("x", 5).alias("similarity"))
 
 
 @query("d23_variant_agreement", f"""WITH {V}, t AS (SELECT asset_id, list_dot_product(vector, vector[1:32] || list_transform(vector[33:64], lambda x: 0.0)) / sqrt(list_dot_product(vector[1:32], vector[1:32])) AS c FROM vectors)
@@ -250,9 +252,9 @@ def caption_ranks(spark, d):
     r AS (SELECT *, rank() OVER (PARTITION BY caption ORDER BY x DESC) AS rank FROM p), t AS (SELECT caption, rank FROM r WHERE clip = caption // 5)
     SELECT avg(CAST(rank <= 1 AS INTEGER)) AS r1, avg(CAST(rank <= 5 AS INTEGER)) AS r5, avg(CAST(rank <= 10 AS INTEGER)) AS r10, round(avg(CASE WHEN rank <= 10 THEN 1.0 / rank ELSE 0 END), 6) AS map10, quantile_cont(rank, 0.5) AS median_rank, 10.0 / count(*) AS chance FROM t""")
 def d19(spark, d):
-    t = caption_ranks(spark, d)
+    t = staged(caption_ranks(spark, d))
     within = [F.avg((F.col("rank") <= k).cast("int")).alias(f"r{k}") for k in (1, 5, 10)]
-    return t.agg(*within, F.round(F.avg(F.when(F.col("rank") <= 10, 1 / F.col("rank")).otherwise(0.0)), 6).alias("map10"), F.percentile("rank", F.lit(0.5)).alias("median_rank"), (F.lit(10.0) / F.count(F.lit(1))).alias("chance"))
+    return t.agg(*within, F.round(F.avg(F.when(F.col("rank") <= 10, 1 / F.col("rank")).otherwise(0.0)), 6).alias("map10"), (F.lit(10.0) / F.count(F.lit(1))).alias("chance")).crossJoin(F.broadcast(quantiles(t, [], "rank", [0.5]).select(F.col("q")[0].alias("median_rank"))))  # one row each
 
 
 @query("d20_bootstrap_ci")
