@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 #: Fixed tables of HTML: elements whose content is no text, that have none, and inline ones.
 RAW = {"script", "style", "noscript", "template", "textarea", "svg", "iframe", "title", "object", "canvas", "math", "select", "option"}
+NO_TEXT = {"head", *RAW}
 #: Of these, what holds text up to its end tag or the end of the page; the others are elements like any.
 RAW_TEXT = {"script", "style", "textarea", "iframe", "title"}
 OPTION_END = re.compile(r"</\s*option\b[^>]*>?|(?=</?[a-zA-Z])", re.IGNORECASE)
@@ -22,8 +23,10 @@ INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "dat
           "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
 CLOSES_P = {"address", "article", "aside", "blockquote", "details", "div", "dl", "fieldset", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "main", "menu",
             "nav", "ol", "p", "pre", "section", "table", "ul"}
-#: Elements and words in class, id or role that mark what is around the text.
-AROUND = {"nav", "header", "footer", "aside", "form", "button", "menu", "dialog", "head", "select"}
+#: Elements, and words in class, id or role, that make text less likely to be the page's own: a path of such
+#: text weighs AROUND_WEIGHT of what its ratios say. The ratios still decide.
+AROUND_WEIGHT = 0.05
+AROUND = {"nav", "header", "footer", "aside", "form", "button", "menu", "dialog"}
 AROUND_WORDS = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|banner|breadcrumbs?|comments?|consent|cookies?|disclaimer|disqus|footer|gdpr|header|masthead|menu|modal|nav\w*|newsletter|notices?|"
                           r"popup|promo\w*|related|replies|respond|share|sharing|sidebar|social|sponsor\w*|subscribe|toolbar|widget)(?=$|[\s_\d-])", re.IGNORECASE)
 #: Elements that hold the text whatever their class says.
@@ -41,12 +44,17 @@ ENDS = {t: k for k, tags in enumerate(IMPLIED[1:5], 1) for t in tags}
 
 
 class Block:
+    """around: 0 for text of the page, 1 for what its elements or words mark as around it, 2 for what is no text."""
+
     __slots__ = ("path", "around", "mark", "text", "linked")
 
-    def __init__(self, path: int, around: bool, mark: int):
+    def __init__(self, path: int, around: int, mark: int):
         self.path, self.around, self.mark, self.text, self.linked = path, around, mark, [], 0
 
 
+OUTSIDE = ("", "(around)", "(none)")
+
+
 class Paths:
     """Paths of tags from the root, as numbers; a path comes after the one it extends."""
 
@@ -75,14 +83,14 @@ class Open:
 
     def __init__(self):
         # tag, path, around, mark, links, article, innermost block, innermost elements that a tag may end
-        self.entries = [("", 0, False, 0, 0, False, 0, (0,) * len(IMPLIED))]
+        self.entries = [("", 0, 0, 0, 0, False, 0, (0,) * len(IMPLIED))]
         self.places: dict[str, list[int]] = defaultdict(list)
 
-    def push(self, tag: str, path: int, around: bool, mark: int) -> None:
+    def push(self, tag: str, path: int, around: int, mark: int) -> None:
         _, _, a, m, links, article, block, open_ = self.entries[-1]
         at = len(self.entries)
         ends = tuple(at if tag in IMPLIED[k] else 0 if tag in WITHIN[k] else was for k, was in enumerate(open_))
-        self.entries.append((tag, path, a or around, mark or m, links + (tag == "a"), article or tag in ("article", "main"), at if tag in CLOSES_P else block, ends))
+        self.entries.append((tag, path, max(a, around), mark or m, links + (tag == "a"), article or tag in ("article", "main"), at if tag in CLOSES_P else block, ends))
         self.places[tag].append(at)
 
     def cut(self, at: int) -> None:
@@ -104,8 +112,8 @@ class Open:
 def blocks_of(page: str) -> tuple[list[Block], Paths]:
     """Text blocks in page order, each with its path of tags from the root. Inline elements are
     part of the block around them. Open paragraphs and items end where HTML ends them. An element
-    that only its class, id or role marks as around the text, but that holds most of it, is not,
-    unless there is an article or main element beside it."""
+    that only its class, id or role marks as around the text, but that holds most of it, is not
+    marked, unless there is an article or main element beside it."""
     opened, paths = Open(), Paths()
     beside, outer = [False], [0]  # of each marked element: not below an article or main element; the marked one around it
     out: list[Block] = []
@@ -142,7 +150,7 @@ def blocks_of(page: str) -> tuple[list[Block], Paths]:
                 if end or tag in RAW_TEXT or tag == "option":
                     at = end.end() if end else n
                 else:  # never closed: it ends with the element around it
-                    opened.push(tag, paths.below(opened.entries[-1][1], tag), True, 0)
+                    opened.push(tag, paths.below(opened.entries[-1][1], tag), 2, 0)
                     current = None
                 continue
             if tag == "br":
@@ -165,7 +173,7 @@ def blocks_of(page: str) -> tuple[list[Block], Paths]:
             if words:
                 beside.append(not article)
                 outer.append(mark)
-            opened.push(tag, path if tag in INLINE else paths.below(path, tag), tag in AROUND, len(beside) - 1 if words else 0)
+            opened.push(tag, path if tag in INLINE else paths.below(path, tag), 2 if tag in NO_TEXT else int(tag in AROUND), len(beside) - 1 if words else 0)
         elif m[1]:
             tag = m[1].lower()
             if tag not in INLINE:
@@ -187,7 +195,9 @@ def blocks_of(page: str) -> tuple[list[Block], Paths]:
     for k in range(1, len(held)):
         drop[k] = drop[outer[k]] or 2 * held[k] <= total or firm and beside[k]
     for b in out:
-        b.around = b.around or drop[b.mark]
+        b.around = max(b.around, int(drop[b.mark]))
+        if b.around:  # such text has a path of its own
+            b.path = paths.below(b.path, OUTSIDE[b.around])
     return out, paths
 
 
@@ -198,18 +208,17 @@ def smoothed(x: np.ndarray, width: float = 0.5) -> np.ndarray:
     return np.convolve(x, kernel)[reach: reach + len(x)] / np.convolve(np.ones(len(x)), kernel)[reach: reach + len(x)]
 
 
-def content_paths(blocks: list[Block], paths: Paths, strict: float = 0.5, prior: float = 0.25) -> set[int]:
-    """Paths that hold content. For each root-to-leaf path: characters and punctuation marks a
-    block (the ratios), with the text of links taken off. Both are smoothed over neighbours in
-    page order with a Gaussian, fused as a geometric mean, and compared with a share of the
-    spread above their weighted mean. That decides for every path; those in the article or main
-    element of the best one, or else below its parent (unless that is the body), and titles (h1)
-    are held to `prior` of it."""
+def content_paths(blocks: list[Block], paths: Paths, strict: float = 0.5, prior: float = 0.25, around: float = AROUND_WEIGHT) -> set[int]:
+    """Paths that hold content. For each root-to-leaf path: characters and punctuation
+    marks a block (the ratios), with the text of links taken off. Both are smoothed over neighbours in
+    page order with a Gaussian, fused as a geometric mean, weighed by `around` if the path is marked so,
+    and compared with a share of the spread above their weighted mean. That decides for every path;
+    those in the article or main element of the best one, or else below its parent (unless that is the
+    body), and titles (h1) are held to `prior` of it."""
     chars, marks, count = defaultdict(float), defaultdict(float), defaultdict(int)
     for b in blocks:  # paths in the order in which they come first
-        if not b.around:
-            size = sum(map(len, b.text))
-            chars[b.path] += max(0, size - b.linked)
+        if b.around < 2:
+            chars[b.path] += max(0, sum(map(len, b.text)) - b.linked)
             marks[b.path] += sum(len(PUNCTUATION.findall(t)) for t in b.text)
             count[b.path] += 1
     if not count:
@@ -217,12 +226,13 @@ def content_paths(blocks: list[Block], paths: Paths, strict: float = 0.5, prior:
     found = list(count)
     text = np.array([chars[p] / count[p] for p in found])
     punctuation = np.array([1 + marks[p] / count[p] for p in found])
-    fused = np.sqrt(smoothed(text) * smoothed(punctuation))
+    own = np.array([around if paths.tag[p] == OUTSIDE[1] else 1.0 for p in found])
+    fused = np.sqrt(smoothed(text) * smoothed(punctuation)) * own
     best = found[int(np.argmax(fused * np.sqrt([count[p] for p in found])))]
     root = paths.nearest({"article"})[best] or paths.nearest({"main"})[best] or paths.parent[best]
     if paths.tag[root] in ("", "html", "body"):  # the whole page is no reason to expect content
         root = best
-    weight = np.array([chars[p] for p in found]) + 1
+    weight = (np.array([chars[p] for p in found]) + 1) * own
     mean = np.average(fused, weights=weight)
     limit = strict * (mean + np.sqrt(np.average((fused - mean) ** 2, weights=weight))) / 2
     inside = [k == root for k in range(len(paths.tag))]
@@ -231,10 +241,10 @@ def content_paths(blocks: list[Block], paths: Paths, strict: float = 0.5, prior:
     return {p for p, f in zip(found, fused, strict=True) if f >= (prior * limit if inside[p] or paths.tag[p] == "h1" else limit)}
 
 
-def main_text(page: str | None) -> str:
+def main_text(page: str | None, strict: float = 0.5, around: float = AROUND_WEIGHT) -> str:
     blocks, paths = blocks_of(page or "")
-    keep = content_paths(blocks, paths)
-    texts = (SPACES.sub(" ", "".join(b.text)).strip() for b in blocks if not b.around and b.path in keep)
+    keep = content_paths(blocks, paths, strict, around=around)
+    texts = (SPACES.sub(" ", "".join(b.text)).strip() for b in blocks if b.path in keep)
     return " ".join(t for t in texts if t)
 
 

@@ -127,3 +127,25 @@ def test_raw_elements_end_where_html_ends_them():
 def test_class_words_do_not_discard_the_text():
     for page in ("<body class='no-sidebar'><p>{}</p></body>", "<html class='has-widget'><body><p>{}</p>", "<body><main id=with-header><p>{}</p></main>", "<body><div class='layout with-sidebar'><p>{}</p></div><div class='sidebar'>Links, more.</div>"):
         assert html_main.main_text(page.format(PROSE)) == PROSE.strip()
+
+
+def test_ratios_decide_on_given_pages(spark):
+    """A lower threshold lets in what is around the text; with no weight for words and elements, the ratios alone
+    keep nearly all of the article's text and leave out short menus."""
+    pages = [r.html for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect()]
+    usual, low, alone, whole = ([html_main.main_text(p, strict, around) for p in pages] for strict, around in ((0.5, 0.05), (0.02, 0.05), (0.5, 1.0), (0.0, 1.0)))
+    assert sum(a != b for a, b in zip(usual, low)) > 0.9 * len(pages)
+    assert sum(a != b for a, b in zip(alone, whole)) > 0.5 * len(pages)
+    kept = total = 0
+    for u, a in zip(usual, alone):
+        there = set(a.split())
+        kept += sum(len(w) for w in u.split() if w in there)
+        total += sum(map(len, u.split()))
+    assert kept >= 0.9 * total
+
+
+def test_what_looks_like_a_sidebar_but_reads_like_text_stays():
+    """Words in a class weigh against a block; its ratios can outweigh them."""
+    block = "<p>" + PROSE * 30 + "</p>"
+    page = f"<body><div class=menu>{block}</div><div><p>Short one.</p><p>Another, short.</p></div><div class=menu><p>Home</p></div></body>"
+    assert PROSE.strip() in html_main.main_text(page)
