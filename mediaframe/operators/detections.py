@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .catalog import replace_keys
+
 SURE, KEEP = 0.75, 0.5
 
 
@@ -77,6 +79,20 @@ def without_corrections(photos: DataFrame, verdicts: DataFrame) -> DataFrame:
     return photos.join(verdicts.filter("present = 0").select("content_hash"), "content_hash", "left_anti")
 
 
+def apply_corrections(shown: DataFrame, ranks: list[int], label: str, verdicts: DataFrame, verifier: str = "user") -> tuple[DataFrame, DataFrame]:
+    """The user says that the photos at these ranks of an answer (rank, content_hash, ..) lack the label; -1 is
+    the last. Returns the verdicts (content_hash, label, verifier, present) with these in place of older
+    ones of the same key, and the rest of the answer. Copies of a photo share its verdict. A rank
+    that the answer lacks is an error when a result is computed."""
+    last = shown.agg(F.coalesce(F.max("rank"), F.lit(0)).cast("int").alias("last"))
+    wanted = shown.sparkSession.createDataFrame([(r,) for r in sorted(set(ranks))], "pick int")
+    pick = F.when(F.col("pick") == -1, F.col("last")).otherwise(F.col("pick"))
+    valid = F.when(pick.between(1, F.col("last")), pick).otherwise(F.raise_error(F.concat(F.lit("the answer has "), F.col("last").cast("string"), F.lit(" photos"))).cast("int"))
+    picks = F.broadcast(wanted.crossJoin(F.broadcast(last)).select(valid.alias("rank")).distinct())  # as many rows as ranks
+    told = shown.join(picks, "rank").select("content_hash", F.lit(label).alias("label"), F.lit(verifier).alias("verifier"), F.lit(0).alias("present")).distinct()
+    return replace_keys(verdicts, told, ["content_hash", "label", "verifier"]), shown.join(picks, "rank", "left_anti")
+
+
 def match_boxes(truth: DataFrame, predicted: DataFrame, least_iou: float = 0.5, sure: float = SURE) -> DataFrame:
     """For each photo the largest true box that a sure prediction of its label covers."""
     p = prefixed(predicted.filter(F.col("score") >= sure), "p_", ("content_hash", "label"))

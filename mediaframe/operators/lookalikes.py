@@ -2,29 +2,77 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..sources.staging import staged
 from .blocks import running_total
+from .graph import components
 
 
-def stars(pairs: DataFrame, spark: SparkSession) -> DataFrame:
+#: Fixed levels of likeness: the least cosine similarity.
+LEVELS = {"strict": 0.95, "normal": 0.92, "loose": 0.90}
+
+STAR = "leader {id}, member {id}, similarity double"
+
+
+def _greedy(group: pa.Table) -> pa.Table:
+    """Stars of whole components, photo by photo."""
+    a, b, x = (group[c].to_numpy() for c in ("a", "b", "similarity"))
+    ids, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
+    u, v, x = np.concatenate([ends[: len(a)], ends[len(a):]]), np.concatenate([ends[len(a):], ends[: len(a)]]), np.concatenate([x, x])
+    order = np.argsort(u, kind="stable")
+    v, x, at = v[order], x[order], np.searchsorted(u[order], np.arange(len(ids) + 1))
+    free, out = np.ones(len(ids), bool), []
+    for k in np.lexsort((np.arange(len(ids)), -np.diff(at))):
+        if free[k]:
+            near = np.arange(at[k], at[k + 1])
+            near = near[free[v[near]]]
+            free[k] = free[v[near]] = False
+            out.append((np.full(len(near), k), v[near], x[near]))
+    lead, member, sim = (np.concatenate(c) for c in zip(*out, strict=True))
+    return pa.table({"leader": ids[lead], "member": ids[member], "similarity": np.round(sim, 5)})
+
+
+def stars(pairs: DataFrame, spark: SparkSession, small: int = 100_000, most_rounds: int = 1000) -> DataFrame:
     """leader, member, similarity. Photos are visited by falling degree, then id; a free photo leads
-    its free neighbours. That is the first maximal independent set in this order: each round, a
-    photo with an earlier leader next to it is out, and one whose earlier neighbours are all out
-    leads. A member joins its earliest leader."""
+    its free neighbours. A component of up to `small` pairs is visited whole in one task, many to a task;
+    a larger one by rounds (`_stars_by_rounds`). pairs: a < b, similarity, each once."""
     pairs = staged(pairs)  # the join that finds them runs once
+    kind = dict(pairs.dtypes)["a"]
+    comps = components(pairs)
+    told = staged(pairs.join(comps.select(F.col("node").alias("a"), "comp").hint("merge"), "a"))
+    sizes = staged(told.groupBy("comp").agg(F.count(F.lit(1)).alias("n")))
+    tasks = max(1, (sizes.agg(F.sum("n")).first()[0] or 0) // small + 1)
+    giant = sizes.filter(F.col("n") > small)
+    few = told.join(giant.select("comp").hint("merge"), "comp", "left_anti").groupBy(F.pmod(F.xxhash64("comp"), F.lit(tasks)).alias("task"))
+    found = few.applyInArrow(lambda g: _greedy(g), STAR.format(id=kind))
+    if giant.isEmpty():
+        return found
+    return found.unionByName(_stars_by_rounds(told.join(giant.select("comp").hint("merge"), "comp", "left_semi").select("a", "b", "similarity"), most_rounds))
+
+
+def _stars_by_rounds(pairs: DataFrame, most: int) -> DataFrame:
+    """The same stars as the first maximal independent set in the order of visits: each round, a photo with
+    an earlier leader next to it is out, and one whose earlier neighbours are all out leads. A member
+    joins its earliest leader. More than `most` rounds are an error."""
+    pairs = staged(pairs)
     edges = pairs.select(F.col("a").alias("u"), F.col("b").alias("v"), "similarity").unionByName(pairs.select(F.col("b").alias("u"), F.col("a").alias("v"), "similarity"))
     degree = edges.groupBy("u").agg(F.count(F.lit(1)).alias("n"))
     order = F.struct((-F.col("n")).alias("neg"), F.col("u").alias("id"))
     nodes = staged(degree.select("u", order.alias("o"), F.lit("open").alias("state")))
     neighbours = staged(edges.join(nodes.select("u", F.col("o").alias("ou")), "u").join(nodes.select(F.col("u").alias("v"), F.col("o").alias("ov")), "v").filter("ov < ou").select("u", "v"))
-    while nodes.filter("state = 'open'").limit(1).count():
+    for _ in range(most):
+        if not nodes.filter("state = 'open'").limit(1).count():
+            break
         seen = (neighbours.join(nodes.select(F.col("u").alias("v"), F.col("state").alias("sv")), "v").groupBy("u")
                 .agg(F.bool_or(F.col("sv") == "lead").alias("led"), F.bool_and(F.col("sv") == "out").alias("clear")))
         state = F.when(F.col("state") != "open", F.col("state")).when(F.col("led"), "out").when(F.coalesce("clear", F.lit(True)), "lead").otherwise("open")
         nodes = staged(nodes.join(seen, "u", "left").select("u", "o", state.alias("state")))
+    else:
+        raise RuntimeError(f"a component of look-alikes is not done in {most} rounds")
     lead = nodes.filter("state = 'lead'").select(F.col("u").alias("v"), F.col("o").alias("ov"))
     out = nodes.filter("state = 'out'").select("u")
     joined = edges.join(lead, "v").join(out, "u", "left_semi")
@@ -55,3 +103,29 @@ def groups(stars: DataFrame, facts: DataFrame, limit: int) -> DataFrame:
     same = rows.groupBy("leader").agg(((F.count_distinct("content_hash") == 1) & (F.count("content_hash") == F.count(F.lit(1)))).alias("identical"))
     out = rows.join(best.hint("merge"), "leader", "left").join(same.hint("merge"), "leader")
     return out.select("leader", "member", F.coalesce(F.col("member") == F.col("keeper"), F.lit(False)).alias("best"), "identical", "size")
+
+
+def review(stars: DataFrame, facts: DataFrame, limit: int = 1000) -> DataFrame:
+    """What a reviewer sees: rank, grp, size, identical, member, best, similarity (to the group's leader, null
+    for the leader). Whole groups, the largest first, up to `limit` photos (2 to 5,000); in each the shot
+    to keep, then the leader, then members by falling similarity."""
+    rows = groups(stars, facts, max(2, min(limit, 5000)))  # a bounded number of rows
+    told = rows.join(stars.select("leader", "member", "similarity").hint("merge"), ["leader", "member"], "left")
+    order = [F.desc("size"), F.asc("leader"), F.desc("best"), F.desc_nulls_first("similarity"), F.asc("member")]
+    w = Window.partitionBy(F.lit(1))
+    return told.select(F.row_number().over(w.orderBy(*order)).alias("rank"), F.dense_rank().over(w.orderBy(F.desc("size"), F.asc("leader"))).alias("grp"), "size", "identical", "member", "best", "similarity")
+
+
+def level_summary(vectors: DataFrame, spark: SparkSession) -> DataFrame:
+    """level, threshold, groups, photos of each level. The pairs of the loosest level hold those of the others,
+    so vectors are joined once."""
+    from .search import similarity_self_join
+
+    pairs = staged(similarity_self_join(vectors, min(LEVELS.values())))
+    out = None
+    for level, least in LEVELS.items():
+        found = stars(pairs.filter(F.col("similarity") >= least), spark)
+        one = found.agg(F.count_distinct("leader").alias("groups"), (F.count_distinct("leader") + F.count(F.lit(1))).alias("photos"))
+        one = one.select(F.lit(level).alias("level"), F.lit(least).alias("threshold"), "groups", "photos")
+        out = one if out is None else out.unionByName(one)
+    return out

@@ -230,17 +230,70 @@ def by_media_type(assets: DataFrame, search: dict, rank) -> DataFrame:
     return rank(every)
 
 
+#: Fixed: how many are ranked for a limit when found photos can come up, and windows of one file can merge.
+ROOM = 200
+
+
 def search_grouped(assets: DataFrame, segments: DataFrame, query: list[float] | DataFrame, when, limit: int, found: DataFrame | None = None, checked: DataFrame | None = None) -> DataFrame:
-    """asset_id, similarity, rank (and object_check): photos in scope by their best window; twice as many
-    as asked for are ranked, and those where the detector has found the object come first."""
+    """asset_id, similarity, rank (and object_check): photos in scope by their best window. Where the detector
+    can bring photos up, four times as many as asked for are ranked, 200 at least, and those with the
+    object come first."""
     from .catalog import scope
 
     hits = score(searchable(segments, scope(assets, when=when)), query)
-    top = best_window_per_asset(hits, 2 * limit if found is not None else limit)
+    top = best_window_per_asset(hits, max(4 * limit, ROOM) if found is not None else limit)
     ranked = rank_results(top.select("asset_id", "similarity"))
     return object_first(ranked, found, checked, limit) if found is not None else ranked
 
 
+#: Modality of the vectors that are searched for each media type; of videos one of three signals.
+MODALITIES = {"image": "image", "audio": "audio", "video": "video-visual"}
+VIDEO_SIGNALS = {"visual": "video-visual", "audio": "video-audio", "joint": "video-joint"}
+
+
+def modalities_for(media_types: list[str], video_signal: str = "visual") -> list[str]:
+    """The modalities to search, in order and each once; an unknown type or signal is an error."""
+    return list(dict.fromkeys(VIDEO_SIGNALS[video_signal] if t == "video" else MODALITIES[t] for t in media_types))
+
+
+def refuse_incompatible(assets: DataFrame, vectors: DataFrame, profile: str, rows: DataFrame) -> DataFrame:
+    """rows with index_state over all assets of the search; an error when the result is computed if they only
+    have vectors of other profiles. Vectors of different profiles are never ranked together."""
+    from .catalog import index_state
+
+    state = index_state(assets.withColumn("_all", F.lit(1)), vectors, profile, "_all").select("state")
+    refused = F.when(F.col("state") == "incompatible", F.raise_error(F.lit("indexed with another profile: import again"))).otherwise(F.col("state"))
+    one = state.select(refused.alias("index_state"))
+    return rows.crossJoin(F.broadcast(one))  # one row, or none without assets
+
+
+def search(assets: DataFrame, vectors: DataFrame, query: list[float] | DataFrame, profile: str, limit: int, media_types: list[str] | None = None, video_signal: str = "visual",
+           libraries: list | None = None, when=None, hydrate: list[str] | None = None, grouped: bool = True) -> DataFrame:
+    """The whole search of one query: rank, asset_id, similarity, modality, start_s, end_s, others (windows of
+    the same file that overlap little), suppressed, index_state, and the columns `hydrate` of the assets.
+
+    assets in scope (types, libraries, time and place) and vectors (asset_id, embedding_id, profile_key,
+    modality, start_s, end_s, vector) of the profile and of the modalities of these types; an index
+    of other profiles only is an error. Files of windows are grouped, from 12 times the limit."""
+    from .catalog import scope
+
+    types = media_types or ["image"]
+    wanted = modalities_for(types, video_signal)
+    kept = scope(assets, libraries, when, media=tuple(types))
+    own = vectors.filter((F.col("profile_key") == profile) & F.col("modality").isin(wanted))
+    hits = score(searchable(own, kept), query)
+    if grouped and wanted != ["image"]:
+        top = hits.orderBy(F.desc("similarity"), "embedding_id").limit(max(12 * limit, ROOM))
+        found = group_hits(top, limit).select("asset_id", F.col("best.similarity").alias("similarity"), F.col("best.embedding_id").alias("embedding_id"), F.col("best.start_s").alias("start_s"), F.col("best.end_s").alias("end_s"), "others", "suppressed")
+        found = found.join(top.select("embedding_id", "modality"), "embedding_id")
+    else:
+        top = hits.orderBy(F.desc("similarity"), "embedding_id").limit(limit)
+        found = top.select("embedding_id", "asset_id", "similarity", "modality", "start_s", "end_s", F.array().cast("array<struct<similarity:double,embedding_id:bigint,start_s:double,end_s:double>>").alias("others"), F.lit(0).alias("suppressed"))
+    ranked = rank_results(found, "embedding_id").join(assets.select("asset_id", *(hydrate or [])), "asset_id")
+    in_scope = assets.filter(F.col("media_type").isin(types))
+    return refuse_incompatible(in_scope if libraries is None else in_scope.filter(F.col("library_id").isin(libraries)), vectors, profile, ranked)
+
+
 def rank_within(ids: DataFrame, vectors: DataFrame, query: list[float] | DataFrame) -> DataFrame:
     """Scores of a set of ids; an id without a vector scores -2."""
     return ids.join(score(vectors, query).select("asset_id", "similarity"), "asset_id", "left").withColumn("similarity", F.coalesce("similarity", F.lit(-2.0)))

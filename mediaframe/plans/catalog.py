@@ -10,6 +10,7 @@ from ..operators import catalog as c
 from ..operators import places as pl
 from ..operators import selections as sel
 from ..operators.blocks import numbered
+from ..operators.search import VIDEO_SIGNALS, modalities_for
 from ..registry import query
 from ..sources import bindings as b
 
@@ -73,6 +74,19 @@ def b4(spark, d):
     return b.assets(spark, d).groupBy("media_type", m.alias("modality")).agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("b4_video_signals", f"""WITH {A}, t AS (SELECT * FROM (VALUES ('visual', 'video-visual'), ('audio', 'video-audio'), ('joint', 'video-joint')) v(signal, modality))
+    SELECT asset_id, signal, CASE media_type WHEN 'video' THEN modality ELSE media_type END AS modality FROM assets, t""")
+def b4_signals(spark, d):
+    """The modality in which each asset is searched, for each signal of videos."""
+    a = b.assets(spark, d).select("asset_id", "media_type")
+    out = None
+    for signal in VIDEO_SIGNALS:
+        names = F.create_map(*[F.lit(x) for t in ("image", "audio", "video") for x in (t, *modalities_for([t], signal))])
+        one = a.select("asset_id", F.lit(signal).alias("signal"), names[F.col("media_type")].alias("modality"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 @query("b6_list_assets", f"WITH {A} SELECT asset_id, rel_path FROM assets WHERE library_id = 1 AND status = 'pending' AND media_type = 'image'")
 def b6(spark, d):
     return b.assets(spark, d).filter("library_id = 1 and status = 'pending' and media_type = 'image'").orderBy("rel_path").select("asset_id", "rel_path")
@@ -287,7 +301,7 @@ def f4(spark, d):
 @query("f6_month_listing", f"WITH {A} SELECT asset_id, count(*) OVER () AS total FROM assets WHERE {VISIBLE} AND taken_at >= TIMESTAMP '2024-01-01' AND taken_at < TIMESTAMP '2024-02-01' ORDER BY taken_at, rel_path LIMIT 60")
 def f6(spark, d):
     month = c.scope(b.assets(spark, d), when=c.MediaFilter([("2024-01-01", "2024-02-01")]))
-    return month.orderBy("taken_at", "rel_path").limit(60).select("asset_id").crossJoin(month.agg(F.count(F.lit(1)).alias("total")))
+    return month.orderBy("taken_at", "rel_path").limit(60).select("asset_id").crossJoin(F.broadcast(month.agg(F.count(F.lit(1)).alias("total"))))
 
 
 @query("f6_place_listing", f"WITH {P} SELECT asset_id FROM places WHERE place LIKE '%, ASIA' ORDER BY asset_id LIMIT 200")
@@ -385,7 +399,7 @@ def k5(spark, d):
     a = b.assets(spark, d)
     left = a.join(a.filter("library_id = 2").select("library_id").distinct(), "library_id", "left_anti")
     v = b.vectors(spark, d).select("asset_id").join(left, "asset_id", "left_semi")
-    return left.agg(F.count(F.lit(1)).alias("assets")).crossJoin(v.agg(F.count(F.lit(1)).alias("embeddings")))
+    return left.agg(F.count(F.lit(1)).alias("assets")).crossJoin(F.broadcast(v.agg(F.count(F.lit(1)).alias("embeddings"))))
 
 
 @query("k6_rekey_profiles", "WITH u AS (SELECT vec_id // 2 AS asset_id, CASE WHEN vec_id % 2 = 0 THEN 0 ELSE 1 END AS pref, vec_id FROM embeddings) SELECT asset_id, arg_min(vec_id, pref) AS vec_id FROM u GROUP BY asset_id")

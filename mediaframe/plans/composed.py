@@ -20,7 +20,7 @@ from ..sources import media
 from ..sources.staging import shared_path, staged
 from ..streaming import watch
 from .catalog import SCAN, VISIBLE, scan
-from .retrieval import Q0, query_vector
+from .retrieval import PAIRS, Q0, STARS, query_vector
 
 A, H, V, S, B, P, R, I = b.ASSETS, b.HASHED, b.VECTORS, b.SEGMENTS, b.BOXES, b.PHOTOS, b.RUNS, b.ITEMS
 PROFILED = "profiled AS (SELECT vec_id // 2 AS asset_id, CASE WHEN vec_id % 3 = 0 THEN 'old' ELSE 'current' END AS profile_key, 'image' AS modality, CAST(vec_id % 2 AS INTEGER) AS segment_index, vec_id FROM embeddings)"
@@ -382,7 +382,7 @@ def e18(spark, d):
 WHEN = "taken_at >= TIMESTAMP '2024-01-01' AND taken_at < TIMESTAMP '2024-01-20'"
 
 
-@query("l1_search_grouped", f"""WITH {V}, {S}, {A}, {Q0}, {B}, {R}, ok AS (SELECT asset_id FROM assets WHERE {VISIBLE} AND {WHEN}), h AS (SELECT asset_id, max(list_dot_product(vector, qv)) AS x FROM segments JOIN ok USING (asset_id), q GROUP BY 1), t AS (SELECT *, row_number() OVER (ORDER BY x DESC, asset_id) AS rank FROM h ORDER BY x DESC, asset_id LIMIT 40),
+@query("l1_search_grouped", f"""WITH {V}, {S}, {A}, {Q0}, {B}, {R}, ok AS (SELECT asset_id FROM assets WHERE {VISIBLE} AND {WHEN}), h AS (SELECT asset_id, max(list_dot_product(vector, qv)) AS x FROM segments JOIN ok USING (asset_id), q GROUP BY 1), t AS (SELECT *, row_number() OVER (ORDER BY x DESC, asset_id) AS rank FROM h ORDER BY x DESC, asset_id LIMIT 200),
     f AS (SELECT DISTINCT content_hash AS asset_id FROM boxes WHERE label = 'A' AND score >= 0.75), m AS (SELECT t.*, CASE WHEN f.asset_id IS NOT NULL THEN 'found' WHEN r.content_hash IS NOT NULL THEN 'not found' ELSE 'not checked' END AS object_check FROM t LEFT JOIN f USING (asset_id) LEFT JOIN runs r ON r.content_hash = t.asset_id),
     g AS (SELECT count(*) - count(taken_at) AS undated FROM assets WHERE {VISIBLE}) SELECT asset_id, round(x, 5) AS similarity, object_check, undated, row_number() OVER (ORDER BY object_check <> 'found', rank) AS rank FROM m, g ORDER BY object_check <> 'found', rank LIMIT 20""")
 def l1(spark, d):
@@ -394,6 +394,45 @@ def l1(spark, d):
     return results.crossJoin(F.broadcast(c.filter_gaps(c.scope(a), True, False).select("undated"))).select("asset_id", F.round("similarity", 5).alias("similarity"), "object_check", "undated", "rank")  # one row
 
 
+#: Windows of files under two profiles; those of videos have one of three signals.
+SIGNALS = f"{S}, signals AS (SELECT s.embedding_id, s.asset_id, start_s, end_s, vector, CASE WHEN embedding_id % 11 = 0 THEN 'old' ELSE 'current' END AS profile_key, CASE media_type WHEN 'video' THEN CASE segment_index % 3 WHEN 0 THEN 'video-visual' WHEN 1 THEN 'video-audio' ELSE 'video-joint' END ELSE media_type END AS modality FROM segments s JOIN assets USING (asset_id))"
+
+
+def signals(spark, d):
+    rows = b.segments(spark, d).join(b.assets(spark, d).select("asset_id", "media_type"), "asset_id")
+    return rows.selectExpr("embedding_id", "asset_id", "start_s", "end_s", "vector", "if(embedding_id % 11 = 0, 'old', 'current') as profile_key",
+                           "case when media_type <> 'video' then media_type when segment_index % 3 = 0 then 'video-visual' when segment_index % 3 = 1 then 'video-audio' else 'video-joint' end as modality")
+
+
+def searched_by_signal(signal):
+    """The twin of a search of images and videos by one signal of these, files grouped; windows overlap by half, so only every other one of a file is told beside the best."""
+    return f"""WITH {V}, {A}, {Q0}, {SIGNALS}, ok AS (SELECT asset_id, rel_path, taken_at FROM assets WHERE status = 'indexed' AND live_photo IS NULL AND media_type IN ('image', 'video') AND library_id IN (0, 1, 2)),
+    h AS (SELECT *, list_dot_product(vector, qv) AS x FROM signals JOIN ok USING (asset_id), q WHERE profile_key = 'current' AND modality IN ('image', 'video-{signal}') ORDER BY x DESC, embedding_id LIMIT 200),
+    o AS (SELECT asset_id, list([CAST(embedding_id AS BIGINT)] ORDER BY x DESC, embedding_id) AS l FROM h GROUP BY 1),
+    k AS (SELECT asset_id, len(l) AS n, list_reduce(l, lambda a, e: CASE WHEN len(list_filter(a, lambda z: abs(z - e[1]) < 2)) = 0 THEN list_concat(a, e) ELSE a END) AS kept FROM o),
+    state AS (SELECT CASE WHEN count(*) FILTER (own AND status = 'indexed') = 0 AND count(*) FILTER (other) > 0 THEN 'incompatible' WHEN count(*) FILTER (own AND status = 'indexed') = 0 THEN 'not_indexed' WHEN count(*) FILTER (own AND status = 'indexed') < count(*) FILTER (status NOT IN ('failed', 'missing')) THEN 'partial' ELSE 'ready' END AS index_state
+        FROM assets LEFT JOIN (SELECT asset_id, bool_or(profile_key = 'current') AS own, bool_or(profile_key <> 'current') AS other FROM signals GROUP BY 1) USING (asset_id) WHERE media_type IN ('image', 'video') AND library_id IN (0, 1, 2))
+    SELECT k.asset_id, round(x, 5) AS similarity, modality, start_s, end_s, list_transform(kept[2:], lambda z: z) AS others, CAST(n - len(kept) AS INTEGER) AS suppressed, rel_path, taken_at, index_state, row_number() OVER (ORDER BY x DESC, embedding_id) AS rank
+    FROM k JOIN h ON embedding_id = kept[1], state ORDER BY x DESC, embedding_id LIMIT 12"""
+
+
+def search_signal(spark, d, signal):
+    found = s.search(b.assets(spark, d), signals(spark, d), query_vector(b.vectors(spark, d)), "current", 12, ["image", "video"], signal, libraries=[0, 1, 2], hydrate=["rel_path", "taken_at"])
+    return found.select("asset_id", F.round("similarity", 5).alias("similarity"), "modality", "start_s", "end_s", F.transform("others", lambda o: o["embedding_id"]).alias("others"), "suppressed", "rel_path", "taken_at", "index_state", "rank")
+
+
+@query("l1_search_visual", searched_by_signal("visual"))
+def l1_visual(spark, d):
+    """Images and what is seen in videos, with the state of the index and the files' columns."""
+    return search_signal(spark, d, "visual")
+
+
+@query("l1_search_joint", searched_by_signal("joint"))
+def l1_joint(spark, d):
+    """Images and videos by the vectors of picture and sound together."""
+    return search_signal(spark, d, "joint")
+
+
 #: What a mode of search needs, and whether it is an experiment.
 MODES = [("image", "image", False), ("video", "video", True), ("audio", "audio", True)]
 
@@ -444,9 +483,57 @@ def l6(spark, d):
     return top.crossJoin(F.broadcast(det.coverage(b.photos(spark, d), b.detection_runs(spark, d))))  # one row
 
 
-@query("l10_groups")
+@query("l8_corrected_answers", f"""WITH {V}, {Q0}, {H}, shown AS (SELECT content_hash, row_number() OVER (ORDER BY list_dot_product(vector, qv) DESC, asset_id) AS rank FROM vectors JOIN hashed USING (asset_id), q ORDER BY rank LIMIT 40),
+    wrong AS (SELECT content_hash FROM shown WHERE rank IN (2, 5, 7, 40)), before AS (SELECT content_hash, min(toxic) AS present FROM labels JOIN hashed ON doc_id = asset_id WHERE quality = 0 GROUP BY content_hash),
+    verdicts AS (SELECT content_hash, 0 AS present FROM wrong UNION SELECT content_hash, present FROM before WHERE content_hash NOT IN (SELECT content_hash FROM wrong))
+    SELECT asset_id FROM hashed WHERE content_hash NOT IN (SELECT content_hash FROM verdicts WHERE present = 0)""")
+def l8(spark, d):
+    """The user takes four photos out of an answer; the verdicts are stored by content, beside older ones, and every
+    later answer about that label leaves out all copies."""
+    h, v = b.hashed_assets(spark, d), b.vectors(spark, d)
+    top = s.cosine_topk(v.join(h.select("asset_id"), "asset_id", "left_semi"), query_vector(v), 40)
+    shown = s.rank_results(top).select("asset_id", "rank").join(h.select("asset_id", "content_hash"), "asset_id")
+    before = (b.read(spark, d, "labels").filter("quality = 0").join(h, F.col("doc_id") == F.col("asset_id")).groupBy("content_hash").agg(F.min("toxic").alias("present"))
+              .select("content_hash", F.lit("dog").alias("label"), F.lit("user").alias("verifier"), "present"))
+    verdicts, _ = det.apply_corrections(shown, [2, 5, 7, -1], "dog", before)
+    return det.without_corrections(h, verdicts.filter("label = 'dog'")).select("asset_id")
+
+
+GROUPS = STARS.format(least=0.3) + f""", {H}, every AS (SELECT leader, member FROM stars UNION ALL SELECT DISTINCT leader, leader FROM stars), sizes AS (SELECT leader, count(*) AS size FROM every GROUP BY leader),
+    fit AS (SELECT leader, size FROM (SELECT *, sum(size) OVER (ORDER BY size DESC, leader ROWS UNBOUNDED PRECEDING) AS total FROM sizes) WHERE total <= 60),
+    shots AS (SELECT leader, member, size, content_hash, CAST(hashed.size_ % 997 AS DOUBLE) AS sharpness, hashed.size_ AS pixels FROM every JOIN fit USING (leader) LEFT JOIN (SELECT asset_id, content_hash, size AS size_ FROM hashed) hashed ON asset_id = member),
+    tops AS (SELECT *, max(sharpness) OVER (PARTITION BY leader) AS top FROM shots), keep AS (SELECT leader, member FROM (SELECT *, row_number() OVER (PARTITION BY leader ORDER BY pixels DESC, sharpness DESC, member) AS rn FROM tops WHERE sharpness >= 0.9 * top) WHERE rn = 1),
+    same AS (SELECT leader, count(DISTINCT content_hash) = 1 AND count(content_hash) = count(*) AS identical FROM shots GROUP BY leader),
+    told AS (SELECT shots.leader, shots.member, keep.member IS NOT NULL AS best, identical, size FROM shots JOIN same USING (leader) LEFT JOIN keep ON keep.leader = shots.leader AND keep.member = shots.member)"""
+
+
+@query("l10_groups", GROUPS + " SELECT * FROM told")
 def l10(spark, d):
     """Groups of look-alikes up to a number of photos: the best shot, and whether all have one hash."""
-    pairs = lookalikes.stars(s.similarity_self_join(b.vectors(spark, d), 0.3), spark)
-    facts = b.hashed_assets(spark, d).select("asset_id", "content_hash", F.expr("size % 997").cast("double").alias("sharpness"), F.col("size").alias("pixels"))
-    return lookalikes.groups(staged(pairs), facts, 60)
+    return lookalikes.groups(alike(spark, d), shots(spark, d), 60)
+
+
+def alike(spark, d):
+    return staged(lookalikes.stars(s.similarity_self_join(b.vectors(spark, d), 0.3), spark))
+
+
+def shots(spark, d):
+    return b.hashed_assets(spark, d).select("asset_id", "content_hash", F.expr("size % 997").cast("double").alias("sharpness"), F.col("size").alias("pixels"))
+
+
+@query("l10_review", GROUPS + """, seen AS (SELECT told.*, round(s, 5) AS similarity FROM told LEFT JOIN edges ON u = leader AND v = member)
+    SELECT row_number() OVER (ORDER BY size DESC, leader, best DESC, similarity DESC NULLS FIRST, member) AS rank, dense_rank() OVER (ORDER BY size DESC, leader) AS grp, size, identical, member, best, similarity FROM seen""")
+def l10_review(spark, d):
+    """The same groups in the order in which they are looked through, the shot to keep first."""
+    return lookalikes.review(alike(spark, d), shots(spark, d), 60)
+
+
+@query("l10_levels", f"""WITH RECURSIVE {V}, {PAIRS}, near AS (SELECT a, b, s FROM pairs WHERE s >= 0.9), edges AS (SELECT a AS u, b AS v, s FROM near UNION ALL SELECT b, a, s FROM near), levels AS (SELECT * FROM (VALUES ('strict', 0.95), ('normal', 0.92), ('loose', 0.90)) t(level, threshold)),
+    visits AS (SELECT level, u, list(v ORDER BY v) AS vs, row_number() OVER (PARTITION BY level ORDER BY count(*) DESC, u) AS k FROM edges, levels WHERE s >= threshold GROUP BY level, u),
+    steps AS (SELECT level, CAST(0 AS BIGINT) AS k, CAST(NULL AS BIGINT) AS leader, CAST([] AS BIGINT[]) AS members, CAST([] AS BIGINT[]) AS taken FROM levels UNION ALL
+        SELECT level, k, CASE WHEN len(members) > 0 THEN u END AS leader, members, CASE WHEN len(members) > 0 THEN list_concat(taken, members, [u]) ELSE taken END AS taken
+        FROM (SELECT v.level, v.k, u, taken, CASE WHEN list_contains(taken, u) THEN CAST([] AS BIGINT[]) ELSE list_filter(vs, lambda x: NOT list_contains(taken, x)) END AS members FROM steps s JOIN visits v ON v.k = s.k + 1 AND v.level = s.level))
+    SELECT level, CAST(any_value(threshold) AS DOUBLE) AS threshold, count(leader) AS groups, CAST(coalesce(sum(CASE WHEN leader IS NOT NULL THEN 1 + len(members) END), 0) AS BIGINT) AS photos FROM levels LEFT JOIN steps USING (level) GROUP BY level""")
+def l10_levels(spark, d):
+    """How many groups and photos each level finds."""
+    return lookalikes.level_summary(b.vectors(spark, d), spark)

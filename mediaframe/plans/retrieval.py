@@ -279,13 +279,21 @@ def l2(spark, d):
     return s.rank_results(t, by="media_type", keep=5).select("media_type", "asset_id", "rank", (F.col("media_type") != "image").alias("experimental"))
 
 
-@query("j1_embed_with_fallback")
+@query("j1_embed_with_fallback", "SELECT doc_id, 64 AS dim, CAST(1.0 AS DOUBLE) AS norm, CAST(NULL AS VARCHAR) AS error FROM documents")
 def j1(spark, d):
     docs = b.read(spark, d, "documents").selectExpr("doc_id", "text")
     return s.encode(docs, s.hash_encoder, "text", "doc_id").select("doc_id", F.size("vector").alias("dim"), F.round(l2_norm("vector"), 5).alias("norm"), "error")
 
 
-@query("l10_lookalikes")
+#: Photos by falling degree, then id, each with its neighbours; one row of `steps` for each photo that is visited.
+STARS = f"""WITH RECURSIVE {V}, {PAIRS}, near AS (SELECT a, b, s FROM pairs WHERE s >= {{least}}), edges AS (SELECT a AS u, b AS v, s FROM near UNION ALL SELECT b, a, s FROM near), visits AS (SELECT u, list(v ORDER BY v) AS vs, row_number() OVER (ORDER BY count(*) DESC, u) AS k FROM edges GROUP BY u),
+    steps AS (SELECT CAST(0 AS BIGINT) AS k, CAST(NULL AS BIGINT) AS leader, CAST([] AS BIGINT[]) AS members, CAST([] AS BIGINT[]) AS taken UNION ALL
+        SELECT k, CASE WHEN len(members) > 0 THEN u END AS leader, members, CASE WHEN len(members) > 0 THEN list_concat(taken, members, [u]) ELSE taken END AS taken
+        FROM (SELECT v.k, u, taken, CASE WHEN list_contains(taken, u) THEN CAST([] AS BIGINT[]) ELSE list_filter(vs, lambda x: NOT list_contains(taken, x)) END AS members FROM steps s JOIN visits v ON v.k = s.k + 1)),
+    stars AS (SELECT leader, unnest(members) AS member FROM steps WHERE leader IS NOT NULL)"""
+
+
+@query("l10_lookalikes", STARS.format(least=0.3) + " SELECT leader, member, round(s, 5) AS similarity FROM stars JOIN edges ON u = leader AND v = member")
 def l10(spark, d):
     return lookalikes.stars(s.similarity_self_join(b.vectors(spark, d), 0.3), spark)
 
