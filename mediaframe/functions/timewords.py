@@ -85,8 +85,9 @@ def season(kinds: str, words: list[str], today: dt.date) -> When | None:
         return When(f"from {name} (any year)", months=[(first + k - 1) % 12 + 1 for k in range(3)])
     if year:
         start = dt.date(year[0], first, 1)
-    elif rel == "this":  # a winter that began last year still runs in January and February
-        start = dt.date(today.year - (first == 12 and today.month < 3), first, 1)
+    elif rel == "this":  # last year's if it is not over yet, else the one of this year
+        before, start = (dt.date(today.year - k, first, 1) for k in (1, 0))
+        start = before if first_of(before, 3) > today else start
     else:  # the latest one that is over
         start = max(s for k in range(3) if first_of(s := dt.date(today.year - k, first, 1), 3) <= today)
     last = first_of(start, 2)
@@ -98,7 +99,9 @@ def month(kinds: str, words: list[str], today: dt.date) -> When | None:
     at = kinds.index("m")
     n, rel, year = month_of(words[at]), "r" in kinds and words[kinds.index("r")], _years(words)
     if rel or year:
-        start = dt.date(year[0] if year else today.year - (rel == "last" and n >= today.month), n, 1)
+        of_year = [dt.date(y, n, 1) for y in (year[:1] or [today.year, today.year - 1])]
+        over = [s for s in of_year if first_of(s, 1) <= today]  # the latest one comes first
+        start = over[0] if rel == "last" and not year else of_year[0]
         return When(f"from {title(start)}", (start, first_of(start, 1)))
     # A month alone needs a word before it; "may" and "mar" need one that can only mean time.
     before = [w for w in words[:at] if w in WORDS["prep"]]

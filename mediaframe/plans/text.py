@@ -88,7 +88,17 @@ MESSAGE = "concat(' ', array_to_string(regexp_extract_all(regexp_replace(lower(t
 INDEX = "MAP {" + ", ".join(f"'{w}': '{label}'" for w, label in tm.INDEX.items()) + "}"
 #: Labels of the words w in order: two words go before one.
 TAGS = f"list_filter(list_transform(range(1, len(w) + 1), lambda i: CASE WHEN i > 1 AND {INDEX}[concat(w[i - 1], ' ', w[i])] IS NOT NULL THEN NULL ELSE coalesce({INDEX}[concat(w[i], ' ', w[i + 1])], {INDEX}[w[i]]) END), lambda x: x IS NOT NULL)"
-ALSO = {"explain": f" AND NOT regexp_matches(m, '{tm.COUNTS}')", "compare": f" AND len(list_distinct({TAGS})) >= 2", "describe": f" AND regexp_matches(m, '{tm.ONE_PHOTO}')"}
+def listed(values):
+    return "(" + ", ".join(f"'{v}'" for v in values) + ")"
+
+
+NOUNS = {"image": listed(n for x in tm.IMAGES for n in (x, x + "s")), "video": listed(n for x in tm.VIDEOS if " " not in x for n in (x, x + "s"))}
+WS = "string_split(trim(m), ' ')"
+P = f"coalesce(nullif(list_position(list_transform({WS}, lambda x: x IN {listed(tm.POLITE)}), false), 0), len({WS}) + 1)"
+VERB = f"list_position(list_transform({WS}, lambda x: x IN {listed(tm.VIDEO_VERBS)}), true)"
+MADE_IMAGE = f"""coalesce({WS}[{P}] IN {listed(tm.MAKE_VERBS)} AND len(list_filter(range(1, len({WS}) + 1), lambda i: i >= {P} AND {WS}[i] IN {NOUNS['image']} AND ({WS}[i + 1] IN ('of', 'showing', 'with') OR ({WS}[i + 1] = 'that' AND {WS}[i + 2] = 'shows')))) > 0, false)"""
+MADE_VIDEO = f"""coalesce(len(list_filter(range(1, len({WS}) + 1), lambda i: i > {VERB} AND {VERB} > 0 AND ({WS}[i] IN {NOUNS['video']} OR ({WS}[i] = 'slide' AND {WS}[i + 1] IN ('show', 'shows'))))) > 0, false)"""
+ALSO = {"create": f" AND ({MADE_IMAGE} OR {MADE_VIDEO})", "explain": f" AND NOT regexp_matches(m, '{tm.COUNTS}')", "compare": f" AND len(list_distinct({TAGS})) >= 2", "describe": f" AND regexp_matches(m, '{tm.ONE_PHOTO}')"}
 RULES = " ".join(f"WHEN regexp_matches(m, '{rule}'){' AND prev' if previous else ''}{ALSO.get(name, '')} THEN '{name}'" for name, rule, previous in tm.INTENTS)
 MESSAGES = f"SELECT *, {MESSAGE} AS m, regexp_extract_all(lower(t), '([a-z]+)', 1) AS w"
 
@@ -127,8 +137,8 @@ def h10c(spark, d):
     return log(spark, d).select("id", "t").unionByName(more_log(spark, d)).select("id", F.array_sort(tm.photo_places(F.col("t"))).alias("places"))
 
 
-@query("h10_create_request", f"""WITH {MORE_LOG} SELECT id, CASE WHEN regexp_matches(m, '{tm.MAKE_IMAGE}') THEN 'image' WHEN regexp_matches(m, '{tm.MAKE_VIDEO}') THEN 'video' END AS kind,
-    CASE WHEN regexp_matches(m, '{tm.MAKE_IMAGE}') THEN 'tall' WHEN regexp_matches(m, '{tm.MAKE_VIDEO}') THEN 'vertical' END AS shape FROM ({MESSAGES} FROM more)""")
+@query("h10_create_request", f"""WITH {MORE_LOG} SELECT id, CASE WHEN {MADE_IMAGE} THEN 'image' WHEN {MADE_VIDEO} THEN 'video' END AS kind,
+    CASE WHEN {MADE_IMAGE} THEN 'tall' WHEN {MADE_VIDEO} THEN 'vertical' END AS shape FROM ({MESSAGES} FROM more)""")
 def h10d(spark, d):
     return more_log(spark, d).select("id", tm.create_request(F.col("t")).alias("r")).select("id", "r.kind", "r.shape")
 
