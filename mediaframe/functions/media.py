@@ -49,6 +49,17 @@ def fmt_ts(seconds: Column) -> Column:
     return F.format_string("%02dm%02d_%ds", F.expr("0L") + F.floor(tenths / 600), F.floor(tenths / 10) % 60, tenths % 10)
 
 
+def thumb_path(content_hash: Column, start: Column) -> Column:
+    """Where the picture of a window is kept, by content and start: two characters of the hash are the folder."""
+    return F.concat(F.substring(content_hash, 1, 2), F.lit("/"), content_hash, F.format_string("-w%.3f.jpg", start))
+
+
+def clip_name(rel_path: Column, start: Column, end: Column) -> Column:
+    """The name of an exported moment of a video: its stem and both times."""
+    stem = F.regexp_replace(F.regexp_replace(rel_path, r"^.*/", ""), r"(?<=.)\.[^.]*$", "")
+    return F.concat(stem, F.lit("_"), fmt_ts(start), F.lit("-"), fmt_ts(end), F.lit(".mp4"))
+
+
 def plan_windows(duration: Column, window: float, stride: float, min_tail: float = 1.0) -> Column:
     """Windows [start, end) over the media's own time. A short file is one window; windows slide by
     stride; a tail of min_tail or more gets a window that ends with the file, a shorter one makes

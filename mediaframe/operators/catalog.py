@@ -39,6 +39,17 @@ def scope(assets: DataFrame, libraries: list | None = None, when: MediaFilter |
     return assets.filter(keep & when.to_column() if when else keep)
 
 
+MOST_LISTED = 2000
+
+
+def listing(rows: DataFrame, limit: int = 500) -> DataFrame:
+    """rank, the columns of rows, total: the first `limit` (1 to 2,000) of what a filter has left, oldest first,
+    undated ones last, and how many there are in all."""
+    top = rows.orderBy(F.asc_nulls_last("taken_at"), "rel_path").limit(max(1, min(limit, MOST_LISTED)))  # a bounded number of rows
+    ranked = top.withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.asc_nulls_last("taken_at"), "rel_path")))
+    return ranked.crossJoin(F.broadcast(rows.agg(F.count(F.lit(1)).alias("total"))))
+
+
 def date_place_filter(assets: DataFrame, date_from: str | None = None, date_to: str | None = None, places: list[str] | None = None) -> DataFrame:
     """Both days count; open ends; from after to is an error."""
     if date_from and date_to and date_from > date_to:

@@ -65,6 +65,18 @@ def latency_percentiles(rows: DataFrame, by: str, value: str) -> DataFrame:
     return upto.groupBy(by).agg(F.min(F.when(F.col("upto") > mid, F.col(value))).alias("median"), F.min(F.when(F.col("upto") > p95, F.col(value))).alias("p95"))
 
 
+def report_by_mode(ranked: DataFrame, pool: DataFrame, own: DataFrame, modes: DataFrame) -> DataFrame:
+    """mode, metric, mean, n, excluded of Hit@1 and Hit@5 of rankings, Recall@5 and nDCG@10 against the pool (own:
+    rankings of pool candidates only), for each mode of search. modes: query, mode; a query without a
+    value for a metric counts as excluded."""
+    parts = {"hit@1": hit_at_k(ranked, 1), "hit@5": hit_at_k(ranked, 5), "recall@5": recall_at_k(pool, pool, 5), "ndcg@10": ndcg_at_k(own, pool, 10)}
+    rows = None
+    for name, values in parts.items():
+        one = modes.join(values.hint("merge"), "query", "left").select("mode", F.lit(name).alias("metric"), "value")
+        rows = one if rows is None else rows.unionByName(one)
+    return rows.groupBy("mode", "metric").agg(F.round(F.avg("value"), 4).alias("mean"), F.count("value").alias("n"), F.count_if(F.col("value").isNull()).alias("excluded"))
+
+
 def peak_envelope(samples: DataFrame, buckets: int) -> DataFrame:
     """source, bucket, peak: largest |x| of near-equal runs (the first ones a sample longer), over the
     source's peak. samples: source, i (0-based), x."""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions import geo
+from ..functions import geo, media
 from ..operators import catalog as c
 from ..operators import places as pl
 from ..operators import selections as sel
@@ -309,6 +309,35 @@ def f6b(spark, d):
     return pl.within(b.places(spark, d), "ASIA").select("asset_id").orderBy("asset_id").limit(200)
 
 
+@query("f6_places_by_time", f"""WITH {A}, kept AS (SELECT * FROM assets WHERE media_type IN ('image', 'video') AND status = 'indexed' AND live_photo IS NULL AND (place = 'Country1' OR place LIKE '%, Country1'))
+    SELECT asset_id, row_number() OVER (ORDER BY taken_at NULLS LAST, rel_path) AS rank, count(*) OVER () AS total FROM kept ORDER BY rank LIMIT 2000""")
+def f6_place(spark, d):
+    """Photos and videos of a country, oldest first: at most 2,000 however many are asked for, and their number."""
+    kept = pl.within(c.scope(b.assets(spark, d), media=("image", "video")), "Country1")
+    return c.listing(kept, 9999).select("asset_id", "rank", "total")
+
+
+@query("f6_months", f"""WITH {A}, kept AS (SELECT *, strftime(taken_at, '%Y-%m') AS m FROM assets WHERE media_type IN ('image', 'video') AND status = 'indexed' AND live_photo IS NULL AND taken_at >= TIMESTAMP '2024-01-01' AND taken_at < TIMESTAMP '2024-03-01')
+    SELECT m AS month, asset_id, rank, total FROM (SELECT *, row_number() OVER (PARTITION BY m ORDER BY taken_at, rel_path) AS rank, count(*) OVER (PARTITION BY m) AS total FROM kept) WHERE rank <= 500""")
+def f6_months(spark, d):
+    """The first page of two months."""
+    out = None
+    for month, after in (("2024-01", "2024-02"), ("2024-02", "2024-03")):
+        kept = c.scope(b.assets(spark, d), when=c.MediaFilter([(f"{month}-01", f"{after}-01")]), media=("image", "video"))
+        one = c.listing(kept).select(F.lit(month).alias("month"), "asset_id", "rank", "total")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("h13_thumb_and_clip", f"""WITH {b.ASSETS}, {b.SEGMENTS}, t AS (SELECT embedding_id, content_hash, rel_path, start_s, end_s, CAST(round(start_s * 10) AS BIGINT) AS x, CAST(round(end_s * 10) AS BIGINT) AS y FROM segments JOIN assets USING (asset_id))
+    SELECT embedding_id, concat(substr(content_hash, 1, 2), '/', content_hash, '-w', printf('%.3f', start_s), '.jpg') AS thumb,
+        concat(regexp_extract(rel_path, '([^/]*)\\.[^.]*$', 1), '_', printf('%02dm%02d_%ds', x // 600, (x // 10) % 60, x % 10), '-', printf('%02dm%02d_%ds', y // 600, (y // 10) % 60, y % 10), '.mp4') AS clip FROM t""")
+def h13_names(spark, d):
+    """Where a window's picture is kept, and what its clip is called."""
+    rows = b.segments(spark, d).join(b.assets(spark, d).select("asset_id", "content_hash", "rel_path"), "asset_id")
+    return rows.select("embedding_id", media.thumb_path(F.col("content_hash"), F.col("start_s")).alias("thumb"), media.clip_name(F.col("rel_path"), F.col("start_s"), F.col("end_s")).alias("clip"))
+
+
 @query("g2_pool_union", f"WITH {b.JUDGED} SELECT DISTINCT query, candidate FROM judged WHERE rank <= 5 OR grade > 0")
 def g2(spark, d):
     j = b.judged(spark, d)

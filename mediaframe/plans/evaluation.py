@@ -82,6 +82,37 @@ def d17(spark, d):
     return report(spark, d)
 
 
+MODES = "modes AS (SELECT DISTINCT query, CASE substr(query, 4)::INT % 3 WHEN 0 THEN 'text' WHEN 1 THEN 'image' ELSE 'image+text' END AS mode FROM judged)"
+BY_MODE = f"""WITH {J}, {POOL}, {OWN}, {MODES}, r AS (SELECT 'hit@1' AS metric, * FROM ({HIT.format(k=1)}) UNION ALL SELECT 'hit@5', * FROM ({HIT.format(k=5)}) UNION ALL SELECT 'recall@5', * FROM ({RECALL.format(k=5)}) UNION ALL SELECT 'ndcg@10', * FROM ({NDCG})),
+    names AS (SELECT unnest(['hit@1', 'hit@5', 'recall@5', 'ndcg@10']) AS metric), report AS (SELECT mode, metric, round(avg(value), 4) AS mean, count(value) AS n, count(*) - count(value) AS excluded FROM modes JOIN names ON true LEFT JOIN r USING (query, metric) GROUP BY mode, metric)"""
+
+
+def modes(j):
+    n = F.expr("cast(substr(query, 4) as int) % 3")
+    return j.select("query").distinct().withColumn("mode", F.when(n == 0, "text").when(n == 1, "image").otherwise("image+text"))
+
+
+def by_mode(spark, d):
+    j = staged(b.judged(spark, d))  # read several times
+    p = pool(j)
+    return ev.report_by_mode(j, p, own(p), modes(j)), modes(j)
+
+
+@query("d17_report_by_mode", BY_MODE + " SELECT * FROM report")
+def d17_modes(spark, d):
+    return by_mode(spark, d)[0]
+
+
+@query("l11_report", BY_MODE + f""", timed AS (SELECT mode, n_chars AS ms, row_number() OVER (PARTITION BY mode ORDER BY n_chars) - 1 AS i, count(*) OVER (PARTITION BY mode) AS n FROM documents JOIN modes ON query = source),
+    latency AS (SELECT mode, max(ms) FILTER (i = n // 2) AS median_ms, max(ms) FILTER (i = round_even(0.95 * (n - 1), 0)) AS p95_ms, count(*) AS requests FROM timed GROUP BY mode) SELECT * FROM report JOIN latency USING (mode)""")
+def l11_report(spark, d):
+    """Metrics of each mode beside the latency of its requests; the length of a document is its time."""
+    report, which = by_mode(spark, d)
+    timed = b.read(spark, d, "documents").select(F.col("source").alias("query"), F.col("n_chars").alias("ms")).join(F.broadcast(which), "query")  # a row a source
+    latency = ev.latency_percentiles(timed, "mode", "ms").join(timed.groupBy("mode").agg(F.count(F.lit(1)).alias("requests")).hint("merge"), "mode")
+    return report.join(latency.select("mode", F.col("median").alias("median_ms"), F.col("p95").alias("p95_ms"), "requests").hint("merge"), "mode")
+
+
 @query("l11_label_coverage", f"WITH {J} SELECT query, count(*) FILTER (rank <= 10) AS shown, count(grade) FILTER (rank <= 10) AS judged, count(*) FILTER (grade IS NULL) AS unlabelled FROM judged GROUP BY query")
 def l11(spark, d):
     top = F.col("rank") <= 10

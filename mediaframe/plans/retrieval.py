@@ -195,6 +195,14 @@ def g1(spark, d):
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("media_type").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("g1_union_ranked", f"WITH {TYPED}, r AS (SELECT *, row_number() OVER (PARTITION BY media_type ORDER BY x DESC, asset_id) AS rank FROM t) SELECT media_type, asset_id, round(x, 5) AS similarity, rank FROM r WHERE rank <= 8")
+def g1_ranked(spark, d):
+    """The rankings of each media type, one below the other."""
+    t = typed(spark, d)
+    parts = [s.rank_results(t.filter(F.col("media_type") == m), keep=8) for m in ("image", "video", "audio")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).select("media_type", "asset_id", F.round("similarity", 5).alias("similarity"), "rank")
+
+
 @query("e7_nearest_other", f"""WITH {V}, {PAIRS}, pair2 AS (SELECT a AS i, b AS j, s FROM pairs UNION ALL SELECT b, a, s FROM pairs), r AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY s DESC, j) AS rn FROM pair2 WHERE s <= 0.9999)
     SELECT i AS asset_id, j AS nearest, round(s, 5) AS similarity FROM r WHERE rn = 1""")
 def e7(spark, d):
