@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.staging import staged
+
 EARTH_KM, NEAR_KM, FAR_KM = 6371.0, 30.0, 150.0
-CELL = 1.5  # degrees of latitude, over 150 km
 
 
 def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
@@ -18,32 +19,39 @@ def gravity(population: Column, km: Column) -> Column:
     return population / F.pow(km + 1, 2)
 
 
-def _cell(x: Column) -> Column:
-    return F.floor(x / CELL).cast("int")
+def _meet(points: DataFrame, towns: DataFrame, km: float, degrees: float, hint: str) -> DataFrame:
+    """points with each town within km. They meet in the grid cells of `degrees` of latitude, which must be
+    more than km: a point is a row in each cell around it. The band of longitudes that km can span
+    grows with 1 / cos(latitude) and wraps at 180 degrees; near the poles it is the whole ring."""
+    cell = lambda x: F.floor(x / F.lit(degrees)).cast("int")
+    ring = round(360 / degrees)
+    widest = F.abs(F.col("lat")) + F.lit(degrees)
+    band = F.when(widest >= 89, 180.0).otherwise(F.least(F.lit(180.0), F.lit(degrees) / F.cos(F.radians(widest))))
+    rows = F.sequence(cell(F.col("lat")) - 1, cell(F.col("lat")) + 1)
+    columns = F.array_distinct(F.transform(F.sequence(cell(F.col("lon") - band), cell(F.col("lon") + band)), lambda c: F.pmod(c, F.lit(ring))))
+    around = points.select("point_id", "lat", "lon", F.explode(rows).alias("la"), columns.alias("los")).select("point_id", "lat", "lon", "la", F.explode("los").alias("lo"))
+    there = towns.withColumn("la", cell(F.col("tlat"))).withColumn("lo", F.pmod(cell(F.col("tlon")), F.lit(ring)))
+    return around.join(there.hint(hint), ["la", "lo"]).withColumn("km", haversine_km(F.col("lat"), F.col("lon"), F.col("tlat"), F.col("tlon"))).filter(F.col("km") <= km)
 
 
-def nearest_place(points: DataFrame, towns: DataFrame) -> DataFrame:
+def nearest_place(points: DataFrame, towns: DataFrame, most_towns: int = 200_000) -> DataFrame:
     """point_id, place: the name of the most attractive town within 30 km, else region and country
-    of the nearest one within 150 km, else null; empty and repeated parts are left out.
-
-    Points meet the towns of the grid cells around them, an equi-join. A cell row holds CELL
-    degrees of latitude; the band of longitudes that 150 km can span grows with 1 / cos(latitude)
-    and wraps at 180 degrees; near the poles it is the whole ring.
-    """
-    lat_cells = F.sequence(_cell(F.col("lat")) - 1, _cell(F.col("lat")) + 1)
-    widest = F.least(F.abs(F.col("lat")) + CELL, F.lit(89.9))
-    band = F.when(widest >= 80, 180.0).otherwise(CELL / F.cos(F.radians(widest)))
-    ring = int(360 / CELL)
-    lon_cells = F.array_distinct(F.transform(F.sequence(_cell(F.col("lon") - band), _cell(F.col("lon") + band)), lambda c: F.pmod(c, F.lit(ring))))
-    around = points.withColumn("la", F.explode(lat_cells)).withColumn("lo", F.explode(lon_cells))
-    t = towns.select("town_id", "name", "region", "country", "population", F.col("lat").alias("tlat"), F.col("lon").alias("tlon"), _cell(F.col("lat")).alias("la"), F.pmod(_cell(F.col("lon")), F.lit(ring)).alias("lo"))
-    near = around.join(t.hint("shuffle_hash"), ["la", "lo"]).withColumn("km", haversine_km(F.col("lat"), F.col("lon"), F.col("tlat"), F.col("tlon"))).filter(F.col("km") <= FAR_KM)
-    close = F.col("km") <= NEAR_KM
-    best = F.min_by(F.struct("name", "region", "country", close.alias("close")), F.struct((~close).alias("far"), F.when(close, -gravity(F.col("population"), F.col("km"))).otherwise(F.col("km")).alias("by"), "town_id"))
-    named = near.groupBy("point_id").agg(best.alias("b"))
-    parts = F.when(F.col("b.close"), F.array("b.name", "b.region", "b.country")).otherwise(F.array("b.region", "b.country"))
-    text = F.array_join(F.array_distinct(F.filter(parts, lambda p: p != "")), ", ")
-    return points.select("point_id").join(named.select("point_id", text.alias("place")), "point_id", "left")
+    of the nearest one within 150 km, else null; empty and repeated parts are left out. Ids of points
+    are distinct.
+
+    Cells of 30 km come first; only points without a town there look into those of 150 km. Towns are
+    written and counted when this is called: so many are broadcast, and points, half of which may be
+    in one town, stay where they are; more meet by a merge join, whose crowded cells Spark splits."""
+    known = staged(towns.select("town_id", "name", "region", "country", "population", F.col("lat").alias("tlat"), F.col("lon").alias("tlon")), "towns")
+    hint = "broadcast" if known.count() <= most_towns else "merge"
+    facts = F.struct("name", "region", "country")
+    attractive = F.struct((-gravity(F.col("population"), F.col("km"))).alias("by"), "town_id")
+    close = staged(_meet(points, known, NEAR_KM, 0.3, hint).groupBy("point_id").agg(F.min_by(facts, attractive).alias("b")), "close")
+    rest = points.join(close.select("point_id").hint("merge"), "point_id", "left_anti")
+    far = _meet(rest, known, FAR_KM, 1.5, hint).groupBy("point_id").agg(F.min_by(facts, F.struct("km", "town_id")).alias("b"))
+    text = lambda *parts: F.array_join(F.array_distinct(F.filter(F.array(*[F.col(f"b.{p}") for p in parts]), lambda p: p != "")), ", ").alias("place")
+    named = close.select("point_id", text("name", "region", "country")).unionByName(far.select("point_id", text("region", "country")))
+    return points.select("point_id").join(named.hint("merge"), "point_id", "left")
 
 
 def dms_to_degrees(d: Column, m: Column, s: Column, ref: Column, most: float) -> Column:

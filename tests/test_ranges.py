@@ -99,3 +99,31 @@ def test_one_long_recording(spark):
     found = s.window_at(windows, moments)
     assert found.filter("segment_index = cast(floor(t / 5) as int)").count() == 9_999  # and one after the last start but one
     assert found.count() == 10_000
+
+
+def test_half_of_all_points_in_one_town(spark):
+    """Broadcast towns and merged ones name alike, at the date line, near a pole, and in a crowd."""
+    from mediaframe.functions import geo
+
+    rng = random.Random(4)
+    towns = [(i, f"T{i}", f"R{i % 3}", "C" if i % 3 else f"R{i % 3}", rng.uniform(-90, 90) if i > 20 else 10 + i / 9, rng.uniform(-180, 180) if i > 20 else 179.9 - i / 5, rng.randrange(1, 10 ** 6)) for i in range(150)]
+    spots = [(i, 11.0 + rng.random() / 50, 179.0 + rng.random()) for i in range(200)] + [(200 + i, rng.uniform(-90, 90), rng.uniform(-180, 180)) for i in range(200)] + [(400, 89.9, 10.0), (401, -89.95, -170.0)]
+
+    def km(a, b, c, d):
+        a, b, c, d = map(np.radians, (a, b, c, d))
+        return 2 * 6371 * np.arcsin(min(1, np.sqrt(np.sin((c - a) / 2) ** 2 + np.cos(a) * np.cos(c) * np.sin((d - b) / 2) ** 2)))
+
+    def place(lat, lon):
+        near = [(km(lat, lon, t[4], t[5]), t) for t in towns]
+        close = [(-t[6] / (x + 1) ** 2, t[0], t) for x, t in near if x <= 30]
+        far = [(x, t[0], t) for x, t in near if x <= 150]
+        if not far:
+            return None
+        parts = min(close)[2][1:4] if close else min(far)[2][2:4]
+        return ", ".join(dict.fromkeys(p for p in parts if p))
+
+    p = spark.createDataFrame(spots, "point_id long, lat double, lon double")
+    t = spark.createDataFrame(towns, "town_id long, name string, region string, country string, lat double, lon double, population long")
+    want = {i: place(a, b) for i, a, b in spots}
+    for most in (1000, 0):
+        assert {r.point_id: r.place for r in geo.nearest_place(p, t, most).collect()} == want
