@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import struct
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,6 +26,20 @@ def to_array(data: bytes, width: int, height: int, channels: int) -> np.ndarray:
     return np.frombuffer(data, np.uint8).reshape(height, width, channels)[:, :, :3].astype(np.float64)
 
 
+def encode_bmp(data: bytes, width: int, height: int) -> bytes:
+    """An uncompressed bitmap file of BGR pixels: lines from the bottom up, each filled to four bytes."""
+    lines = np.zeros((height, -(-3 * width // 4) * 4), np.uint8)
+    lines[:, : 3 * width] = np.frombuffer(data, np.uint8).reshape(height, 3 * width)[::-1]
+    return struct.pack("<2sIHHIIiiHHIIiiII", b"BM", 54 + lines.size, 0, 0, 54, 40, width, height, 1, 24, 0, lines.size, 2835, 2835, 0, 0) + lines.tobytes()
+
+
+@F.arrow_udf(T.BinaryType())
+def bmp(data: pa.Array, width: pa.Array, height: pa.Array) -> pa.Array:
+    """Pixels as a bitmap file; null where a value is null or the bytes are not width x height x 3."""
+    rows = zip(data.to_pylist(), width.to_pylist(), height.to_pylist(), strict=True)
+    return pa.array([encode_bmp(d, w, h) if None not in (d, w, h) and w > 0 and h > 0 and len(d) == 3 * w * h else None for d, w, h in rows], pa.binary())
+
+
 def laplacian_variance(img: np.ndarray) -> float:
     """Variance of the four-neighbour Laplacian of the grey image; below 3 pixels a side 0."""
     grey = img @ np.array([0.114, 0.587, 0.299]) if img.shape[2] == 3 else img[:, :, 0]

@@ -1,4 +1,4 @@
-"""Whole queries of the engine and operators over several tables: A1, A4, A6, A11-A14, B3, B8, B14, C10, C11, D9, D11, D17, D21, D23, D24, E17, E18, F6, H31, H32, I2, J2, J3, K1, K2, K8, L1, L2, L5, L6, L10."""
+"""Whole queries of the engine and operators over several tables: A1, A4, A6, A11-A15, B3, B8, B14, C10, C11, D9, D11, D17, D21, D23, D24, E17, E18, F6, H31, H32, I2, J2, J3, K1, K2, K8, L1, L2, L5, L6, L10."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import pixels
-from ..functions.vectors import truncate_dim
+from ..functions.vectors import l2_norm, truncate_dim
 from ..operators import catalog as c
 from ..operators import detections as det
 from ..operators import evaluation as ev
@@ -17,6 +17,7 @@ from ..operators import selections as sel
 from ..registry import query
 from ..sources import bindings as b
 from ..sources import media
+from ..sources.rawfiles import write_files
 from ..sources.staging import shared_path, staged
 from ..streaming import watch
 from .catalog import SCAN, VISIBLE, scan
@@ -159,6 +160,22 @@ def a1(spark, d):
     return files.select(F.regexp_extract("rel_path", "event_type=([^/]+)/", 1).alias("folder"), "media_type", "ext").distinct()
 
 
+#: One file a supplier: names in either case, hidden ones, files in a hidden folder, files of no media type.
+MIXED = """concat('n', s_nationkey, '/', CASE s_suppkey % 7 WHEN 0 THEN concat('.s', s_suppkey, '.jpg') WHEN 1 THEN concat('s', s_suppkey, '.JPG')
+ WHEN 2 THEN concat('.trash/s', s_suppkey, '.png') WHEN 3 THEN concat('s', s_suppkey, '.txt') WHEN 4 THEN concat('s.', s_suppkey, '.Mp4')
+ WHEN 5 THEN concat('deep/er/s', s_suppkey, '.flac') ELSE concat('s', s_suppkey) END)"""
+FILLED = "concat(s_name, repeat('x', CAST(s_suppkey % 50 AS INT)))"
+
+
+@query("a1_scan_mixed_files", f"""WITH listed AS (SELECT {MIXED} AS rel_path, CAST(strlen({FILLED}) AS BIGINT) AS size FROM supplier),
+kinds AS (SELECT *, lower(regexp_extract(rel_path, '\\.([^./]+)$', 1)) AS ext FROM listed WHERE NOT regexp_matches(rel_path, '(^|/)\\.'))
+SELECT rel_path, ext, CASE ext WHEN 'jpg' THEN 'image' WHEN 'mp4' THEN 'video' ELSE 'audio' END AS media_type, size FROM kinds WHERE ext IN ('jpg', 'mp4', 'flac')""")
+def a1_mixed(spark, d):
+    """A listing of files of many kinds, with their sizes."""
+    root = write_files(b.read(spark, d, "supplier"), shared_path(spark, "mixed"), F.expr(MIXED), F.expr(FILLED))
+    return media.scan_media_files(spark, root).select("rel_path", "ext", "media_type", "size")
+
+
 @query("a4_read_gazetteer", f"WITH {b.TOWNS} SELECT name, region, country, round(lat, 6) AS lat, lon, CAST(population AS DOUBLE) AS population FROM towns")
 def a4(spark, d):
     path = shared_path(spark, "gazetteer")
@@ -215,6 +232,35 @@ def h31(spark, d):
     return pictures(spark, d).select("photo", F.round(pixels.sharpness("data", "width", "height", "channels"), 2).alias("sharpness"))
 
 
+def decoded(spark, d):
+    """The pictures as bitmap files, read back by Spark's image source."""
+    files = pictures(spark, d).select("photo", pixels.bmp("data", "width", "height").alias("content"))
+    root = write_files(files, shared_path(spark, "bitmaps"), F.concat(F.col("photo") % 10, F.lit("/"), "photo", F.lit(".bmp")), F.col("content"))
+    return media.read_decoded_images(spark, root).withColumn("photo", F.regexp_extract("origin", r"(\d+)\.bmp$", 1).cast("long"))
+
+
+@query("a14_decoded_images", f"WITH {PIXELS} SELECT photo, 7 AS width, 3 AS height, 3 AS channels, list_sum(px) AS total, list_sum(list_transform(range(1, 64), lambda i: i * px[i])) AS placed FROM pixels")
+def a14(spark, d):
+    """Sizes and pixels of decoded files: the sum of all bytes, and that of bytes times places."""
+    byte = lambda i: F.conv(F.hex(F.substring("data", i, F.lit(1))), 16, 10).cast("long")
+    values = decoded(spark, d).withColumn("px", F.transform(F.sequence(F.lit(1), F.length("data")), byte))
+    total = F.aggregate("px", F.lit(0).cast("long"), lambda n, x: n + x)
+    placed = F.aggregate(F.transform("px", lambda x, i: x * (i + 1)), F.lit(0).cast("long"), lambda n, x: n + x)
+    return values.select("photo", "width", "height", F.col("nChannels").alias("channels"), total.alias("total"), placed.alias("placed"))
+
+
+@query("a15_synthetic_vectors", "SELECT row_number() OVER () - 1 AS asset_id, 64 AS dim, CAST(1 AS DOUBLE) AS norm FROM embeddings")
+def a15(spark, d):
+    """As many made vectors as there are given ones."""
+    made = media.synthetic_vectors(spark, b.read(spark, d, "embeddings").count(), 64, 7)
+    return made.select("asset_id", F.size("vector").alias("dim"), F.round(l2_norm("vector"), 4).alias("norm"))
+
+
+@query("h31_sharpness_of_files", f"WITH {PIXELS}, g AS (SELECT photo, {GREY} AS g FROM pixels) SELECT photo, round(list_aggregate(list_transform(range(9, 14), lambda i: g[i - 7] + g[i + 7] + g[i - 1] + g[i + 1] - 4 * g[i]), 'var_pop'), 2) AS sharpness FROM g")
+def h31_files(spark, d):
+    return decoded(spark, d).select("photo", F.round(pixels.sharpness("data", "width", "height", "nChannels"), 2).alias("sharpness"))
+
+
 def pale_sql(a: int, z: int) -> str:
     hit = "list_max([px[3 * i + 1], px[3 * i + 2], px[3 * i + 3]])"
     low = "list_min([px[3 * i + 1], px[3 * i + 2], px[3 * i + 3]])"

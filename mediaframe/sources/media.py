@@ -61,12 +61,14 @@ def read_judgements(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_decoded_images(spark: SparkSession, path: str) -> DataFrame:
-    """origin, width, height, channels and pixel bytes (BGR), decoded by Spark's own source."""
-    return spark.read.format("image").option("dropInvalid", True).load(path).select("image.origin", "image.width", "image.height", "image.nChannels", "image.data")
+    """origin, width, height, channels and pixel bytes (BGR) of the images in all folders below path,
+    decoded by Spark's own source; files that are no images are left out."""
+    return spark.read.format("image").option("dropInvalid", True).option("recursiveFileLookup", True).load(path).select("image.origin", "image.width", "image.height", "image.nChannels", "image.data")
 
 
 def synthetic_vectors(spark: SparkSession, n: int, dim: int, seed: int = 0) -> DataFrame:
-    """Seeded unit vectors for tests of scale."""
+    """Seeded unit vectors with ids from 0, for tests of scale. The same seed gives the same vectors as
+    long as the number of partitions (spark.default.parallelism) is the same."""
     raw = spark.range(n).withColumn("vector", F.array(*[F.randn(seed + i) for i in range(dim)]))
     return raw.select(F.col("id").alias("asset_id"), l2_normalize("vector").cast("array<float>").alias("vector"))
 
