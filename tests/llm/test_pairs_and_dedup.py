@@ -54,11 +54,28 @@ def test_suffix_automaton_against_brute_force():
         assert (n, {i for a, b in spans for i in range(a, b)}, names) == brute_windows(text, items, 4)
 
 
+def test_suffix_automaton_is_compact_and_linear():
+    """50 bytes of arrays a word at most; repeated words and items cost no more than others."""
+    rng = np.random.default_rng(5)
+    words = [b"w%d" % x for x in np.minimum(rng.zipf(1.2, 60_000), 20_000)]
+    items = [(str(k), words[100 * k: 100 * k + 100]) for k in range(600)] + [(f"copy {k}", words[:100]) for k in range(300)]
+    auto = decontaminate.ItemAutomaton(items, 13)
+    assert auto.size() <= 50 * 90_000
+    n, spans, names = auto.scan(b" ".join(words[50:350]))
+    assert (n, spans) == (300, [(0, 300)]) and {"0", "1", "2", "3", "copy 0", "copy 299"} <= names
+    same = decontaminate.ItemAutomaton([("one", [b"x"] * 100_000), ("short", [b"x"] * 3)], 13)
+    assert len(same.length) == 100_001 and len(same.owner_state) == 2
+    assert same.scan(b"y " + b"x " * 50_000) == (50_001, [(1, 50_001)], {"one", "short"})
+    assert same.scan(b"x x") == (2, [], set()) and same.scan(b"x x x") == (3, [(0, 3)], {"short"})
+
+
 def test_contamination_in_several_passes(spark, docs, no_docs):
     items = spark.createDataFrame([(1, "the cat sat on the mat"), (2, None), (3, ""), (4, "word " * 20), (5, "THE CAT sat on the mat!")], "item_id long, text string")
     one = decontaminate.judge(decontaminate.find_contamination(docs, items)).collect()
     many = decontaminate.judge(decontaminate.find_contamination(docs, items, max_words=4)).collect()
     assert sorted(map(str, one)) == sorted(map(str, many)) and len(one) == docs.count()
+    clean = [sorted(map(str, decontaminate.remove_contaminated(docs, items, max_words=m).collect())) for m in (4, 1000)]
+    assert clean[0] == clean[1] and 0 < len(clean[0]) < docs.count()
     assert {(r.n_hit, r.n_items, r.contaminated) for r in one if r.doc_id == 1} == {(6, 2, True)}
     assert {(r.n_words, r.n_hit) for r in one if r.doc_id in (3, 4)} == {(0, 0)}
     assert {r.n_hit for r in one if r.doc_id == 7} == {5000}
