@@ -66,7 +66,7 @@ def runs_for(rows: int, rows_per_run: int = 8192, most: int = 4096) -> int:
 def attach(rows: DataFrame, facts: DataFrame, keys: list[str], salt: Column, n_salts: int) -> DataFrame:
     """rows left-joined with facts, which has one row for each key. A key that many rows share is
     split by salt: facts meet the distinct (key, salt) pairs first, then each row joins on both,
-    so no task gets all rows of a hot key. Null keys are ordinary keys (they must be equal)."""
+    so no task gets all rows of a hot key. Keys are not null: a null one would find no facts."""
     salted = rows.withColumn("_salt", F.pmod(salt, F.lit(n_salts)).cast("int"))
     spread = salted.select(*keys, "_salt").distinct()
     per_salt = spread.join(facts.hint("merge"), keys, "left")
@@ -80,3 +80,10 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     rows = whole.select("row", F.col("row")[id_col].alias("id"), F.coalesce(F.col("row")[text_col], F.lit("")).alias("text"))
     both = F.struct(F.col("id").isNull().alias("none"), "id", "text")
     return rows.select("*", F.xxhash64(both, F.lit(11)).alias("k1"), F.xxhash64(F.lit(29), both).alias("k2"))
+
+
+def keep_keyed(rows: DataFrame, kept: DataFrame) -> DataFrame:
+    """The columns of `row` of those rows (from `keyed`) whose keys are in kept, one of each. Rows that
+    repeat become one in each task before the shuffle, so that a document which is there a million
+    times reaches the join as a row a task at most; the join needs no further shuffle."""
+    return rows.select("row", "k1", "k2").dropDuplicates(["k1", "k2"]).join(kept.hint("merge"), ["k1", "k2"], "left_semi").select("row.*")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import attach, keyed, runs_for, stage
+from .common import attach, keep_keyed, keyed, runs_for, stage
 
 KEYS = ["_sha", "_len", "_xx"]
 
@@ -59,4 +59,4 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     flag = F.col("id").isNotNull() if keep == "max" else F.col("id").isNull()
     verdict = exact_dedup(rows.select(F.struct(flag.alias("f"), "id", "k1", "k2").alias("key"), "text"), "key", "text", keep)
     kept = verdict.filter("kept").select("key.k1", "key.k2")
-    return rows.join(kept.hint("merge"), ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"]).select("row.*")
+    return keep_keyed(rows, kept)

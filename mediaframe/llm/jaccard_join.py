@@ -13,7 +13,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import attach, keyed, runs_for, stage
+from .common import attach, keep_keyed, keyed, runs_for, stage
 from .hashing import MIX, mix, span_hashes
 
 LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
@@ -683,4 +683,4 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     key = F.struct(F.col("id").isNull().alias("none"), "id", "k1", "k2")
     found = jaccard_components(rows.select(key.alias("key"), "text"), "key", "text", width, num)
     kept = found.filter(F.col("key") == F.col("component_id")).select("key.k1", "key.k2").distinct()
-    return rows.join(kept.hint("merge"), ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"]).select("row.*")
+    return keep_keyed(rows, kept)

@@ -276,3 +276,15 @@ def test_pipeline_stages_on_edge_cases(spark, docs, no_docs):
             for name, step in corpus_pipeline.STAGES[1:]:
                 out = step(spark, df, "")
                 assert out.count() <= df.count() and (name == "sentencepiece" or out.columns == df.columns)
+
+
+def test_repeated_rows_are_one_a_task_before_the_shuffle(spark):
+    """40,000 rows of one document without an id: no more than one a task is shuffled with its text."""
+    rows = spark.range(0, 40_000, 1, 8).select(F.lit(None).cast("long").alias("doc_id"), F.lit("the same words again and again").alias("text"), F.lit("x").alias("k1"))
+    others = spark.createDataFrame([(1, "another text", "y"), (1, "another text", "y")], "doc_id long, text string, k1 string")
+    for keep in (exact_dedup.keep_first, jaccard_join.keep_one):
+        left = keep(rows.unionByName(others))
+        assert sorted(map(tuple, left.collect()), key=str) == [(1, "another text", "y"), (None, "the same words again and again", "x")]
+        plan = left._jdf.queryExecution().executedPlan().toString()
+        texts = plan[plan.index("SortMergeJoin"):]
+        assert "partial_first(row" in texts and texts.index("first(row") < texts.index("partial_first(row")
