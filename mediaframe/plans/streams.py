@@ -13,8 +13,14 @@ from ..sources.staging import shared_dir
 from ..streaming import watch
 
 
+def table_stream(spark: SparkSession, d: str, name: str) -> DataFrame:
+    """A given table as a stream, whether it is one file or a folder of files. The path is a pattern,
+    because Spark takes a plain path of a stream for a folder."""
+    return spark.readStream.schema(b.read(spark, d, name).schema).parquet(f"{d}/{name}.parque[t]")
+
+
 def event_stream(spark: SparkSession, d: str) -> DataFrame:
-    return spark.readStream.schema(b.read(spark, d, "events").schema).option("pathGlobFilter", "events*.parquet").parquet(d)
+    return table_stream(spark, d, "events")
 
 
 def drained(stream: DataFrame, label: str) -> DataFrame:
@@ -49,6 +55,6 @@ def i4(spark, d):
 def i4b(spark, d):
     """Catalog rows and vectors as two streams with a sink each."""
     catalog = event_stream(spark, d).selectExpr("event_id as asset_id", "event_type", "user_id")
-    v = spark.readStream.schema(b.read(spark, d, "embeddings").schema).option("pathGlobFilter", "embeddings*.parquet").parquet(d).selectExpr("vec_id as asset_id", "embedding as vector")
+    v = table_stream(spark, d, "embeddings").selectExpr("vec_id as asset_id", "embedding as vector")
     assets, vectors = watch.two_sinks(spark, catalog, v, f"{shared_dir(spark)}/phases-{uuid.uuid4().hex}")
     return watch.two_phase(assets, vectors).agg(F.count(F.lit(1)).alias("assets"), F.count_if("searchable").alias("searchable"))

@@ -142,3 +142,13 @@ def test_incremental_import_replays_do_nothing(spark, tmp_path):
     assert first == {"a": (1, "h1", "pending"), "b": (2, "h2", "pending")} and run() == first
     put("2.json", [("a", "h9", 1, 7, 2)])
     assert run() == {"a": (1, "h9", "pending"), "b": (2, "h2", "pending")}
+
+
+def test_streams_read_tables_of_many_files(spark, tmp_path):
+    from mediaframe.registry import QUERIES
+
+    for name, parts in (("events", 3), ("embeddings", 2)):
+        spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet").repartition(parts).write.parquet(f"{tmp_path}/{name}.parquet")
+    for query in ("i4_two_sinks", "i1_watch_stream", "i3_first_per_hash_stream"):
+        got, want = (sorted(map(tuple, QUERIES[query](spark, d).collect())) for d in (str(tmp_path), "/root/testdata/sf0.001"))
+        assert got == want, query
