@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,15 +21,39 @@ def matrix(table: pa.Table, name: str = "vector") -> np.ndarray:
     return values.reshape(len(flat), -1)
 
 
+#: Blocks that a table is dealt into, so that the rows shuffled are a fixed multiple of its rows, and the most rows of one.
+BLOCKS, MOST_ROWS = 12, 65_536
+
+
+def rows_of_block(n: int, most: int = MOST_ROWS) -> int:
+    """A twelfth of n rows, 512 at least and `most` at most: beyond 12 * most rows a task's memory stays
+    as it is and the number of blocks grows."""
+    return min(most, max(512, -(-n // BLOCKS)))
+
+
+def tiles(left: int, right: int, numbers: int = 1 << 21) -> Iterator[slice]:
+    """Ranges of left rows whose products with all right rows are about `numbers` numbers."""
+    step = min(512, max(16, numbers // max(right, 1)))
+    return (slice(at, min(at + step, left)) for at in range(0, left, step))
+
+
+def in_order(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Dot products row by row, summed from the first number to the last as `functions.vectors.dot` does."""
+    s = np.zeros(len(a))
+    for x, y in zip(a.T, b.T, strict=True):
+        s = s + x * y
+    return s
+
+
 def _dealt(rows: DataFrame, own: str, other: str, key: Column, blocks: int, others: int) -> DataFrame:
     return rows.withColumn(own, F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(others - 1))))
 
 
-def block_product(left: DataFrame, right: DataFrame, kernel: Kernel, schema: str, left_key: str, right_key: str, rows: int = 8192) -> DataFrame:
-    """kernel(block of left, block of right) for every pair of blocks. A block has about `rows` rows,
-    so that a task's memory does not grow with the data, and all rows of one key. Each side is
+def block_product(left: DataFrame, right: DataFrame, kernel: Kernel, schema: str, left_key: str, right_key: str, rows: int | None = None) -> DataFrame:
+    """kernel(block of left, block of right) for every pair of blocks. A block has about `rows` rows
+    (`rows_of_block`), so that a task's memory has a bound, and all rows of one key. Each side is
     repeated once for each block of the other: neither is broadcast, and no pair of rows is a row."""
-    nl, nr = (max(1, -(-df.count() // rows)) for df in (left, right))
+    nl, nr = (max(1, -(-n // (rows or rows_of_block(n)))) for n in (left.count(), right.count()))
     a = _dealt(left, "_lb", "_rb", F.col(left_key), nl, nr)
     b = _dealt(right.select(*[F.col(c).alias(c) for c in right.columns]), "_rb", "_lb", F.col(right_key), nr, nl)  # new columns, if both sides are one table
 
@@ -40,6 +64,23 @@ def block_product(left: DataFrame, right: DataFrame, kernel: Kernel, schema: str
     return a.groupBy("_lb", "_rb").cogroup(b.groupBy("_lb", "_rb")).applyInArrow(run, schema)
 
 
+def block_pairs(table: DataFrame, kernel: Callable[[pa.Table, pa.Table, bool], pa.Table], schema: str, key: str, rows: int | None = None) -> DataFrame:
+    """kernel(block, block, whether they are one) for every two blocks of one table, and each with itself, once."""
+    n = table.count()
+    blocks = max(1, -(-n // (rows or rows_of_block(n))))
+    dealt = _dealt(table, "_own", "_other", F.col(key), blocks, blocks).select(*table.columns, "_own", F.least("_own", "_other").alias("_x"), F.greatest("_own", "_other").alias("_y"))
+    none = empty_table(table, schema)
+
+    def run(g: pa.Table) -> pa.Table:
+        own, x, y = g["_own"].to_numpy(), g["_x"][0].as_py(), g["_y"][0].as_py()
+        if x == y:
+            return kernel(g, g, True)
+        a, b = g.filter(pa.array(own == x)), g.filter(pa.array(own == y))
+        return kernel(a, b, False) if a.num_rows and b.num_rows else none
+
+    return dealt.groupBy("_x", "_y").applyInArrow(run, schema)
+
+
 def empty_table(df: DataFrame, schema: str) -> pa.Table:
     from pyspark.sql.pandas.types import to_arrow_schema
 

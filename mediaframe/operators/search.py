@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.vectors import dot, is_valid
 from . import cells
 from ..sources.staging import staged
-from .blocks import best_of, block_product, carried, matrix
+from .blocks import best_of, block_product, carried, in_order, matrix, tiles
 
 
 def restrict(rows: DataFrame, only: DataFrame, key: str = "asset_id") -> DataFrame:
@@ -67,8 +67,8 @@ def batch_topk(queries: DataFrame, vectors: DataFrame, k: int, query_id: str = "
         b = b.sort_by("i")
         right, ids, names = matrix(b).T, b["i"].to_numpy(), a["q"].to_numpy()
         left, out = matrix(a), []
-        for at in range(0, len(left), 512):
-            s, own = left[at: at + 512] @ right, names[at: at + 512]
+        for now in tiles(len(left), len(ids)):
+            s, own = left[now] @ right, names[now]
             if others_to is not None:
                 s[(s > others_to) | (own[:, None] == ids)] = -np.inf
             row, col = best_of(s, k)
@@ -118,24 +118,30 @@ def best_by_group(vectors: DataFrame, group: str, id_col: str = "asset_id", rows
     return found.groupBy(F.col("i").alias(id_col)).agg(best("same"), best("other"))
 
 
-def rank_of_truth(queries: DataFrame, windows: DataFrame, rows: int = 4096, slack: float = 1e-9) -> DataFrame:
+def rank_of_truth(queries: DataFrame, windows: DataFrame, rows: int | None = None, slack: float = 1e-9) -> DataFrame:
     """query, rank: of each query (query, truth, vector) 1 + the groups that are strictly better than
     its true one, by the best window (grp, vector) of a group. The score of the truth comes by an
     equi-join; blocks that hold whole groups then count the better ones. A query whose group has no
-    window has no rank; scores within `slack` are equal."""
+    window has no rank. Scores within `slack` of the truth's are summed once more in the order in which
+    that was, so that equal vectors are equal and any difference counts."""
     own = queries.join(windows.select(F.col("grp").alias("truth"), F.col("vector").alias("w")).hint("merge"), "truth").groupBy("query", "truth").agg(F.max(dot("vector", "w")).alias("x"))
     asked = queries.select("query", "vector").join(own.hint("merge"), "query").select("query", "truth", "x", "vector")
     kind = dict(asked.dtypes)["query"]
 
     def kernel(a: pa.Table, b: pa.Table) -> pa.Table:
         b = b.sort_by("grp")
-        groups, right = b["grp"].to_numpy(), matrix(b).T
+        groups, right = b["grp"].to_numpy(), matrix(b)
         first = np.flatnonzero(np.concatenate([[True], groups[1:] != groups[:-1]]))
         left, x, truth, better = matrix(a), a["x"].to_numpy(), a["truth"].to_numpy(), []
-        for at in range(0, len(left), 512):
-            now = slice(at, at + 512)
-            best = np.maximum.reduceat(left[now] @ right, first, axis=1)
-            better.append(((best > x[now][:, None] + slack) & (groups[first] != truth[now][:, None])).sum(1))
+        for now in tiles(len(left), len(right)):
+            s = left[now] @ right.T
+            above = s > x[now][:, None] + slack
+            i, j = np.nonzero((s >= x[now][:, None] - slack) & ~above & (groups != truth[now][:, None]))
+            for at in range(0, len(i), 1 << 16):
+                few, those = i[at: at + (1 << 16)], j[at: at + (1 << 16)]
+                above[few, those] = in_order(left[now][few], right[those]) > x[now][few]
+            best = np.logical_or.reduceat(above, first, axis=1)
+            better.append((best & (groups[first] != truth[now][:, None])).sum(1))
         return pa.table({"query": a["query"], "better": np.concatenate(better)})
 
     return block_product(asked, windows.select("grp", "vector"), kernel, f"query {kind}, better long", "query", "grp", rows).groupBy("query").agg((1 + F.sum("better")).alias("rank"))

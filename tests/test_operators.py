@@ -324,3 +324,16 @@ def test_follow_ups(spark):
     said = {"ok do it": "confirm", "it's fine": "confirm", "now put a bus there": "redo", "swap it for a tree": "redo", "there is still a smudge": "retry", "make it neater": "retry", "nice": None}
     got = spark.createDataFrame([(k,) for k in said], "t string").select("t", textmine.follow_up(F.col("t")).alias("f")).collect()
     assert {r.t: r.f for r in got} == said
+
+
+def test_ranks_count_differences_below_any_tolerance(spark):
+    """Equal windows are ties, and one that is better by 1e-12 is better, whatever else is in its block."""
+    right = np.random.default_rng(3).standard_normal((3000, 8)) / 10
+    right[:, 0] = 0.5
+    right[1:3000:3, 1:], right[1:3000:3, 0] = right[0, 1:], np.where(np.arange(1000) % 2, 0.5, 0.5 + 1e-12)
+    right[2::3] = -1
+    asked = spark.createDataFrame([(1, 0, [1.0] + [0.0] * 7), (2, 2, [1.0, 0.25] + [0.0] * 6)], "query long, truth long, vector array<double>")
+    windows = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(right)], "grp long, vector array<double>")
+    for rows in (None, 100):
+        ranks = {r["query"]: r["rank"] for r in search.rank_of_truth(asked, windows, rows=rows).collect()}
+        assert ranks == {1: 501, 2: 2001}
