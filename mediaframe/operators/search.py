@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.vectors import dot, is_valid
 from . import cells
 from ..sources.staging import staged
-from .blocks import best_of, block_product, carried, in_order, matrix, tiles
+from .blocks import best_of, block_pairs, block_product, carried, in_order, matrix, tiles
 
 
 def restrict(rows: DataFrame, only: DataFrame, key: str = "asset_id") -> DataFrame:
@@ -95,25 +95,37 @@ def similarity_self_join(vectors: DataFrame, least: float, id_col: str = "asset_
     return cells.pairs_by_cells(some, least, cells.plan_pairs(some, least, rows), id_col)
 
 
-def best_by_group(vectors: DataFrame, group: str, id_col: str = "asset_id", rows: int = 4096) -> DataFrame:
+def best_by_group(vectors: DataFrame, group: str, id_col: str = "asset_id", rows: int | None = None) -> DataFrame:
     """id, same, other: the largest similarity to another vector of the same group, and to one of
-    another group (null if there is none). Blocks return a row for each vector, never pairs."""
+    another group (null if there is none). Two blocks meet once, for the rows of both, and return a row
+    for each vector, never pairs."""
     v = vectors.select(F.col(id_col).alias("i"), F.col(group).alias("g"), "vector")
     kind = dict(v.dtypes)["i"]
 
-    def kernel(a: pa.Table, b: pa.Table) -> pa.Table:
-        left, right, ia, ib, ga, gb = matrix(a), matrix(b).T, a["i"].to_numpy(), b["i"].to_numpy(), a["g"].to_numpy(), b["g"].to_numpy()
-        out = []
-        for at in range(0, len(left), 512):
-            now = slice(at, at + 512)
-            s = left[now] @ right
-            s[ia[now][:, None] == ib] = -np.inf
-            like = ga[now][:, None] == gb
-            out.append((ia[now], np.where(like, s, -np.inf).max(1), np.where(like, -np.inf, s).max(1)))
-        i, same, other = (np.concatenate(c) for c in zip(*out, strict=True))
-        return pa.table({"i": i, "same": same, "other": other})
-
-    found = block_product(v, v, kernel, f"i {kind}, same double, other double", "i", "i", rows)
+    def kernel(a: pa.Table, b: pa.Table, one: bool) -> pa.Table:
+        a, b = a.sort_by("g"), b.sort_by("g")
+        left, right, ia, ib, ga, gb = matrix(a), matrix(b), a["i"].to_numpy(), b["i"].to_numpy(), a["g"].to_numpy(), b["g"].to_numpy()
+        starts = lambda g: np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
+        first = starts(gb)
+        best, back = np.full((2, len(left)), -np.inf), np.full((2, len(right)), -np.inf)
+        for now in tiles(len(left), len(right)):
+            s = left[now] @ right.T
+            if one:
+                s[ia[now][:, None] == ib] = -np.inf
+            m = np.maximum.reduceat(s, first, axis=1)
+            like = ga[now][:, None] == gb[first]
+            best[0, now], best[1, now] = np.where(like, m, -np.inf).max(1), np.where(like, -np.inf, m).max(1)
+            if not one:
+                rows_of = starts(ga[now])
+                for at, end in zip(rows_of, [*rows_of[1:], len(s)], strict=True):
+                    m, like = s[at:end].max(0), gb == ga[now][at]
+                    back[0] = np.maximum(back[0], np.where(like, m, -np.inf))
+                    back[1] = np.maximum(back[1], np.where(like, -np.inf, m))
+        if one:
+            return pa.table({"i": ia, "same": best[0], "other": best[1]})
+        return pa.table({"i": np.concatenate([ia, ib]), "same": np.concatenate([best[0], back[0]]), "other": np.concatenate([best[1], back[1]])})
+
+    found = block_pairs(v, kernel, f"i {kind}, same double, other double", "i", rows)
     best = lambda c: F.max(F.when(F.col(c) > F.lit(float("-inf")), F.col(c))).alias(c)
     return found.groupBy(F.col("i").alias(id_col)).agg(best("same"), best("other"))
 

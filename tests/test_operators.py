@@ -337,3 +337,19 @@ def test_ranks_count_differences_below_any_tolerance(spark):
     for rows in (None, 100):
         ranks = {r["query"]: r["rank"] for r in search.rank_of_truth(asked, windows, rows=rows).collect()}
         assert ranks == {1: 501, 2: 2001}
+
+
+def test_nearest_of_groups_by_blocks_that_grow(spark):
+    """A row is dealt to a fixed number of blocks however many rows there are, and two blocks meet once."""
+    from mediaframe.operators import blocks
+
+    assert [-(-n // blocks.rows_of_block(n)) for n in (10_256, 102_564, 615_384)] == [12, 12, 12]
+    x = np.random.default_rng(6).standard_normal((1300, 4))
+    x[:300] = x[0]
+    names = np.array(["a", "b", "c"])[np.arange(1300) % 3]
+    v = spark.createDataFrame([(i, str(g), y.tolist()) for i, (g, y) in enumerate(zip(names, x, strict=True))], "asset_id long, g string, vector array<double>")
+    got = {r.asset_id: (r.same, r.other) for r in search.best_by_group(v, "g").collect()}
+    s = x @ x.T
+    np.fill_diagonal(s, -np.inf)
+    like = names[:, None] == names
+    assert np.allclose([got[i] for i in range(1300)], np.stack([np.where(like, s, -np.inf).max(1), np.where(like, -np.inf, s).max(1)], axis=1))
