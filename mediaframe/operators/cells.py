@@ -4,7 +4,7 @@ allows a result. Pivots are chosen on a bounded sample; that decides the work, n
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.staging import staged
-from .blocks import Kernel, empty_table, matrix
+from .blocks import MOST_ROWS, Kernel, empty_table, matrix, rows_of_block, tiles
 
 MOST_PIVOTS = 4096
 SAMPLE = 20_000
@@ -83,17 +83,19 @@ def homes_and_visits(m: np.ndarray, pivots: np.ndarray, least: float, longest: f
     return np.where(none, -1, home), visits
 
 
-def plan_pairs(vectors: DataFrame, least: float, rows: int = 4096) -> PairPlan:
+def plan_pairs(vectors: DataFrame, least: float, rows: int | None = None, most: int = MOST_ROWS) -> PairPlan:
     """How pairs with a dot product of `least` or more will be found. Two passes over the vectors, without
-    a shuffle of them. Where cells would not save rows there is one cell, and blocks meet each other."""
+    a shuffle of them. Where cells would not save rows there is one cell, and blocks meet each other.
+    Blocks have `rows` rows, or a fixed share of all (`blocks.rows_of_block`), up to `most`."""
     size = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
     n, longest = vectors.agg(F.count(F.lit(1)), F.max(size)).first()
+    block, rows = rows or rows_of_block(n, most), rows or 4096
     one = PairPlan(np.zeros((0, 0)), longest or 0.0, np.array([n]), np.array([0]), rows)
     if n <= rows or least <= 0 or not longest:
-        return one
+        return replace(one, rows_of_block=block)
     pivots = choose_pivots(vectors, n, max(64, 4 * -(-n // rows)), apart=2 * float(np.arccos(min(1.0, least / longest ** 2))))
     if len(pivots) < 2:
-        return one
+        return replace(one, rows_of_block=block)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         members, visitors = np.zeros(len(pivots), int), np.zeros(len(pivots), int)
@@ -106,17 +108,17 @@ def plan_pairs(vectors: DataFrame, least: float, rows: int = 4096) -> PairPlan:
 
     found = vectors.select("vector").mapInArrow(count, "cell long, m long, v long").groupBy("cell").agg(F.sum("m").alias("m"), F.sum("v").alias("v")).toArrow().sort_by("cell")
     plan = PairPlan(pivots, longest, found["m"].to_numpy(), found["v"].to_numpy(), rows)
-    return plan if plan.rows < one.rows else one
+    return replace(plan if plan.rows < one.rows else one, rows_of_block=block)
 
 
-def pairs_by_cells(vectors: DataFrame, least: float, plan: PairPlan, id_col: str) -> DataFrame:
-    """a, b, similarity of all pairs a < b with dot >= least. A row goes to its own cell and to those that
-    its ball touches; a cell's members and visitors are dealt into blocks, of which two meet in a task.
-    A pair is found in the smaller of its two cells, by one pair of blocks."""
+def _dealt(vectors: DataFrame, least: float, plan: PairPlan, id_col: str) -> DataFrame:
+    """Rows (cell, x, y, own, i, vector), once for each pair of blocks x, y that they are in, of which own is theirs.
+    A row goes to its own cell and to those that its ball touches; a cell's members and visitors are
+    dealt into blocks, of which two meet in a task. A pair is found in the smaller of its two
+    cells, by one pair of blocks."""
     s, z = plan.blocks
     rows = vectors.select(F.col(id_col).alias("i"), "vector", F.xxhash64(id_col).alias("h"))
-    kind = dict(rows.dtypes)["i"]
-    vector_kind = dict(rows.dtypes)["vector"]
+    kind, vector_kind = (dict(rows.dtypes)[c] for c in ("i", "vector"))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -139,23 +141,56 @@ def pairs_by_cells(vectors: DataFrame, least: float, plan: PairPlan, id_col: str
                 yield pa.RecordBatch.from_arrays([pa.array(cell[k], pa.int32()), pa.array(np.minimum(block[k], other), pa.int32()), pa.array(np.maximum(block[k], other), pa.int32()), pa.array(block[k], pa.int32()), out.column(0), out.column(1)],
                                                  names=["cell", "x", "y", "own", "i", "vector"])
 
+    return rows.mapInArrow(deal, f"cell int, x int, y int, own int, i {kind}, vector {vector_kind}")
+
+
+def _hits(g: pa.Table, least: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Of the two blocks of a group, tile by tile: rows left and right, dot products and which of them reach `least`."""
+    m, side = matrix(g), g["own"].to_numpy()
+    left, right = np.flatnonzero(side == g["x"][0].as_py()), np.flatnonzero(side == g["y"][0].as_py())
+    other = m[right].T
+    for now in tiles(len(left), len(right)):
+        dots = m[left[now]] @ other
+        yield left[now], right, dots, dots >= least
+
+
+def pairs_by_cells(vectors: DataFrame, least: float, plan: PairPlan, id_col: str) -> DataFrame:
+    """a, b, similarity of all pairs a < b with dot >= least."""
+    kind = dict(vectors.dtypes)[id_col]
+
     def product(g: pa.Table) -> pa.Table:
-        m, ids, side = matrix(g), g["i"].to_numpy(), g["own"].to_numpy()
-        x, y = g["x"][0].as_py(), g["y"][0].as_py()
-        left, right = np.flatnonzero(side == x), np.flatnonzero(side == y)
+        ids, same = g["i"].to_numpy(), g["x"][0].as_py() == g["y"][0].as_py()
         out = [(ids[:0], ids[:0], np.zeros(0))]
-        for at in range(0, len(left), 512):
-            part = left[at: at + 512]
-            dots = m[part] @ m[right].T
-            i, j = np.nonzero(dots >= least)
-            a, b, v = ids[part[i]], ids[right[j]], dots[i, j]
-            keep = a < b if x == y else a != b  # within a block each pair comes twice, and each row meets itself
+        for left, right, dots, hit in _hits(g, least):
+            i, j = np.nonzero(hit)
+            a, b, v = ids[left[i]], ids[right[j]], dots[i, j]
+            keep = a < b if same else a != b  # within a block each pair comes twice, and each row meets itself
             out.append((np.minimum(a, b)[keep], np.maximum(a, b)[keep], v[keep]))
         a, b, v = (np.concatenate(c) for c in zip(*out, strict=True))
         return pa.table({"a": a, "b": b, "similarity": v})
 
-    dealt = rows.mapInArrow(deal, f"cell int, x int, y int, own int, i {kind}, vector {vector_kind}")
-    return dealt.groupBy("cell", "x", "y").applyInArrow(product, f"a {kind}, b {kind}, similarity double")
+    return _dealt(vectors, least, plan, id_col).groupBy("cell", "x", "y").applyInArrow(product, f"a {kind}, b {kind}, similarity double")
+
+
+def degrees_by_cells(vectors: DataFrame, least: float, plan: PairPlan, id_col: str) -> DataFrame:
+    """i, n: how many others each vector has a dot product of `least` or more with, if any. No pair is a row: two
+    blocks return one row for each of their vectors."""
+    kind = dict(vectors.dtypes)[id_col]
+
+    def product(g: pa.Table) -> pa.Table:
+        ids, same = g["i"].to_numpy(), g["x"][0].as_py() == g["y"][0].as_py()
+        n = np.zeros(len(ids), np.int64)
+        for left, right, _, hit in _hits(g, least):
+            if same or np.isin(ids[left], ids[right]).any():
+                hit &= ids[left][:, None] != ids[right]
+            n[left] += hit.sum(1)
+            if not same:
+                n[right] += hit.sum(0)
+        some = np.flatnonzero(n)
+        return pa.table({"i": ids[some], "n": n[some]})
+
+    found = _dealt(vectors, least, plan, id_col).groupBy("cell", "x", "y").applyInArrow(product, f"i {kind}, n long")
+    return found.groupBy("i").agg(F.sum("n").alias("n"))
 
 
 # --- the largest of a query

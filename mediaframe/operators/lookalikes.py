@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..sources.staging import staged
-from .blocks import running_total
+from . import cells
+from .blocks import matrix, running_total, tiles
 from .graph import components
 
 
@@ -80,6 +84,72 @@ def _stars_by_rounds(pairs: DataFrame, most: int) -> DataFrame:
     return first.select(F.col("l.v").alias("leader"), F.col("u").alias("member"), F.round("l.similarity", 5).alias("similarity"))
 
 
+def _leaders(least: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Of rows (i, vector) in order those that are near no earlier one of them."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(batches) if (batches := list(batches)) else None
+        if not rows or not rows.num_rows:
+            return
+        m, lead = matrix(rows), np.zeros(0, int)
+        for at in range(0, len(m), 256):
+            some = m[at: at + 256]
+            free = ~(some @ m[lead].T >= least).any(1)
+            near, new = some @ some.T >= least, []
+            for k in np.flatnonzero(free):
+                if free[k]:
+                    new.append(at + k)
+                    free &= ~near[k]
+            lead = np.concatenate([lead, np.array(new, int)])
+        yield from rows.take(pa.array(lead)).combine_chunks().to_batches()
+
+    return run
+
+
+def _led(lead: pa.Table, least: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows (i, vector, n) with the first leader that they are near; only those that stay free keep their vector."""
+    heads, names = matrix(lead), lead["i"].to_numpy()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            m, ids = matrix(pa.Table.from_batches([b])), b.column("i").to_numpy(zero_copy_only=False)
+            first, dots = np.zeros(len(m), int), np.full(len(m), np.nan)
+            for now in tiles(len(m), len(heads)):
+                x = m[now] @ heads.T
+                first[now] = np.argmax(x >= least, axis=1)
+                dots[now] = x[np.arange(len(x)), first[now]]
+            leads = np.isin(ids, names)
+            near = (dots >= least) & ~leads
+            yield pa.RecordBatch.from_arrays([b.column("i"), pc.if_else(pa.array(near | leads), None, b.column("vector")), b.column("n"), pa.array(names[first], b.column("i").type, mask=~near), pa.array(np.round(dots, 5), mask=~near)],
+                                             names=["i", "vector", "n", "leader", "similarity"])
+
+    return run
+
+
+def stars_of(vectors: DataFrame, least: float, spark: SparkSession, id_col: str = "asset_id", pairs: int = 32, batch: int = 16_384) -> DataFrame:
+    """leader, member, similarity: the `stars` of all pairs with a dot product of `least` or more. The neighbours
+    of each vector are counted first. If they are up to `pairs` a vector, pairs are made. More are never
+    rows: each round the first `batch` free photos in order are visited in one task, and their leaders,
+    which are as many at most, go to all that are free, each of which joins the first that it is near.
+    In a dense graph few leaders are near to nearly all. Runs when called."""
+    some = staged(vectors.filter(F.size("vector") > 0).select(F.col(id_col).alias("i"), "vector"))
+    degrees = staged(cells.degrees_by_cells(some, least, cells.plan_pairs(some, least), "i"))
+    n, ends = degrees.agg(F.count(F.lit(1)), F.sum("n")).first()
+    if (ends or 0) <= 2 * pairs * n:
+        from .search import similarity_self_join
+
+        return stars(similarity_self_join(some, least, "i"), spark)
+    kinds = dict(some.dtypes)
+    free, found = staged(some.join(degrees.hint("merge"), "i")), None
+    while (lead := free.orderBy(F.desc("n"), "i").limit(batch).select("i", "vector").mapInArrow(_leaders(least), f"i {kinds['i']}, vector {kinds['vector']}").toArrow()).num_rows:
+        told = staged(free.mapInArrow(_led(lead, least), f"i {kinds['i']}, vector {kinds['vector']}, n long, leader {kinds['i']}, similarity double"))
+        free = told.filter("vector is not null").select("i", "vector", "n")
+        joined = told.filter("leader is not null").select("leader", F.col("i").alias("member"), "similarity")
+        found = joined if found is None else found.unionByName(joined)
+    return found
+
+
 def best_shot(shots: DataFrame) -> DataFrame:
     """Of each group the sharpest, or among those within a tenth of it the one with most pixels."""
     top = F.max("sharpness").over(Window.partitionBy("grp"))

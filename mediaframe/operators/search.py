@@ -86,13 +86,17 @@ def batch_topk(queries: DataFrame, vectors: DataFrame, k: int, query_id: str = "
     return ranked.select(F.col("q").alias(query_id), F.col("i").alias(id_col), "similarity", "rank")
 
 
-def similarity_self_join(vectors: DataFrame, least: float, id_col: str = "asset_id", rows: int = 4096) -> DataFrame:
+#: Most rows of a block that returns pairs, whose number a task holds.
+PAIR_ROWS = 16_384
+
+
+def similarity_self_join(vectors: DataFrame, least: float, id_col: str = "asset_id", rows: int | None = None) -> DataFrame:
     """All pairs a < b with dot >= least, exactly. Vectors go to cells around pivots, and to other cells
     only where their ball of that similarity touches them (`cells.plan_pairs`, which runs two passes when
-    this is called); blocks of `rows` rows of a cell meet as matrix products. Rows out are the pairs
-    found. Null and empty vectors are left out, as is a pair of rows of one id."""
+    this is called); blocks of `rows` rows of a cell (a share of all, up to PAIR_ROWS) meet as matrix
+    products. Rows out are the pairs found. Null and empty vectors are left out, as is a pair of rows of one id."""
     some = vectors.filter(F.size("vector") > 0)
-    return cells.pairs_by_cells(some, least, cells.plan_pairs(some, least, rows), id_col)
+    return cells.pairs_by_cells(some, least, cells.plan_pairs(some, least, rows, PAIR_ROWS), id_col)
 
 
 def best_by_group(vectors: DataFrame, group: str, id_col: str = "asset_id", rows: int | None = None) -> DataFrame:

@@ -560,7 +560,7 @@ def l10(spark, d):
 
 
 def alike(spark, d):
-    return staged(lookalikes.stars(s.similarity_self_join(b.vectors(spark, d), 0.3), spark))
+    return staged(lookalikes.stars_of(b.vectors(spark, d), 0.3, spark))
 
 
 def shots(spark, d):

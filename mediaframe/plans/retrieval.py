@@ -303,7 +303,7 @@ STARS = f"""WITH RECURSIVE {V}, {PAIRS}, near AS (SELECT a, b, s FROM pairs WHER
 
 @query("l10_lookalikes", STARS.format(least=0.3) + " SELECT leader, member, round(s, 5) AS similarity FROM stars JOIN edges ON u = leader AND v = member")
 def l10(spark, d):
-    return lookalikes.stars(s.similarity_self_join(b.vectors(spark, d), 0.3), spark)
+    return lookalikes.stars_of(b.vectors(spark, d), 0.3, spark)
 
 
 @query("l10_lookalike_pairs", f"WITH {V}, {PAIRS} SELECT a, b FROM pairs WHERE s >= 0.3")

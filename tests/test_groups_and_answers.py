@@ -126,3 +126,18 @@ def test_found_photos_come_up_from_far_down(spark):
     found, checked = spark.createDataFrame([(40,)], "asset_id long"), spark.range(50).withColumnRenamed("id", "asset_id")
     rows = s.search_grouped(assets, segments, [1.0, 0.0], None, 20, found, checked).orderBy("rank").collect()
     assert [r.asset_id for r in rows] == [40, *range(19)] and rows[0].object_check == "found"
+
+
+@pytest.mark.parametrize("least, pairs, batch", [(0.3, 0, 40), (0.3, 0, 1000), (0.3, 10_000, 1), (0.9, 0, 50)])
+def test_stars_of_vectors_without_pairs(spark, least, pairs, batch):
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((700, 12))
+    x[:150] = x[0] + 1e-3 * rng.standard_normal((150, 12))
+    x[150:200] = x[150]
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    s = x @ x.T
+    rows = [(i, j, float(s[i, j])) for i in range(700) for j in range(i + 1, 700) if s[i, j] >= least]
+    v = spark.createDataFrame([(i, y.tolist()) for i, y in enumerate(x)] + [(-1, []), (-2, None)], "asset_id long, vector array<double>")
+    got = lookalikes.stars_of(v, least, spark, pairs=pairs, batch=batch).collect()
+    assert len(got) == len({r.member for r in got}) and {(r.leader, r.member) for r in got} == plain_stars(rows)
+    assert all(abs(r.similarity - s[r.leader, r.member]) < 1e-5 for r in got)
