@@ -382,9 +382,16 @@ def h13(spark, d):
 
 @query("h22_haversine_gravity", f"WITH {b.POINTS}, {b.TOWNS} SELECT point_id, town_id, round({KM}, 3) AS km, round(population / pow({KM} + 1, 2), 3) AS gravity FROM points p JOIN towns t ON point_id % 100 = town_id % 100")
 def h22(spark, d):
-    p, t = b.points(spark, d), b.towns(spark, d)
-    km = geo.haversine_km(p.lat, p.lon, t.lat, t.lon)
-    return p.join(t, F.expr("point_id % 100 = town_id % 100")).select("point_id", "town_id", F.round(km, 3).alias("km"), F.round(geo.gravity(F.col("population"), km), 3).alias("gravity"))
+    """Every point with each town of its key. Distances and pulls are told once for all points of one place; a
+    key's places are dealt over 16 parts, each of which meets all of the key's towns. The rows of the
+    result grow with points times towns."""
+    key, tasks = F.col("point_id") % 100, 384
+    places = b.points(spark, d).groupBy("lat", "lon", key.alias("key"), F.floor(F.col("point_id") / 1_000_000).alias("piece")).agg(F.collect_list("point_id").alias("ids"))  # 10,000 at most
+    p = places.withColumn("part", F.pmod(F.xxhash64("lat", "lon", "piece"), F.lit(16))).repartition(tasks, "key", "part")
+    t = b.towns(spark, d).select("town_id", "population", F.col("lat").alias("tlat"), F.col("lon").alias("tlon"), (F.col("town_id") % 100).alias("key"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(15).cast("long"))).alias("part")).repartition(tasks, "key", "part")
+    km = geo.haversine_km(F.col("lat"), F.col("lon"), F.col("tlat"), F.col("tlon"))
+    told = p.join(t.hint("merge"), ["key", "part"]).select("ids", "town_id", F.round(km, 3).alias("km"), F.round(geo.gravity(F.col("population"), km), 3).alias("gravity"))
+    return told.select(F.explode("ids").alias("point_id"), "town_id", "km", "gravity")
 
 
 @query("h28_calendar", "SELECT o_orderkey AS id, date_trunc('month', o_orderdate)::TIMESTAMP AS month_start, (date_trunc('month', o_orderdate) + INTERVAL 1 MONTH)::TIMESTAMP AS month_end, (date_trunc('month', o_orderdate) - to_months(CAST(month(o_orderdate) % 3 AS INTEGER)))::TIMESTAMP AS season_start FROM orders")

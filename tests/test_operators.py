@@ -353,3 +353,20 @@ def test_nearest_of_groups_by_blocks_that_grow(spark):
     np.fill_diagonal(s, -np.inf)
     like = names[:, None] == names
     assert np.allclose([got[i] for i in range(1300)], np.stack([np.where(like, s, -np.inf).max(1), np.where(like, -np.inf, s).max(1)], axis=1))
+
+
+def test_points_of_one_place_meet_towns_once(spark, tmp_path):
+    """2,000 points of one place and key meet each town as a few rows of the join, and all are in the result."""
+    import pandas as pd
+
+    from mediaframe.registry import QUERIES
+
+    ids = np.concatenate([6_120_00 * np.arange(1, 1001), 6_120_00 * np.arange(1, 1001) + 6_120_000_000, [7]])
+    pd.DataFrame({"c_custkey": ids}).to_parquet(tmp_path / "customer.parquet")
+    pd.DataFrame({"s_suppkey": [100, 200, 307]}).to_parquet(tmp_path / "supplier.parquet")
+    found = QUERIES["h22_haversine_gravity"](spark, str(tmp_path))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate explode(ids") < plan.index("Join Inner")  # the join is below the points
+    got = found.toPandas()
+    assert sorted(zip(got.point_id, got.town_id)) == sorted([(i, t) for i in ids[:-1].tolist() for t in (100, 200)] + [(7, 307)])
+    assert got[got.point_id != 7].groupby("town_id")["km"].nunique().tolist() == [1, 1]
