@@ -235,7 +235,7 @@ def h31(spark, d):
 def decoded(spark, d):
     """The pictures as bitmap files, read back by Spark's image source."""
     files = pictures(spark, d).select("photo", pixels.bmp("data", "width", "height").alias("content"))
-    root = write_files(files, shared_path(spark, "bitmaps"), F.concat(F.col("photo") % 10, F.lit("/"), "photo", F.lit(".bmp")), F.col("content"))
+    root = write_files(files, shared_path(spark, "bitmaps"), F.concat(F.col("photo") % 256, F.lit("/"), "photo", F.lit(".bmp")), F.col("content"))
     return media.read_decoded_images(spark, root).withColumn("photo", F.regexp_extract("origin", r"(\d+)\.bmp$", 1).cast("long"))
 
 

@@ -60,10 +60,15 @@ def read_judgements(spark: SparkSession, path: str) -> DataFrame:
     return each.select("query", F.explode(F.from_json("m", "map<string, int>")).alias("candidate", "grade"))
 
 
-def read_decoded_images(spark: SparkSession, path: str) -> DataFrame:
+def read_decoded_images(spark: SparkSession, path: str, together: int = 10, few: int = 32) -> DataFrame:
     """origin, width, height, channels and pixel bytes (BGR) of the images in all folders below path,
-    decoded by Spark's own source; files that are no images are left out."""
-    return spark.read.format("image").option("dropInvalid", True).option("recursiveFileLookup", True).load(path).select("image.origin", "image.width", "image.height", "image.nChannels", "image.data")
+    decoded by Spark's own source; files that are no images are left out. Spark counts 4 MB for opening a
+    file, so that a partition has some 32 small ones: `together` of them are one task, if there are more than
+    `few`. Files in more than 32 folders are listed by tasks, others by the driver."""
+    images = spark.read.format("image").option("dropInvalid", True).option("recursiveFileLookup", True).load(path)
+    parts = images.rdd.getNumPartitions()
+    dealt = images.coalesce(max(few, -(-parts // together))) if parts > few else images
+    return dealt.select("image.origin", "image.width", "image.height", "image.nChannels", "image.data")
 
 
 def synthetic_vectors(spark: SparkSession, n: int, dim: int, seed: int = 0) -> DataFrame:

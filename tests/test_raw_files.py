@@ -46,3 +46,10 @@ def test_bitmaps_come_back(spark, tmp_path):
     write_files(files.filter("c is not null"), str(tmp_path), F.format_string("%d/%d.bmp", "w", "h"), F.col("c"))
     write_files(spark.range(1), str(tmp_path), F.lit("no.bmp"), F.lit("no picture"))
     assert {(r.width, r.height): bytes(r.data) for r in media.read_decoded_images(spark, str(tmp_path)).collect()} == made
+
+
+def test_small_images_are_read_many_a_task(spark, tmp_path):
+    rows = spark.range(200).select("id", pixels.bmp(F.unhex(F.repeat(F.lit("10"), 12)), F.lit(2), F.lit(2)).alias("content"))
+    root = write_files(rows, str(tmp_path / "many"), F.concat(F.col("id") % 40, F.lit("/"), "id", F.lit(".bmp")), F.col("content"))
+    found = media.read_decoded_images(spark, root, together=1000, few=2)
+    assert found.rdd.getNumPartitions() == 2 and found.select("origin").distinct().count() == 200
