@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import combinations
@@ -19,7 +20,7 @@ from .hashing import MIX, mix, span_hashes
 LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
 WHITE = np.array([b == 32 or 9 <= b <= 13 for b in range(256)])
 SEEN_BITS = 27  # 16 MB of bitmap
-SLOTS = 1 << 20
+SLOTS = 1 << 27  # 16 MB of bitmap at most
 
 
 # Shingles.
@@ -89,19 +90,27 @@ def entity_of(h: np.ndarray, at: np.ndarray, seed: int = 11) -> np.ndarray:
 # Token counts over all documents, by ranges of tokens.
 
 
-def _emit_tokens(range_bits: int):
-    return lambda batches: _tokens_by_range(batches, range_bits)
+def token_bits(total: int) -> tuple[int, int]:
+    """Of so many tokens: the bits of the range, so that a range has half a million tokens or so, and how
+    many bits after it tell tokens apart. One in 128 is then taken for another one, which changes
+    its class (in all sets alike) and no result; more bits would only be more bytes to shuffle."""
+    range_bits = min(22, max(10, total.bit_length() - 19))
+    return range_bits, min(32, max(24, total.bit_length() + 7 - range_bits))
 
 
-def _tokens_by_range(batches: Iterator[pa.RecordBatch], range_bits: int) -> Iterator[pa.RecordBatch]:
-    """The 32 bits after the range of each token, sorted, and of repeated ones the place and how many
+def _emit_tokens(range_bits: int, low_bits: int):
+    return lambda batches: _tokens_by_range(batches, range_bits, low_bits)
+
+
+def _tokens_by_range(batches: Iterator[pa.RecordBatch], range_bits: int, low_bits: int) -> Iterator[pa.RecordBatch]:
+    """The low_bits after the range of each token, sorted, and of repeated ones the place and how many
     more there are, in pieces by range: a token of every document has one entry in a piece."""
     held, size = [], 0
 
     def flush() -> Iterator[pa.RecordBatch]:
-        h, n = np.unique(np.concatenate(held) >> np.uint64(32 - range_bits), return_counts=True)
-        cut = np.searchsorted(h >> np.uint64(32), np.arange((1 << range_bits) + 1))
-        low = (h & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+        h, n = np.unique(np.concatenate(held) >> np.uint64(64 - low_bits - range_bits), return_counts=True)
+        cut = np.searchsorted(h >> np.uint64(low_bits), np.arange((1 << range_bits) + 1))
+        low = (h & np.uint64((1 << low_bits) - 1)).astype(np.uint32)
         used = np.flatnonzero(np.diff(cut))
         # Byte planes of the differences: the upper ones are mostly zeros and compress.
         blobs, more = [], []
@@ -121,9 +130,9 @@ def _tokens_by_range(batches: Iterator[pa.RecordBatch], range_bits: int) -> Iter
         yield from flush()
 
 
-def _count_range(group: pa.Table, least: int, range_bits: int) -> pa.Table:
+def _count_range(group: pa.Table, least: int, range_bits: int, low_bits: int) -> pa.Table:
     """Of a range: which hash slots tokens of two or more documents fall in (a bitmap), and the
-    tokens (range and 32 bits more) of more than `least` documents."""
+    tokens (range and low_bits more) of more than `least` documents."""
     r = group["range"][0].as_py()
     low, count = [], []
     for blob, more in zip(group["tokens"].to_pylist(), group["more"].to_pylist(), strict=True):
@@ -137,24 +146,24 @@ def _count_range(group: pa.Table, least: int, range_bits: int) -> pa.Table:
     first = np.flatnonzero(np.concatenate([[True], low[1:] != low[:-1]]))
     n, kinds = np.add.reduceat(count, first), low[first]
     bits = np.zeros(1 << (SEEN_BITS - range_bits), np.uint8)
-    bits[kinds[n > 1] >> np.uint32(32 - (SEEN_BITS - range_bits))] = 1
-    often = (np.uint64(r) << np.uint64(32)) | kinds[n > least].astype(np.uint64)
+    bits[kinds[n > 1] >> np.uint32(low_bits - (SEEN_BITS - range_bits))] = 1
+    often = (np.uint64(r) << np.uint64(low_bits)) | kinds[n > least].astype(np.uint64)
     return pa.table({"range": pa.array([r], pa.int32()), "bits": pa.array([np.packbits(bits).tobytes()], pa.binary()), "often": pa.array([often.tobytes()], pa.binary())})
 
 
 @dataclass
 class TokenClasses:
     """seen: bitmap of hash slots with tokens of two or more documents, of 2 ** SEEN_BITS bits.
-    often: sorted tokens (their first 32 + range_bits bits) of more than `least` documents, at
+    often: sorted tokens (their first `bits` bits) of more than `least` documents, at
     most 2 ** 22 of them."""
 
     seen: np.ndarray
     often: np.ndarray
-    range_bits: int
+    bits: int
     least: int
 
     def frequent(self, h: np.ndarray) -> np.ndarray:
-        t = h >> np.uint64(64 - 32 - self.range_bits)
+        t = h >> np.uint64(64 - self.bits)
         at = np.searchsorted(self.often, t)
         at[at == len(self.often)] = 0
         return self.often[at] == t if len(self.often) else np.zeros(len(h), bool)
@@ -165,20 +174,20 @@ class TokenClasses:
 
 
 def count_tokens(slim: DataFrame, total_tokens: int, least: int) -> TokenClasses:
-    """Exact document counts of all tokens, in ranges that grow in number with the corpus. `least`
+    """Document counts of all tokens by their first bits, in ranges that grow in number with the corpus. `least`
     grows too, so that at most 2 ** 22 tokens can be frequent: the result has at most 16 MB of
     bitmap and 32 MB of tokens, whatever the corpus."""
     least = max(least, total_tokens >> 22)
-    range_bits = min(22, max(10, total_tokens.bit_length() - 17))
-    counted = (slim.mapInArrow(_emit_tokens(range_bits), "range int, tokens binary, more binary").groupBy("range")
-               .applyInArrow(lambda t: _count_range(t, least, range_bits), "range int, bits binary, often binary"))
+    range_bits, low_bits = token_bits(total_tokens)
+    counted = (slim.mapInArrow(_emit_tokens(range_bits, low_bits), "range int, tokens binary, more binary").groupBy("range")
+               .applyInArrow(lambda t: _count_range(t, least, range_bits, low_bits), "range int, bits binary, often binary"))
     size = 1 << (SEEN_BITS - range_bits - 3)
     seen = np.zeros(1 << (SEEN_BITS - 3), np.uint8)
     often = []
     for row in counted.collect():
         seen[row["range"] * size: (row["range"] + 1) * size] = np.frombuffer(row["bits"], np.uint8)
         often.append(np.frombuffer(row["often"], np.uint64))
-    return TokenClasses(seen, np.sort(np.concatenate([*often, np.zeros(0, np.uint64)])), range_bits, least)
+    return TokenClasses(seen, np.sort(np.concatenate([*often, np.zeros(0, np.uint64)])), range_bits + low_bits, least)
 
 
 # Signatures.
@@ -334,12 +343,43 @@ def _rarest(deep: DataFrame) -> DataFrame:
     return stage(rare.filter("place <= need and c > 1").select("sig", "ent", "n", "single"), "rarest")
 
 
+def slots_for(n: int) -> int:
+    """Slots of a bitmap of n keys, a power of two: 128 or more a key, so that a key that is not among
+    them finds its slot taken once in 128 times at most; up to SLOTS."""
+    return min(SLOTS, max(1 << 20, 1 << (128 * n).bit_length()))
+
+
+def bitmap_of(keys: DataFrame, key: str, n: int) -> np.ndarray:
+    """A bitmap with the slots of the n keys (longs); the driver sees nothing else of them."""
+    slots = slots_for(n)
+    one = keys.select((F.col(key).bitwiseAND(F.lit(slots - 1)) + 1).alias("slot"))
+    maps = one.groupBy(F.expr("bitmap_bucket_number(slot)").alias("part")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(slot))").alias("bits")).collect()
+    out = np.zeros(slots >> 3, np.uint8)
+    for part, bits in maps:  # parts count from 1
+        out[(part - 1) * len(bits): part * len(bits)] = np.frombuffer(bits, np.uint8)
+    return out
+
+
+def in_bitmap(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    slot = keys.astype(np.int64) & (8 * len(bitmap) - 1)
+    return (bitmap[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 > 0
+
+
+def _emit_asked(shared: Broadcast):
+    """Rows whose ent has a slot of the bitmap."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(in_bitmap(shared.value, batch.column("ent").to_numpy())))
+
+    return run
+
+
 def _emit_sets(shared: Broadcast):
     """Sets of the documents whose slot is wanted."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted = shared.value
         for batch in batches:
-            few = batch.filter(pa.array(wanted[batch.column("_slot").to_numpy()]))
+            few = batch.filter(pa.array(in_bitmap(wanted, batch.column("_slot").to_numpy())))
             if few.num_rows:
                 for _, h, at in _pieces(iter([few])):
                     each = [h[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)]
@@ -351,21 +391,32 @@ def _emit_sets(shared: Broadcast):
 # Verification.
 
 
+def is_link(a: np.ndarray, b: np.ndarray, num: int) -> bool:
+    at = np.searchsorted(b, a)
+    at[at == len(b)] = 0
+    both = int((b[at] == a).sum())
+    return 100 * both >= num * (len(a) + len(b) - both)
+
+
 def _verify(num: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            linked = []
-            for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
-                a, b = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                at = np.searchsorted(b, a)
-                at[at == len(b)] = 0
-                both = int((b[at] == a).sum())
-                linked.append(100 * both >= num * (len(a) + len(b) - both))
+            linked = [is_link(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), num) for x, y in zip(batch.column("x"), batch.column("y"), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(linked, pa.bool_()))
 
     return run
 
 
+def _verify_block(num: int):
+    """Links among the pairs (a, b) of a block, with the sets (ent, tokens) of its entities."""
+    def run(pairs: pa.Table, sets: pa.Table) -> pa.Table:
+        of = dict(zip(sets["ent"].to_pylist(), (np.frombuffer(x.as_buffer(), np.uint64) for chunk in sets["tokens"].chunks for x in chunk), strict=True))
+        linked = [is_link(of[a], of[b], num) for a, b in zip(pairs["a"].to_pylist(), pairs["b"].to_pylist(), strict=True)]
+        return pairs.select(["a", "b"]).filter(pa.array(linked, pa.bool_()))
+
+    return run
+
+
 def common_tokens(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, often: int = 32, width: int = 2048) -> np.ndarray:
     """Sizes of the intersections of sets[left] with sets[right]. Tokens of more than `often` sets go
     as matrix products, a `width` of them at a time; the others by the pairs of sets that hold them."""
@@ -481,18 +532,21 @@ def _told(edges: DataFrame, facts: DataFrame, key: str, most: int = 1_000_000) -
 
 def _fetch_sets(slim: DataFrame, entities: DataFrame, ents: DataFrame) -> DataFrame:
     """ent, tokens of the entities asked for. Texts are read again, but only documents whose slot
-    holds a wanted one are made into sets; nothing but those sets is shuffled. The driver sees a
-    bitmap of SLOTS bits."""
-    one = entities.join(ents.hint("merge"), "ent", "left_semi").select(F.col("slot").cast("long").alias("slot"))
-    maps = one.groupBy(F.expr("bitmap_bucket_number(slot)").alias("part")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(slot))").alias("bits")).collect()
-    wanted = np.zeros(SLOTS, bool)
-    for part, bits in maps:  # parts count from 1; 0 holds slot 0 and below
-        on = np.flatnonzero(np.unpackbits(np.frombuffer(bits, np.uint8), bitorder="little")) + 1 + (part - 1) * len(bits) * 8
-        wanted[on if part > 0 else [0]] = True
-    sets = slim.mapInArrow(_emit_sets(slim.sparkSession.sparkContext.broadcast(wanted)), "ent long, tokens binary")
+    holds a wanted one are made into sets; nothing but those sets is shuffled. Slots grow in number
+    with what is asked for, so that few other documents are made into sets and shuffled."""
+    one = stage(entities.join(ents.hint("merge"), "ent", "left_semi").select(F.col("slot").cast("long").alias("slot")), "slots")
+    wanted = slim.sparkSession.sparkContext.broadcast(bitmap_of(one, "slot", one.count()))
+    sets = slim.mapInArrow(_emit_sets(wanted), "ent long, tokens binary")
     return stage(sets.join(ents.hint("merge"), "ent", "left_semi").dropDuplicates(["ent"]), "sets")
 
 
+def _sets_of(sets: DataFrame, ents: DataFrame) -> DataFrame:
+    """The sets of a staged table of entities. A bitmap of these goes to the sets first: others are not
+    shuffled but for one in 128."""
+    asked = sets.sparkSession.sparkContext.broadcast(bitmap_of(ents, "ent", ents.count()))
+    return stage(sets.mapInArrow(_emit_asked(asked), "ent long, tokens binary").join(ents.hint("merge"), "ent", "left_semi"), "sets")
+
+
 def _linked(pairs: DataFrame, sets: DataFrame, num: int) -> DataFrame:
     """The pairs that are links. AQE splits the pairs of a leader that has many; its set is one row."""
     x = sets.select(F.col("ent").alias("a"), F.col("tokens").alias("x"))
@@ -500,6 +554,27 @@ def _linked(pairs: DataFrame, sets: DataFrame, num: int) -> DataFrame:
     return pairs.join(x.hint("merge"), "a").join(y.hint("merge"), "b").mapInArrow(_verify(num), "a long, b long")
 
 
+def _blocks(pairs: DataFrame, sets: DataFrame, tiles: int) -> tuple[DataFrame, DataFrame]:
+    """a, b, t1, t2 of pairs, and u1, u2, ent, tokens of the sets that each block (t1, t2) of them needs.
+    Entities are dealt to tiles by their hash: a set is in `tiles` blocks at most, in however many pairs."""
+    tile = lambda c: F.pmod(F.col(c), F.lit(tiles)).cast("int")
+    placed = pairs.select("a", "b", F.least(tile("a"), tile("b")).alias("t1"), F.greatest(tile("a"), tile("b")).alias("t2"))
+    needed = placed.select(F.col("t1").alias("u1"), F.col("t2").alias("u2"), F.explode(F.array("a", "b")).alias("ent")).distinct()
+    return placed, needed.join(sets.hint("merge"), "ent")
+
+
+def _linked_in_blocks(pairs: DataFrame, sets: DataFrame, num: int, most: int = 1 << 16, most_tokens: int = 1 << 21) -> DataFrame:
+    """The pairs (staged) that are links, where an entity has many pairs. Its set does not go with each
+    of them but once to each block of about `most` pairs and twice most_tokens tokens at most. Of fewer
+    pairs there are more blocks, of 4,096 pairs or so, up to 16 tiles."""
+    n, tokens = pairs.count(), (sets.agg(F.sum(F.length("tokens"))).first()[0] or 0) // 8
+    tiles = max(1, min(16, math.ceil((2 * n / 4096) ** 0.5)), math.ceil((2 * n / most) ** 0.5), -(-tokens // most_tokens))
+    parts = min(4096, tiles * tiles)
+    placed, held = _blocks(pairs, sets, tiles)
+    grouped = placed.repartition(parts, "t1", "t2").groupBy("t1", "t2").cogroup(held.repartition(parts, "u1", "u2").groupBy("u1", "u2"))
+    return grouped.applyInArrow(_verify_block(num), "a long, b long")
+
+
 def _buckets(rows: DataFrame, hot_rows: int) -> DataFrame:
     """sig, ent, n, single, m (entities of the signature), lead (the smallest), for m > 1, staged.
 
@@ -628,11 +703,12 @@ def find_links(slim: DataFrame, num: int, least: int, bucket: int = 64, hot_rows
     crowd = stage(_unresolved(large, comps).select("ent").distinct(), "crowd")
     if crowd.isEmpty():
         return entities, described, comps
-    deep = stage(sets.join(crowd.hint("merge"), "ent", "left_semi").mapInArrow(_emit_deep(num), "sig long, ent long, n int, single boolean, bound int, need int"), "signatures")
+    sets = _sets_of(sets, crowd)  # all that is compared from here on is in the crowd
+    deep = stage(sets.mapInArrow(_emit_deep(num), "sig long, ent long, n int, single boolean, bound int, need int"), "signatures")
     buckets = _buckets(_rarest(deep), hot_rows // 100)  # few rows, and families among them
     large = buckets.filter(F.col("m") > bucket)
     more = _met(buckets.filter(F.col("m") <= bucket), num).unionByName(_stars(large)).distinct().join(pairs.hint("merge"), ["a", "b"], "left_anti")
-    links = links.unionByName(stage(_linked(stage(more, "pairs"), sets, num), "links"))
+    links = links.unionByName(stage(_linked_in_blocks(stage(more, "pairs"), sets, num), "links"))
     comps = components(links)
 
     stars = stage(_stars(_unresolved(large, comps)), "stars")

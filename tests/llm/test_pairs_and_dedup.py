@@ -232,6 +232,63 @@ def test_families_over_many_tiles(spark, monkeypatch):
     assert got == {i: i // 2 * 2 for i in range(60)} and len(steps) > 2
 
 
+def shuffled_bytes(spark):
+    """All that the local executor has written to shuffles so far."""
+    sc = spark.sparkContext._jsc.sc()
+    sc.listenerBus().waitUntilEmpty()
+    return sc.statusStore().executorSummary("driver").totalShuffleWrite()
+
+
+def test_sets_of_others_stay_where_a_family_is_compared(spark):
+    """Long texts in links of two and a family of short ones: the long sets are shuffled to be fetched and
+    verified, not in each step that compares the family again."""
+    rng = random.Random(4)
+    rows = []
+    for i in range(100):
+        words = [f"l{rng.randrange(10**9)}" for _ in range(1000)]
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(words[:990]))]
+    passage = " ".join(f"p{k}" for k in range(60))
+    own = [[f"o{i // 2}x{k}" for k in range(24)] for i in range(60)]
+    rows += [(1000 + i, f"{passage} {' '.join(w[:23] + [f'e{i}'])}") for i, w in enumerate(own)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4).cache()
+    df.count()
+    before = shuffled_bytes(spark)
+    got = {r.doc_id: r.component_id for r in jaccard_join.jaccard_components(df, least=64, bucket=2).collect()}
+    assert got == {i: i // 2 * 2 for i, _ in rows}
+    ratio = (shuffled_bytes(spark) - before) / (200 * 990 * 8)
+    assert 2 < ratio < 6.5, ratio
+
+
+def test_a_set_goes_to_a_block_once(spark):
+    """120 sets in all their 7,140 pairs: rows with tokens are few for each set, and links are those of brute force."""
+    rng = np.random.default_rng(6)
+    base = np.unique(rng.integers(0, 1 << 62, 40).astype(np.uint64))
+    sets = [np.unique(np.append(base[rng.random(len(base)) < 0.95], rng.integers(0, 1 << 62, 2).astype(np.uint64))) for _ in range(120)]
+    names = rng.integers(-(1 << 62), 1 << 62, 120).tolist()
+    held = spark.createDataFrame([(e, bytearray(s.tobytes())) for e, s in zip(names, sets, strict=True)], "ent long, tokens binary")
+    every = [(min(names[i], names[j]), max(names[i], names[j])) for i in range(120) for j in range(i)]
+    of = dict(zip(names, sets, strict=True))
+    want = {(a, b) for a, b in every if 100 * (n := len(np.intersect1d(of[a], of[b]))) >= 80 * (len(of[a]) + len(of[b]) - n)}
+    pairs = spark.createDataFrame(every, "a long, b long")
+    for most, tokens in ((1 << 16, 1 << 21), (1000, 1 << 21), (1 << 16, 1000)):
+        found = jaccard_join._linked_in_blocks(pairs, held, 80, most, tokens).collect()
+        assert len(found) == len(want) and set(map(tuple, found)) == want
+    assert 0 < len(want) < len(every) and jaccard_join._blocks(pairs, held, 4)[1].count() <= 4 * 120
+
+
+def test_bitmaps_and_token_bits_grow_with_the_corpus(spark):
+    ids = spark.range(0, 30_000_000, 1000).select(F.xxhash64("id").alias("k"))
+    bitmap = jaccard_join.bitmap_of(ids, "k", 30_000)
+    assert jaccard_join.in_bitmap(bitmap, np.array([r.k for r in ids.collect()])).all()
+    others = np.random.default_rng(3).integers(-(1 << 62), 1 << 62, 100_000)
+    assert jaccard_join.in_bitmap(bitmap, others).mean() < 0.01
+    assert [jaccard_join.slots_for(n) for n in (0, 1, 8192, 1_000_000, 10**9)] == [1 << 20, 1 << 20, 1 << 21, 1 << 27, 1 << 27]
+    for bits in range(0, 42):
+        ranges, low = jaccard_join.token_bits(1 << bits)
+        assert (1 << bits) >> ranges <= 1 << 20 and 24 <= low <= 32 and low >= jaccard_join.SEEN_BITS - ranges
+        assert bits > 40 or (1 << bits) / (1 << (ranges + low)) <= 1 / 128
+
+
 def test_jaccard_edge_cases(docs, no_docs):
     rows = jaccard_join.jaccard_components(docs).collect()
     assert len(rows) == docs.count()
