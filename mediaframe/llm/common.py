@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -55,6 +56,13 @@ def release(spark: SparkSession, since: int, keep: int = 1) -> None:
     del _written[since: since + len(done)]
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Shuffle files stay until the driver has collected the plans that made them, which may be long after
+    the last use where little else fills its heap. Called after steps that shuffle much."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def runs_for(rows: int, rows_per_run: int = 8192, most: int = 4096) -> int:
     """A power of two that grows with the rows; a key that holds all rows is spread over so many."""
     n = 4

@@ -14,7 +14,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import attach, keep_keyed, keyed, runs_for, stage
+from .common import attach, free_shuffles, keep_keyed, keyed, runs_for, stage
 from .hashing import MIX, mix, span_hashes
 
 LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
@@ -99,10 +99,10 @@ def token_bits(total: int) -> tuple[int, int]:
 
 
 def _emit_tokens(range_bits: int, low_bits: int):
-    return lambda batches: _tokens_by_range(batches, range_bits, low_bits)
+    return lambda batches: _tokens_by_range((h for _, h, _ in _pieces(batches)), range_bits, low_bits)
 
 
-def _tokens_by_range(batches: Iterator[pa.RecordBatch], range_bits: int, low_bits: int) -> Iterator[pa.RecordBatch]:
+def _tokens_by_range(hashes: Iterator[np.ndarray], range_bits: int, low_bits: int) -> Iterator[pa.RecordBatch]:
     """The low_bits after the range of each token, sorted, and of repeated ones the place and how many
     more there are, in pieces by range: a token of every document has one entry in a piece."""
     held, size = [], 0
@@ -120,7 +120,7 @@ def _tokens_by_range(batches: Iterator[pa.RecordBatch], range_bits: int, low_bit
             more.append(np.stack([again, n[cut[r]: cut[r + 1]][again] - 1]).astype(np.int32).tobytes())
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(blobs, pa.binary()), pa.array(more, pa.binary())], names=["range", "tokens", "more"])
 
-    for _, h, _ in _pieces(batches):
+    for h in hashes:
         held.append(h)
         size += len(h)
         if size >= 1_000_000:
@@ -130,9 +130,21 @@ def _tokens_by_range(batches: Iterator[pa.RecordBatch], range_bits: int, low_bit
         yield from flush()
 
 
+def limits_from(least: int) -> list[int]:
+    """Numbers of documents from `least` on, by steps of a quarter, to more than any corpus has tokens."""
+    out = [least]
+    while out[-1] < 1 << 44:
+        out.append(max(out[-1] + 1, out[-1] * 5 // 4))
+    return out
+
+
+COUNTED = "range int, bits binary, often binary, docs binary, above array<long>"
+
+
 def _count_range(group: pa.Table, least: int, range_bits: int, low_bits: int) -> pa.Table:
-    """Of a range: which hash slots tokens of two or more documents fall in (a bitmap), and the
-    tokens (range and low_bits more) of more than `least` documents."""
+    """Of a range: which hash slots tokens of two or more documents fall in (a bitmap), the tokens
+    (range and low_bits more) of more than `least` documents with their numbers of documents, and how
+    many tokens are in more documents than each of the limits."""
     r = group["range"][0].as_py()
     low, count = [], []
     for blob, more in zip(group["tokens"].to_pylist(), group["more"].to_pylist(), strict=True):
@@ -148,7 +160,20 @@ def _count_range(group: pa.Table, least: int, range_bits: int, low_bits: int) ->
     bits = np.zeros(1 << (SEEN_BITS - range_bits), np.uint8)
     bits[kinds[n > 1] >> np.uint32(low_bits - (SEEN_BITS - range_bits))] = 1
     often = (np.uint64(r) << np.uint64(low_bits)) | kinds[n > least].astype(np.uint64)
-    return pa.table({"range": pa.array([r], pa.int32()), "bits": pa.array([np.packbits(bits).tobytes()], pa.binary()), "often": pa.array([often.tobytes()], pa.binary())})
+    docs = n[n > least]
+    above = len(docs) - np.searchsorted(np.sort(docs), limits_from(least), side="right")
+    return pa.table({"range": pa.array([r], pa.int32()), "bits": pa.array([np.packbits(bits).tobytes()], pa.binary()), "often": pa.array([often.tobytes()], pa.binary()),
+                     "docs": pa.array([docs.tobytes()], pa.binary()), "above": pa.array([above.tolist()], pa.list_(pa.int64()))})
+
+
+def _emit_often(least: int):
+    """range, bits and the tokens of more than `least` documents of counted ranges."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            often = [np.frombuffer(t, np.uint64)[np.frombuffer(n, np.int64) > least].tobytes() for t, n in zip(batch.column("often").to_pylist(), batch.column("docs").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("range"), batch.column("bits"), pa.array(often, pa.binary())], names=["range", "bits", "often"])
+
+    return run
 
 
 @dataclass
@@ -173,21 +198,30 @@ class TokenClasses:
         return (self.seen[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8)) & 1 > 0
 
 
-def count_tokens(slim: DataFrame, total_tokens: int, least: int) -> TokenClasses:
-    """Document counts of all tokens by their first bits, in ranges that grow in number with the corpus. `least`
-    grows too, so that at most 2 ** 22 tokens can be frequent: the result has at most 16 MB of
-    bitmap and 32 MB of tokens, whatever the corpus."""
-    least = max(least, total_tokens >> 22)
+def count_tokens(slim: DataFrame, total_tokens: int, least: int, most: int = 1 << 22) -> TokenClasses:
+    """Document counts of all tokens by their first bits, in ranges that grow in number with the corpus.
+    Tokens of more than `least` documents are frequent; where that are more than `most`, the limit is
+    the first one above which there are no more. It is told from the counts, not from the size of the
+    corpus: single tokens below it are indexed, and their buckets must stay small. The driver
+    gets at most 16 MB of bitmap and 32 MB of tokens, whatever the corpus."""
     range_bits, low_bits = token_bits(total_tokens)
-    counted = (slim.mapInArrow(_emit_tokens(range_bits, low_bits), "range int, tokens binary, more binary").groupBy("range")
-               .applyInArrow(lambda t: _count_range(t, least, range_bits, low_bits), "range int, bits binary, often binary"))
+    counted = slim.mapInArrow(_emit_tokens(range_bits, low_bits), "range int, tokens binary, more binary").groupBy("range")
+    counted = stage(counted.applyInArrow(lambda t: _count_range(t, least, range_bits, low_bits), COUNTED), "tokens")
+    above = dict(counted.select(F.posexplode("above").alias("k", "n")).groupBy("k").agg(F.sum("n")).collect())
+    least = next(limit for k, limit in enumerate(limits_from(least)) if above.get(k, 0) <= most)
+    seen, often = _collected(counted.mapInArrow(_emit_often(least), "range int, bits binary, often binary"), range_bits)
+    return TokenClasses(seen, often, range_bits + low_bits, least)
+
+
+def _collected(counted: DataFrame, range_bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The bitmap of all ranges, and their tokens in order."""
     size = 1 << (SEEN_BITS - range_bits - 3)
     seen = np.zeros(1 << (SEEN_BITS - 3), np.uint8)
     often = []
     for row in counted.collect():
         seen[row["range"] * size: (row["range"] + 1) * size] = np.frombuffer(row["bits"], np.uint8)
         often.append(np.frombuffer(row["often"], np.uint64))
-    return TokenClasses(seen, np.sort(np.concatenate([*often, np.zeros(0, np.uint64)])), range_bits + low_bits, least)
+    return seen, np.sort(np.concatenate([*often, np.zeros(0, np.uint64)]))
 
 
 # Signatures.
@@ -307,9 +341,21 @@ def group_signatures(h: np.ndarray, bound: int, num: int) -> tuple[np.ndarray, i
     return mix(sums + np.arange(1, groups + 1, dtype=np.uint64) * MIX + np.uint64(bound)), d + 1
 
 
-def _emit_deep(num: int, most: int = 200_000):
-    """sig, ent, n, single, bound, need: the group signatures of whole sets (ent, tokens), for their
-    own size and for all larger ones that they may meet."""
+def _deep_of(batches: Iterator[pa.RecordBatch], num: int) -> Iterator[tuple[np.ndarray, int, int, int, int]]:
+    """Group signatures, ent, n, bound and need of whole sets (ent, tokens), for their own size and for all
+    larger ones that they may meet."""
+    for batch in batches:
+        for e, blob in zip(batch.column("ent").to_pylist(), batch.column("tokens"), strict=True):
+            h = np.frombuffer(blob.as_buffer(), np.uint64)
+            for bound in size_classes(len(h), len(h) * 100 // num):
+                sigs, need = group_signatures(h, bound, num)
+                yield sigs, e, len(h), bound, need
+
+
+def _emit_deep(num: int, shared: Broadcast, most: int = 200_000):
+    """sig, ent, n, single, bound, need: the group signatures that a set may have to index. The rarest
+    come first, so those that no other set has take their places at once and are not written;
+    a set of which they take all places cannot have a link and has no rows."""
     def rows(held: list[tuple]) -> pa.RecordBatch:
         sigs, of = np.concatenate([x[0] for x in held]), np.repeat(np.arange(len(held)), [len(x[0]) for x in held])
         ent, n, bound, need = (np.array([x[k] for x in held])[of] for k in range(1, 5))
@@ -317,23 +363,34 @@ def _emit_deep(num: int, most: int = 200_000):
                                           names=["sig", "ent", "n", "single", "bound", "need"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, count = [], 0
-        for batch in batches:
-            for e, blob in zip(batch.column("ent").to_pylist(), batch.column("tokens"), strict=True):
-                h = np.frombuffer(blob.as_buffer(), np.uint64)
-                for bound in size_classes(len(h), len(h) * 100 // num):
-                    sigs, need = group_signatures(h, bound, num)
-                    held.append((sigs, e, len(h), bound, need))
-                    count += len(sigs)
-                if count >= most:
-                    yield rows(held)
-                    held, count = [], 0
+        classes, held, count = shared.value, [], 0
+        for sigs, e, n, bound, need in _deep_of(batches, num):
+            met = sigs[classes.shared(sigs)]
+            need -= len(sigs) - len(met)
+            if need > 0 and len(met):
+                held.append((met, e, n, bound, need))
+                count += len(met)
+            if count >= most:
+                yield rows(held)
+                held, count = [], 0
         if held:
             yield rows(held)
 
     return run
 
 
+def _deep_signatures(sets: DataFrame, num: int) -> DataFrame:
+    """The group signatures of sets (staged) that more than one of them has. They are counted like tokens,
+    a few bytes each, so that only these are rows; about as many as there are tokens."""
+    total = (sets.agg(F.sum(F.length("tokens"))).first()[0] or 0) // 8
+    range_bits, low_bits = token_bits(total)
+    by_range = sets.mapInArrow(lambda batches: _tokens_by_range((x[0] for x in _deep_of(batches, num)), range_bits, low_bits), "range int, tokens binary, more binary")
+    counted = by_range.groupBy("range").applyInArrow(lambda t: _count_range(t, 1 << 44, range_bits, low_bits), COUNTED)
+    seen, often = _collected(counted.select("range", "bits", "often"), range_bits)
+    shared = sets.sparkSession.sparkContext.broadcast(TokenClasses(seen, often, range_bits + low_bits, 0))
+    return stage(sets.mapInArrow(_emit_deep(num, shared), "sig long, ent long, n int, single boolean, bound int, need int"), "signatures")
+
+
 def _rarest(deep: DataFrame) -> DataFrame:
     """Of each set the group signatures that it has to index, the rarest ones: what many share, such
     as a passage, comes last. A signature of many rows meets its count by salted keys."""
@@ -683,6 +740,7 @@ def find_links(slim: DataFrame, num: int, least: int, bucket: int = 64, hot_rows
     """
     total = int(slim.agg(F.sum(F.length("_text"))).first()[0] or 0) // 6
     classes = count_tokens(slim, total, least)
+    free_shuffles(slim.sparkSession)
     shared = slim.sparkSession.sparkContext.broadcast(classes)
     kind = dict(slim.dtypes)["_id"]
     emitted = stage(slim.mapInArrow(_emit_signatures(shared, num), f"_id {kind}, _slot int, check long, sig long, ent long, n int, single boolean"), "signatures")
@@ -695,21 +753,24 @@ def find_links(slim: DataFrame, num: int, least: int, bucket: int = 64, hot_rows
     buckets = _buckets(emitted.filter("sig is not null").select("sig", "ent", "n", "single"), hot_rows)
     large = buckets.filter(F.col("m") > bucket)
     pairs = stage(_met(buckets.filter(F.col("m") <= bucket), num).unionByName(_stars(large)).distinct(), "pairs")
+    free_shuffles(slim.sparkSession)
     ents = pairs.select(F.col("a").alias("ent")).unionByName(pairs.select(F.col("b").alias("ent"))).distinct()
     sets = _fetch_sets(slim, entities, ents)
+    free_shuffles(slim.sparkSession)
     links = stage(_linked(pairs, sets, num), "links")
     comps = components(links)
+    free_shuffles(slim.sparkSession)
 
     crowd = stage(_unresolved(large, comps).select("ent").distinct(), "crowd")
     if crowd.isEmpty():
         return entities, described, comps
     sets = _sets_of(sets, crowd)  # all that is compared from here on is in the crowd
-    deep = stage(sets.mapInArrow(_emit_deep(num), "sig long, ent long, n int, single boolean, bound int, need int"), "signatures")
-    buckets = _buckets(_rarest(deep), hot_rows // 100)  # few rows, and families among them
+    buckets = _buckets(_rarest(_deep_signatures(sets, num)), hot_rows // 100)  # few rows, and families among them
     large = buckets.filter(F.col("m") > bucket)
     more = _met(buckets.filter(F.col("m") <= bucket), num).unionByName(_stars(large)).distinct().join(pairs.hint("merge"), ["a", "b"], "left_anti")
     links = links.unionByName(stage(_linked_in_blocks(stage(more, "pairs"), sets, num), "links"))
     comps = components(links)
+    free_shuffles(slim.sparkSession)
 
     stars = stage(_stars(_unresolved(large, comps)), "stars")
     if stars.isEmpty():

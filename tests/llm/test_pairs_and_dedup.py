@@ -289,6 +289,34 @@ def test_bitmaps_and_token_bits_grow_with_the_corpus(spark):
         assert bits > 40 or (1 << bits) / (1 << (ranges + low)) <= 1 / 128
 
 
+def test_limit_of_frequent_tokens_is_told_from_their_counts(spark):
+    """A large corpus does not raise the limit while few tokens are above it: tokens in as many documents as
+    a bucket has room for, and more, would be indexed alone. More of them than `most` raise it."""
+    rows = [(i, " ".join([f"o{i}", *(f"t{k}" for k in range(6) if i < 10 * (k + 1))])) for i in range(60)]
+    df = spark.createDataFrame(rows, "_id long, text string").select("_id", F.col("text").cast("binary").alias("_text"), F.lit(0).alias("_slot"), F.lit(1).alias("_width"))
+    total = 1 << 30
+    classes = jaccard_join.count_tokens(df, total, 8)
+    assert classes.least == 8 and len(classes.often) == 6
+    few = jaccard_join.count_tokens(df, total, 8, most=2)
+    assert 40 <= few.least < 50 and len(few.often) == 2 and set(few.often) <= set(classes.often)
+    none = jaccard_join.count_tokens(df.limit(0), 0, 8)
+    assert none.least == 8 and not len(none.often)
+
+
+def test_group_signatures_of_one_set_are_not_rows(spark):
+    """300 sets that share a tenth and two that link: rows are few for each set, and the two still meet."""
+    rng = np.random.default_rng(7)
+    draw = lambda n: rng.integers(0, 1 << 62, n).astype(np.uint64)
+    passage, two = draw(30), draw(270)
+    sets = [np.unique(np.concatenate([passage, draw(270)])) for _ in range(300)] + [np.unique(np.concatenate([passage, two[k: 268 + k]])) for k in range(2)]
+    held = jaccard_join.stage(spark.createDataFrame([(i, bytearray(h.tobytes())) for i, h in enumerate(sets)], "ent long, tokens binary"), "sets")
+    every = sum(len(x[0]) for x in jaccard_join._deep_of(held.toArrow().to_batches(), 80))
+    deep = jaccard_join._deep_signatures(held, 80)
+    assert every > 300 * 200 and deep.count() < every / 20
+    met = jaccard_join._rarest(deep).groupBy("sig").agg(F.collect_set("ent").alias("e"), F.max(F.col("ent")).alias("top")).filter("top >= 300")
+    assert [300, 301] in [sorted(r.e) for r in met.collect()]
+
+
 def test_jaccard_edge_cases(docs, no_docs):
     rows = jaccard_join.jaccard_components(docs).collect()
     assert len(rows) == docs.count()
