@@ -326,6 +326,21 @@ def test_jaccard_edge_cases(docs, no_docs):
     assert kept.columns == docs.columns and sorted(r.doc_id or 0 for r in kept.collect()) == [0, 1, 3, 4, 5, 6, 7, 8, 9]
 
 
+def test_pipeline_does_not_compare_documents_of_a_passage_in_a_large_corpus(spark, monkeypatch):
+    """70 unlike documents with one passage, counted as part of 2^30 tokens: they do not fill large
+    buckets, so nothing is indexed again; two that link are one."""
+    import corpus_pipeline
+
+    labels, counted, staged = [], jaccard_join.count_tokens, jaccard_join.stage
+    monkeypatch.setattr(jaccard_join, "count_tokens", lambda slim, total, least: counted(slim, 1 << 30, least))
+    monkeypatch.setattr(jaccard_join, "stage", lambda df, label: labels.append(label) or staged(df, label))
+    passage = " ".join(f"p{k}" for k in range(16))
+    rows = [(i, f"{' '.join(f'd{i}x{k}' for k in range(90))} {passage}") for i in range(70)]
+    df = spark.createDataFrame([*rows, (70, rows[0][1] + " more")], "doc_id long, text string")
+    assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, df, "").collect()) == list(range(70))
+    assert "links" in labels and "rarest" not in labels
+
+
 def test_pipeline_keeps_unlike_texts_under_one_id(spark):
     import corpus_pipeline
 
